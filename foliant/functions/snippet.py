@@ -1,0 +1,125 @@
+"""Best fragment of a text around the hits of a query, for the few rows that are shown."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from foliant.functions.text import fold_map
+
+# Weights of the fragment score.
+FIRST_HIT, REPEAT_HIT, TEXT_START, SENTENCE_START = 1000, 1, 120, 100
+
+_SENTENCE_END = re.compile(r"[.:][ \t\r\n]+\Z")
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[dict, object]:
+    import regex
+
+    source, target, marks = fold_map()
+    table = str.maketrans(source, target, marks)
+    return table, regex.compile(r"[\p{L}\p{N}\p{Co}" + marks + "]+")
+
+
+def _words(text: str) -> list[tuple[int, int, str]]:
+    table, word = _folding()
+    found = ((m.start(), m.end(), m.group().lower().translate(table)) for m in word.finditer(text))
+    return [w for w in found if w[2]]
+
+
+def _hits(words: list[str], units: list[tuple[list[str], bool]]) -> list[tuple[int, int, int]]:
+    """(first token, unit, tokens) of every place a word, phrase or prefix stands."""
+    found = []
+    for u, (unit, is_prefix) in enumerate(units):
+        n = len(unit)
+        for k in range(len(words) - n + 1):
+            if is_prefix:
+                same = words[k].startswith(unit[0])
+            else:
+                same = words[k] == unit[0] and words[k : k + n] == unit
+            if same:
+                found.append((k, u, n))
+    return sorted(found)
+
+
+def _window(hits: list, p: int, n: int, dl: int) -> tuple[int, int]:
+    """Score of the window that starts at token ``p`` and where it is best placed."""
+    seen, score, first, last = set(), 0, -1, 0
+    for k, unit, length in hits:
+        if p <= k < p + n:
+            score += REPEAT_HIT if unit in seen else FIRST_HIT
+            seen.add(unit)
+            first = k if first < 0 else first
+            last = k + length
+    return score, max(0, min(first - int((n - (last - first)) / 2), dl - n))
+
+
+def _best_start(text: str, words: list, hits: list, n: int) -> int:
+    dl = len(words)
+    sentences = [
+        i
+        for i, (at, _, _) in enumerate(words)
+        if i == 0 or _SENTENCE_END.search(text, words[i - 1][1], at)
+    ]
+    best, start = 0, 0
+    for k, _, _ in hits:
+        tries = [_window(hits, k, n, dl)]
+        sentence = sentences[bisect_right(sentences, k) - 1]
+        if dl > n and sentence < k:
+            extra = TEXT_START if sentence == 0 else SENTENCE_START
+            tries.append((_window(hits, sentence, n, dl)[0] + extra, sentence))
+        for score, at in tries:
+            if score > best:
+                best, start = score, at
+    return start
+
+
+def _runs(hits: list) -> list[list[int]]:
+    """Overlapping hits as one [first, last] run."""
+    runs: list[list[int]] = []
+    for k, _, length in hits:
+        if runs and k <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], k + length - 1)
+        else:
+            runs.append([k, k + length - 1])
+    return runs
+
+
+def fragment(
+    text: str, units: list[tuple[list[str], bool]], n: int, opened: str, closed: str, cut: str
+) -> str:
+    spans = _words(text)
+    hits = _hits([w for _, _, w in spans], units)
+    start = _best_start(text, spans, hits, n) if spans else 0
+    end = min(start + n, len(spans)) - 1
+    out, at = [cut if start > 0 else ""], spans[start][0] if start > 0 else 0
+    for first, last in _runs(hits):
+        if start <= first <= end:
+            left, right = spans[first][0], spans[min(last, end)][1]
+            out += [text[at:left], opened, text[left:right], closed]
+            at = right
+    whole = end >= len(spans) - 1
+    return "".join(out) + (text[at:] if whole else text[at : spans[end][1]] + cut)
+
+
+def snippet(
+    text: Column, units: Column, n: int = 20, marks: tuple[str, str] = ("<b>", "</b>"), cut: str = "..."
+) -> Column:
+    """``units`` is array<struct<words array<string>, is_prefix boolean>>, the words already folded."""
+
+    @F.pandas_udf(StringType())
+    def cut_out(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for t, us in zip(texts, asked):
+            parts = [(list(u["words"]), bool(u["is_prefix"])) for u in us]
+            out.append(fragment(t, parts, n, *marks, cut))
+        return pd.Series(out, dtype="object")
+
+    return cut_out(F.coalesce(text, F.lit("")), units)
