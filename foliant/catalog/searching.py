@@ -29,6 +29,7 @@ from foliant.operators.search import (
     skip_empty,
     with_snippets,
 )
+from foliant.plans.sizing import spread
 from foliant.sources.index import (
     PAGE,
     build_postings,
@@ -40,6 +41,7 @@ from foliant.sources.index import (
 )
 
 W = F.col("w")
+ROUNDED = (F.round("score", 6) + 0.0).alias("score")  # + 0.0: a rounded negative may be -0.0
 
 
 def two_words(spark, sf_dir, field="must"):
@@ -59,7 +61,7 @@ def matches(hits):
     f"WITH {TOKENS_SQL} SELECT doc_id, len(toks) AS dl, array_to_string(toks, ' ') AS words FROM tok",
 )
 def f1_tokenize(spark, sf_dir):
-    toks = tokenize_pages(corpus(spark, sf_dir))
+    toks = tokenize_pages(spread(corpus(spark, sf_dir)))
     return toks.select("doc_id", "dl", F.array_join("toks", " ").alias("words"))
 
 
@@ -72,7 +74,7 @@ def f1_tokenize(spark, sf_dir):
     FROM pos GROUP BY term, doc_id""",
 )
 def f2_build_postings(spark, sf_dir):
-    postings = build_postings(tokenize_pages(corpus(spark, sf_dir)))
+    postings = build_postings(tokenize_pages(spread(corpus(spark, sf_dir))))
     return postings.select(
         "term", *PAGE, "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")
     )
@@ -83,13 +85,13 @@ def f2_build_postings(spark, sf_dir):
     f"WITH {POSTINGS_SQL} SELECT n_docs, total_tokens, round(avgdl, 6) AS avgdl FROM stats",
 )
 def f3_corpus_stats(spark, sf_dir):
-    stats = corpus_stats(tokenize_pages(corpus(spark, sf_dir)))
+    stats = corpus_stats(tokenize_pages(spread(corpus(spark, sf_dir))))
     return stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("f3_vocabulary", f"WITH {POSTINGS_SQL} SELECT term, df, cf FROM vocab")
 def f3_vocabulary(spark, sf_dir):
-    return vocabulary(build_postings(tokenize_pages(corpus(spark, sf_dir))))
+    return vocabulary(build_postings(tokenize_pages(spread(corpus(spark, sf_dir)))))
 
 
 @query("f3_doc_stats", f"WITH {TOKENS_SQL} SELECT doc_id, 1 AS page_num, len(toks) AS dl FROM tok")
@@ -172,12 +174,12 @@ PHRASE_SQL = """ph AS (
 @query(
     "f8_match_phrase",
     f"""WITH {POSTINGS_SQL}, {QUERIES_SQL}, {PHRASE_SQL}
-    SELECT query_id, doc_id, round({bm25_sql('df')}, 6) AS score FROM ph JOIN phdf USING (query_id), stats""",
+    SELECT query_id, doc_id, round({bm25_sql('df')}, 6) + 0.0 AS score FROM ph JOIN phdf USING (query_id), stats""",
 )
 def f8_match_phrase(spark, sf_dir):
     asked = queries_of(benchmark_words(spark, sf_dir), phrase=F.slice(W, 3, 2))
     hits = match(search_index(spark, sf_dir), asked)
-    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "doc_id", ROUNDED)
 
 
 PREFIX_SQL = """px AS (
@@ -189,12 +191,12 @@ PREFIX_SQL = """px AS (
 @query(
     "f9_match_prefix",
     f"""WITH {POSTINGS_SQL}, {QUERIES_SQL}, {PREFIX_SQL}
-    SELECT query_id, doc_id, round({bm25_sql('df')}, 6) AS score FROM px JOIN pxdf USING (query_id), stats""",
+    SELECT query_id, doc_id, round({bm25_sql('df')}, 6) + 0.0 AS score FROM px JOIN pxdf USING (query_id), stats""",
 )
 def f9_match_prefix(spark, sf_dir):
     asked = queries_of(benchmark_words(spark, sf_dir), prefix=F.substring(W[4], 1, 3))
     hits = match(search_index(spark, sf_dir), asked)
-    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "doc_id", ROUNDED)
 
 
 # ---- ranking -----------------------------------------------------------------------------------
@@ -207,11 +209,11 @@ ALL_TWO_SQL = f"""two AS (SELECT query_id, unnest(w[1:2]) AS term, generate_subs
 @query(
     "f10_bm25",
     f"""WITH {POSTINGS_SQL}, {QUERIES_SQL}, {ALL_TWO_SQL}
-    SELECT query_id, doc_id, round(score, 6) AS score FROM hit""",
+    SELECT query_id, doc_id, round(score, 6) + 0.0 AS score FROM hit""",
 )
 def f10_bm25(spark, sf_dir):
     hits = match(search_index(spark, sf_dir), two_words(spark, sf_dir, "should"))
-    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "doc_id", ROUNDED)
 
 
 RANKED_SQL = f"""{POSTINGS_SQL}, {QUERIES_SQL}, {ALL_TWO_SQL},
@@ -222,11 +224,11 @@ RANKED_SQL = f"""{POSTINGS_SQL}, {QUERIES_SQL}, {ALL_TWO_SQL},
 
 @query(
     "f11_search_ranked",
-    f"WITH {RANKED_SQL} SELECT query_id, doc_id, rank_no, round(score, 6) AS score FROM ranked",
+    f"WITH {RANKED_SQL} SELECT query_id, doc_id, rank_no, round(score, 6) + 0.0 AS score FROM ranked",
 )
 def f11_search_ranked(spark, sf_dir):
     best = search_ranked(search_index(spark, sf_dir), two_words(spark, sf_dir))
-    return best.select("query_id", "doc_id", "rank_no", F.round("score", 6).alias("score"))
+    return best.select("query_id", "doc_id", "rank_no", ROUNDED)
 
 
 @query(
@@ -274,10 +276,8 @@ def f15_rank_display(spark, sf_dir):
 @query(
     "f16_no_match_report",
     f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
-    c AS (SELECT query_id, count(DISTINCT ph.doc_id) AS n FROM q
-          JOIN (SELECT a.doc_id, a.term AS x, b.term AS y FROM t a JOIN t b USING (doc_id)
-                WHERE EXISTS (SELECT 1 FROM q WHERE q.w[1] = a.term AND q.w[-1] = b.term)) ph
-          ON ph.x = q.w[1] AND ph.y = q.w[-1] GROUP BY query_id)
+    c AS (SELECT query_id, count(*) AS n FROM q JOIN t a ON a.term = q.w[1]
+          JOIN t b ON b.term = q.w[-1] AND b.doc_id = a.doc_id GROUP BY query_id)
     SELECT query_id, coalesce(n, 0) AS n_total, least(coalesce(n, 0), 5) AS n_returned,
            CASE WHEN coalesce(n, 0) = 0 THEN 'No matches found' END AS message
     FROM q LEFT JOIN c USING (query_id)""",

@@ -12,6 +12,7 @@ the score, so AND, OR and NOT cost the same single shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 from foliant.functions.scoring import bm25_term
 from foliant.functions.snippet import snippet
 from foliant.functions.text import fold, is_blank
-from foliant.plans.sizing import lookup_join
+from foliant.plans.sizing import inlined, lookup_join
 from foliant.sources.index import PAGE, Index
 
 QUERY_SCHEMA = (
@@ -49,7 +50,10 @@ def skip_empty(queries: DataFrame, text: str) -> DataFrame:
 
 
 def query_units(queries: DataFrame) -> DataFrame:
-    """(query_id, unit, role, kind, words): roles are all, any and none."""
+    """(query_id, unit, role, kind, words, need_all, need_any): roles are all, any and none.
+
+    The last two say how many units of role all, and whether one of role any, the query asks for.
+    """
 
     def word_units(field: str, role: str) -> Column:
         words = F.coalesce(F.col(field), F.array().cast("array<string>"))
@@ -80,72 +84,117 @@ def query_units(queries: DataFrame) -> DataFrame:
         one_unit("phrase", phrase, F.coalesce(F.size("phrase"), F.lit(0)) > 0),
         one_unit("prefix", F.array(fold(F.col("prefix"))), F.coalesce(F.length("prefix"), F.lit(0)) > 0),
     )
-    return queries.select("query_id", F.explode(units).alias("u")).select("query_id", "u.*")
+    listed = queries.select("query_id", units.alias("_units"))
+    required = F.size(F.filter("_units", lambda u: u["role"] == "all"))
+    any_of = F.exists("_units", lambda u: u["role"] == "any")
+    return listed.select(
+        "query_id", F.explode("_units").alias("u"), required.alias("need_all"), any_of.alias("need_any")
+    ).select("query_id", "u.*", "need_all", "need_any")
+
+
+OF_UNIT = ["query_id", "unit", "role", "need_all", "need_any"]
+UNITS_INLINE = 10_000
+TERMS_PUSHED = 1_000
+
+
+@dataclass(frozen=True)
+class Units:
+    """Scoring units of a batch; ``rows`` are the units themselves if there are few."""
+
+    df: DataFrame
+    rows: list | None
+
+    @classmethod
+    def of(cls, queries: DataFrame) -> "Units":
+        return cls(*inlined(query_units(queries), UNITS_INLINE))
+
+    @property
+    def bound(self) -> DataFrame | int:
+        return self.df if self.rows is None else len(self.rows)
 
+    def kinds(self) -> set[str]:
+        rows = self.df.select("kind").distinct().collect() if self.rows is None else self.rows
+        return {r["kind"] for r in rows}
 
-def _prefix_words(index: Index, units: DataFrame) -> DataFrame:
-    """(query_id, unit, role, term) for every word of the corpus that starts with a prefix.
+    def of_kind(self, kind: str) -> DataFrame:
+        return self.df.where(F.col("kind") == kind)
+
+    def words(self, kind: str) -> list[str] | None:
+        """Different words of one kind of unit, if few enough to be pushed into scans."""
+        if self.rows is None:
+            return None
+        found = {w for r in self.rows if r["kind"] == kind for w in r["words"]}
+        return sorted(found) if len(found) <= TERMS_PUSHED else None
+
+    def prefix_lengths(self) -> list[int]:
+        if self.rows is not None:
+            return sorted({len(r["words"][0]) for r in self.rows if r["kind"] == "prefix"})
+        lengths = self.of_kind("prefix").select(F.length(F.col("words")[0]).alias("n"))
+        return [r["n"] for r in lengths.distinct().collect()]
+
+
+def _prefix_words(index: Index, units: Units) -> DataFrame:
+    """(unit columns, term) for every word of the corpus that starts with a prefix.
 
     Words are offered under those of their beginnings that have the length of a wanted prefix, so the
     match is an equi-join.
     """
-    wanted = units.where(F.col("kind") == "prefix").select(
-        "query_id", "unit", "role", F.col("words")[0].alias("_prefix")
+    wanted = units.of_kind("prefix").select(
+        *OF_UNIT, F.col("words")[0].alias("_prefix")
     )
-    lengths = [r["n"] for r in wanted.select(F.length("_prefix").alias("n")).distinct().collect()]
-    if not lengths:
-        return wanted.select("query_id", "unit", "role", F.col("_prefix").alias("term"))
-    usable = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term"))
+    lengths = F.array(*[F.lit(n) for n in units.prefix_lengths()])
+    usable = F.filter(lengths, lambda n: n <= F.length("term"))
     starts = index.vocab.select(
         "term",
         F.explode(F.transform(usable, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_prefix"),
     )
-    return lookup_join(starts, wanted, ["_prefix"], spread_by=["term"]).drop("_prefix")
+    return lookup_join(
+        starts, wanted, ["_prefix"], spread_by=["term"], bounded_by=units.bound
+    ).drop("_prefix")
 
 
-HIT = ["query_id", "unit", "role", *PAGE, "tf", "dl"]
-AT_PAGE = ["query_id", "unit", "role", *PAGE]
+HIT = [*OF_UNIT, *PAGE, "tf", "dl"]
+AT_PAGE = [*OF_UNIT, *PAGE]
 
 
-def _word_hits(index: Index, units: DataFrame) -> DataFrame:
-    words = units.where(F.col("kind") == "word").select(
-        "query_id", "unit", "role", F.col("words")[0].alias("term")
+def _word_hits(index: Index, units: Units) -> DataFrame:
+    words = units.of_kind("word").select(
+        *OF_UNIT, F.col("words")[0].alias("term")
     )
-    known = index._known(words)
+    known = units.words("word")
     hits = index.lookup(index.postings.drop("positions"), words, known)
-    if index.buckets is None:
-        dfs = index.lookup(index.vocab, words, known).select("query_id", "unit", "df")
-        return lookup_join(
-            hits.select(*HIT), dfs, ["query_id", "unit"], spread_by=PAGE, bounded_by=words
-        )
-    dfs = index.lookup(index.vocab, words.select("term").distinct(), known).select("term", "df")
-    return lookup_join(
-        hits.select(*HIT, "term"), dfs, ["term"], spread_by=PAGE, bounded_by=words
-    ).drop("term")
+    if known is None:
+        dfs = index.lookup(index.vocab, words.select("term").distinct(), None).select("term", "df")
+    else:
+        dfs = index.vocab.where(F.col("term").isin(known)).select("term", "df")
+    joined = lookup_join(hits.select(*HIT, "term"), dfs, ["term"], spread_by=PAGE, bounded_by=units.bound)
+    return joined.drop("term")
 
 
-def _with_df(hits: DataFrame, units: DataFrame) -> DataFrame:
+def _with_df(hits: DataFrame, units: Units) -> DataFrame:
     """Pages by unit, counted from the hits themselves."""
     dfs = hits.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
-    return lookup_join(hits, dfs, ["query_id", "unit"], spread_by=PAGE, bounded_by=units)
+    return lookup_join(hits, dfs, ["query_id", "unit"], spread_by=PAGE, bounded_by=units.bound)
 
 
-def _prefix_hits(index: Index, units: DataFrame) -> DataFrame:
-    words = _prefix_words(index, units)
-    known = index._known(words)
+def _prefix_hits(index: Index, units: Units) -> DataFrame:
+    words, expanded = inlined(_prefix_words(index, units), UNITS_INLINE)
+    known = None if expanded is None else sorted({r["term"] for r in expanded})
+    if known is not None and len(known) > TERMS_PUSHED:
+        known = None
     found = index.lookup(index.postings.drop("positions"), words, known)
     hits = found.groupBy(*AT_PAGE).agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
     return _with_df(hits.select(*HIT), units)
 
 
-def _phrase_hits(index: Index, units: DataFrame) -> DataFrame:
+def _phrase_hits(index: Index, units: Units) -> DataFrame:
     """Pages where the words follow each other; tf is the number of places."""
-    words = units.where(F.col("kind") == "phrase").select(
-        "query_id", "unit", "role", F.size("words").alias("_n"), F.posexplode("words").alias("_i", "term")
+    words = units.of_kind("phrase").select(
+        *OF_UNIT,
+        F.size("words").alias("_n"), F.posexplode("words").alias("_i", "term"),
     )
-    known = index._known(words)
-    found = index.lookup(index.postings, words, known).select(
-        *AT_PAGE, "dl", "_n", "_i",
+    found = index.lookup(index.postings, words, units.words("phrase")).select(
+        *AT_PAGE, "dl", "_n",
         F.transform("positions", lambda p: p - F.col("_i")).alias("_starts"),
     )
     by_page = found.groupBy(*AT_PAGE).agg(
@@ -157,42 +206,36 @@ def _phrase_hits(index: Index, units: DataFrame) -> DataFrame:
     return _with_df(hits.where(F.col("tf") > 0).select(*HIT), units)
 
 
-def _kinds(units: DataFrame) -> set[str]:
-    return {r["kind"] for r in units.select("kind").distinct().collect()}
+FINDERS = {"word": _word_hits, "phrase": _phrase_hits, "prefix": _prefix_hits}
 
 
 def match(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, page_num, score) of all matching pages."""
-    units = query_units(queries)
-    kinds = _kinds(units)
-    finders = {"word": _word_hits, "phrase": _phrase_hits, "prefix": _prefix_hits}
-    parts = [find(index, units) for kind, find in finders.items() if kind in kinds]
+    units = Units.of(queries)
+    kinds = units.kinds()
+    parts = [find(index, units) for kind, find in FINDERS.items() if kind in kinds]
     if not parts:
         empty = "query_id bigint, doc_id bigint, page_num int, score double"
         return index.spark.createDataFrame([], empty)
     hits = reduce(DataFrame.unionByName, [p.select(*HIT, "df") for p in parts])
-    n_docs = index.stats.select("n_docs").scalar()
-    avgdl = index.stats.select("avgdl").scalar()
-    share = bm25_term(n_docs, avgdl, F.col("df"), F.col("tf"), F.col("dl"))
-    needs = units.groupBy("query_id").agg(
-        F.count_if(F.col("role") == "all").alias("_need_all"),
-        F.count_if(F.col("role") == "any").alias("_need_any"),
-    )
+    share = bm25_term(index.n_docs, index.avgdl, F.col("df"), F.col("tf"), F.col("dl"))
     found = (
         hits.withColumn("_share", F.when(F.col("role") != "none", share))
         .groupBy("query_id", *PAGE)
         .agg(
             F.sum("_share").alias("score"),
+            F.first("need_all").alias("need_all"),
+            F.first("need_any").alias("need_any"),
             F.count_if(F.col("role") == "all").alias("_all"),
             F.count_if(F.col("role") == "any").alias("_any"),
             F.count_if(F.col("role") == "none").alias("_none"),
         )
     )
-    passed = lookup_join(found, needs, ["query_id"], spread_by=PAGE, bounded_by=units).where(
-        (F.col("_all") == F.col("_need_all"))
-        & ((F.col("_need_any") == 0) | (F.col("_any") > 0))
+    passed = found.where(
+        (F.col("_all") == F.col("need_all"))
+        & ((F.col("_any") > 0) | ~F.col("need_any"))
         & (F.col("_none") == 0)
-        & (F.col("_need_all") + F.col("_need_any") > 0)
+        & (F.col("_all") + F.col("_any") > 0)
     )
     return passed.select("query_id", *PAGE, "score")
 

@@ -56,6 +56,30 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def inlined(df: DataFrame, max_rows: int) -> tuple[DataFrame, list | None]:
+    """A small table as a local relation together with its rows, else the table itself and None.
+
+    One job looks at ``max_rows`` + 1 rows at most; plans over a local relation need no further size checks.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df, None
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns = pa.Table.from_pylist([r.asDict(True) for r in rows], to_arrow_schema(df.schema))
+    return df.sparkSession.createDataFrame(columns, df.schema), rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work when the scan itself yields only a few partitions.
+
+    Scans of many files or splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -64,16 +88,20 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
     spread_by: list[str] | None = None,
-    bounded_by: DataFrame | None = None,
+    bounded_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Join facts, whose keys may be skewed, to a table with few rows per key.
 
     A checked small ``dim`` is broadcast. Beyond the bound the facts of one key are
     spread over ``salts`` tasks and ``dim`` is repeated once for each of them.
     ``how`` must keep the facts on the left (inner, left, left_semi, left_anti).
-    ``bounded_by`` may name a cheaper table that has at least as many rows as ``dim``.
+    ``bounded_by`` may name a cheaper table that has at least as many rows as ``dim``, or their number.
     """
-    if is_small(dim if bounded_by is None else bounded_by, max_rows):
+    if isinstance(bounded_by, int):
+        fits = bounded_by <= max_rows
+    else:
+        fits = is_small(dim if bounded_by is None else bounded_by, max_rows)
+    if fits:
         return facts.join(F.broadcast(dim), keys, how)
     spread = spread_by or [c for c in facts.columns if c not in keys] or keys
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))

@@ -3,7 +3,7 @@
 tokens    doc_id, page_num, toks, dl           one row per page; also serves the page lengths
 postings  bucket, term, doc_id, page_num, tf, dl, positions
 vocab     term, df, cf
-stats     n_docs, total_tokens, avgdl          one row
+stats     n_docs, total_tokens, avgdl, buckets one row
 
 Postings are found inside each page (sort the words of the page, cut at the changes), so no
 shuffle is needed to build them. One shuffle lays them out: by hash bucket of the term, each
@@ -17,14 +17,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import ceil
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
-from foliant.plans.sizing import SALTS, lookup_join
+from foliant.plans.sizing import lookup_join, spread
 
-TERMS_PUSHED = 1_000
 TOKENS_PER_FILE = 500_000
 MAX_BUCKETS = 2_048
 MAX_SPLITS = 1_024
@@ -38,7 +38,7 @@ def tokenize_pages(pages: DataFrame, content: str = "content") -> DataFrame:
 
 def page_postings(toks: Column) -> Column:
     """array<struct<term, positions>> of one page: sort (word, position), cut where the word changes."""
-    pairs = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
     box = F.array(F.struct(pairs.alias("p")))  # names the sorted pairs once
 
     def cut(b: Column) -> Column:
@@ -91,13 +91,17 @@ def corpus_stats(toks: DataFrame) -> DataFrame:
     ).withColumn("avgdl", F.col("total_tokens") / F.greatest("n_docs", F.lit(1)))
 
 
-def _bucket(term: Column, n: Column) -> Column:
-    return F.pmod(F.xxhash64(term), n).cast("int")
+# crc32 is the same in Spark and in Python, so the folders of known words need no job.
+def _bucket(term: Column, n: int) -> Column:
+    return F.pmod(F.crc32(term), F.lit(n)).cast("int")
 
 
 @dataclass(frozen=True)
 class Index:
-    """An index, read from ``path`` or, with no path, computed from pages as needed."""
+    """Tables of an index, stored or computed from pages as needed.
+
+    ``n_docs`` and ``avgdl`` are constants of a stored index and scalar subqueries otherwise.
+    """
 
     spark: SparkSession
     tokens: DataFrame
@@ -105,53 +109,57 @@ class Index:
     vocab: DataFrame
     stats: DataFrame
     pages: DataFrame
+    n_docs: Column
+    avgdl: Column
     buckets: int | None = None
 
     @classmethod
     def of(cls, pages: DataFrame) -> "Index":
-        toks = tokenize_pages(pages)
-        postings = build_postings(toks)
+        toks = tokenize_pages(spread(pages))
+        postings, stats = build_postings(toks), corpus_stats(toks)
+        n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
         return cls(
-            pages.sparkSession, toks, postings, vocabulary(postings), corpus_stats(toks), pages
+            pages.sparkSession, toks, postings, vocabulary(postings), stats, pages, n_docs, avgdl
         )
 
     def doc_stats(self) -> DataFrame:
         return self.tokens.select(*PAGE, "dl")
 
-    def _known(self, terms: DataFrame) -> list[str] | None:
-        """The wanted words, if few enough to be pushed into the scan as literals."""
-        found = terms.select("term").distinct().limit(TERMS_PUSHED + 1).collect()
-        return [r["term"] for r in found] if len(found) <= TERMS_PUSHED else None
+    def lookup(self, table: DataFrame, terms: DataFrame, known: list[str] | None) -> DataFrame:
+        """Rows of a term-keyed table joined to wanted terms; frequent words are split over tasks.
 
-    def _only(self, table: DataFrame, known: list[str] | None) -> DataFrame:
-        if known is None:
-            return table
-        kept = table.where(F.col("term").isin(known))
-        if self.buckets and "bucket" in table.columns:
-            wanted = {r["b"] for r in self._buckets_of(known)}
-            kept = kept.where(F.col("bucket").isin(sorted(wanted)))
-        return kept
-
-    def _buckets_of(self, known: list[str]) -> list:
-        if not known:
-            return []
-        words = self.spark.createDataFrame([(t,) for t in known], "term string")
-        return words.select(_bucket(F.col("term"), F.lit(self.buckets)).alias("b")).distinct().collect()
-
-    def lookup(
-        self, table: DataFrame, terms: DataFrame, known: list[str] | None = None
-    ) -> DataFrame:
-        """Rows of a term-keyed table joined to wanted terms; frequent words are split over tasks."""
+        ``known`` are the words, if few enough to be pushed into the scan as literals.
+        """
         keys = ["term"]
         if self.buckets and "bucket" in table.columns:
-            terms = terms.withColumn("bucket", _bucket(F.col("term"), F.lit(self.buckets)))
+            terms = terms.withColumn("bucket", _bucket(F.col("term"), self.buckets))
             keys = ["bucket", "term"]
-        spread = PAGE if "doc_id" in table.columns else keys
-        return lookup_join(self._only(table, known), terms, keys, salts=SALTS, spread_by=spread)
+            if known is not None:
+                folders = {crc32(t.encode()) % self.buckets for t in known}
+                table = table.where(F.col("bucket").isin(sorted(folders)))
+        if known is not None:
+            table = table.where(F.col("term").isin(known))
+        return lookup_join(
+            table,
+            terms,
+            keys,
+            spread_by=PAGE if "doc_id" in table.columns else keys,
+            bounded_by=None if known is None else 0,
+        )
 
 
-def _tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("tokens", "postings", "vocab", "stats")}
+SCHEMAS = {
+    "tokens": "doc_id bigint, page_num int, toks array<string>, dl int",
+    "postings": (
+        "term string, doc_id bigint, page_num int, tf int, dl int, positions array<int>, bucket int"
+    ),
+    "vocab": "term string, df bigint, cf bigint",
+    "stats": "n_docs bigint, total_tokens bigint, avgdl double, buckets int",
+}
+
+
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
 def write_index(
@@ -159,15 +167,14 @@ def write_index(
 ) -> Index:
     """Rebuild the four tables under ``path``."""
     spark = pages.sparkSession
-    tokenize_pages(pages).write.mode(mode).parquet(f"{path}/tokens")
-    toks = spark.read.parquet(f"{path}/tokens")
-    corpus_stats(toks).write.mode(mode).parquet(f"{path}/stats")
-    total = spark.read.parquet(f"{path}/stats").first()["total_tokens"]
-    files = max(1, ceil(total / tokens_per_file))
+    tokenize_pages(spread(pages)).write.mode(mode).parquet(f"{path}/tokens")
+    toks = _read(spark, path, "tokens")
+    totals = corpus_stats(toks).first()
+    files = max(1, ceil(totals["total_tokens"] / tokens_per_file))
     buckets, splits = min(MAX_BUCKETS, files), min(MAX_SPLITS, ceil(files / 16))
     laid_out = (
         build_postings(toks)
-        .withColumn("bucket", _bucket(F.col("term"), F.lit(buckets)))
+        .withColumn("bucket", _bucket(F.col("term"), buckets))
         .withColumn("_split", F.pmod(F.xxhash64(*PAGE), F.lit(splits)))
         .repartition(max(files, buckets), "bucket", "_split")
         .drop("_split")
@@ -175,14 +182,15 @@ def write_index(
     )
     laid_out.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
     (
-        vocabulary(spark.read.parquet(f"{path}/postings"))
+        vocabulary(_read(spark, path, "postings"))
         .repartitionByRange(max(1, files // 8), "term")
         .sortWithinPartitions("term")
         .write.mode(mode)
         .parquet(f"{path}/vocab")
     )
     # Written last: a path with this table holds a whole index.
-    spark.createDataFrame([(buckets,)], "buckets int").write.mode(mode).parquet(f"{path}/layout")
+    summary = spark.createDataFrame([(*totals, buckets)], SCHEMAS["stats"])
+    summary.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
     return open_index(spark, path, pages)
 
 
@@ -192,14 +200,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def open_index(spark: SparkSession, path: str, pages: DataFrame) -> Index:
-    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
-    t = _tables(spark, path)
-    return Index(spark, t["tokens"], t["postings"], t["vocab"], t["stats"], pages, buckets)
+    toks, postings, vocab, stats = (_read(spark, path, n) for n in SCHEMAS)
+    known = stats.first()
+    return Index(
+        spark, toks, postings, vocab, stats, pages,
+        F.lit(known["n_docs"]), F.lit(known["avgdl"]), known["buckets"],
+    )
 
 
 def open_or_build_index(spark: SparkSession, path: str, pages: DataFrame | None) -> Index:
     """Use the index at ``path``; build it if missing; fail if there is no source either."""
-    if path_exists(spark, f"{path}/layout/_SUCCESS"):
+    if path_exists(spark, f"{path}/stats/_SUCCESS"):
         if pages is None:
             pages = spark.createDataFrame([], "doc_id bigint, page_num int, content string")
         return open_index(spark, path, pages)
