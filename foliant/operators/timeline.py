@@ -38,7 +38,7 @@ def interval_lookup(
         )
         hit = F.filter(listed, lambda s: (at >= s["start"]) & (at < s["end"]))
         return points.withColumn("idx", F.get(hit, F.lit(0))["idx"])
-    level = F.ceil(F.log(F.lit(LEVEL_BASE), F.col("end") - F.col("start"))).cast("int")
+    level = F.ceil(F.log(LEVEL_BASE, F.col("end") - F.col("start"))).cast("int")
     spans = spans.withColumn("_level", level)
     levels = [r["_level"] for r in spans.select("_level").distinct().collect()]
     size = F.pow(F.lit(LEVEL_BASE), F.col("_level"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foliant.functions.instants import micros
 from foliant.operators.context import wants_context
 
 
@@ -20,7 +21,7 @@ def session_last_search(
     ``found`` is text; a structured result is passed as JSON.
     """
     rows = log.select(
-        session, tie, F.unix_micros(ts).alias("_us"), is_prompt.alias("_ask"),
+        session, tie, micros(log, ts).alias("_us"), is_prompt.alias("_ask"),
         found.cast("string").alias("_found"), wants_context(prompt).alias("_wants"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
+from foliant.functions.instants import MICROS, from_micros, micros
 from foliant.plans.ordered import BLOCK, Ordered, ordered
 
-MICROS = 1_000_000
 PERIODS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
@@ -53,11 +53,11 @@ def _result_schema(df: DataFrame, keys: list[str], tie: str) -> StructType:
     base = StructType([f for f in df.schema.fields if f.name in [*keys, tie, "_us"]])
     ordered_fields = {f.name: f for f in base.fields}
     out = StructType([ordered_fields[n] for n in [*keys, tie, "_us"]])
-    return out.add("accepted", "boolean").add("retry_after", "bigint")
+    return out.add("accepted", "boolean").add("retry_after", "long")
 
 
-def _with_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", F.timestamp_micros("_us")).drop("_us")
+def _with_time(df: DataFrame, requests: DataFrame, ts: str) -> DataFrame:
+    return df.withColumn("ts", from_micros(F.col("_us"), requests.schema[ts].dataType)).drop("_us")
 
 
 def cooldown(
@@ -65,16 +65,16 @@ def cooldown(
 ) -> DataFrame:
     """(keys, tie, ts, accepted, retry_after); a rejected request does not restart the clock."""
     gap = int(seconds * MICROS)
-    rows = requests.select(*keys, tie, F.unix_micros(ts).alias("_us"))
+    rows = requests.select(*keys, tie, micros(requests, ts).alias("_us"))
     schema = _result_schema(rows, keys, tie)
     o = ordered(rows, keys, ["_us", tie], **kw)
     if o.split:
-        return _with_time(_cooldown_blocks(o, tie, gap, schema))
+        return _with_time(_cooldown_blocks(o, tie, gap, schema), requests, ts)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         return _outcome(pdf, keys, tie, gap, None)[0]
 
-    return _with_time(rows.groupBy(*keys).applyInPandas(whole, schema))
+    return _with_time(rows.groupBy(*keys).applyInPandas(whole, schema), requests, ts)
 
 
 def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> DataFrame:
@@ -87,9 +87,9 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
     """
     keys = o.keys
     key_fields = [f for f in schema.fields if f.name in keys]
-    at_block = StructType(key_fields).add(BLOCK, "int")
-    ends_schema = StructType(at_block.fields).add("first", "array<bigint>").add("end", "array<bigint>")
-    entry_schema = StructType(at_block.fields).add("entry", "bigint")
+    at_block = StructType(key_fields).add(BLOCK, "integer")
+    ends_schema = StructType(at_block.fields).add("first", ArrayType(LongType())).add("end", ArrayType(LongType()))
+    entry_schema = StructType(at_block.fields).add("entry", "long")
 
     def ends_of(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy(np.int64))
@@ -130,7 +130,7 @@ def rate_limit(
     requests: DataFrame, keys: list[str], ts: str, tie: str, n: int, period: str = "minute"
 ) -> DataFrame:
     """Accepted requests under a clock-aligned limit. Each task keeps the first ``n`` before the shuffle."""
-    cell = F.floor(F.unix_micros(ts) / (PERIODS[period] * MICROS))
+    cell = F.floor(micros(requests, ts) / (PERIODS[period] * MICROS))
     w = Window.partitionBy(*keys, "_cell").orderBy(ts, tie)
     numbered = requests.withColumn("_cell", cell).withColumn("_no", F.row_number().over(w))
     return numbered.where(F.col("_no") <= n).drop("_cell", "_no")
@@ -153,7 +153,7 @@ def cooldown_stream(
 ) -> DataFrame:
     """Keyed state: the last accepted time. A row older than the state counts as inside the cooldown."""
     gap = int(seconds * MICROS)
-    rows = requests.select(*keys, tie, F.unix_micros(ts).alias("_us"))
+    rows = requests.select(*keys, tie, micros(requests, ts).alias("_us"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches))
@@ -164,7 +164,7 @@ def cooldown_stream(
     out = rows.groupBy(*keys).applyInPandasWithState(
         step, _result_schema(rows, keys, tie), "last bigint", "append", GroupStateTimeout.NoTimeout
     )
-    return _with_time(out)
+    return _with_time(out, requests, ts)
 
 
 def rate_limit_stream(
@@ -183,7 +183,8 @@ def rate_limit_stream(
     to that period.
     """
     length = PERIODS[period] * MICROS
-    rows = requests.select(*keys, tie, ts, F.unix_micros(ts).alias("_us")).withWatermark(ts, delay)
+    seen = F.col(ts).cast("timestamp").alias("_seen")
+    rows = requests.select(*keys, tie, seen, micros(requests, ts).alias("_us")).withWatermark("_seen", delay)
     fields = {f.name: f for f in rows.schema.fields}
     schema = StructType([fields[c] for c in [*keys, tie, "_us"]])
 
@@ -208,4 +209,4 @@ def rate_limit_stream(
     out = rows.groupBy(*keys).applyInPandasWithState(
         step, schema, "start bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return _with_time(out)
+    return _with_time(out, requests, ts)
