@@ -8,7 +8,7 @@ from foliant.catalog.base import query, table
 from foliant.functions.text import command_args, command_name
 from foliant.operators import filters, listings, tables
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+NOW = "2024-02-01 00:00:00"
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 # ---- projections and lookups -------------------------------------------------------------------
@@ -144,7 +144,7 @@ def t2_insert_rows(spark, sf_dir):
     old = F.lit("2023-01-01 00:00:00").cast("timestamp")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", old.alias("created_at"))
     fresh = table(spark, sf_dir, "benchmark")
-    return tables.insert_rows(docs, "doc_id", fresh, ["item_id"], "created_at", NOW)
+    return tables.insert_rows(docs, "doc_id", fresh, ["item_id"], "created_at", F.lit(NOW).cast("timestamp"))
 
 
 @query(

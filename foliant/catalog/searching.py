@@ -40,13 +40,15 @@ from foliant.sources.index import (
     write_index,
 )
 
-W = F.col("w")
-ROUNDED = (F.round("score", 6) + 0.0).alias("score")  # + 0.0: a rounded negative may be -0.0
+
+def rounded_score():
+    return (F.round("score", 6) + 0.0).alias("score")  # + 0.0: a rounded negative may be -0.0
+
 
 
 def two_words(spark, sf_dir, field="must"):
     words = benchmark_words(spark, sf_dir)
-    return queries_of(words, **{field: F.slice(W, 1, 2)})
+    return queries_of(words, **{field: F.slice("w", 1, 2)})
 
 
 def matches(hits):
@@ -131,7 +133,7 @@ def a4_open_or_build_index(spark, sf_dir):
 )
 def f4_match_term(spark, sf_dir):
     words = benchmark_words(spark, sf_dir)
-    return matches(match(search_index(spark, sf_dir), queries_of(words, must=F.slice(W, 1, 1))))
+    return matches(match(search_index(spark, sf_dir), queries_of(words, must=F.slice("w", 1, 1))))
 
 
 @query(
@@ -160,7 +162,7 @@ def f6_match_any(spark, sf_dir):
 )
 def f7_match_not(spark, sf_dir):
     words = benchmark_words(spark, sf_dir)
-    asked = queries_of(words, must=F.slice(W, 1, 1), must_not=F.slice(W, 2, 1))
+    asked = queries_of(words, must=F.slice("w", 1, 1), must_not=F.slice("w", 2, 1))
     return matches(match(search_index(spark, sf_dir), asked))
 
 
@@ -177,9 +179,9 @@ PHRASE_SQL = """ph AS (
     SELECT query_id, doc_id, round({bm25_sql('df')}, 6) + 0.0 AS score FROM ph JOIN phdf USING (query_id), stats""",
 )
 def f8_match_phrase(spark, sf_dir):
-    asked = queries_of(benchmark_words(spark, sf_dir), phrase=F.slice(W, 3, 2))
+    asked = queries_of(benchmark_words(spark, sf_dir), phrase=F.slice("w", 3, 2))
     hits = match(search_index(spark, sf_dir), asked)
-    return hits.select("query_id", "doc_id", ROUNDED)
+    return hits.select("query_id", "doc_id", rounded_score())
 
 
 PREFIX_SQL = """px AS (
@@ -194,9 +196,9 @@ PREFIX_SQL = """px AS (
     SELECT query_id, doc_id, round({bm25_sql('df')}, 6) + 0.0 AS score FROM px JOIN pxdf USING (query_id), stats""",
 )
 def f9_match_prefix(spark, sf_dir):
-    asked = queries_of(benchmark_words(spark, sf_dir), prefix=F.substring(W[4], 1, 3))
+    asked = queries_of(benchmark_words(spark, sf_dir), prefix=F.substring(F.get("w", F.lit(4)), 1, 3))
     hits = match(search_index(spark, sf_dir), asked)
-    return hits.select("query_id", "doc_id", ROUNDED)
+    return hits.select("query_id", "doc_id", rounded_score())
 
 
 # ---- ranking -----------------------------------------------------------------------------------
@@ -213,7 +215,7 @@ ALL_TWO_SQL = f"""two AS (SELECT query_id, unnest(w[1:2]) AS term, generate_subs
 )
 def f10_bm25(spark, sf_dir):
     hits = match(search_index(spark, sf_dir), two_words(spark, sf_dir, "should"))
-    return hits.select("query_id", "doc_id", ROUNDED)
+    return hits.select("query_id", "doc_id", rounded_score())
 
 
 RANKED_SQL = f"""{POSTINGS_SQL}, {QUERIES_SQL}, {ALL_TWO_SQL},
@@ -228,7 +230,7 @@ RANKED_SQL = f"""{POSTINGS_SQL}, {QUERIES_SQL}, {ALL_TWO_SQL},
 )
 def f11_search_ranked(spark, sf_dir):
     best = search_ranked(search_index(spark, sf_dir), two_words(spark, sf_dir))
-    return best.select("query_id", "doc_id", "rank_no", ROUNDED)
+    return best.select("query_id", "doc_id", "rank_no", rounded_score())
 
 
 @query(
@@ -238,7 +240,7 @@ def f11_search_ranked(spark, sf_dir):
     FROM q JOIN t ON t.term = q.w[1] QUALIFY rank_no <= 3""",
 )
 def f12_search_first_n(spark, sf_dir):
-    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice(W, 1, 1))
+    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice("w", 1, 1))
     return search_first_n(search_index(spark, sf_dir), asked).select("query_id", "doc_id", "rank_no")
 
 
@@ -284,7 +286,7 @@ def f15_rank_display(spark, sf_dir):
 )
 def f16_no_match_report(spark, sf_dir):
     words = benchmark_words(spark, sf_dir)
-    asked = queries_of(words, must=F.array(W[0], F.element_at(W, -1)))
+    asked = queries_of(words, must=F.array(F.get("w", F.lit(0)), F.element_at("w", -1)))
     return hit_counts(match(search_index(spark, sf_dir), asked), asked, 5)
 
 
@@ -296,7 +298,7 @@ def f16_no_match_report(spark, sf_dir):
 )
 def f17_stored_only_column(spark, sf_dir):
     """The stored column comes back with the hit but is not searched itself."""
-    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice(W, 1, 1))
+    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice("w", 1, 1))
     hits = matches(match(search_index(spark, sf_dir), asked))
     stored = table(spark, sf_dir, "documents").select("doc_id", "source")
     return hits.join(stored, "doc_id").select("query_id", "doc_id", "source")
@@ -316,7 +318,7 @@ def f17_stored_only_column(spark, sf_dir):
 )
 def f18_whole_table_match(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id").withColumn("page_num", F.lit(1))
-    words = benchmark_words(spark, sf_dir).select("query_id", F.explode(F.slice(W, 1, 2)).alias("term"))
+    words = benchmark_words(spark, sf_dir).select("query_id", F.explode(F.slice("w", 1, 2)).alias("term"))
     columns = {name: tokenize_pages(pages, name) for name in ("url", "html")}
     return match_any_column(columns, words).drop("page_num")
 
@@ -340,7 +342,7 @@ def p9_skip_empty_query(spark, sf_dir):
     FROM f JOIN documents USING (doc_id) GROUP BY query_id""",
 )
 def g3_join_snippets(spark, sf_dir):
-    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice(W, 1, 1))
+    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice("w", 1, 1))
     first = search_first_n(search_index(spark, sf_dir), asked)
     heads = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("snippet"))
     return join_snippets(first.join(heads, "doc_id"), ["query_id"], "rank_no", "snippet")

@@ -83,16 +83,15 @@ def session_log(spark, sf_dir):
     )
 
 
-FOUND = F.when(
-    (F.col("event_type") == "view") & (F.col("value") >= 2),
-    F.concat(F.lit("hit "), F.col("value").cast("string")),
-)
+def found_by_view():
+    successful = (F.col("event_type") == "view") & (F.col("value") >= 2)
+    return F.when(successful, F.concat(F.lit("hit "), F.col("value").cast("string")))
 
 
 def prompts_with_context(spark, sf_dir):
     return context.attach_last_search(
         session_log(spark, sf_dir), "user_id", ["ts", "event_id"],
-        F.col("event_type") == "purchase", FOUND, F.col("prompt"),
+        F.col("event_type") == "purchase", found_by_view(), F.col("prompt"),
     )
 
 
@@ -304,7 +303,7 @@ def r5_session_last_search(spark, sf_dir):
     lead = F.when(F.col("value") < 20, "Based ON ").otherwise("about ")
     log = events.withColumn("prompt", F.concat(lead, F.col("props")))
     out = session_last_search(
-        log, "user_id", "ts", "event_id", F.col("event_type") == "purchase", FOUND, F.col("prompt")
+        log, "user_id", "ts", "event_id", F.col("event_type") == "purchase", found_by_view(), F.col("prompt")
     )
     return run_once(spark, out, "r5").select("event_id", "user_id", "last_search")
 

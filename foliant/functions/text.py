@@ -17,7 +17,7 @@ def _fold_char(ch: str) -> str:
     parts = unicodedata.normalize("NFD", ch)
     if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
         return parts[0].lower()
-    folded = ch.casefold()
+    folded = ch.casefold() if ch.isalpha() else ch
     return folded if len(folded) == 1 else ch
 
 

@@ -12,12 +12,14 @@ from foliant.plans.ordered import ordered
 from foliant.plans.sizing import lookup_join
 
 
-def ensure_table(spark: SparkSession, name: str, ddl: str) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet")
+def ensure_table(spark: SparkSession, name: str, ddl: str, path: str | None = None) -> None:
+    at = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{at}")
 
 
 def truncate(spark: SparkSession, name: str) -> None:
-    spark.table(name).limit(0).write.insertInto(name, overwrite=True)
+    empty = spark.createDataFrame([], spark.table(name).schema)
+    empty.write.insertInto(name, overwrite=True)
 
 
 def list_titles(table: DataFrame, key: str, title: str) -> DataFrame:

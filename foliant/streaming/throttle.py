@@ -88,8 +88,8 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
     keys = o.keys
     key_fields = [f for f in schema.fields if f.name in keys]
     at_block = StructType(key_fields).add(BLOCK, "integer")
-    ends_schema = StructType(at_block.fields).add("first", ArrayType(LongType())).add("end", ArrayType(LongType()))
-    entry_schema = StructType(at_block.fields).add("entry", "long")
+    ends_schema = StructType(list(at_block.fields)).add("first", ArrayType(LongType())).add("end", ArrayType(LongType()))
+    entry_schema = StructType(list(at_block.fields)).add("entry", "long")
 
     def ends_of(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy(np.int64))
