@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from foliant.functions.scoring import bm25_term
 from foliant.functions.snippet import snippet
 from foliant.functions.text import fold, is_blank
-from foliant.plans.sizing import inlined, lookup_join
+from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, spread, written
 from foliant.sources.index import PAGE, Index
 
 QUERY_SCHEMA = (
@@ -133,23 +133,23 @@ class Units:
         return [r["n"] for r in lengths.distinct().collect()]
 
 
-def _prefix_words(index: Index, units: Units) -> DataFrame:
-    """(unit columns, term) for every word of the corpus that starts with a prefix.
+def _under_prefixes(table: DataFrame, units: Units) -> DataFrame:
+    """Rows of a term-keyed table joined to the prefix units their word starts with.
 
-    Words are offered under those of their beginnings that have the length of a wanted prefix, so the
-    match is an equi-join.
+    A word is offered under those of its beginnings that have the length of a wanted prefix, so
+    the match is an equi-join; a few prefixes are also pushed into the scan.
     """
-    wanted = units.of_kind("prefix").select(
-        *OF_UNIT, F.col("words")[0].alias("_prefix")
-    )
+    known = units.words("prefix")
+    if known is not None:
+        starts = [F.startswith("term", F.lit(p)) for p in known]
+        table = table.where(reduce(lambda a, b: a | b, starts))
+    wanted = units.of_kind("prefix").select(*OF_UNIT, F.col("words")[0].alias("_prefix"))
     lengths = F.array(*[F.lit(n) for n in units.prefix_lengths()])
     usable = F.filter(lengths, lambda n: n <= F.length("term"))
-    starts = index.vocab.select(
-        "term",
-        F.explode(F.transform(usable, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_prefix"),
-    )
+    beginnings = F.transform(usable, lambda n: F.substring(F.col("term"), F.lit(1), n))
+    offered = table.withColumn("_prefix", F.explode(beginnings))
     return lookup_join(
-        starts, wanted, ["_prefix"], spread_by=["term"], bounded_by=units.bound
+        offered, wanted, ["_prefix"], spread_by=["term"], bounded_by=units.bound
     ).drop("_prefix")
 
 
@@ -172,17 +172,25 @@ def _word_hits(index: Index, units: Units) -> DataFrame:
 
 
 def _with_df(hits: DataFrame, units: Units) -> DataFrame:
-    """Pages by unit, counted from the hits themselves."""
-    dfs = hits.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
-    return lookup_join(hits, dfs, ["query_id", "unit"], spread_by=PAGE, bounded_by=units.bound)
+    """Pages by unit, counted from the hits themselves; these are written so as to be found only once."""
+    found = written(hits, "hits")
+    dfs = found.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
+    return lookup_join(found, dfs, ["query_id", "unit"], spread_by=PAGE, bounded_by=units.bound)
 
 
 def _prefix_hits(index: Index, units: Units) -> DataFrame:
-    words, expanded = inlined(_prefix_words(index, units), UNITS_INLINE)
-    known = None if expanded is None else sorted({r["term"] for r in expanded})
-    if known is not None and len(known) > TERMS_PUSHED:
-        known = None
-    found = index.lookup(index.postings.drop("positions"), words, known)
+    """Hits of a prefix count as those of one word.
+
+    If the prefixes stand for a few words of the corpus, these are looked up like words; else the
+    postings themselves are matched by their beginnings.
+    """
+    vocab = index.vocab.select("term")
+    words, expanded = inlined(_under_prefixes(vocab, units), TERMS_PUSHED)
+    postings = index.postings.drop("positions")
+    if expanded is None:
+        found = _under_prefixes(postings, units)
+    else:
+        found = index.lookup(postings, words, sorted({r["term"] for r in expanded}))
     hits = found.groupBy(*AT_PAGE).agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
     return _with_df(hits.select(*HIT), units)
 
@@ -315,7 +323,12 @@ def with_snippets(
             ),
         ).alias("_units")
     )
-    texts = lookup_join(index.pages.select(*PAGE, "content"), hits, PAGE, spread_by=["content"])
+    shown, rows = inlined(hits, BROADCAST_ROWS)
+    texts = index.pages.select(*PAGE, "content")
+    if rows is not None and len(rows) <= TERMS_PUSHED:
+        texts = texts.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
+    bound = None if rows is None else len(rows)
+    texts = spread(lookup_join(texts, shown, PAGE, spread_by=["content"], bounded_by=bound))
     joined = lookup_join(texts, asked, ["query_id"], spread_by=PAGE, bounded_by=queries)
     return joined.withColumn("snippet", snippet(F.col("content"), F.col("_units"), n, marks, cut)).drop(
         "content", "_units"

@@ -38,7 +38,7 @@ class Ordered:
     def _across(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(BLOCK)
 
-    def _attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
+    def attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
         """Bring one summary row for each (key, block) back to the rows of the block."""
         names = [*self.keys, BLOCK]
         right = summary.select(
@@ -67,7 +67,7 @@ class Ordered:
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         if total:
             sizes = sizes.withColumn("_total", F.sum("_n").over(Window.partitionBy(*self.keys)))
-        out = self._attach(self.df.withColumn("_rn", F.row_number().over(w)), sizes.drop("_n"))
+        out = self.attach(self.df.withColumn("_rn", F.row_number().over(w)), sizes.drop("_n"))
         out = out.withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
         if total:
             out = out.withColumn(total, F.col("_total"))
@@ -84,7 +84,7 @@ class Ordered:
         ends = self.df.groupBy(*self.keys, BLOCK).agg(F.max_by(F.col(source), at).alias("_end"))
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-        out = self._attach(self.df.withColumn("_local", latest), ends)
+        out = self.attach(self.df.withColumn("_local", latest), ends)
         parts = [F.col("_local"), F.col("_carried")] + ([] if default is None else [default])
         return self._with(out.withColumn(name, F.coalesce(*parts)).drop("_local", "_carried"))
 
@@ -101,7 +101,7 @@ class Ordered:
             edges = edges.withColumn("_before", F.lag("_last").over(self._across())).withColumn(
                 "_after", F.lead("_first").over(self._across())
             )
-            out = self._attach(out, edges.drop("_first", "_last"))
+            out = self.attach(out, edges.drop("_first", "_last"))
             out = out.withColumn("_p", F.coalesce("_p", "_before")).withColumn(
                 "_n", F.coalesce("_n", "_after")
             )

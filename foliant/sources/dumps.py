@@ -19,7 +19,7 @@ from foliant.functions.sqlvalues import insert_header, tuples_of
 from foliant.functions.text import unquote_value
 from foliant.operators.filters import default_created, min_arity
 from foliant.plans.ordered import ordered
-from foliant.plans.sizing import written
+from foliant.plans.sizing import spread, written
 
 BREAK = ";\n"
 MIN_VALUES = 21
@@ -127,7 +127,7 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     found = read_statements(spark, path).where(
         F.contains(F.lower("statement"), F.lit(f"insert into `{table.lower()}`"))
     )
-    return found.select(F.col("statement").cast("binary").alias("raw")).mapInPandas(
+    return spread(found.select(F.col("statement").cast("binary").alias("raw"))).mapInPandas(
         parse, "values array<string>"
     )
 

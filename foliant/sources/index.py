@@ -16,7 +16,7 @@ joins no length table.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, sqrt
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +25,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import tokens
 from foliant.plans.sizing import lookup_join, spread
 
-TOKENS_PER_FILE = 500_000
-MAX_BUCKETS = 2_048
-MAX_SPLITS = 1_024
+MIN_PER_FILE, MAX_PER_FILE = 500_000, 16_000_000
 PAGE = ["doc_id", "page_num"]
 
 
@@ -162,28 +160,39 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
+def _layout(total_tokens: int, tokens_per_file: int | None, cores: int) -> tuple[int, int]:
+    """(buckets, files in each). Both grow with the square root of the corpus, so that even the postings
+    of one word on every page are written and read by many tasks."""
+    if tokens_per_file is None:
+        tokens_per_file = min(MAX_PER_FILE, max(MIN_PER_FILE, total_tokens // (4 * cores)))
+    files = max(1, ceil(total_tokens / tokens_per_file))
+    if files <= 4 * cores:
+        return files, 1
+    return ceil(sqrt(files)), ceil(sqrt(files))
+
+
 def write_index(
-    pages: DataFrame, path: str, mode: str = "overwrite", tokens_per_file: int = TOKENS_PER_FILE
+    pages: DataFrame, path: str, mode: str = "overwrite", tokens_per_file: int | None = None
 ) -> Index:
     """Rebuild the four tables under ``path``."""
     spark = pages.sparkSession
     tokenize_pages(spread(pages)).write.mode(mode).parquet(f"{path}/tokens")
     toks = _read(spark, path, "tokens")
     totals = corpus_stats(toks).first()
-    files = max(1, ceil(totals["total_tokens"] / tokens_per_file))
-    buckets, splits = min(MAX_BUCKETS, files), min(MAX_SPLITS, ceil(files / 16))
+    buckets, splits = _layout(
+        totals["total_tokens"], tokens_per_file, spark.sparkContext.defaultParallelism
+    )
+    split = F.pmod(F.xxhash64(*PAGE), F.lit(splits)).cast("int")
     laid_out = (
         build_postings(toks)
         .withColumn("bucket", _bucket(F.col("term"), buckets))
-        .withColumn("_split", F.pmod(F.xxhash64(*PAGE), F.lit(splits)))
-        .repartition(max(files, buckets), "bucket", "_split")
-        .drop("_split")
+        .repartitionById(buckets * splits, F.col("bucket") * splits + split)
         .sortWithinPartitions("bucket", "term", *PAGE)
     )
     laid_out.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
     (
         vocabulary(_read(spark, path, "postings"))
-        .repartitionByRange(max(1, files // 8), "term")
+        .repartitionByRange(max(1, buckets * splits // 8), "term")
         .sortWithinPartitions("term")
         .write.mode(mode)
         .parquet(f"{path}/vocab")

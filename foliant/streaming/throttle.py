@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from foliant.functions.instants import MICROS, from_micros, micros
@@ -60,21 +62,68 @@ def _with_time(df: DataFrame, requests: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("ts", from_micros(F.col("_us"), requests.schema[ts].dataType)).drop("_us")
 
 
+def _new_group(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """True on rows whose key differs from the row before (the first row is left to the caller)."""
+    n = batch.num_rows
+    fresh = np.zeros(n, dtype=bool)
+    for key in keys:
+        column = batch.column(key)
+        here, before = column.slice(1), column.slice(0, n - 1)
+        same = pc.fill_null(pc.equal(here, before), False).to_numpy(zero_copy_only=False)
+        nulls = pc.and_(here.is_null(), before.is_null()).to_numpy(zero_copy_only=False)
+        fresh[1:] |= ~(same | nulls)
+    return fresh
+
+
+def _accept_sorted(keys: list[str], out: list[str], gap: int, entry: str | None = None):
+    """Walk rows sorted by key and time, batch by batch; only the last accepted time is kept between batches.
+
+    ``entry`` may name a column with the last accepted time before a group begins.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = batch.column("_us").to_numpy()
+            fresh = _new_group(batch, keys)
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            fresh[0] = first != current
+            accepted, wait = np.zeros(len(times), dtype=bool), np.zeros(len(times), dtype=np.int64)
+            starts = np.unique(np.append(0, np.flatnonzero(fresh)))
+            for at, end in zip(starts, [*starts[1:], len(times)]):
+                if fresh[at]:
+                    last = batch.column(entry)[int(at)].as_py() if entry else None
+                accepted[at:end], wait[at:end], last = _accept(times[at:end], gap, last)
+            current = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+            retry = pa.array(wait // MICROS + 1, mask=accepted)
+            columns = [*[batch.column(c) for c in out], pa.array(accepted), retry]
+            yield pa.RecordBatch.from_arrays(columns, names=[*out, "accepted", "retry_after"])
+
+    return walk
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cooldown(
     requests: DataFrame, keys: list[str], ts: str, tie: str, seconds: float, **kw
 ) -> DataFrame:
-    """(keys, tie, ts, accepted, retry_after); a rejected request does not restart the clock."""
+    """(keys, tie, ts, accepted, retry_after); a rejected request does not restart the clock.
+
+    One shuffle by key and a sort inside the tasks; rows stream through them, no key is held in memory.
+    """
     gap = int(seconds * MICROS)
     rows = requests.select(*keys, tie, micros(requests, ts).alias("_us"))
     schema = _result_schema(rows, keys, tie)
     o = ordered(rows, keys, ["_us", tie], **kw)
     if o.split:
         return _with_time(_cooldown_blocks(o, tie, gap, schema), requests, ts)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _outcome(pdf, keys, tie, gap, None)[0]
-
-    return _with_time(rows.groupBy(*keys).applyInPandas(whole, schema), requests, ts)
+    in_order = rows.repartition(_tasks(rows), *keys).sortWithinPartitions(*keys, "_us", tie)
+    out = in_order.mapInArrow(_accept_sorted(keys, [*keys, tie, "_us"], gap), schema)
+    return _with_time(out, requests, ts)
 
 
 def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> DataFrame:
@@ -85,11 +134,12 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
     (one entry for each different end), these tables are walked block by block, and then all blocks
     run at once from their true beginning.
     """
-    keys = o.keys
+    keys, parts = o.keys, [*o.keys, BLOCK]
     key_fields = [f for f in schema.fields if f.name in keys]
-    at_block = StructType(key_fields).add(BLOCK, "integer")
-    ends_schema = StructType(list(at_block.fields)).add("first", ArrayType(LongType())).add("end", ArrayType(LongType()))
-    entry_schema = StructType(list(at_block.fields)).add("entry", "long")
+    at_block = StructType([*key_fields, StructField(BLOCK, IntegerType())])
+    times_type = ArrayType(LongType())
+    ends_schema = StructType([*at_block.fields, StructField("first", times_type), StructField("end", times_type)])
+    entry_schema = StructType([*at_block.fields, StructField("entry", LongType())])
 
     def ends_of(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy(np.int64))
@@ -104,7 +154,7 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
         last = min(n - 1, int(np.searchsorted(times, times[0] + gap)))
         first, end = times[: last + 1], times[jump[: last + 1]]
         keep = np.append(end[1:] != end[:-1], True)
-        row = pdf.iloc[[0]][[*keys, BLOCK]].copy()
+        row = pdf.iloc[[0]][parts].copy()
         row["first"], row["end"] = [first[keep].tolist()], [end[keep].tolist()]
         return row
 
@@ -115,15 +165,13 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
             entries.append(last)
             i = 0 if last is None else int(np.searchsorted(first, last + gap))
             last = int(end[i]) if i < len(first) else last
-        return pdf[[*keys, BLOCK]].assign(entry=pd.array(entries, dtype="Int64"))
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = pdf["entry"].iloc[0]
-        return _outcome(pdf, keys, tie, gap, None if pd.isna(entry) else int(entry))[0]
+        return pdf[parts].assign(entry=pd.array(entries, dtype="Int64"))
 
-    ends = o.df.groupBy(*keys, BLOCK).applyInPandas(ends_of, ends_schema)
+    ends = o.df.groupBy(*parts).applyInPandas(ends_of, ends_schema)
     entries = ends.groupBy(*keys).applyInPandas(walk, entry_schema)
-    return o.df.join(entries, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInPandas(finish, schema)
+    begun = o.attach(o.df, entries)
+    in_order = begun.repartition(_tasks(begun), *parts).sortWithinPartitions(*parts, "_us", tie)
+    return in_order.mapInArrow(_accept_sorted(parts, [*keys, tie, "_us"], gap, "entry"), schema)
 
 
 def rate_limit(
@@ -142,7 +190,7 @@ def rate_limit_anchored(
     """The same with periods that start at the first request after the previous period; rejected ones count."""
     begun = cooldown(requests, keys, ts, tie, PERIODS[period], **kw)
     marked = begun.withColumn("_start", F.when(F.col("accepted"), F.col("ts")))
-    placed = ordered(marked, keys, ["ts", tie], **kw).carry("_start", "period_start").rows()
+    placed = ordered(marked, keys, ["ts", tie], sized_by=requests, **kw).carry("_start", "period_start").rows()
     w = Window.partitionBy(*keys, "period_start").orderBy("ts", tie)
     first = placed.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= n)
     return first.select(*keys, tie, "ts", "period_start")

@@ -33,7 +33,9 @@ def frame_token_stream(tokens: DataFrame, chunk: str, error: str | None = None)
 
 
 def frame_payload(frame: Column) -> Column:
-    return F.regexp_replace(frame, r"(?s)^data: (.*?)\n\n$", "$1")
+    framed = F.startswith(frame, F.lit(DATA)) & F.endswith(frame, F.lit(END))
+    length = F.length(frame) - len(DATA) - len(END)
+    return F.when(framed, F.substring(frame, F.lit(len(DATA) + 1), length)).otherwise(frame)
 
 
 def _is_end(payload: Column) -> Column:
