@@ -8,7 +8,7 @@ from foliant.catalog.base import derived_path, query, search_index, table
 from foliant.functions import text
 from foliant.operators import tables
 from foliant.operators.filters import default_created, min_arity
-from foliant.plans.sizing import scratch_path
+from foliant.plans.sizing import scratch_path, spread
 from foliant.sources import dumps, pages
 from foliant.sources.index import path_exists, reload_index
 
@@ -60,7 +60,7 @@ def dump_path(spark, sf_dir):
     """A dump of the documents as posts, written by Spark once for each application."""
     path = derived_path(spark, sf_dir, "dump")
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        docs = table(spark, sf_dir, "documents")
+        docs = spread(table(spark, sf_dir, "documents"))
         lang = F.col("lang")
         created = F.when(lang == "de", "0000-00-00 00:00:00").when(lang == "fr", "").otherwise("2024-01-05 10:00:00")
         kind = F.when(lang == "es", "revision").when(lang == "fr", "page").otherwise("post")

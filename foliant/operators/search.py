@@ -95,6 +95,7 @@ def query_units(queries: DataFrame) -> DataFrame:
 OF_UNIT = ["query_id", "unit", "role", "need_all", "need_any"]
 UNITS_INLINE = 10_000
 TERMS_PUSHED = 1_000
+PREFIXES_PUSHED = 16
 
 
 @dataclass(frozen=True)
@@ -137,17 +138,17 @@ def _under_prefixes(table: DataFrame, units: Units) -> DataFrame:
     """Rows of a term-keyed table joined to the prefix units their word starts with.
 
     A word is offered under those of its beginnings that have the length of a wanted prefix, so
-    the match is an equi-join; a few prefixes are also pushed into the scan.
+    the match is an equi-join; a handful of prefixes is also pushed into the scan.
     """
     known = units.words("prefix")
-    if known is not None:
+    if known and len(known) <= PREFIXES_PUSHED:
         starts = [F.startswith("term", F.lit(p)) for p in known]
         table = table.where(reduce(lambda a, b: a | b, starts))
     wanted = units.of_kind("prefix").select(*OF_UNIT, F.col("words")[0].alias("_prefix"))
-    lengths = F.array(*[F.lit(n) for n in units.prefix_lengths()])
-    usable = F.filter(lengths, lambda n: n <= F.length("term"))
-    beginnings = F.transform(usable, lambda n: F.substring(F.col("term"), F.lit(1), n))
-    offered = table.withColumn("_prefix", F.explode(beginnings))
+    beginnings = [
+        F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in units.prefix_lengths()
+    ]
+    offered = table.withColumn("_prefix", F.explode(F.array(*beginnings)))
     return lookup_join(
         offered, wanted, ["_prefix"], spread_by=["term"], bounded_by=units.bound
     ).drop("_prefix")

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.functions.text import sse_escape, sse_unescape
-from foliant.plans.sizing import lookup_join
 
 # The wire format.
 DATA, END = "data: ", "\n\n"
@@ -56,15 +56,15 @@ def assemble_token_stream(
         F.floor(F.col(seq) / segment).cast("bigint").alias("part"),
         frame_payload(F.col(frame)).alias("_p"),
     )
-    ends = rows.where(_is_end(F.col("_p"))).groupBy(stream).agg(F.min("_seq").alias("_end"))
     parts = rows.groupBy(stream, "part").agg(
-        F.array_sort(F.collect_list(F.struct("_seq", "_p"))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct("_seq", "_p"))).alias("_rows")
     )
-    # One row for each part carries the end of its stream, so both sides of the join are even.
-    all_parts = rows.select(stream, "part").distinct()
-    known = lookup_join(all_parts, ends, [stream], "left", spread_by=["part"])
-    known = known.withColumnRenamed("_end", "_stop")
-    joined = parts.join(known, [stream, "part"])
+    closing = F.transform(F.filter("_rows", lambda r: _is_end(r["_p"])), lambda r: r["_seq"])
+    parts = parts.withColumn("_end", F.array_min(closing))
+    # One small row for each part carries the end of its stream, so both sides of the join are even.
+    of_stream = Window.partitionBy(stream)
+    known = parts.select(stream, "part", F.min("_end").over(of_stream).alias("_stop"))
+    joined = parts.drop("_end").join(known, [stream, "part"])
     stop = F.col("_stop")
     live = F.filter("_rows", lambda r: stop.isNull() | (r["_seq"] <= stop))
 
