@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
-from foliant.plans.sizing import shared_dir
+from foliant.plans.sizing import app_dir
 from foliant.sources.index import Index, open_or_build_index
 from foliant.sources.pages import whole_pages
 
@@ -59,7 +59,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_path(spark: SparkSession, sf_dir: str, label: str) -> str:
     """Where this application keeps tables derived from a data folder."""
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{label}-{tag}"
+    return f"{app_dir(spark)}/{label}-{tag}"
 
 
 def search_index(spark: SparkSession, sf_dir: str) -> Index:

@@ -26,10 +26,9 @@ def render_listing(
 
 def with_empty_message(groups: DataFrame, listing: DataFrame, by: list[str], message: str) -> DataFrame:
     """Groups without any line show a message."""
-    joined = groups.select(*by).distinct().join(listing, by, "left")
-    return joined.withColumn("listing", F.coalesce("listing", F.lit(message))).fillna(
-        {"listing_page": 1, "n_lines": 0}
-    )
+    empty = lookup_join(groups.select(*by).distinct(), listing.select(*by).distinct(), by, "left_anti")
+    notes = empty.withColumn("listing_page", F.lit(1).cast("bigint")).withColumn("listing", F.lit(message))
+    return listing.unionByName(notes.withColumn("n_lines", F.lit(0).cast("bigint")))
 
 
 def per_second(n: Column, seconds: Column) -> Column:

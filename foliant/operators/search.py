@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from foliant.functions.scoring import bm25_term
 from foliant.functions.snippet import snippet
 from foliant.functions.text import fold, is_blank
-from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, spread, written
+from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, written
 from foliant.sources.index import PAGE, Index
 
 QUERY_SCHEMA = (
@@ -295,9 +295,9 @@ def match_any_column(columns: dict[str, DataFrame], words: DataFrame) -> DataFra
     hits = lookup_join(
         reduce(DataFrame.unionByName, streams), wanted, ["term"], spread_by=PAGE, bounded_by=words
     )
-    found = hits.groupBy("query_id", "term", *PAGE).agg(F.count(F.lit(1)).alias("_columns"))
-    by_row = found.groupBy("query_id", *PAGE).agg(
-        F.count(F.lit(1)).alias("_have"), F.sum("_columns").alias("n_column_hits")
+    # the collected words are bounded by the query
+    by_row = hits.groupBy("query_id", *PAGE).agg(
+        F.size(F.collect_set("term")).alias("_have"), F.count(F.lit(1)).alias("n_column_hits")
     )
     return (
         lookup_join(by_row, need, ["query_id"], spread_by=PAGE, bounded_by=words)
@@ -329,7 +329,9 @@ def with_snippets(
     if rows is not None and len(rows) <= TERMS_PUSHED:
         texts = texts.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
     bound = None if rows is None else len(rows)
-    texts = spread(lookup_join(texts, shown, PAGE, spread_by=["content"], bounded_by=bound))
+    texts = lookup_join(texts, shown, PAGE, spread_by=["content"], bounded_by=bound)
+    if rows is not None:
+        texts = texts.repartition(index.spark.sparkContext.defaultParallelism)
     joined = lookup_join(texts, asked, ["query_id"], spread_by=PAGE, bounded_by=queries)
     return joined.withColumn("snippet", snippet(F.col("content"), F.col("_units"), n, marks, cut)).drop(
         "content", "_units"

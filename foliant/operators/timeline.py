@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.plans.ordered import Ordered, ordered
-from foliant.plans.sizing import lookup_join
+from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join
 
 LEVEL_BASE = 2.0
 
@@ -160,6 +160,8 @@ def link_media(documents: DataFrame, media: DataFrame, span: float = 10.0) -> Da
     ``media`` is (link_id, path). The pair is an equi-join on the folder, not a cross product.
     """
     spaced = even_timestamps(media, ["link_id"], ["path"], span)
-    return lookup_join(spaced, documents, ["link_id"]).select(
+    found, rows = inlined(documents, BROADCAST_ROWS)
+    bound = None if rows is None else len(rows)
+    return lookup_join(spaced, found, ["link_id"], bounded_by=bound).select(
         "link_id", "document_id", F.col("path").alias("frame_path"), "timestamp_sec"
     )

@@ -1,17 +1,21 @@
 """Size checks, shared scratch storage and skew-safe joins.
 
-Every broadcast in this package goes through ``small`` or ``lookup_join``: the
-row count is looked at first, and a shuffled form is used beyond the bound.
+Every broadcast in this package goes through ``lookup_join``: rows and bytes are looked at first, and a
+salted shuffle is used beyond the bounds.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
+SPLIT_BYTES = 128 << 20
 SALTS = 16
 
 
@@ -35,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/foliant/{app}/{label}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -47,13 +54,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(field: StructField) -> Column:
+    """Rough size of a value; only types without a fixed width are looked at."""
+    kind = field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    return F.lit(8)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark for broadcast if the row count allows it, else leave the plan alone."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is within both bounds; no more than ``max_rows`` + 1 rows are looked at."""
+    width = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema.fields])
+    seen = df.select(width.alias("w")).limit(max_rows + 1)
+    row = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("bytes")).first()
+    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
 
 
 def inlined(df: DataFrame, max_rows: int) -> tuple[DataFrame, list | None]:
@@ -72,12 +88,20 @@ def inlined(df: DataFrame, max_rows: int) -> tuple[DataFrame, list | None]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when the scan itself yields only a few partitions.
+    """Use all cores for heavy per-row work on an input too small to give every core a full split.
 
-    Scans of many files or splits are left as they are.
+    The estimate comes from the file sizes, nothing is run; larger inputs are left as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate <= cores * SPLIT_BYTES else df
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lookup_join(
@@ -95,7 +119,8 @@ def lookup_join(
     A checked small ``dim`` is broadcast. Beyond the bound the facts of one key are
     spread over ``salts`` tasks and ``dim`` is repeated once for each of them.
     ``how`` must keep the facts on the left (inner, left, left_semi, left_anti).
-    ``bounded_by`` may name a cheaper table that has at least as many rows as ``dim``, or their number.
+    ``bounded_by`` may name a cheaper table that has at least as many rows as ``dim``, or their number, if
+    the rows of ``dim`` are a few numbers and words.
     """
     if isinstance(bounded_by, int):
         fits = bounded_by <= max_rows
@@ -103,8 +128,10 @@ def lookup_join(
         fits = is_small(dim if bounded_by is None else bounded_by, max_rows)
     if fits:
         return facts.join(F.broadcast(dim), keys, how)
-    spread = spread_by or [c for c in facts.columns if c not in keys] or keys
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    # The partition number also parts rows that are equal in all columns, and is the same on a retry.
+    others = spread_by or [c for c in facts.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *others), F.lit(salts))
+    salted_facts = facts.withColumn("_salt", salt)
     salted_dim = dim.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )

@@ -111,7 +111,6 @@ def test_large_batches_take_the_same_way(spark, index, fts, monkeypatch):
     monkeypatch.setattr(search, "UNITS_INLINE", 1)
     from foliant.plans import sizing
 
-    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(sizing.lookup_join, "__defaults__", ("inner", 1, 4, None, None))
     many = {tuple(r)[:3]: r["score"] for r in match(index, query_table(spark, rows)).collect()}
     assert few.keys() == many.keys()
