@@ -269,7 +269,7 @@ def f14_highlight(spark, sf_dir):
     "f15_rank_display",
     f"""WITH {RANKED_SQL}
     SELECT query_id, doc_id, 1 AS page_num, rank_no AS match_no,
-           CAST(round_even(score, 4) AS DOUBLE) AS shown_score FROM ranked""",
+           CAST(round_even(score, 4) AS DOUBLE) + 0.0 AS shown_score FROM ranked""",
 )
 def f15_rank_display(spark, sf_dir):
     return rank_display(search_ranked(search_index(spark, sf_dir), two_words(spark, sf_dir)), 4)
