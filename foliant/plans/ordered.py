@@ -21,6 +21,7 @@ from pyspark.sql.window import Window, WindowSpec
 from foliant.plans.sizing import written
 
 ROWS_PER_BLOCK = 2_000_000
+BROADCAST_SUMMARY = 20_000
 BLOCK = "_blk"
 
 
@@ -29,7 +30,11 @@ class Ordered:
     df: DataFrame
     keys: list[str]
     order: list[str]
-    split: bool
+    blocks: int = 0
+
+    @property
+    def split(self) -> bool:
+        return self.blocks > 0
 
     def _window(self) -> WindowSpec:
         parts = [*self.keys, BLOCK] if self.split else self.keys
@@ -38,9 +43,20 @@ class Ordered:
     def _across(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(BLOCK)
 
+    def spanning(self, summary: DataFrame) -> DataFrame:
+        """The summary rows of keys that lie in several blocks; the others have nothing to carry.
+
+        Blocks follow the keys, so at most one key crosses each border and twice the number of
+        blocks bounds the rows.
+        """
+        n = F.count(F.lit(1)).over(Window.partitionBy(*self.keys))
+        return summary.withColumn("_blocks", n).where(F.col("_blocks") > 1).drop("_blocks")
+
     def attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        """Bring one summary row for each (key, block) back to the rows of the block."""
+        """Bring the summary row of each (key, block) to the rows of the block; NULL where there is none."""
         names = [*self.keys, BLOCK]
+        if 2 * self.blocks <= BROADCAST_SUMMARY:
+            summary = F.broadcast(summary)
         right = summary.select(
             *[F.col(n).alias(f"_r_{n}") for n in names],
             *[c for c in summary.columns if c not in names],
@@ -49,7 +65,7 @@ class Ordered:
         return df.join(right, same, "left").drop(*[f"_r_{n}" for n in names])
 
     def _with(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.keys, self.order, self.split)
+        return Ordered(df, self.keys, self.order, self.blocks)
 
     def rows(self) -> DataFrame:
         return self.df.drop(BLOCK) if self.split else self.df
@@ -62,16 +78,21 @@ class Ordered:
             if total:
                 out = out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*self.keys)))
             return self._with(out)
-        sizes = self.df.groupBy(*self.keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = self.spanning(self.df.groupBy(*self.keys, BLOCK).agg(F.count(F.lit(1)).alias("_n")))
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         if total:
             sizes = sizes.withColumn("_total", F.sum("_n").over(Window.partitionBy(*self.keys)))
-        out = self.attach(self.df.withColumn("_rn", F.row_number().over(w)), sizes.drop("_n"))
-        out = out.withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
+        local = self.df.withColumn("_rn", F.row_number().over(w))
+        if total:
+            whole_block = Window.partitionBy(*self.keys, BLOCK)
+            local = local.withColumn("_here", F.count(F.lit(1)).over(whole_block))
+        out = self.attach(local, sizes.drop("_n"))
+        before_block = F.coalesce("_before", F.lit(0))
+        out = out.withColumn(name, (F.col("_rn") + before_block).cast("bigint"))
         if total:
-            out = out.withColumn(total, F.col("_total"))
-        return self._with(out.drop("_rn", "_before", "_total"))
+            out = out.withColumn(total, F.coalesce("_total", "_here"))
+        return self._with(out.drop("_rn", "_before", "_total", "_here"))
 
     def carry(self, source: str, name: str, default: Column | None = None) -> "Ordered":
         """Latest non-null ``source`` at or before each row."""
@@ -82,6 +103,7 @@ class Ordered:
             return self._with(self.df.withColumn(name, value))
         at = F.when(F.col(source).isNotNull(), F.struct(*self.order))
         ends = self.df.groupBy(*self.keys, BLOCK).agg(F.max_by(F.col(source), at).alias("_end"))
+        ends = self.spanning(ends)
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
         out = self.attach(self.df.withColumn("_local", latest), ends)
@@ -98,6 +120,7 @@ class Ordered:
             edges = self.df.groupBy(*self.keys, BLOCK).agg(
                 F.min_by(here, at).alias("_first"), F.max_by(here, at).alias("_last")
             )
+            edges = self.spanning(edges)
             edges = edges.withColumn("_before", F.lag("_last").over(self._across())).withColumn(
                 "_after", F.lead("_first").over(self._across())
             )
@@ -131,7 +154,7 @@ def ordered(
     """
     rows, largest = group_sizes(df if sized_by is None else sized_by, keys)
     if largest <= rows_per_block:
-        return Ordered(df, keys, order, split=False)
+        return Ordered(df, keys, order)
     n = max(2, ceil(rows / rows_per_block))
     cut = df.repartitionByRange(n, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
-    return Ordered(written(cut, "blocks"), keys, order, split=True)
+    return Ordered(written(cut, "blocks"), keys, order, n)

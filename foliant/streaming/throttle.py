@@ -132,7 +132,7 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
     What a block needs from its past is one number, the last accepted time, and it only decides which
     of the block's first rows is accepted first. So each block says where every such beginning would end
     (one entry for each different end), these tables are walked block by block, and then all blocks
-    run at once from their true beginning.
+    run at once from their true beginning. Only keys that lie in several blocks need the first two steps.
     """
     keys, parts = o.keys, [*o.keys, BLOCK]
     key_fields = [f for f in schema.fields if f.name in keys]
@@ -167,7 +167,9 @@ def _cooldown_blocks(o: Ordered, tie: str, gap: int, schema: StructType) -> Data
             last = int(end[i]) if i < len(first) else last
         return pdf[parts].assign(entry=pd.array(entries, dtype="Int64"))
 
-    ends = o.df.groupBy(*parts).applyInPandas(ends_of, ends_schema)
+    marks = o.spanning(o.df.select(*parts).distinct()).withColumn("_marked", F.lit(True))
+    carrying = o.attach(o.df, marks).where("_marked").drop("_marked")
+    ends = carrying.groupBy(*parts).applyInPandas(ends_of, ends_schema)
     entries = ends.groupBy(*keys).applyInPandas(walk, entry_schema)
     begun = o.attach(o.df, entries)
     in_order = begun.repartition(_tasks(begun), *parts).sortWithinPartitions(*parts, "_us", tie)
