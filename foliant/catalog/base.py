@@ -87,8 +87,8 @@ POSTINGS_SQL = (
     + """,
 pos AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS p, len(toks) AS dl FROM tok),
 post AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM pos GROUP BY term, doc_id),
-vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term),
-stats AS (SELECT count(*) AS n_docs, sum(len(toks)) AS total_tokens, avg(len(toks)) AS avgdl FROM tok)"""
+vocab AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term),
+stats AS (SELECT count(*) AS n_docs, CAST(sum(len(toks)) AS BIGINT) AS total_tokens, avg(len(toks)) AS avgdl FROM tok)"""
 )
 QUERIES_SQL = f"q AS (SELECT item_id AS query_id, {words_sql('text')} AS w FROM benchmark)"
 

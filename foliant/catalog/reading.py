@@ -27,7 +27,7 @@ def a1_paginate(spark, sf_dir):
 @query(
     "a2_extraction_report",
     rf"""WITH {PAGES_SQL}, t AS (SELECT doc_id, count(*) AS n_pages,
-        sum(length(regexp_replace(content, '^\s+|\s+$', '', 'g'))) AS n_chars FROM pg GROUP BY doc_id)
+        CAST(sum(length(regexp_replace(content, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS n_chars FROM pg GROUP BY doc_id)
     SELECT *, n_chars = 0 AS scanned FROM t""",
 )
 def a2_extraction_report(spark, sf_dir):

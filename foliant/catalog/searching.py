@@ -112,7 +112,7 @@ def a3_write_index(spark, sf_dir):
 
 @query(
     "a4_open_or_build_index",
-    f"WITH {POSTINGS_SQL} SELECT doc_id, count(*) AS n_terms, sum(tf) AS n_tokens FROM post GROUP BY doc_id",
+    f"WITH {POSTINGS_SQL} SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens FROM post GROUP BY doc_id",
 )
 def a4_open_or_build_index(spark, sf_dir):
     path = derived_path(spark, sf_dir, "opened")
