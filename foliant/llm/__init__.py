@@ -1,6 +1,6 @@
 """Operators for preparing training data, each with a query that applies it to its whole table."""
 
-from foliant.llm import contamination, digests, lengths, packing, recompression, suffixes, toxicity, warc  # noqa: F401
+from foliant.llm import contamination, digests, lengths, neardup, packing, recompression, suffixes, toxicity, warc  # noqa: F401
 from foliant.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

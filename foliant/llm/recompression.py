@@ -298,14 +298,17 @@ def later_stretches(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -
     runs = settle(docs.mapInArrow(_naming(width, rounds), rows), "passage-runs")
 
     # Pivots of one document alone are settled: no earlier document holds their windows.
-    pivots = (
+    # Small sides are written before they are joined: then both sides of each join are plain exchanges, and Spark can
+    # split the partitions of hot pivots.
+    pivots = settle(
         runs.groupBy("pivot")
         .agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"))
         .where("lowest IS NOT NULL AND (lowest < highest OR known < n)")
-        .select("pivot", "lowest")
+        .select("pivot", "lowest"),
+        "passage-pivots",
     )
     shared = settle(runs.join(pivots, "pivot"), "passage-shared")
-    forget(spark, runs)
+    forget(spark, runs, pivots)
 
     # Equal runs: the verified repeats. Only the first document's rows may still hold windows of other runs.
     wholes = settle(shared.groupBy("pivot", "whole").agg(F.min("doc_id").alias("first")), "passage-wholes")
@@ -313,7 +316,7 @@ def later_stretches(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -
     equal = checked.where(later("first")).select(
         "doc_id", "tag", F.expr(f"shiftleft(shiftrightunsigned(place, 24), 32) | (shiftrightunsigned(place, 24) + (place & 16777215) + {width - 1})").alias("stretch")
     )
-    kinds = wholes.groupBy("pivot").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("pivot")
+    kinds = settle(wholes.groupBy("pivot").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("pivot"), "passage-kinds")
     opened = (
         checked.where(F.expr("doc_id <=> first"))
         .join(kinds, "pivot")
@@ -321,15 +324,16 @@ def later_stretches(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -
     )
     window_rows = f"doc_id {kind}, tag bigint, window bigint, one bigint, two bigint, undecided boolean"
     windows = settle(with_lists(docs, opened, "packed", "inner").mapInArrow(_opening(width), window_rows), "passage-windows")
-    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = settle(firsts.where("n > 1 AND first IS NOT NULL").select("one", "two", "first"), "passage-firsts")
     single = (
         windows.where("undecided")
-        .join(firsts.select("one", "two", "first"), ["one", "two"])
+        .join(firsts, ["one", "two"])
         .where(later("first"))
         .select("doc_id", "tag", F.expr(f"shiftleft(window, 32) | (window + {width})").alias("stretch"))
     )
     found = settle(equal.unionByName(single), "passage-stretches")
-    forget(spark, shared, wholes, windows)
+    forget(spark, shared, wholes, kinds, windows, firsts)
     return found
 
 
