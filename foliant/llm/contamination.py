@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliant.catalog.base import table
 from foliant.llm.base import in_batches, picked, query, texts_of
@@ -188,6 +187,33 @@ def contaminated(
     return docs.sparkSession.createDataFrame([], rows) if found is None else found
 
 
+def _keeping(items: list[tuple[int, str]], rate: float, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        matcher = Matcher(items, rate)
+        for batch in batches:
+            clean = [not matcher.found(normalised(t)) for t in texts_of(batch.column(text_col))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return keep
+
+
+def without_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    rate: float = ERROR_RATE,
+    least_chars: int = LEAST_CHARS,
+) -> DataFrame:
+    """The whole rows of the documents in which ``contaminated`` finds no item, in one pass for each block of items."""
+    for block in item_blocks(items, item_col, item_text_col, least_chars):
+        docs = docs.mapInArrow(_keeping(block, rate, text_col), docs.schema)
+    return docs
+
+
 @query("op5_decontaminate")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

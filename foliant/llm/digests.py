@@ -121,6 +121,16 @@ def exact_duplicates(
     )
 
 
+def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole rows that ``exact_duplicates`` keeps, one for each text."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_kept"))
+    marked = docs.withColumns(
+        {"_row_id": F.col(f"`{id_col}`"), "_row_digest": F.unhex(F.sha2(fold_ascii(F.col(f"`{text_col}`")).cast("binary"), 256))}
+    )
+    rows = marked.join(kept, F.expr("_row_id <=> _id AND _row_digest = _kept"), "left_semi")
+    return rows.dropDuplicates(["_row_id", "_row_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)

@@ -225,6 +225,27 @@ def scored(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: s
     )
 
 
+def _keeping(model: Severity, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    import math
+
+    # Grade 1 or more is as probable as CUT where strength - threshold is the logit of CUT.
+    bound = model.thresholds[0] + math.log(CUT / (1 - CUT))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            clean = [model.strength(t) < bound for t in texts_of(batch.column(text_col))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return keep
+
+
+def without_toxic(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
+    """The whole rows of the documents that ``scored`` does not call toxic, in one pass."""
+    return docs.mapInArrow(_keeping(model, text_col), docs.schema)
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
