@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class, and only classes are compared. Bands of registers throw classes into
 buckets; of each bucket, the class that meets most others anywhere is the hub, and all members are compared with it.
 That is linear in the rows and joins most groups, since copies are closest to what they were copied from. Members that
-are not joined to their hub are then compared with all other members of the hub, block by block on their registers. Every pair of a
-bucket is so either joined already or compared. What the estimate lets pass is verified on the full sets.
+are not joined to their hub are then compared with all other members of the hub, block by block: on their registers, and
+where the estimate lets a pair pass, on the full sets. Every pair of a bucket is so either joined already or compared.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ if TYPE_CHECKING:
 
 PERCENT = 80
 WORDS = 5
-BLOCK = 128  # classes in a block of the second comparison
+BLOCK = 128  # classes in a block that is compared by registers
+SET_BLOCK = 64  # .. and by full sets
 SIGMAS = 6  # standard deviations by which an estimate may miss the similarity
 
 
@@ -64,32 +65,70 @@ def _estimating(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return keep
 
 
+def _members(block: pa.StructArray) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    return block.field("node").to_pylist(), block.field("component").to_pylist(), block.field("n_shingles").to_numpy()
+
+
 def _comparing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of members (``here``: not joined to the hub; ``there``: all of the hub's) to pairs that may be near."""
+    """Blocks of a hub's members (``here``: outside its component; ``there``: all) to the members that may have a link."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for here, there in zip(batch.column("here"), batch.column("there"), strict=True):
+                for hub, here, there in zip(batch.column("hub"), batch.column("here"), batch.column("there"), strict=True):
                     one, two = here.values, there.values
-                    sizes_one, sizes_two = (x.field("n_shingles").to_numpy() for x in (one, two))
+                    (nodes_one, groups_one, sizes_one), (nodes_two, groups_two, sizes_two) = _members(one), _members(two)
                     all_one, all_two = _registers(one.field("registers")), _registers(two.field("registers"))
-                    nodes_one, nodes_two = one.field("node").to_pylist(), two.field("node").to_pylist()
-                    groups_one, groups_two = one.field("component").to_pylist(), two.field("component").to_pylist()
+                    number = {g: k for k, g in enumerate({*groups_one, *groups_two})}
+                    of_two = np.array([number[g] for g in groups_two])
+                    hit = np.zeros(len(nodes_two), bool)
                     for i, node in enumerate(nodes_one):
-                        near = estimate(all_two, all_one[i])
-                        good = near >= least_estimate(np.minimum(sizes_two, sizes_one[i]), percent)
-                        for j in np.flatnonzero(good & _size_allows(sizes_two, sizes_one[i], percent)):
-                            if groups_two[j] != groups_one[i]:
-                                yield (min(node, nodes_two[j]), max(node, nodes_two[j]))
+                        good = estimate(all_two, all_one[i]) >= least_estimate(np.minimum(sizes_two, sizes_one[i]), percent)
+                        good &= _size_allows(sizes_two, sizes_one[i], percent) & (of_two != number[groups_one[i]])
+                        hit |= good
+                        if good.any():
+                            yield hub.as_py(), node
+                    for j in np.flatnonzero(hit):
+                        yield hub.as_py(), nodes_two[j]
 
-        yield from in_batches(rows(), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        yield from in_batches(rows(), pa.schema([("hub", pa.binary()), ("node", pa.binary())]))
 
     return compare
 
 
+def _linking(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of members with their full sets to links, for each member one link to each component it is linked with."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for here, there in zip(batch.column("here"), batch.column("there"), strict=True):
+                    one, two = here.values, there.values
+                    (nodes_one, groups_one, sizes_one), (nodes_two, groups_two, sizes_two) = _members(one), _members(two)
+                    members = np.frombuffer(b"".join(two.field("members").to_pylist()), np.uint64)
+                    owner = np.repeat(np.arange(len(nodes_two)), sizes_two)
+                    order = np.argsort(members, kind="stable")
+                    members, owner = members[order], owner[order]
+                    for i, own in enumerate(one.field("members").to_pylist()):
+                        own = np.frombuffer(own, np.uint64)
+                        first, after = np.searchsorted(members, own, "left"), np.searchsorted(members, own, "right")
+                        count = after - first
+                        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                        common = np.bincount(owner[at], minlength=len(nodes_two))
+                        near = 100 * common >= percent * (sizes_one[i] + sizes_two - common)
+                        linked = {groups_two[j]: nodes_two[j] for j in np.flatnonzero(near) if groups_two[j] != groups_one[i]}
+                        for other in linked.values():
+                            yield nodes_one[i], other
+
+        yield from in_batches(rows(), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return link
+
+
 def _shingling(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(text, pairs) to one row for each pair with the whole set of the text."""
 
@@ -149,6 +188,33 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least_nodes).distinct()
 
 
+def _blocks(named: DataFrame, facts: DataFrame, column: str, size: int) -> DataFrame:
+    """(hub, here, there): every block of a hub's members outside its component with every block of all its members."""
+    counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("int")).alias("n_outside"))
+    counts = settle(counts.where("n_outside > 0 AND n > 1"), "near-sizes")
+    rows = settle(named.join(counts, "hub").join(facts, "node"), "near-open")
+    number = lambda n, salt: F.expr(f"pmod(xxhash64({salt}, node), CAST(ceil({n} / {size}) AS BIGINT))")
+    packed = F.collect_list(F.struct("node", "component", "n_shingles", column))
+    here = rows.where("outside").groupBy("hub", number("n_outside", 1).alias("i")).agg(packed.alias("here"))
+    there = rows.groupBy("hub", number("n", 2).alias("j")).agg(packed.alias("there"))
+    return here.join(there, "hub").select("hub", "here", "there")
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, n_shingles, members): the full sets of some classes."""
+    wanted = nodes.join(classes.select("node", "n_shingles", "one"), "node")
+    found = (
+        texts.alias("t")
+        .join(wanted.alias("w"), F.expr("t.doc_id <=> w.one.doc_id AND t.tag = w.one.tag"))
+        .select("t.text", F.expr("array(struct(w.node AS a, w.node AS b)) AS pairs"), "w.n_shingles")
+    )
+    made = found.mapInArrow(_shingling(words), "a binary, b binary, members binary")
+    # Rows that repeat an id and a text bring the same set twice.
+    return made.groupBy(F.col("a").alias("node")).agg(F.min("members").alias("members")).withColumn(
+        "n_shingles", F.expr("CAST(octet_length(members) DIV 8 AS BIGINT)")
+    )
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are near enough."""
     ends = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
@@ -225,26 +291,21 @@ def near_duplicates(
     links = settle(_verified(pairs, classes, texts, percent, words), "near-links")
     joined = components(links)
 
-    # Members outside their hub's component meet all members of the hub.
+    # Members outside their hub's component meet all members of the hub: first by registers, to find those that may have
+    # a link, and these by their full sets.
     grouped = members.unionByName(members.select("hub", F.col("hub").alias("node")).distinct())
     named = (
         grouped.join(joined, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .join(joined.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
         .withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
+        .select("hub", "node", "component", "outside")
     )
     named = settle(named, "near-grouped")
-    sizes = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("int")).alias("n_outside"))
-    sizes = settle(sizes.where("n_outside > 0 AND n > 2"), "near-sizes")
-    block = lambda n, salt: F.expr(f"pmod(xxhash64({salt}, node), CAST(ceil({n} / {BLOCK}) AS BIGINT))")
-    open_ = named.join(sizes, "hub").join(facts, "node")
-    open_ = settle(open_.select("hub", "node", "component", "outside", "n_shingles", "registers", "n", "n_outside"), "near-open")
-    packed = F.collect_list(F.struct("node", "component", "n_shingles", "registers"))
-    here = open_.where("outside").groupBy("hub", block("n_outside", 1).alias("i")).agg(packed.alias("here"))
-    there = open_.where("node <> hub").groupBy("hub", block("n", 2).alias("j")).agg(packed.alias("there"))
-    second = here.join(there, "hub").select("here", "there").mapInArrow(_comparing(percent), "a binary, b binary").distinct()
-    second = settle(second, "near-pairs")
-    more = settle(_verified(second, classes, texts, percent, words), "near-links")
+    by_registers = _blocks(named, facts, "registers", BLOCK).mapInArrow(_comparing(percent), "hub binary, node binary")
+    hopeful = settle(named.join(by_registers.distinct(), ["hub", "node"]), "near-hopeful")
+    sets = _sets(hopeful.select("node").distinct(), classes, texts, words)
+    more = settle(_blocks(hopeful, sets, "members", SET_BLOCK).mapInArrow(_linking(percent), "a binary, b binary").distinct(), "near-links")
     final = components(links.unionByName(more))
 
     named_classes = (
