@@ -1,0 +1,239 @@
+import json
+import random
+
+import brute
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from foliant.llm import contamination, lengths, packing, toxicity
+
+SCHEMA = "doc_id bigint, text string"
+ODD = [None, "", " \n ", "a", "Ünïcode Σσς İ 日本 🙂", "x" * 3000, "one. two! three?\nfour <|endoftext|> five", "one. two! three?\nfour <|endoftext|> five"]
+
+
+def of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+
+
+# -- token counts ------------------------------------------------------------------------------------------------------
+
+
+def test_histogram_against_one_text_after_another(spark, data):
+    texts = ODD + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    encode = lengths._encoder(lengths.vocabulary(lengths.RANKS)).encode_ordinary
+    expected = [len(encode(t or "")) for t in texts]
+    found = lengths.encoded_lengths(of(spark, texts))
+    assert {r.doc_id: r.tokens for r in found.collect()} == dict(enumerate(expected))
+    histogram = lengths.length_histogram(found).cache()
+    for r in histogram.collect():
+        assert r.n_docs == expected.count(r.tokens)
+        assert r.docs_from == sum(n >= r.tokens for n in expected)
+        assert r.tokens_from == sum(n for n in expected if n >= r.tokens)
+        assert r.docs_below + r.docs_from == r.total_docs == len(expected)
+        assert r.tokens_below + r.tokens_from == r.total_tokens == sum(expected)
+        assert r.kept_at_limit == sum(min(n, r.tokens) for n in expected)
+        assert r["quantile"] == pytest.approx(sum(n <= r.tokens for n in expected) / len(expected))
+    for r in lengths.at_limits(histogram, [0, 5, 100, 10**6]).collect():
+        assert r.docs_fit == sum(n <= r.context_limit for n in expected)
+        assert r.tokens_kept == sum(min(n, r.context_limit) for n in expected) == sum(expected) - r.tokens_lost
+    for r in lengths.quantile_lengths(histogram, [0.1, 0.5, 1.0]).collect():
+        assert r.tokens == sorted(expected)[int(np.ceil(r.share * len(expected))) - 1]
+
+
+def test_sums_go_over_stretches_of_lengths(spark):
+    counts = [0, 1, 5, lengths.STRETCH - 1, lengths.STRETCH, 3 * lengths.STRETCH, 3 * lengths.STRETCH, 9 * lengths.STRETCH + 7]
+    found = lengths.length_histogram(spark.createDataFrame(list(enumerate(counts)), "doc_id bigint, tokens bigint"))
+    assert {r.tokens: (r.docs_from, r.tokens_from) for r in found.collect()} == {n: (sum(m >= n for m in counts), sum(m for m in counts if m >= n)) for n in counts}
+    assert lengths.length_histogram(spark.createDataFrame([], "doc_id bigint, tokens bigint")).count() == 0
+
+
+# -- toxicity ----------------------------------------------------------------------------------------------------------
+
+
+def test_thresholds_rise_and_weights_find_the_words():
+    rng = np.random.default_rng(1)
+    grades = rng.integers(0, 3, 600)
+    rows, columns = [], []
+    for i, g in enumerate(grades):
+        for c in rng.choice(np.arange(2, 20), 5, replace=False):
+            rows.append(i), columns.append(c)
+        if g:
+            rows.append(i), columns.append(int(g == 2))
+    weights, thresholds = toxicity.fit_thresholds_and_weights(np.array(rows), np.array(columns), grades, 20)
+    assert thresholds[0] < thresholds[1]
+    assert weights[1] > weights[0] > np.abs(weights[2:]).max()
+    assert weights[0] > thresholds[0] and weights[1] > thresholds[1] > weights[0]
+
+
+def test_held_out_labels(spark, data):
+    folder = data.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    odd = labels.where("doc_id % 2 = 1")
+    model = toxicity.fit(docs, odd)
+    told = toxicity.scored(docs, model).join(labels.where("doc_id % 2 = 0").withColumnRenamed("toxic", "label"), "doc_id").collect()
+    toxic, clean = [r for r in told if r.label], [r for r in told if not r.label]
+    # Some texts of one repeated word are labelled toxic as well, for no reason to be seen in them.
+    assert sum(r.toxic for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.toxic for r in clean) <= 0.002 * len(clean)
+    for r in told:
+        assert r.p_grade_1 >= r.p_grade_2 and r.expected_severity == pytest.approx(r.p_grade_1 + r.p_grade_2)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = of(spark, ODD)
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, none)
+    assert {(r.grade, r.toxic) for r in toxicity.scored(docs, model).collect()} == {(0, False)}
+    labels = spark.createDataFrame([(0, 1), (None, 1), (3, None), (4, 0), (4, 0), (99, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.scored(docs, model).count() == len(ODD)
+    kept = toxicity.without_toxic(docs.selectExpr("*", "1 AS strength", "2 AS words"), model)
+    assert kept.columns == ["doc_id", "text", "strength", "words"]
+    assert toxicity.without_toxic(docs.limit(0), model).count() == 0
+
+
+# -- decontamination ---------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", min_size=1, max_size=30), st.text("abc", max_size=40))
+def test_myers(pattern, text):
+    distance, end = contamination.myers(pattern, text)
+    assert distance == brute.edit_distance_in(pattern, text)
+    assert distance == len(pattern) or brute.edit_distance_in(pattern, text[:end]) == distance
+
+
+def edited(rng, text, edits):
+    for _ in range(edits):
+        at = rng.randrange(len(text))
+        text = rng.choice([text[:at] + text[at + 1 :], text[:at] + "q" + text[at:], text[:at] + "q" + text[at + 1 :]])
+    return text
+
+
+def test_contaminated_against_distances(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoin") for _ in range(rng.randint(1, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(12)]
+    items += [(20, items[0][1]), (21, None), (22, "too short"), (None, items[1][1])]
+    texts = list(ODD)
+    for _ in range(60):
+        passage = edited(rng, rng.choice(items[:12])[1], rng.choice([0, 0, 1, 3, 6, 12]))
+        texts.append(" ".join(word() for _ in range(10)) + "; " + passage.upper().replace(" ", ",\n ") + "! " + word())
+    docs = of(spark, texts)
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.budget) for r in contamination.contaminated(docs, table).collect()}
+    expected = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            norm = contamination.normalised((item or "").encode())
+            budget = int(contamination.ERROR_RATE * len(norm))
+            if i is not None and len(norm) >= contamination.LEAST_CHARS:
+                distance = brute.edit_distance_in(norm, contamination.normalised((t or "").encode()))
+                if distance <= budget:
+                    expected[d, i] = (distance, budget)
+    assert got == expected and len(got) > 20
+    kept = contamination.without_contaminated(docs.selectExpr("*", "1 AS item_id", "2 AS start"), table)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in expected}
+
+
+def test_items_go_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"benchmark item number {i} with words enough") for i in range(10)], "item_id bigint, text string")
+    docs = of(spark, [f"see benchmark item number {i} with words enough here" for i in range(10)])
+    monkeypatch.setattr(contamination, "BLOCK_ITEMS", 3)
+    assert len(list(contamination.item_blocks(items, "item_id", "text", 24))) == 4
+    assert {r.doc_id for r in contamination.contaminated(docs, items).where("distance = 0").collect()} == set(range(10))
+    assert contamination.without_contaminated(docs, items).count() == 0
+    assert contamination.contaminated(docs, items.limit(0)).count() == 0
+
+
+# -- packing -----------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 6), st.sampled_from([0, 2, 5])), min_size=1, max_size=9), st.integers(6, 12))
+def test_cuts_cost_least(steps, window):
+    places = np.concatenate([[0], np.cumsum([s for s, _ in steps])])
+    penalties = np.array([0, *(p for _, p in steps)])
+
+    def cost(cuts):
+        bounds = [0, *places[cuts].tolist()]
+        sizes = np.diff(bounds)
+        return None if sizes.max() > window else sum(window - s for s in sizes) + int(penalties[cuts].sum())
+
+    n = len(steps)
+    every = [[i for i in range(1, n) if mask >> i & 1] + [n] for mask in range(0, 1 << n, 2)]
+    best = min(c for c in map(cost, every) if c is not None)
+    assert cost(packing.best_cuts(places, penalties, window)) == best
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(lengths.vocabulary(packing.WORDS))
+    made.encode_special_tokens = True
+    return made
+
+
+def test_every_token_comes_out_of_its_own_characters():
+    """What makes merging by rank exact for this vocabulary."""
+    with open(lengths.vocabulary(packing.WORDS), encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    rank = {p: i for i, p in enumerate(pairs)}
+    assert all(model["vocab"]["".join(p)] == model["vocab"]["".join(pairs[0])] + i for i, p in enumerate(pairs))
+    for token in map("".join, pairs):
+        ends = token.endswith("</w>")
+        parts = list(token.removesuffix("</w>"))
+        if ends:
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            at = min(range(len(parts) - 1), key=lambda j: (rank.get((parts[j], parts[j + 1]), 10**9), j))
+            assert (parts[at], parts[at + 1]) in rank, token
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_word_ids_are_the_tokenizers(tokenizer):
+    rng = random.Random(3)
+    letters = "abcXYZ éÉàÖßñÑ'\"(,.!?-_|0123456789€’“”—…\n\t\r\x0b İΣσς日本🙂ªº²½µ%$&*<>/\\stredvml \x1c\x85"
+    words = packing.WordIds(lengths.vocabulary(packing.WORDS))
+    for text in [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]:
+        numbers = words.numbered(text)
+        words.encode_new()
+        assert words.document(numbers)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("window", "block"), [(4096, packing.BLOCK), (64, 500), (16, 100)])
+def test_pieces_hold_every_token_once(spark, data, tokenizer, window, block):
+    texts = ODD + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(80).collect()]
+    docs = of(spark, texts).repartition(3).selectExpr("*", "1 AS start", "2 AS ids")
+    pieces = packing.pack_documents(docs, window=window, block=block).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    for d, text in enumerate(texts):
+        expected = tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.DOC_END_ID]
+        got = []
+        for p in sorted(by_doc[d], key=lambda p: p.start):
+            assert p.start == len(got) and p.doc_tokens == len(expected) and len(p.ids) == 4 * p.length
+            got += np.frombuffer(p.ids, "<u4").tolist()
+        assert got == expected
+    padding = total = 0
+    for members in by_sequence.values():
+        at = 0
+        for p in sorted(members, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert 0 < at <= window
+        total += at
+        padding += 0 if at & (at - 1) == 0 else window - at
+    assert padding <= 0.03 * total or window < 4096
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack_documents(of(spark, [])).count() == 0
+    one = packing.piece_digests(packing.pack_documents(of(spark, [None]))).collect()
+    assert [(r.length, r.doc_tokens, r.sequence_id, r.offset) for r in one] == [(1, 1, 0, 0)]
