@@ -150,24 +150,30 @@ def t2_insert_rows(spark, sf_dir):
 @query(
     "t3_insert_if_absent",
     """SELECT c_custkey, c_name FROM customer
-    UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""",
+    UNION ALL SELECT p_partkey, p_name FROM part
+        WHERE p_partkey % 50 <> 0 AND p_partkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT NULL, p_name FROM part WHERE p_partkey % 50 = 0""",
 )
 def t3_insert_if_absent(spark, sf_dir):
+    """Some new rows have no key, the others come twice under different names."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("c_name"))
-    return tables.insert_if_absent(customers, "c_custkey", parts)
+    part = table(spark, sf_dir, "part")
+    parts = part.selectExpr("IF(p_partkey % 50 = 0, NULL, p_partkey) AS c_custkey", "p_name AS c_name")
+    again = part.where("p_partkey % 50 <> 0").selectExpr("p_partkey AS c_custkey", "concat(p_name, '~') AS c_name")
+    return tables.insert_if_absent(customers, "c_custkey", parts.unionByName(again))
 
 
 @query(
     "t4_insert_unique",
     """WITH known AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
-    f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+    e AS (SELECT CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id, event_id FROM events),
+    f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e)
     SELECT user_id, event_id,
-           n = 1 AND user_id NOT IN (SELECT c_custkey FROM known) AS accepted FROM f""",
+           user_id IS NULL OR (n = 1 AND user_id NOT IN (SELECT c_custkey FROM known)) AS accepted FROM f""",
 )
 def t4_insert_unique(spark, sf_dir):
     known = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
-    batch = table(spark, sf_dir, "events").select("user_id", "event_id")
+    batch = table(spark, sf_dir, "events").selectExpr("IF(event_id % 11 <> 0, user_id, NULL) AS user_id", "event_id")
     accepted, rejected = tables.insert_unique(
         known.select(F.col("c_custkey").alias("user_id")), "user_id", batch, "event_id"
     )
@@ -189,7 +195,8 @@ def t5_update_by_id(spark, sf_dir):
     changes = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("doc_id"), F.lit("edited").alias("title"), F.col("text").alias("content")
     )
-    return tables.update_by_id(docs, "doc_id", changes)
+    earlier = changes.select("doc_id", F.lit("edit").alias("title"), F.lit("").alias("content"))
+    return tables.update_by_id(docs, "doc_id", changes.unionByName(earlier))
 
 
 @query(

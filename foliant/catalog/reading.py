@@ -11,6 +11,7 @@ from foliant.operators.filters import default_created, min_arity
 from foliant.plans.sizing import scratch_path, spread
 from foliant.sources import dumps, pages
 from foliant.sources.index import path_exists, reload_index
+from foliant.sources.media import list_media
 
 # ---- pages -------------------------------------------------------------------------------------
 
@@ -49,8 +50,10 @@ def a5_reload_index(spark, sf_dir):
 
 # ---- dump import -------------------------------------------------------------------------------
 
-# Posts made of documents: one language is no post type, another has an unreadable date, a third has none.
-POSTS_SQL = """src AS (SELECT doc_id, source AS author, text AS content, substr(text, 1, 30) AS title,
+# Posts made of documents: one language is no post type, another has an unreadable date, a third has none; every tenth
+# post has nothing but white space.
+POSTS_SQL = """src AS (SELECT doc_id, source AS author, CASE WHEN doc_id % 10 = 3 THEN chr(9) ELSE text END AS content,
+    CASE WHEN doc_id % 10 = 3 THEN chr(10) ELSE text END AS title,
     CASE lang WHEN 'de' THEN '0000-00-00 00:00:00' WHEN 'fr' THEN '' ELSE '2024-01-05 10:00:00' END AS created,
     CASE lang WHEN 'es' THEN 'revision' WHEN 'fr' THEN 'page' ELSE 'post' END AS post_type FROM documents)"""
 NOW = "2024-02-01 00:00:00"
@@ -61,15 +64,15 @@ def dump_path(spark, sf_dir):
     path = derived_path(spark, sf_dir, "dump")
     if not path_exists(spark, f"{path}/_SUCCESS"):
         docs = spread(table(spark, sf_dir, "documents"))
-        lang = F.col("lang")
+        lang, blank = F.col("lang"), F.col("doc_id") % 10 == 3
         created = F.when(lang == "de", "0000-00-00 00:00:00").when(lang == "fr", "").otherwise("2024-01-05 10:00:00")
         kind = F.when(lang == "es", "revision").when(lang == "fr", "page").otherwise("post")
         filled = {
             0: F.col("doc_id").cast("string"),
             dumps.AUTHOR_COL: text.quote_value(F.col("source")),
             dumps.DATE_COL: text.quote_value(created),
-            dumps.CONTENT_COL: text.quote_value(F.col("text")),
-            dumps.TITLE_COL: text.quote_value(F.substring("text", 1, 30)),
+            dumps.CONTENT_COL: text.quote_value(F.when(blank, "\t").otherwise(F.col("text"))),
+            dumps.TITLE_COL: text.quote_value(F.when(blank, "\n").otherwise(F.col("text"))),
             dumps.TYPE_COL: text.quote_value(kind),
         }
         values = [filled.get(i, F.lit("''")) for i in range(23)]
@@ -102,31 +105,73 @@ def a6_read_sql_dump(spark, sf_dir):
     )
 
 
+@query(
+    "a6_read_sql_dump_mixed",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents",
+)
+def a6_read_sql_dump_mixed(spark, sf_dir):
+    """Lines that end in CR and LF, several statements on a line, and another table's rows between those asked for."""
+    path = derived_path(spark, sf_dir, "mixed-dump")
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        number = F.col("doc_id").cast("string")
+        line = F.concat(
+            F.lit("SET @x = 1; /* it's; */ INSERT INTO `other` VALUES ('no; rows', "), number, F.lit("); INSERT INTO `mixed` VALUES ("),
+            number, F.lit(","), text.quote_value(F.col("text")), F.lit("); insert into `other` values ("), number, F.lit(",'neither')"),
+        )
+        docs = spread(table(spark, sf_dir, "documents"))
+        docs.select(line.alias("value")).write.option("lineSep", ";\r\n").text(path)
+    return dumps.read_sql_dump(spark, path, "mixed").select(
+        F.get("values", F.lit(0)).alias("id"), text.unquote_value(F.get("values", F.lit(1))).alias("text")
+    )
+
+
+ACCEPTED_SQL = "post_type <> 'revision' AND doc_id % 10 <> 3"
+
+
 @query(
     "a8_import_posts",
-    f"""WITH {POSTS_SQL} SELECT title, content, post_type,
-    CAST(CASE WHEN created = '' THEN '{NOW}' ELSE created END AS TIMESTAMP) AS created_at
-    FROM src WHERE post_type <> 'revision' AND created <> '0000-00-00 00:00:00'""",
+    f"""WITH {POSTS_SQL} SELECT row_number() OVER (ORDER BY doc_id) AS id, title, content, post_type,
+    TRY_CAST(CASE WHEN created = '' THEN '{NOW}' ELSE created END AS TIMESTAMP) AS created_at,
+    CASE WHEN created = '' THEN '{NOW}' ELSE created END AS created_text
+    FROM src WHERE {ACCEPTED_SQL}""",
 )
 def a8_import_posts(spark, sf_dir):
     """Imported twice; the second run clears the table first, so each post is there once."""
     path = scratch_path(spark, "posts")
-    dumps.import_posts(dumped_posts(spark, sf_dir), path)
-    dumps.import_posts(dumped_posts(spark, sf_dir), path, truncate=True)
+    posts = dumped_posts(spark, sf_dir)
+    dumps.import_posts(posts, path)
+    dumps.import_posts(posts, path, truncate=True)
     return spark.read.parquet(path)
 
 
 @query(
     "g1_import_stats",
     f"""WITH {POSTS_SQL} SELECT
-    count(*) FILTER (post_type <> 'revision' AND created <> '0000-00-00 00:00:00') AS imported,
-    count(*) FILTER (post_type = 'revision') AS skipped,
-    count(*) FILTER (post_type <> 'revision' AND created = '0000-00-00 00:00:00') AS errors FROM src""",
+    count(*) FILTER ({ACCEPTED_SQL}) AS imported,
+    count(*) FILTER (NOT ({ACCEPTED_SQL})) AS skipped,
+    count(*) FILTER ({ACCEPTED_SQL} AND created = '0000-00-00 00:00:00') AS undated FROM src""",
 )
 def g1_import_stats(spark, sf_dir):
     return dumps.import_stats(dumped_posts(spark, sf_dir))
 
 
+@query(
+    "a7_list_media",
+    """SELECT row_number() OVER (ORDER BY s_suppkey) AS ordinal, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS supplier
+    FROM supplier WHERE s_suppkey % 3 <> 0""",
+)
+def a7_list_media(spark, sf_dir):
+    """A file for each supplier, in folders; files of another kind among them are not listed."""
+    path = derived_path(spark, sf_dir, "media")
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        key = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
+        files = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("of"), key).alias("k"), "s_name")
+        files.where("s_suppkey % 3 = 0").select("k", "s_name").write.partitionBy("k").mode("append").csv(path)
+        files.where("s_suppkey % 3 <> 0").select("k", "s_name").write.partitionBy("k").mode("append").text(path)
+    listed = list_media(spark, path, "txt")
+    return listed.select("ordinal", F.regexp_extract("path", "k=of([0-9]+)/", 1).alias("supplier"))
+
+
 @query(
     "p6_min_arity",
     """SELECT doc_id, text FROM documents WHERE len(string_split(text, ' ')) >= 21""",

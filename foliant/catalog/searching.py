@@ -138,8 +138,10 @@ def f4_match_term(spark, sf_dir):
 
 @query(
     "f5_match_all",
-    f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok)
-    SELECT query_id, a.doc_id FROM q JOIN t a ON a.term = q.w[1] JOIN t b ON b.term = q.w[2] AND b.doc_id = a.doc_id""",
+    f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
+    u AS (SELECT query_id, unnest(list_distinct(w[1:2])) AS term, len(list_distinct(w[1:2])) AS n FROM q),
+    h AS (SELECT query_id, doc_id, n FROM u JOIN t USING (term))
+    SELECT query_id, doc_id FROM h GROUP BY query_id, doc_id HAVING count(*) = any_value(n)""",
 )
 def f5_match_all(spark, sf_dir):
     return matches(match(search_index(spark, sf_dir), two_words(spark, sf_dir)))

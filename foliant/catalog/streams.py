@@ -8,9 +8,11 @@ from foliant.plans.sizing import scratch_path
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """The table, one file or a folder of part files, as a file stream; reading its schema fails if there is none."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # A stream reads the files of a folder; a glob also takes a single file, whose folder has other tables.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run_once(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:

@@ -1,15 +1,14 @@
-"""Per-statement helper of the dump reader: the tuples of one INSERT and their values."""
+"""Helpers of the dump reader that run inside its tasks: statements of a text, tuples of one INSERT and their values."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
-# Quoted strings, escapes, comment lines, and the three characters that shape a tuple.
-_PIECE = re.compile(
-    r"""'[^'\\]*(?:\\.[^'\\]*)*(?:'|\\?\Z)|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|^--[^\n]*|\\.|[(),]""",
-    re.DOTALL | re.MULTILINE,
-)
+# Quoted strings, comments and escapes, in which no other mark counts.
+_CLOSED = r"""'[^'\\]*(?:\\.[^'\\]*)*(?:'|\\?\Z)|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|^--[^\n]*|/\*.*?(?:\*/|\Z)|\\."""
+_END = re.compile(_CLOSED + "|;", re.DOTALL | re.MULTILINE)
+_PIECE = re.compile(_CLOSED + "|[(),;]", re.DOTALL | re.MULTILINE)
 _LEAD = r"(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/;?)*"
 
 
@@ -19,11 +18,27 @@ def insert_header(table: str) -> re.Pattern[str]:
     )
 
 
+def insert_bodies(text: str, header: re.Pattern[str]) -> Iterator[str]:
+    """What follows the header of each INSERT among the statements of a text, up to the end of the statement."""
+    start = 0
+    ends = [p.start() for p in _END.finditer(text) if p.group() == ";"]
+    for end in [*ends, len(text)]:
+        head = header.match(text, start, end)
+        if head:
+            yield text[head.end() : end]
+        start = end + 1
+
+
 def tuples_of(body: str) -> Iterator[list[str]]:
-    """Values of each top-level ``(...)``; commas part them outside quotes, an empty last one is dropped."""
+    """Values of each top-level ``(...)`` of a statement, up to its ``;``.
+
+    Commas part values outside quotes; an empty last one is dropped.
+    """
     depth, at, row = 0, 0, []
     for piece in _PIECE.finditer(body):
         mark = piece.group()
+        if mark == ";":
+            return
         if mark == "(":
             depth += 1
             if depth == 1:

@@ -23,9 +23,11 @@ def get_by_id(table: DataFrame, key: str, requested: DataFrame, requested_key: s
 
 
 def exists_key(probes: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
-    """Flag each probe row by whether its key stands in the table."""
-    present = table.select(F.col(table_key).alias(key)).distinct().withColumn("_hit", F.lit(True))
-    found = lookup_join(probes, present, [key], "left")
+    """Flag each probe row by whether its key stands in the table, which is only filtered by the probes' keys."""
+    asked = probes.select(key).where(F.col(key).isNotNull()).distinct()
+    keys = table.select(F.col(table_key).alias(key))
+    present = lookup_join(keys, asked, [key], "left_semi", bounded_by=probes).distinct().withColumn("_hit", F.lit(True))
+    found = lookup_join(probes, present, [key], "left", bounded_by=probes)
     return found.withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -22,7 +22,7 @@ SALTS = 16
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own.
+    Only a local master may fall back to a folder, beside its warehouse; the session's settings are left alone.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -32,11 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="foliant-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/foliant-scratch"
 
 
 def app_dir(spark: SparkSession) -> str:
@@ -65,11 +61,14 @@ def _bytes(field: StructField) -> Column:
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is within both bounds; no more than ``max_rows`` + 1 rows are looked at."""
+    """Whether a table is within both bounds.
+
+    The widths of its rows are taken partition after partition until a bound is passed; nothing is shuffled, and at most
+    ``max_rows`` + 1 numbers come to the driver.
+    """
     width = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema.fields])
-    seen = df.select(width.alias("w")).limit(max_rows + 1)
-    row = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("bytes")).first()
-    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+    seen = df.select(width.cast("bigint").alias("w")).take(max_rows + 1)
+    return len(seen) <= max_rows and sum(r["w"] for r in seen) <= max_bytes
 
 
 def inlined(df: DataFrame, max_rows: int) -> tuple[DataFrame, list | None]:
@@ -119,11 +118,11 @@ def lookup_join(
     A checked small ``dim`` is broadcast. Beyond the bound the facts of one key are
     spread over ``salts`` tasks and ``dim`` is repeated once for each of them.
     ``how`` must keep the facts on the left (inner, left, left_semi, left_anti).
-    ``bounded_by`` may name a cheaper table that has at least as many rows as ``dim``, or their number, if
-    the rows of ``dim`` are a few numbers and words.
+    ``bounded_by`` may name a cheaper table that has at least as many rows, and as wide ones, as ``dim``, or the number
+    of rows, which saves a look at a large ``dim``.
     """
     if isinstance(bounded_by, int):
-        fits = bounded_by <= max_rows
+        fits = bounded_by <= max_rows and is_small(dim, max_rows)
     else:
         fits = is_small(dim if bounded_by is None else bounded_by, max_rows)
     if fits:

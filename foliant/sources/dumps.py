@@ -1,10 +1,10 @@
 """Reading SQL dumps as tables, and the import of posts.
 
-Statements end at ``;`` and a line break. The text source cuts there, in parallel over splits of a
-file. Whether such a break stands inside a quoted value is checked for every record: each record maps the
+The text source cuts a dump at ``;`` and a line break (of the file's own kind), in parallel over splits of a
+file. A record between two cuts may hold any number of statements. Whether such a break stands inside a quoted value is checked for every record: each record maps the
 quote state before it to the state after it. Dumps as their tools write them never have one, and then records
-are statements. If some do, the maps are composed: inside a file split, then over the splits of a
-file (one tiny row each), and the records of one statement are put together again.
+are whole. If some do, the maps are composed: inside a file split, then over the splits of a
+file (one tiny row each), and the records of one value are put together again.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.sqlvalues import insert_header, tuples_of
-from foliant.functions.text import unquote_value
+from foliant.functions.sqlvalues import insert_bodies, insert_header, tuples_of
+from foliant.functions.text import is_blank, unquote_value
 from foliant.operators.filters import default_created, min_arity
 from foliant.plans.ordered import ordered
 from foliant.plans.sizing import spread, written
+from foliant.sources.index import path_exists
 
 BREAK = ";\n"
+HEAD_LINES = 1_000  # lines that show which line breaks a dump has
 MIN_VALUES = 21
 
 # Positions in a posts tuple.
@@ -42,9 +44,15 @@ def _state_after(record: Column, before: int) -> Column:
     return F.when(first == "'", SINGLE).when(first == '"', DOUBLE).otherwise(PLAIN)
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _break_of(spark: SparkSession, path: str) -> str:
+    """Where records end. If files mix line breaks, records only come out longer than need be."""
+    head = spark.read.option("lineSep", "\n").text(path).limit(HEAD_LINES)
+    return ";\r\n" if head.where(F.col("value").endswith("\r")).take(1) else BREAK
+
+
+def _records(spark: SparkSession, path: str, line_sep: str) -> DataFrame:
     return (
-        spark.read.option("lineSep", BREAK)
+        spark.read.option("lineSep", line_sep)
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
@@ -55,7 +63,7 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _glued(records: DataFrame) -> DataFrame:
+def _glued(records: DataFrame, line_sep: str) -> DataFrame:
     """Statements of records whose breaks may stand inside quoted values."""
     maps = [_state_after(F.col("record"), s).alias(f"to{s}") for s in (PLAIN, SINGLE, DOUBLE)]
     kept = written(records.select("*", *maps), "records")
@@ -96,20 +104,22 @@ def _glued(records: DataFrame) -> DataFrame:
     whole = ordered(begun, ["file"], ["block", "seq"]).carry("_start", "start").rows()
     parts = F.array_sort(F.collect_list(F.struct("block", "seq", "record")))
     return whole.groupBy("file", "start").agg(
-        F.array_join(F.transform(parts, lambda p: p["record"]), BREAK).alias("statement")
+        F.array_join(F.transform(parts, lambda p: p["record"]), line_sep).alias("statement")
     ).select("statement")
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    records = _records(spark, path)
+    """(statement): texts that begin and end outside quotes and together hold all statements of the dump."""
+    line_sep = _break_of(spark, path)
+    records = _records(spark, path, line_sep)
     # an aggregate looks at all splits at once; looking for a first row would go through them in turns
     if (records.agg(F.max(_state_after(F.col("record"), PLAIN))).first()[0] or PLAIN) == PLAIN:
         return records.select(F.col("record").alias("statement"))
-    return _glued(records)
+    return _glued(records, line_sep)
 
 
 def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """(values array<string>), one row for each tuple of ``INSERT INTO `table` VALUES``.
+    """(values array<string>), one row for each tuple of ``INSERT INTO `table` VALUES``, wherever it stands.
 
     Bytes that are not UTF-8 are ignored. The statements stay where the scan put them.
     """
@@ -119,15 +129,11 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
         for batch in batches:
             for raw in batch["raw"]:
                 text = bytes(raw).decode("utf-8", "ignore")
-                head = header.match(text)
-                if head:
-                    rows = list(tuples_of(text[head.end() :]))
-                    if rows:
-                        yield pd.DataFrame({"values": rows})
-
-    found = read_statements(spark, path).where(
-        F.contains(F.lower("statement"), F.lit(f"insert into `{table.lower()}`"))
-    )
+                rows = [row for body in insert_bodies(text, header) for row in tuples_of(body)]
+                if rows:
+                    yield pd.DataFrame({"values": rows})
+
+    found = read_statements(spark, path).where(F.contains(F.lower("statement"), F.lit(f"`{table.lower()}`")))
     return spread(found.select(F.col("statement").cast("binary").alias("raw"))).mapInPandas(
         parse, "values array<string>"
     )
@@ -142,42 +148,64 @@ def post_rows(
     type_col: int = TYPE_COL,
     min_values: int = MIN_VALUES,
 ) -> DataFrame:
-    """Posts before filtering: (title, content, created_text, post_type, status).
+    """Posts before filtering: (dump_id, title, content, created_text, post_type, status).
 
-    ``status`` is imported, skipped or errors; a date that cannot be read is an error. Tuples with too few values
-    are no rows at all. ``title_col=1`` takes the author column as title.
+    ``status`` is imported, undated (imported as well, but the date cannot be read) or skipped. Tuples with too few
+    values are no rows at all. ``title_col=1`` takes the author column as title.
     """
 
     def value(i: int) -> Column:
         return unquote_value(F.get("values", F.lit(i)))
 
     rows = min_arity(tuples, "values", min_values).select(
+        value(0).try_cast("bigint").alias("dump_id"),
         value(title_col).alias("title"),
         value(content_col).alias("content"),
         default_created(value(date_col), now).alias("created_text"),
         value(type_col).alias("post_type"),
     )
-    blank = (F.trim("title") == "") & (F.trim("content") == "")
+    blank = is_blank(F.col("title")) & is_blank(F.col("content"))
     skipped = ~F.col("post_type").isin(POST_TYPES) | blank
     unreadable = F.col("created_text").try_cast("timestamp").isNull()
     return rows.withColumn(
-        "status", F.when(skipped, "skipped").when(unreadable, "errors").otherwise("imported")
+        "status", F.when(skipped, "skipped").when(unreadable, "undated").otherwise("imported")
     )
 
 
-def imported_posts(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("status") == "imported").select(
-        "title", "content", F.col("created_text").try_cast("timestamp").alias("created_at"), "post_type"
+def imported_posts(rows: DataFrame, last_id: int = 0) -> DataFrame:
+    """The accepted posts under new ids after ``last_id``, in the order of their ids in the dump.
+
+    ``created_text`` is the date as it was given; ``created_at`` is null where it cannot be read.
+    """
+    accepted = written(rows.where(F.col("status").isin("imported", "undated")), "posts")
+    numbered = ordered(accepted, [], ["dump_id", "created_text", "title", "content"]).number("_no").rows()
+    return numbered.select(
+        (F.col("_no") + last_id).cast("bigint").alias("id"),
+        "title",
+        "content",
+        F.col("created_text").try_cast("timestamp").alias("created_at"),
+        "created_text",
+        "post_type",
     )
 
 
 def import_stats(rows: DataFrame) -> DataFrame:
-    return rows.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("imported", "skipped", "errors")])
+    """imported counts all accepted posts, undated those among them whose date cannot be read."""
+    accepted = F.col("status").isin("imported", "undated")
+    return rows.agg(
+        F.count_if(accepted).alias("imported"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"),
+        F.count_if(F.col("status") == "undated").alias("undated"),
+    )
 
 
 def import_posts(rows: DataFrame, path: str, truncate: bool = False) -> None:
-    """Append the accepted posts; ``truncate`` clears the table first."""
-    imported_posts(rows).write.mode("overwrite" if truncate else "append").parquet(path)
+    """Append the accepted posts, with ids after those that are there; ``truncate`` clears the table first."""
+    spark = rows.sparkSession
+    last = 0
+    if not truncate and path_exists(spark, f"{path}/_SUCCESS"):
+        last = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    imported_posts(rows, last).write.mode("overwrite" if truncate else "append").parquet(path)
 
 
 def write_sql_dump(rows: DataFrame, path: str, table: str, values: list[Column]) -> None:

@@ -72,6 +72,19 @@ def test_breaks_inside_values(spark, tmp_path, split_bytes):
     )
 
 
+MIXED = "SET x=1; INSERT INTO `t` VALUES (1,'a;b');INSERT INTO `other` VALUES ('no');\n-- it's; a note\ninsert  into `t` values (2,'c'),(3,'d')"
+
+
+@pytest.mark.parametrize("line_break", ["\n", "\r\n"])
+def test_inserts_stand_anywhere(spark, tmp_path, line_break):
+    body = (MIXED + ";\n/* 'x; */ INSERT INTO `t` VALUES (4,'e')" + ";\nINSERT INTO `t` VALUES (5,'f');").replace("\n", line_break)
+    path = dump_file(tmp_path, body)
+    got = sorted(r["values"] for r in dumps.read_sql_dump(spark, path, "t").collect())
+    assert got == [["1", "'a;b'"], ["2", "'c'"], ["3", "'d'"], ["4", "'e'"], ["5", "'f'"]]
+    if line_break == "\r\n":
+        assert dumps.read_statements(spark, path).count() > 2
+
+
 def test_other_encodings_are_ignored(spark, tmp_path):
     raw = b"INSERT INTO `t` VALUES (1,'ab\xff\xfec\xc3');\n"
     assert dumps.read_sql_dump(spark, dump_file(tmp_path, "", raw=raw), "t").first()["values"] == ["1", "'abc'"]
@@ -90,25 +103,28 @@ def test_import_rules(spark, tmp_path):
         post(_2="''", _4="'body'", _5="''", _20="'page'"),
         post(_2="NULL", _4="''", _5="'only title'", _20='"post"'),
         post(_2="'2024-01-05'", _4="'  '", _5="' '", _20="'post'"),
+        post(_2="'2024-01-05'", _4="'\t'", _5="'\n'", _20="'post'"),
         post(_2="'2024-01-05'", _4="'x'", _5="'y'", _20="'revision'"),
         post(_2="'0000-00-00 00:00:00'", _4="'x'", _5="'y'", _20="'post'"),
         "(1,2,3)",
     ]
     path = dump_file(tmp_path, f"INSERT INTO `p` VALUES {','.join(rows)};\n")
     tuples = dumps.read_sql_dump(spark, path, "p")
-    assert tuples.count() == 7
+    assert tuples.count() == 8
     found = dumps.post_rows(tuples, F.lit(NOW))
-    assert tuple(dumps.import_stats(found).first()) == (3, 2, 1)
+    assert tuple(dumps.import_stats(found).first()) == (4, 3, 1)
     out = str(tmp_path / "posts")
     dumps.import_posts(found, out)
     dumps.import_posts(found, out)
-    assert spark.read.parquet(out).count() == 6
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(1, 9))
     dumps.import_posts(found, out, truncate=True)
     titles = {(r["title"], str(r["created_at"])) for r in spark.read.parquet(out).collect()}
     assert titles == {
         ("Title", "2024-01-05 10:00:00"),
         ("", "2024-02-01 00:00:00"),
         ("only title", "2024-02-01 00:00:00"),
+        ("y", "None"),
     }
+    assert spark.read.parquet(out).where("title = 'y'").first()["created_text"] == "0000-00-00 00:00:00"
     by_author = dumps.post_rows(tuples, F.lit(NOW), title_col=1).where("content = 'body' and post_type = 'post'").first()
     assert by_author["title"] == "7"

@@ -168,3 +168,14 @@ def test_assemble_stream(spark, tmp_path):
     assert {(r["stream"], r["text"], r["status"]) for r in got} == {
         (s, t, st) for s, _, _, t, st in FRAMES
     } | {("z", "", "done"), ("y", "", "done")}
+
+
+def test_streams_of_files_and_folders(spark, tmp_path):
+    from foliant.catalog.streams import run_once, stream_of
+
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).toPandas().to_parquet(tmp_path / "one.parquet")
+    for name, n in (("many", 10), ("one", 4)):
+        assert run_once(spark, stream_of(spark, str(tmp_path), name), "test-stream").count() == n
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        stream_of(spark, str(tmp_path), "none")

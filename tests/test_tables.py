@@ -42,6 +42,41 @@ def test_unique_and_absent(spark, users):
     assert [r[1] for r in rows(seeded)] == ["ann", "new", "bob", "cy"]
 
 
+def test_repeated_and_null_keys(spark, users):
+    batch = spark.createDataFrame(
+        [(10, "new", "a"), (10, "new", "a"), (11, "new", "b"), (12, None, "c"), (12, None, "c"), (13, "ann", "d")],
+        "id bigint, name string, role string",
+    )
+    ok, rejected = tables.insert_unique(users, "name", batch, "id")
+    assert sorted(map(tuple, ok.select("id", "role").collect())) == [(10, "a"), (12, "c"), (12, "c")]
+    assert sorted(map(tuple, rejected.select("id", "role").collect())) == [(10, "a"), (11, "b"), (13, "d")]
+    seeded = tables.insert_if_absent(users, "name", batch)
+    assert seeded.count() == users.count() + 3
+    assert rows(seeded.where("name = 'new'")) == [(10, "new", "a")]
+    changes = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (2, "a", 3)], "id bigint, role string, o int")
+    assert tables.update_by_id(users, "id", changes, ["o"]).where("id = 2").first()["role"] == "a"
+    assert tables.update_by_id(users, "id", changes).count() == users.count()
+
+
+def test_key_lookups_do_not_shuffle_the_large_table(spark):
+    large = spark.range(200_000).withColumnRenamed("id", "k")
+    probes = spark.createDataFrame([(5,), (None,), (300_000,)], "k bigint")
+    found = filters.exists_key(probes, "k", large, "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Range (0, 200000") == 1
+    assert {(r["k"], r["found"]) for r in found.collect()} == {(5, True), (None, False), (300_000, False)}
+
+
+def test_commit_replaces_what_it_reads(spark, users, tmp_path):
+    base = str(tmp_path / "kept")
+    assert tables.generations(spark, base) == []
+    tables.commit(users, base)
+    now = tables.commit(tables.update_by_id(tables.committed(spark, base), "id", users.limit(1).select("id", F.lit("z").alias("role"))), base)
+    assert now.count() == users.count() and now.where("role = 'z'").count() == 1
+    (tmp_path / "kept" / "generation-3").mkdir()
+    assert tables.generations(spark, base) == [1, 2] and tables.committed(spark, base).where("role = 'z'").count() == 1
+
+
 def test_update_delete_replace(spark, users):
     changes = spark.createDataFrame([(2, None), (9, "x")], "id bigint, role string")
     assert rows(tables.update_by_id(users, "id", changes)) == [(1, "ann", "admin"), (2, "bob", None), (3, "cy", None)]
