@@ -199,10 +199,14 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     span = lambda low, high: F.expr(f"shiftleft(CAST({low} AS BIGINT), 32) | ({high} + {width})").alias("stretch")
     runs = settle(docs.mapInArrow(_running(width), f"doc_id {kind}, tag bigint, place bigint, pivot bigint, whole bigint"), "suffix-runs")
 
+    # Digits that occur twice are written before they are joined: then both sides of each join are plain exchanges, and
+    # Spark can split the partitions of hot digits.
+    twice = lambda rows, key: settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), f"suffix-{key}")
+
     # Pass 1: runs alone with their pivot leave.
-    pivots = runs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pivot")
+    pivots = twice(runs, "pivot")
     shared = settle(runs.join(pivots, "pivot"), "suffix-shared")
-    forget(spark, runs)
+    forget(spark, runs, pivots)
 
     # Pass 2: runs with all bytes equal are repeated; different runs with one pivot are opened, one of each.
     wholes = settle(
@@ -212,7 +216,7 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     equal = shared.join(wholes.where("n > 1").select("pivot", "whole"), ["pivot", "whole"]).select(
         "doc_id", "tag", span("shiftrightunsigned(place, 24)", "shiftrightunsigned(place, 24) + (shiftrightunsigned(place, 12) & 4095) - 1")
     )
-    mixed = wholes.groupBy("pivot").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("pivot")
+    mixed = twice(wholes, "pivot")
     opened = wholes.join(mixed, "pivot").select(
         "one.doc_id", "one.tag", F.expr("shiftleft(one.place, 1) | IF(n = 1, 1, 0)").alias("packed")
     )
@@ -230,7 +234,7 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .join(full.where("n > 1").select("core", "left", "right"), ["core", "left", "right"])
         .select("doc_id", "tag", span("low", "high"))
     )
-    cores = full.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    cores = twice(full, "core")
 
     # Pass 4: single windows, told apart by what they have left and right of the shared bytes.
     before = F.expr("octet_length(left) - (window - one.low)")  # bytes of the window left of the shared ones
@@ -250,10 +254,10 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         )
     )
     windows = settle(windows, "suffix-windows")
-    twice = windows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
-    single = windows.where("undecided").join(twice, "digit").select("doc_id", "tag", span("window", "window"))
+    digits = twice(windows, "digit")
+    single = windows.where("undecided").join(digits, "digit").select("doc_id", "tag", span("window", "window"))
     found = settle(equal.unionByName(equal_cells).unionByName(single), "suffix-stretches")
-    forget(spark, shared, wholes, cells, full, windows)
+    forget(spark, shared, wholes, mixed, cells, full, cores, windows, digits)
     return found
 
 
@@ -291,9 +295,11 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A byte is removed if it lies in a string of ``width`` bytes that also starts anywhere else, in the same document or
     another; all occurrences go, and strings are judged on the texts as they came. Null counts as empty; texts shorter
-    than ``width`` are kept whole. A null doc_id is kept as it is. Rows with equal texts lose all that is as long as the
+    than ``width`` (32 at least) are kept whole. A null doc_id is kept as it is. Rows with equal texts lose all that is as long as the
     window, whether or not they share an id. Texts of 4 GiB and more are not supported (Spark's strings end at 2 GiB).
     """
+    if width < 2 * CELL:
+        raise ValueError(f"width must be at least {2 * CELL}")
     texts = tagged(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
