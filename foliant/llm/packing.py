@@ -32,7 +32,7 @@ SENTENCE_CUT = 16  # a cut between sentences counts as much as this many tokens
 HARD_CUT = 256  # a cut inside a sentence that is longer than a window
 HARD_STEP = 512
 BLOCK = 1 << 21  # tokens whose cuts are chosen together
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000  # encoded words that a task remembers
 CLOSERS = "\"')]}»”’"
 ENDS = (".", "!", "?", "…", "。")
 
@@ -293,6 +293,7 @@ def _packing(path: str, window: int, sentence_cut: int, hard_cut: int, block: in
                         if len(held) >= 4096:
                             yield batch(held, kind)
                             held = []
+        words.clear_all()  # the worker goes on to other tasks
         for piece in stream.emit(last=True):
             held.append(piece)
             if len(held) >= 4096:

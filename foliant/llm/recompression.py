@@ -33,7 +33,7 @@ ROUNDS = 4
 LONGEST = 16  # words that a pair may stand for at most; runs may be longer
 POSITION = 24  # bits of a place inside a chunk
 SEGMENT = 1 << 20  # words; longer texts are cut into segments that overlap by a window
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 18  # word digests that a worker remembers
 
 _random = np.random.default_rng(20_012)
 _ODD = _random.integers(0, 1 << 63, 2 * ROUNDS + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
