@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -49,15 +49,14 @@ def _hits(words: list[str], units: list[tuple[list[str], bool]]) -> list[tuple[i
     return sorted(found)
 
 
-def _window(hits: list, p: int, n: int, dl: int) -> tuple[int, int]:
-    """Score of the window that starts at token ``p`` and where it is best placed."""
+def _window(hits: list, at: list[int], p: int, n: int, dl: int) -> tuple[int, int]:
+    """Score of the window that starts at token ``p`` and where it is best placed; ``at`` are the hits' tokens."""
     seen, score, first, last = set(), 0, -1, 0
-    for k, unit, length in hits:
-        if p <= k < p + n:
-            score += REPEAT_HIT if unit in seen else FIRST_HIT
-            seen.add(unit)
-            first = k if first < 0 else first
-            last = k + length
+    for k, unit, length in hits[bisect_left(at, p) : bisect_left(at, p + n)]:
+        score += REPEAT_HIT if unit in seen else FIRST_HIT
+        seen.add(unit)
+        first = k if first < 0 else first
+        last = k + length
     return score, max(0, min(first - int((n - (last - first)) / 2), dl - n))
 
 
@@ -69,15 +68,16 @@ def _best_start(text: str, words: list, hits: list, n: int) -> int:
         if i == 0 or _SENTENCE_END.search(text, words[i - 1][1], at)
     ]
     best, start = 0, 0
-    for k, _, _ in hits:
-        tries = [_window(hits, k, n, dl)]
+    at = [k for k, _, _ in hits]
+    for k in at:
+        tries = [_window(hits, at, k, n, dl)]
         sentence = sentences[bisect_right(sentences, k) - 1]
         if dl > n and sentence < k:
             extra = TEXT_START if sentence == 0 else SENTENCE_START
-            tries.append((_window(hits, sentence, n, dl)[0] + extra, sentence))
-        for score, at in tries:
+            tries.append((_window(hits, at, sentence, n, dl)[0] + extra, sentence))
+        for score, place in tries:
             if score > best:
-                best, start = score, at
+                best, start = score, place
     return start
 
 

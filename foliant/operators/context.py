@@ -28,6 +28,7 @@ def attach_last_search(
     those do not overwrite. Prompts that do not ask for it get NULL.
     """
     marked = log.withColumn("_found", found).withColumn("_ask", is_prompt)
+    marked = marked.where(F.col("_ask") | F.col("_found").isNotNull())  # other rows say nothing
     carried = ordered(marked, [session], order, **kw).carry("_found", name).rows()
     prompts = carried.where(F.col("_ask")).drop("_found", "_ask")
     return prompts.withColumn(name, F.when(wants_context(prompt), F.col(name)))

@@ -50,8 +50,9 @@ def interval_lookup(
     found = lookup_join(placed, spans, ["_level", "_cell"], spread_by=key).where(
         (at >= F.col("start")) & (at < F.col("end"))
     )
-    first = found.groupBy(*key).agg(F.min("idx").alias("idx"))
-    return points.join(first, key, "left")
+    first = found.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min("idx").alias("idx"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]  # a point without key is looked up as well
+    return points.join(first, same, "left").select(*points.columns, "idx")
 
 
 def carry_forward(

@@ -26,6 +26,7 @@ from foliant.functions.text import tokens
 from foliant.plans.sizing import lookup_join, spread
 
 MIN_PER_FILE, MAX_PER_FILE = 500_000, 16_000_000
+UNSPLIT_FILES = 16  # a smaller index is little work, however frequent a word
 PAGE = ["doc_id", "page_num"]
 
 
@@ -166,7 +167,7 @@ def _layout(total_tokens: int, tokens_per_file: int | None, cores: int) -> tuple
     if tokens_per_file is None:
         tokens_per_file = min(MAX_PER_FILE, max(MIN_PER_FILE, total_tokens // (4 * cores)))
     files = max(1, ceil(total_tokens / tokens_per_file))
-    if files <= 4 * cores:
+    if files <= UNSPLIT_FILES:
         return files, 1
     return ceil(sqrt(files)), ceil(sqrt(files))
 
@@ -176,6 +177,9 @@ def write_index(
 ) -> Index:
     """Rebuild the four tables under ``path``."""
     spark = pages.sparkSession
+    if mode == "overwrite":  # while the tables are replaced, the path holds no whole index
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
+        marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, True)
     tokenize_pages(spread(pages)).write.mode(mode).parquet(f"{path}/tokens")
     toks = _read(spark, path, "tokens")
     totals = corpus_stats(toks).first()

@@ -24,6 +24,7 @@ def session_last_search(
         session, tie, micros(log, ts).alias("_us"), is_prompt.alias("_ask"),
         found.cast("string").alias("_found"), wants_context(prompt).alias("_wants"),
     )
+    rows = rows.where(F.col("_ask") | F.col("_found").isNotNull())  # other rows say nothing
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

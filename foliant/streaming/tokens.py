@@ -17,6 +17,7 @@ DATA, END = "data: ", "\n\n"
 DONE, ERROR = "[DONE]", "[ERROR]"
 
 SEGMENT = 10_000
+CLOSED = [-1]  # numbers kept of a stream that has been given out
 
 
 def frame_token_stream(tokens: DataFrame, chunk: str, error: str | None = None) -> DataFrame:
@@ -48,7 +49,8 @@ def assemble_token_stream(
     """(stream, part, text, status): chunks in order up to the first terminal frame.
 
     A long stream is put together in parts of ``segment`` frames, so no task holds a whole one; streams
-    below that come out as one row. An error frame adds its text on a new line. Frames are numbered from 0.
+    below that come out as one row. An error frame adds its text on a new line. Frames are numbered from 0; a stream
+    without terminal frame, or with a frame missing before it, is lost. Later frames count for nothing.
     """
     rows = frames.select(
         stream,
@@ -61,11 +63,18 @@ def assemble_token_stream(
     )
     closing = F.transform(F.filter("_rows", lambda r: _is_end(r["_p"])), lambda r: r["_seq"])
     parts = parts.withColumn("_end", F.array_min(closing))
+    # A part is whole if all its numbers up to its end are there.
+    numbers = F.array_distinct(F.transform("_rows", lambda r: r["_seq"]))
+    up_to_end = F.filter(numbers, lambda s: F.col("_end").isNull() | (s <= F.col("_end")))
+    needed = F.when(F.col("_end").isNull(), segment).otherwise(F.col("_end") - F.col("part") * segment + 1)
+    parts = parts.withColumn("_whole", F.size(up_to_end) == needed)
     # One small row for each part carries the end of its stream, so both sides of the join are even.
     of_stream = Window.partitionBy(stream)
-    known = parts.select(stream, "part", F.min("_end").over(of_stream).alias("_stop"))
-    joined = parts.drop("_end").join(known, [stream, "part"])
+    known = parts.select(stream, "part", "_whole", F.min("_end").over(of_stream).alias("_stop"))
     stop = F.col("_stop")
+    whole = F.count_if(F.col("_whole") & (F.col("part") <= F.floor(stop / segment))).over(of_stream)
+    known = known.withColumn("_gap", whole != F.floor(stop / segment) + 1).drop("_whole")
+    joined = parts.drop("_end", "_whole").join(known, [stream, "part"])
     live = F.filter("_rows", lambda r: stop.isNull() | (r["_seq"] <= stop))
 
     def text(r: Column) -> Column:
@@ -82,7 +91,7 @@ def assemble_token_stream(
             stream,
             "part",
             F.array_join(F.transform("_rows", text), "").alias("text"),
-            F.when(stop.isNull(), "lost")
+            F.when(stop.isNull() | F.col("_gap"), "lost")
             .when(~here, "open")
             .when(F.startswith(last, F.lit(ERROR)), "error")
             .otherwise("done")
@@ -96,24 +105,32 @@ def assemble_stream(
 ) -> DataFrame:
     """Streaming form: emits (stream, text, status) once all frames up to the terminal one are there.
 
-    A stream without news until the watermark passes its timeout is given out as lost.
+    A stream without news until the watermark passes its timeout is given out as lost. Frames after the terminal one
+    are dropped; that a stream is closed is remembered until the timeout.
     """
     delay_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     rows = frames.select(
         stream, F.col(seq).cast("bigint").alias("_seq"), frame_payload(F.col(frame)).alias("_p"), ts
     ).withWatermark(ts, timeout)
 
-    def joined(chunks: list[tuple[int, str]]) -> str:
-        return "".join(p for _, p in sorted(chunks)).replace("\\n", "\n")
+    def joined(chunks: dict[int, str]) -> str:
+        """Text up to the first terminal frame, of which only an error's text is shown."""
+        end = min((s for s, p in chunks.items() if p == DONE or p.startswith(ERROR)), default=None)
+        text = "".join(p for s, p in sorted(chunks.items()) if end is None or s < end).replace("\\n", "\n")
+        return text if end is None or chunks[end] == DONE else text + "\n" + chunks[end]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, payloads = (list(x) for x in state.get) if state.exists else ([], [])
+        closed = seqs == CLOSED
         if state.hasTimedOut:
             state.remove()
-            text = joined(list(zip(seqs, payloads)))
-            yield pd.DataFrame({stream: [key[0]], "text": [text], "status": ["lost"]})
+            if not closed:
+                text = joined(dict(zip(seqs, payloads)))
+                yield pd.DataFrame({stream: [key[0]], "text": [text], "status": ["lost"]})
             return
         latest = 0
+        if closed:
+            return
         for pdf in batches:
             seqs += [int(s) for s in pdf["_seq"]]
             payloads += list(pdf["_p"])
@@ -122,13 +139,9 @@ def assemble_stream(
         ends = [s for s, p in chunks.items() if p == DONE or p.startswith(ERROR)]
         if ends and all(s in chunks for s in range(min(ends))):
             end = min(ends)
-            text = joined([(s, p) for s, p in chunks.items() if s < end])
-            failed = chunks[end] != DONE
-            text += "\n" + chunks[end] if failed else ""
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({stream: [key[0]], "text": [text], "status": ["error" if failed else "done"]})
-            return
+            status = "done" if chunks[end] == DONE else "error"
+            yield pd.DataFrame({stream: [key[0]], "text": [joined(chunks)], "status": [status]})
+            seqs, payloads = CLOSED, [""]
         state.update((seqs, payloads))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + delay_ms)
 

@@ -170,6 +170,25 @@ def test_assemble_stream(spark, tmp_path):
     } | {("z", "", "done"), ("y", "", "done")}
 
 
+@pytest.mark.parametrize("segment", [10_000, 2, 1])
+def test_a_missing_frame_loses_the_stream_in_both_forms(spark, tmp_path, segment):
+    rows = [("g", 0, "a"), ("g", 2, "c"), ("g", 3, "[DONE]"), ("w", 0, "x"), ("w", 1, "[DONE]"), ("w", 2, "late"), ("n", 1, "p"), ("n", 2, "[DONE]")]
+    frames = spark.createDataFrame([(s, n, f"data: {p}\n\n", n) for s, n, p in rows], "stream string, seq int, frame string, id int")
+    batch = {}
+    for r in sorted(tokens.assemble_token_stream(frames, "stream", "seq", "frame", segment).collect(), key=lambda r: (r["stream"], r["part"])):
+        batch[r["stream"]] = (batch.get(r["stream"], ("",))[0] + r["text"], r["status"])
+    assert batch == {"g": ("ac", "lost"), "w": ("x", "done"), "n": ("p", "lost")}
+    if segment == 2:
+        at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 60).alias("ts")
+        rows = frames.select("stream", "seq", "frame", "id", at, F.col("seq").cast("double").alias("s"))
+        for i in (1, 2):
+            late = F.timestamp_seconds(F.lit(1_700_000_000 + i * 100_000)).alias("ts")
+            tail = spark.createDataFrame([(f"z{i}", 0, "data: [DONE]\n\n", 8 + i, 8.0 + i)], "stream string, seq int, frame string, id int, s double")
+            rows = rows.unionByName(tail.select("stream", "seq", "frame", "id", late, "s"))
+        got = streamed(spark, tmp_path, rows, lambda s: tokens.assemble_stream(s, "stream", "seq", "frame", "ts", "10 minutes"), parts=6)
+        assert sorted((r["stream"], r["text"], r["status"]) for r in got if r["stream"][0] != "z") == sorted((s, *v) for s, v in batch.items())
+
+
 def test_streams_of_files_and_folders(spark, tmp_path):
     from foliant.catalog.streams import run_once, stream_of
 
