@@ -266,7 +266,8 @@ def t1_ensure_table(spark, sf_dir):
     tables.ensure_table(spark, name, "c_custkey BIGINT, c_name STRING", path)
     table(spark, sf_dir, "customer").select("c_custkey", "c_name").write.insertInto(name)
     tables.ensure_table(spark, name, "c_custkey BIGINT, c_name STRING", path)
-    return spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the rows stay at their location
+    return spark.read.parquet(path)
 
 
 @query("t8_truncate", "SELECT count(*) AS n_before, 0 AS n_after FROM customer")
@@ -277,7 +278,8 @@ def t8_truncate(spark, sf_dir):
     table(spark, sf_dir, "customer").select("c_custkey", "c_name").write.insertInto(name)
     before = spark.table(name).count()
     tables.truncate(spark, name)
-    counted = spark.table(name).agg(F.count(F.lit(1)).alias("n_after"))
+    counted = spark.createDataFrame([(spark.table(name).count(),)], "n_after bigint")
+    spark.sql(f"DROP TABLE {name}")
     return counted.select(F.lit(before).alias("n_before"), "n_after")
 
 

@@ -17,7 +17,8 @@ from foliant.catalog.base import (
     table,
     words_sql,
 )
-from foliant.functions.text import clean_query
+from foliant.functions.querytext import query_fields
+from foliant.functions.text import clean_query, tokens
 from foliant.operators.display import join_snippets, rank_display, remap_marks
 from foliant.operators.search import (
     hit_counts,
@@ -335,18 +336,47 @@ def p9_skip_empty_query(spark, sf_dir):
     return skip_empty(log, "text")
 
 
+@query(
+    "f19_query_text",
+    f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
+    words AS (
+        SELECT query_id, unnest(list_distinct(w)) AS term, len(list_distinct(w)) AS n FROM q WHERE query_id % 4 = 0
+        UNION ALL SELECT query_id, unnest(w[1:2]), 1 FROM q WHERE query_id % 4 = 1),
+    ph AS (SELECT query_id, doc_id FROM q JOIN tok ON contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[1] || ' ' || w[2] || ' ')
+           AND contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[3] || ' ' || w[4] || ' ') WHERE query_id % 4 = 3)
+    SELECT query_id, doc_id FROM words JOIN t USING (term) GROUP BY query_id, doc_id HAVING count(DISTINCT term) >= any_value(n)
+    UNION ALL SELECT query_id, a.doc_id FROM q JOIN t a ON a.term = q.w[1] WHERE query_id % 4 = 2
+        AND NOT EXISTS (SELECT 1 FROM t b WHERE b.term = q.w[2] AND b.doc_id = a.doc_id)
+        AND EXISTS (SELECT 1 FROM t c WHERE starts_with(c.term, q.w[3][1:2]) AND c.doc_id = a.doc_id)
+        AND EXISTS (SELECT 1 FROM t c WHERE starts_with(c.term, q.w[4][1:2]) AND c.doc_id = a.doc_id)
+    UNION ALL SELECT query_id, doc_id FROM ph""",
+)
+def f19_query_text(spark, sf_dir):
+    """Whole passages as typed, and typed forms with OR, with NOT and two prefixes, and with two phrases."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", tokens(F.col("text")).alias("w"))
+    w = lambda i: F.get("w", F.lit(i))
+    kind = F.col("query_id") % 4
+    typed = (
+        F.when(kind == 0, F.col("text"))
+        .when(kind == 1, F.concat(w(0), F.lit(" OR "), w(1)))
+        .when(kind == 2, F.concat(w(0), F.lit(" NOT "), w(1), F.lit(" "), w(2).substr(1, 2), F.lit("* "), w(3).substr(1, 2), F.lit("*")))
+        .otherwise(F.concat(F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" "'), w(2), F.lit(" "), w(3), F.lit('"')))
+    )
+    return matches(match(search_index(spark, sf_dir), queries_of(items, **query_fields(typed))))
+
+
 @query(
     "g3_join_snippets",
     f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
     f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank_no
           FROM q JOIN t ON t.term = q.w[1] QUALIFY rank_no <= 3)
-    SELECT query_id, string_agg('Snippet: ' || substr(text, 1, 40), chr(10) ORDER BY rank_no) AS context
+    SELECT query_id, string_agg('Snippet: ' || text, chr(10) ORDER BY rank_no) AS context
     FROM f JOIN documents USING (doc_id) GROUP BY query_id""",
 )
 def g3_join_snippets(spark, sf_dir):
     asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice("w", 1, 1))
     first = search_first_n(search_index(spark, sf_dir), asked)
-    heads = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("snippet"))
+    heads = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("snippet"))
     return join_snippets(first.join(heads, "doc_id"), ["query_id"], "rank_no", "snippet")
 
 

@@ -1,8 +1,8 @@
 """Batches of full-text queries over an index.
 
-A query row is (query_id, must, should, must_not, phrase, prefix): arrays of words, except for the
-prefix, and all but the id may be NULL. A page matches if it has all of ``must``, the phrase and the
-prefix, at least one of ``should`` if there are any, and none of ``must_not``. A query with nothing but
+A query row is (query_id, must, should, must_not, phrase, prefix, phrases, prefixes): arrays of words, except for the
+prefix and the array of phrases, and all but the id may be NULL. A page matches if it has all of ``must``, every phrase and
+every prefix, at least one of ``should`` if there are any, and none of ``must_not``. A query with nothing but
 ``must_not``, or with nothing at all, matches no page.
 
 Each query becomes scoring units (a word, a phrase or a prefix). Hits of all units are found by joining the
@@ -27,7 +27,7 @@ from foliant.sources.index import PAGE, Index
 
 QUERY_SCHEMA = (
     "query_id bigint, must array<string>, should array<string>, "
-    "must_not array<string>, phrase array<string>, prefix string"
+    "must_not array<string>, phrase array<string>, prefix string, phrases array<array<string>>, prefixes array<string>"
 )
 FIELDS = {
     "must": "array<string>",
@@ -35,6 +35,8 @@ FIELDS = {
     "must_not": "array<string>",
     "phrase": "array<string>",
     "prefix": "string",
+    "phrases": "array<array<string>>",
+    "prefixes": "array<string>",
 }
 
 
@@ -67,22 +69,26 @@ def query_units(queries: DataFrame) -> DataFrame:
             ),
         )
 
-    def one_unit(field: str, words: Column, present: Column) -> Column:
-        unit = F.struct(
-            F.lit(f"{field}-0").alias("unit"),
-            F.lit("all").alias("role"),
-            F.lit(field).alias("kind"),
-            words.alias("words"),
+    def all_units(kind: str, wanted: Column) -> Column:
+        """One unit for each list of words that is not empty."""
+        return F.transform(
+            F.filter(wanted, lambda ws: F.coalesce(F.length(F.array_join(ws, "")), F.lit(0)) > 0),
+            lambda ws, i: F.struct(
+                F.concat(F.lit(f"{kind}-"), i.cast("string")).alias("unit"),
+                F.lit("all").alias("role"),
+                F.lit(kind).alias("kind"),
+                F.transform(ws, fold).alias("words"),
+            ),
         )
-        return F.when(present, F.array(unit)).otherwise(F.filter(F.array(unit), lambda _: F.lit(False)))
 
-    phrase = F.transform(F.col("phrase"), fold)
+    phrases = F.concat(F.array("phrase"), F.coalesce("phrases", F.array().cast("array<array<string>>")))
+    prefixes = F.concat(F.array("prefix"), F.coalesce("prefixes", F.array().cast("array<string>")))
     units = F.concat(
         word_units("must", "all"),
         word_units("should", "any"),
         word_units("must_not", "none"),
-        one_unit("phrase", phrase, F.coalesce(F.size("phrase"), F.lit(0)) > 0),
-        one_unit("prefix", F.array(fold(F.col("prefix"))), F.coalesce(F.length("prefix"), F.lit(0)) > 0),
+        all_units("phrase", phrases),
+        all_units("prefix", F.transform(prefixes, lambda p: F.array(p))),
     )
     listed = queries.select("query_id", units.alias("_units"))
     required = F.size(F.filter("_units", lambda u: u["role"] == "all"))

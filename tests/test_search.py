@@ -87,7 +87,7 @@ def batch(fts):
 
 
 def query_table(spark, rows):
-    names = ["must", "should", "must_not", "phrase", "prefix"]
+    names = ["must", "should", "must_not", "phrase", "prefix", "phrases", "prefixes"]
     return spark.createDataFrame([(i, *[f.get(n) for n in names]) for i, f, _ in rows], QUERY_SCHEMA)
 
 
@@ -187,3 +187,20 @@ def test_stored_lookup_reads_only_wanted_words(spark, corpus, tmp_path):
     assert "positions" not in postings_scan.split("ReadSchema")[1]
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_typed_queries(spark):
+    from foliant.functions.querytext import query_fields
+
+    typed = {
+        "free power": {"must": ["free", "power"]},
+        'say "a b, C" now free* pow*': {"must": ["say", "now"], "phrases": [["a", "b", "c"]], "prefixes": ["free", "pow"]},
+        "a OR b OR c d": {"must": ["d"], "should": ["a", "b", "c"]},
+        "a NOT b AND c": {"must": ["a", "c"], "must_not": ["b"]},
+        "it's, Éa or": {"must": ["it", "s", "ea", "or"]},
+        '  "" * ': {},
+        None: {},
+    }
+    df = spark.createDataFrame([(t,) for t in typed], "t string")
+    for row in df.select("t", *[c.alias(n) for n, c in query_fields(F.col("t")).items()]).collect():
+        assert {n: row[n] for n in row.asDict() if n != "t" and row[n]} == typed[row["t"]]
