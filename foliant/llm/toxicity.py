@@ -6,8 +6,10 @@ is fitted on a bounded sample of labelled documents and scores every whole text
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -25,7 +27,7 @@ SAMPLE = 20_000  # labelled documents that the fit uses at most
 LEAST_DOCS = 4  # sample documents a feature must be in
 LEAST_Z = 5.0  # standard errors by which its share of toxic documents must differ from the overall share
 FEATURES = 4_096
-BEGINNING = 4  # bytes of a word's beginning, which catch words made from one stem
+BEGINNINGS = (4, 6)  # bytes of words' beginnings, which catch words made from one stem
 MARKER_SHARE = 0.9  # share of toxic documents among those with a marker word
 SEVERE_MARKERS = 3
 CUT = 0.5
@@ -40,9 +42,22 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def features_of(words: set[bytes]) -> set[bytes]:
-    """The words, and the beginnings of longer ones, told apart by a star."""
-    return words | {w[:BEGINNING] + b"*" for w in words if len(w) > BEGINNING}
+def beginnings(words: list[bytes], wanted: frozenset[bytes] | None = None) -> set[bytes]:
+    """Beginnings of longer words as features, and once more if at least two words of the text have one.
+
+    ``wanted`` limits them to those that matter.
+    """
+    found = set()
+    for size in BEGINNINGS:
+        if wanted is None:
+            starts = [w[:size] for w in words if len(w) > size]
+        else:
+            starts = [b for w in words if len(w) > size and (b := w[:size]) in wanted]
+        for start, n in Counter(starts).items():
+            found.add(b"%s*%d" % (start, size))
+            if n > 1:
+                found.add(b"%s*%d+" % (start, size))
+    return found
 
 
 @dataclass(frozen=True)
@@ -52,13 +67,18 @@ class Severity:
     weights: dict[bytes, float]
     thresholds: tuple[float, ...]
 
+    @cached_property
+    def _starts(self) -> frozenset[bytes]:
+        return frozenset(w.rpartition(b"*")[0] for w in self.weights if b"*" in w)
+
     def strength(self, text: bytes) -> float:
-        found = self.weights.keys() & features_of(set(words_of(text)))
+        words = words_of(text)
+        found = self.weights.keys() & (set(words) | beginnings(words, self._starts))
         return float(sum(sorted(self.weights[w] for w in found)))
 
 
 def fit_thresholds_and_weights(
-    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_columns: int, steps: int = 300, ridge: float = 2e-5, rate: float = 0.1
+    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_columns: int, steps: int = 500, ridge: float = 5e-6, rate: float = 0.2
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model for a 0/1 matrix given by its cells.
 
@@ -110,12 +130,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, keys = [], []
             for text in texts_of(part.column("text")):
                 words = words_of(text)
-                held: dict[bytes, int] = {}
-                for w in words:
-                    held[w] = held.get(w, 0) + 1
-                    if len(w) > BEGINNING:
-                        stem = w[:BEGINNING] + b"*"
-                        held[stem] = held.get(stem, 0) + 1
+                held = dict.fromkeys(beginnings(words), 0) | Counter(words)
                 counts.append([(w, held[w]) for w in sorted(held)])
                 keys.append(hashlib.sha256(b" ".join(words)).digest())
             yield pa.RecordBatch.from_arrays(
@@ -128,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample`` labelled documents, those with the smallest hash of their id.
 
     Labels say only toxic or not. The severity grades are made from them: 0 not toxic, 1 toxic, 2 toxic with at least
-    ``SEVERE_MARKERS`` occurrences of features found in at least ``LEAST_DOCS`` sample texts of which ``MARKER_SHARE`` or
+    ``SEVERE_MARKERS`` occurrences of words found in at least ``LEAST_DOCS`` sample texts of which ``MARKER_SHARE`` or
     more are toxic. Equal texts count once in the fit, so that copies of one text do not make its words count. Rows
     with a null id or label are left out. With no labelled document at all, every text has severity 0.
     """
