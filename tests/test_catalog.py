@@ -7,8 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from foliant.catalog import ORACLES, QUERIES
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 ROWS_ONLY = {"f13_snippet"}  # compared with FTS5 in test_search
 
 
@@ -33,6 +33,10 @@ def table_of(columns, rows):
     return [columns[i] for i in at], sorted(tuple(shown(r[i]) for i in at) for r in rows)
 
 
+def test_the_entry_has_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
 
