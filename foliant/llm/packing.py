@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,8 +30,8 @@ WORDS = "word_bpe_49k.json"
 WINDOW = 4096
 DOC_END_ID = 2
 SENTENCE_CUT = 16  # a cut between sentences counts as much as this many tokens of padding
-HARD_CUT = 256  # a cut inside a sentence that is longer than a window
-HARD_STEP = 512
+HARD_CUT = 64  # a cut inside a long sentence
+HARD_STEP = 64  # tokens between the places to cut inside a long sentence
 BLOCK = 1 << 21  # tokens whose cuts are chosen together
 CACHED_WORDS = 250_000  # encoded words that a task remembers
 CLOSERS = "\"')]}»”’"
@@ -155,24 +156,28 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
+def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int, free_last: bool = False) -> list[int]:
     """Indices of the chosen cuts among ``places``, which begin with 0 and lie at most ``window`` apart.
 
     Least sum over windows of unused tokens and the penalty of the cut at its end; of equal choices the one with the
-    earlier previous cut is taken.
+    earlier previous cut is taken. With ``free_last`` the last window's unused tokens do not count.
     """
     at, fine = places.tolist(), penalties.tolist()
     came = [0] * len(at)
+    costs = [0] * len(at)
     queue = deque([(0, at[0], 0)])  # (cost so far + place, place, index), costs rising
     for j in range(1, len(at)):
         here = at[j]
         while here - queue[0][1] > window:
             queue.popleft()
         best, _, came[j] = queue[0]
-        cost = best + window + fine[j]  # minus here, plus here again as a start
+        costs[j] = cost = best + window + fine[j]  # minus here, plus here again as a start
         while queue and queue[-1][0] > cost:
             queue.pop()
         queue.append((cost, here, j))
+    if free_last and len(at) > 1:
+        near = range(bisect_left(at, at[-1] - window), len(at) - 1)
+        came[-1] = min(near, key=lambda i: costs[i] - at[i])
     cuts, j = [], len(at) - 1
     while j > 0:
         cuts.append(j)
@@ -206,12 +211,17 @@ class Stream:
         places = np.append(inner, len(ids))
         penalties = np.full(len(places), self.sentence_cut, np.int64)
         penalties[-1] = 0
-        # Only an ordinary place within reach lets a window end; longer stretches get places inside.
+        # Sentences much longer than a step have places to cut inside, which cost more.
+        step = max(1, min(HARD_STEP, self.window // 4))
         gaps = np.diff(places, prepend=0)
-        for k in np.flatnonzero(gaps > self.window)[::-1]:
-            more = np.arange(places[k] - gaps[k] + HARD_STEP, places[k], HARD_STEP)
-            places = np.insert(places, k, more)
-            penalties = np.insert(penalties, k, np.full(len(more), self.hard_cut))
+        more = np.where(gaps > 2 * step, (gaps - 1) // step, 0)
+        if more.any():
+            of = np.repeat(np.arange(len(places)), more)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more) + 1
+            places = np.concatenate([places, (places - gaps)[of] + nth * step])
+            penalties = np.concatenate([penalties, np.full(len(of), self.hard_cut)])
+            order = np.argsort(places, kind="stable")
+            places, penalties = places[order], penalties[order]
         self.docs.append((doc, self.end, len(ids)))
         self.parts.append(ids)
         self.places.append(places + self.end)
@@ -226,7 +236,7 @@ class Stream:
         ids = np.concatenate(self.parts)
         places = np.concatenate([[self.begin], *self.places])
         penalties = np.concatenate([[0], *self.penalties])
-        cuts = best_cuts(places - self.begin, penalties, self.window)
+        cuts = best_cuts(places - self.begin, penalties, self.window, free_last=True)
         bounds = [self.begin, *places[cuts].tolist()]
         windows = list(zip(bounds, bounds[1:], strict=False))
         if last:  # the rest of a stream becomes sequences of powers of two, which need no padding

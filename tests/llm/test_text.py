@@ -166,6 +166,9 @@ def test_cuts_cost_least(steps, window):
     every = [[i for i in range(1, n) if mask >> i & 1] + [n] for mask in range(0, 1 << n, 2)]
     best = min(c for c in map(cost, every) if c is not None)
     assert cost(packing.best_cuts(places, penalties, window)) == best
+    free = lambda cuts: cost(cuts) - (window - np.diff([0, *places[cuts].tolist()])[-1])
+    best = min(free(c) for c in every if cost(c) is not None)
+    assert free(packing.best_cuts(places, penalties, window, free_last=True)) == best
 
 
 @pytest.fixture(scope="module")
@@ -236,4 +239,4 @@ def test_pieces_hold_every_token_once(spark, data, tokenizer, window, block):
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(of(spark, [])).count() == 0
     one = packing.piece_digests(packing.pack_documents(of(spark, [None]))).collect()
-    assert [(r.length, r.doc_tokens, r.sequence_id, r.offset) for r in one] == [(1, 1, 0, 0)]
+    assert [(r.length, r.doc_tokens, r.offset) for r in one] == [(1, 1, 0)]
