@@ -2,7 +2,8 @@
 
 The reader checks every record (gzip CRC, version line, headers, Content-Length, closing line breaks, block digest).
 Where a check fails it looks for the next place at which a whole valid record begins, either a gzip member or a
-version line, goes on from there, and reports the bytes between as a quarantined gap.
+version line, goes on from there, and reports the bytes between as a quarantined gap. The same is done inside the
+content of a member, as far as it can be inflated.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ if TYPE_CHECKING:
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/1\.\d\r?\n")
+LINE = b"WARC/1."
+DIGESTS = ("sha1", "sha256", "md5")
 FEED = 1 << 15
 #: An empty gzip member. It stands where Spark's text writer puts a line break, so that archives stay valid gzip.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -34,19 +37,25 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ROW = (
-    "archive string, kind string, start bigint, end bigint, reason string, warc_type string, record_id string, "
+    "archive string, kind string, start bigint, end bigint, inner_start bigint, inner_end bigint, reason string, warc_type string, record_id string, "
     "target_uri string, refers_to string, payload_digest string, headers map<string,string>, payload binary"
 )
 
 
 class Found(NamedTuple):
-    """A record, or a gap if ``headers`` is None; ``start`` and ``end`` are bytes of the archive."""
+    """A record, or a gap if ``headers`` is None; ``start`` and ``end`` are bytes of the archive.
+
+    In a gzip member these are the member's, and ``inner_start`` and ``inner_end`` are bytes of its content. A record
+    with a reason is whole, but lies in a damaged member and has no digest that could vouch for it.
+    """
 
     start: int
     end: int
     headers: dict[str, str] | None
     block: bytes
     reason: str
+    inner_start: int | None = None
+    inner_end: int | None = None
 
 
 class Bad(ValueError):
@@ -56,23 +65,52 @@ class Bad(ValueError):
 # -- reading one archive -----------------------------------------------------------------------------------------------
 
 
-def _inflate(data: memoryview, start: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``start``."""
-    member, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not member.eof:
-            if at >= len(data):
-                raise Bad("gzip member is cut off")
-            parts.append(member.decompress(data[at : at + FEED]))
-            at += FEED
-    except zlib.error as error:
-        raise Bad(f"gzip: {error}") from None
-    return b"".join(parts), min(at, len(data)) - len(member.unused_data)
+class Member(NamedTuple):
+    """What a gzip member holds, up to its end or its damage."""
+
+    content: bytes
+    end: int  # of the member, or of what could be inflated
+    reason: str  # of the damage
+    marks: list[tuple[int, int]]  # of a damaged one: bytes of content that were out, and the place in the archive
+
+    def read_for(self, inner: int) -> int:
+        """Place in the archive by which so many bytes of content were out."""
+        return next((raw for out, raw in self.marks if out >= inner), self.end)
+
+    def until(self, raw: int) -> Member:
+        """What came out before a place in the archive."""
+        out = max((out for out, at in self.marks if at <= raw), default=0)
+        return self._replace(content=self.content[:out])
+
+
+def _inflate(data: memoryview, start: int, damaged_at: int | None = None) -> Member:
+    """The gzip member at ``start``; of a damaged one, all that comes out before the damage.
+
+    zlib keeps back what it made of the piece that raises, so a damaged member is read again in small pieces.
+    """
+    member, parts, marks, at, out = zlib.decompressobj(31), [], [], start, 0
+    while not member.eof:
+        if at >= len(data):
+            if damaged_at is None:
+                return _inflate(data, start, at)
+            return Member(b"".join(parts), len(data), "gzip member is cut off", marks)
+        step = FEED if damaged_at is None else 64 if at + FEED < damaged_at else 1
+        try:
+            parts.append(member.decompress(data[at : at + step]))
+        except zlib.error as error:
+            if damaged_at is None:
+                return _inflate(data, start, min(at + FEED, len(data)))
+            return Member(b"".join(parts), at, f"gzip: {error}", marks)
+        at += step
+        if damaged_at is not None and parts[-1]:
+            out += len(parts[-1])
+            marks.append((out, min(at, len(data))))
+    return Member(b"".join(parts), min(at, len(data)) - len(member.unused_data), "", marks)
 
 
 def _digest_holds(block: bytes, stated: str) -> bool:
     name, _, value = stated.partition(":")
-    if name.lower() not in ("sha1", "sha256", "md5"):
+    if name.lower() not in DIGESTS:
         return True
     made = hashlib.new(name.lower(), block)
     return value.lower() == made.hexdigest() or value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
@@ -116,49 +154,113 @@ def _record(data: bytes | memoryview, start: int) -> tuple[dict[str, str], bytes
     return headers, block, end + closing.end()
 
 
-def _valid_at(data: bytes, view: memoryview, start: int) -> list[Found]:
-    """The records of the member, or the one plain record, at ``start``; [] for an empty member."""
-    if data.startswith(MAGIC, start):
-        content, end = _inflate(view, start)
-        found, at = [], 0
-        while at < len(content):
-            headers, block, at = _record(content, at)
-            found.append(Found(start, end, headers, block, ""))
-        return found or [Found(start, end, {}, b"", "")]
-    headers, block, end = _record(view, start)
-    return [Found(start, end, headers, block, "")]
+def _vouched(member: Member, headers: dict[str, str], end: int) -> bool | None:
+    """Whether a whole record of a member is sound; None if it only looks so.
 
+    Without the member's CRC and a digest of its own, all that speaks for a record is that another begins at its end.
+    """
+    if not member.reason or headers.get("warc-block-digest", "").partition(":")[0].lower() in DIGESTS:
+        return True
+    after = member.content[end : end + len(LINE)]
+    return None if after and LINE.startswith(after) else False
 
-def salvage(data: bytes) -> Iterator[Found]:
-    """All valid records of an archive, and a gap for every stretch of bytes that belongs to none."""
-    view, at, size = memoryview(data), 0, len(data)
-    while at < size:
+
+def _inside(member: Member, start: int) -> list[Found]:
+    """Records and gaps of a member's content."""
+    text, found, at = member.content, [], 0
+
+    def gap(begin: int, end: int, reason: str) -> None:
+        if found and found[-1].headers is None and found[-1].inner_end == begin:
+            begin, reason = found[-1].inner_start, found.pop().reason
+        found.append(Found(start, member.end, None, b"", reason, begin, end))
+
+    while at < len(text):
         try:
-            found = _valid_at(data, view, at)
+            headers, block, end = _record(text, at)
         except Bad as error:
             resumed = at + 1
-            while (resumed := _next_start(data, resumed)) < size:
+            while (resumed := _next_line(text, resumed)) < len(text):
                 try:
-                    _valid_at(data, view, resumed)
+                    _record(text, resumed)
                     break
                 except Bad:
                     resumed += 1
-            yield Found(at, resumed, None, b"", str(error))
+            gap(at, resumed, member.reason if member.reason and resumed == len(text) else str(error))
             at = resumed
             continue
-        yield from (x for x in found if x.headers)
-        at = found[-1].end
+        sound = _vouched(member, headers, end)
+        if sound is False:
+            gap(at, end, member.reason)
+        else:
+            found.append(Found(start, member.end, headers, block, "" if sound else f"not verified: {member.reason}", at, end))
+        at = end
+    if member.reason and not any(x.reason for x in found):  # all came back, yet the member is damaged
+        gap(at, at, member.reason)
+    return found
+
+
+def _found_at(data: bytes, view: memoryview, start: int) -> tuple[list[Found], Member | None]:
+    """What the member, or the one plain record, at ``start`` holds; nothing for an empty member."""
+    if not data.startswith(MAGIC, start):
+        headers, block, end = _record(view, start)
+        return [Found(start, end, headers, block, "")], None
+    member = _inflate(view, start)
+    found = _inside(member, start)
+    if not any(x.headers for x in found) and (member.reason or found):
+        raise Bad(member.reason or found[0].reason)
+    return found, member
+
+
+def _resumed(data: bytes, view: memoryview, at: int, lines_from: int = 0) -> int:
+    """First place from ``at`` on where something valid begins, else the end. Plain records count from ``lines_from`` on."""
+    while (at := _next_start(data, at)) < len(data):
+        if at >= lines_from or data.startswith(MAGIC, at):
+            try:
+                _found_at(data, view, at)
+                return at
+            except Bad:
+                pass
+        at += 1
+    return at
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """First place from ``at`` on that looks like a member or a version line, else the end."""
-    member = data.find(MAGIC, at)
+def salvage(data: bytes) -> Iterator[Found]:
+    """All valid records of an archive, and a gap for every stretch of bytes that belongs to none."""
+    view, at, size = memoryview(data), 0, len(data)
+    while at < size:
+        try:
+            found, member = _found_at(data, view, at)
+        except Bad as error:
+            resumed = _resumed(data, view, at + 1)
+            yield Found(at, resumed, None, b"", str(error))
+            at = resumed
+            continue
+        end = member.end if member else found[-1].end
+        if member and member.reason:
+            # Where it ends is not known. Damage may also have drawn the members after it into its content: the next
+            # member is looked for from its start on, the next plain record behind those that came out of it.
+            last = max(x.inner_end for x in found if x.headers)
+            end = _resumed(data, view, at + 1, member.read_for(last))
+            if end < member.end:
+                found = _inside(member.until(end), at)
+        yield from (x._replace(start=at, end=end) for x in found)
+        at = end
+
+
+def _next_line(data: bytes, at: int) -> int:
+    """First place from ``at`` on where a version line begins, else the end."""
     # A line's start is seen by the line break before it, so the search begins one byte earlier.
     line = VERSION.search(data, max(at - 1, 0))
     while line and line.start() < at:
         line = VERSION.search(data, line.end() - 1)
-    places = [p for p in (member, line.start() if line else -1) if p >= 0]
-    return min(places, default=len(data))
+    return line.start() if line else len(data)
+
+
+def _next_start(data: bytes, at: int) -> int:
+    """First place from ``at`` on that looks like a member or a version line, else the end."""
+    member = data.find(MAGIC, at)
+    line = _next_line(data, at)
+    return line if member < 0 else min(member, line)
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -173,7 +275,7 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     text, number = pa.string(), pa.int64()
     schema = pa.schema(
-        [("archive", text), ("kind", text), ("start", number), ("end", number), ("reason", text), ("warc_type", text),
+        [("archive", text), ("kind", text), ("start", number), ("end", number), ("inner_start", number), ("inner_end", number), ("reason", text), ("warc_type", text),
          ("record_id", text), ("target_uri", text), ("refers_to", text), ("payload_digest", text),
          ("headers", pa.map_(text, text)), ("payload", pa.binary())]
     )
@@ -183,12 +285,13 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 name = path.as_py()
                 for x in salvage(content.as_py()):
+                    place = (x.start, x.end, x.inner_start, x.inner_end)
                     if x.headers is None:
-                        yield name, "gap", x.start, x.end, x.reason, None, None, None, None, None, None, None
+                        yield name, "gap", *place, x.reason, None, None, None, None, None, None, None
                         continue
                     h = x.headers
                     yield (
-                        name, "record", x.start, x.end, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"),
+                        name, "unverified" if x.reason else "record", *place, x.reason or None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"),
                         h.get("warc-refers-to"), h.get("warc-payload-digest"), list(h.items()), payload_of(h, x.block),
                     )
 
@@ -198,7 +301,9 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of the archives (plain, or gzip with any number of records in a member) under ``path``.
 
-    One row per record (kind ``record``) or quarantined stretch of bytes (kind ``gap``: start, end, reason). An archive
+    One row per record (kind ``record``) or quarantined stretch of bytes (kind ``gap``: start, end, reason). Rows from
+    gzip members have the member's start and end, and inner_start and inner_end in its content. Whole records of a
+    damaged member that have no digest to vouch for them are of kind ``unverified``, with the damage as reason. An archive
     is one value of a task, so archives should be written in moderate sizes, as ``write_warc`` does. Empty files give no
     rows.
     """

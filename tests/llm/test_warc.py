@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import random
 
 import pytest
@@ -54,6 +55,53 @@ def test_wrong_length_cut_off_and_wrong_digest():
     assert gaps(b"no archive") == [(0, 10)]
 
 
+def digested(body):
+    return record(body, extra=f"WARC-Block-Digest: sha1:{hashlib.sha1(body).hexdigest()}\r\n")
+
+
+NOISE = [random.Random(i).randbytes(30_000).hex().encode() for i in range(5)]
+
+
+def told(data):
+    return [(NOISE.index(x.block) if x.block in NOISE else None, x.reason != "") if x.headers is not None else "gap" for x in salvage(data)]
+
+
+def test_a_bad_record_inside_a_sound_member():
+    inner = [digested(b) for b in NOISE]
+    inner[2] = inner[2].replace(b"Content-Length", b"Content-Langth")
+    member = gzip.compress(b"".join(inner))
+    data = gzip.compress(digested(NOISE[0])) + member + gzip.compress(digested(NOISE[4]))
+    assert told(data) == [(0, False), (0, False), (1, False), "gap", (3, False), (4, False), (4, False)]
+    (gap,) = [x for x in salvage(data) if x.headers is None]
+    begin, inner_begin = len(gzip.compress(digested(NOISE[0]))), len(inner[0] + inner[1])
+    assert (gap.start, gap.end) == (begin, begin + len(member))
+    assert (gap.inner_start, gap.inner_end) == (inner_begin, inner_begin + len(inner[2]))
+
+
+@pytest.mark.parametrize("made", [record, digested])
+def test_a_member_of_several_records_with_a_bad_crc_or_a_cut_off_end(made):
+    whole, after = gzip.compress(b"".join(map(made, NOISE))), gzip.compress(made(NOISE[0]))
+    unsure, cut = made is record, len(whole) * 7 // 10
+    crc = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    kept = [(i, unsure) for i in range(4 if unsure else 5)] + ["gap"]  # nothing vouches for the last one without digest
+    assert told(crc + after) == [*kept, (0, False)]
+    for data in (whole[:cut], whole[:cut] + after):
+        assert told(data) == [(i, unsure) for i in range(3)] + ["gap"] + [(0, False)] * (data[-9:] == after[-9:])
+    damaged = bytearray(whole)
+    damaged[cut : cut + 3] = b"!?!"  # a wrong byte in the middle
+    assert told(bytes(damaged) + after)[:3] == [(i, unsure) for i in range(3)]
+    assert told(bytes(damaged) + after)[-1] == (0, False)
+    # two damaged members after each other
+    assert told(whole[:cut] + crc) == [(i, unsure) for i in range(3)] + ["gap", *kept]
+
+
+def test_unverified_records_are_a_kind_of_their_own(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(b"one") + digested(b"two") + record(NOISE[0]))[:-30])
+    rows = read_warc(spark, str(tmp_path)).collect()
+    assert [(r.kind, r.payload and bytes(r.payload)) for r in rows] == [("unverified", b"one"), ("record", b"two"), ("gap", None)]
+    assert all(r.reason == (None if r.kind == "record" else r.reason) and r.inner_end > r.inner_start for r in rows)
+
+
 def test_any_damage_leaves_every_byte_in_a_record_or_a_gap():
     rng = random.Random(4)
     sound = b"".join(gzip.compress(r) if i % 2 else r for i, r in enumerate(PLAIN * 3))
