@@ -22,7 +22,8 @@ def interval_lookup(
 
     A few intervals become an array literal, so the lookup is a projection. Otherwise each interval is put
     into grid cells of about its own length (two at most), each point into one cell of every
-    length in use, and the two meet in an equi-join. ``key`` must identify a point.
+    length in use, and the two meet in an equi-join. ``idx`` depends on t alone, so null and repeated keys do no harm;
+    ``key`` only spreads the points over tasks.
     """
     at = F.col(t)
     spans = intervals.select("idx", "start", "end").where(F.col("end") > F.col("start"))
@@ -45,13 +46,14 @@ def interval_lookup(
     spans = spans.withColumn(
         "_cell", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size)))
     )
-    placed = points.select(*key, t, F.explode(F.array(*map(F.lit, levels))).alias("_level"))
+    point = list(dict.fromkeys([*key, t]))
+    placed = points.select(*point, F.explode(F.array(*map(F.lit, levels))).alias("_level"))
     placed = placed.withColumn("_cell", F.floor(at / size))
     found = lookup_join(placed, spans, ["_level", "_cell"], spread_by=key).where(
         (at >= F.col("start")) & (at < F.col("end"))
     )
-    first = found.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min("idx").alias("idx"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]  # a point without key is looked up as well
+    first = found.groupBy(*[F.col(k).alias(f"_{k}") for k in point]).agg(F.min("idx").alias("idx"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in point]  # a point without key is looked up as well
     return points.join(first, same, "left").select(*points.columns, "idx")
 
 

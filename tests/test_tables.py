@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import display, filters, tables
+from foliant.operators import display, filters, tables, timeline
 from foliant.sources import media, pages
 
 
@@ -139,3 +139,13 @@ def test_list_media(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     got = media.list_media(spark, str(tmp_path)).orderBy("ordinal").collect()
     assert [(r["path"].rsplit("/", 1)[1], r["ordinal"]) for r in got] == [("b.png", 1), ("f_10.jpg", 2), ("f_2.jpg", 3)]
+
+
+@pytest.mark.parametrize("max_inline", [64, 1])
+def test_intervals_of_points_with_null_and_repeated_keys(spark, max_inline):
+    keyed = [(None, 0.5), (None, 2.5), (None, 2.5), (None, 9.0), (1, 2.5), (1, 0.5), (1, None), (2, 1.5), (None, None)]
+    points = spark.createDataFrame(keyed, "k bigint, t double")
+    spans = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 3.0), (3, 2.0, 3.0), (4, 5.0, 5.0)], "idx int, start double, end double")
+    wanted = {0.5: 1, 1.5: 2, 2.5: 2, 9.0: None, None: None}
+    found = timeline.interval_lookup(points, ["k"], "t", spans, max_inline)
+    assert rows(found) == sorted(((k, t, wanted[t]) for k, t in keyed), key=str)
