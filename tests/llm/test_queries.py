@@ -14,11 +14,14 @@ COLUMNS = {
     "op8_context_mixing": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
     "op9_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op10_recompression_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op11_shared_terms": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12_threshold_topk": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op13_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
 }
 
 
 def test_all_are_in_the_entry():
-    assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,7 +33,7 @@ def test_query(spark, data, name):
     assert rows
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "benchmark", "embeddings"):
             con.execute(f"create view {t} as from '{data}/{t}.parquet'")
         found = con.execute(ORACLES[name])
         names = [d[0] for d in found.description]
