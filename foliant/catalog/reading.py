@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.catalog.base import derived_path, query, search_index, table
+from foliant.catalog.base import corpus, derived_path, query, table
 from foliant.functions import text
 from foliant.operators import tables
 from foliant.operators.filters import default_created, min_arity
 from foliant.plans.sizing import scratch_path, spread
 from foliant.sources import dumps, pages
-from foliant.sources.index import path_exists, reload_index
+from foliant.sources.index import open_or_build_index, path_exists, reload_index
 from foliant.sources.media import list_media
 
 # ---- pages -------------------------------------------------------------------------------------
@@ -42,10 +42,11 @@ def a2_extraction_report(spark, sf_dir):
     FROM pg""",
 )
 def a5_reload_index(spark, sf_dir):
-    """The new generation of the index is over pages of five lines instead of whole documents."""
-    search_index(spark, sf_dir)
+    """The next search uses the new generation of the index, which is over pages of five lines instead of whole documents."""
     base = scratch_path(spark, "reloaded")
-    return reload_index(a1_paginate(spark, sf_dir), base, 1).doc_stats()
+    open_or_build_index(spark, base, corpus(spark, sf_dir))
+    reload_index(a1_paginate(spark, sf_dir), base)
+    return open_or_build_index(spark, base, None).doc_stats()
 
 
 # ---- dump import -------------------------------------------------------------------------------

@@ -1,13 +1,18 @@
 """Batches of full-text queries over an index.
 
-A query row is (query_id, must, should, must_not, phrase, prefix, phrases, prefixes): arrays of words, except for the
-prefix and the array of phrases, and all but the id may be NULL. A page matches if it has all of ``must``, every phrase and
-every prefix, at least one of ``should`` if there are any, and none of ``must_not``. A query with nothing but
-``must_not``, or with nothing at all, matches no page.
+A query row is (query_id, must, should, must_not, phrase, prefix, phrases, prefixes, columns): arrays of words, except for the
+prefix, the array of phrases and the names of the columns to search, and all but the id may be NULL. A page matches if it has
+all of ``must``, every phrase and every prefix, at least one of ``should`` if there are any, and none of ``must_not``. A query
+with nothing but ``must_not``, or with nothing at all, matches no page.
+
+A page with several columns is searched in all of them, or in those that the query names: words may stand in different
+columns, a phrase stands in one. Occurrences in all searched columns count together, the length is the whole page's.
 
 Each query becomes scoring units (a word, a phrase or a prefix). Hits of all units are found by joining the
 postings to the wanted words; one aggregate by (query, page) then tests the boolean rule and adds up
-the score, so AND, OR and NOT cost the same single shuffle.
+the score, so AND, OR and NOT cost the same single shuffle. Phrases read pair postings for neighbouring frequent words, and
+of several pieces the rarest decides which pages the others are read for. A ranked search over many hits looks at the blocks of
+pages that may score best first, and then only at blocks that can still beat what was found.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.scoring import bm25_term
+from foliant.functions.scoring import bm25_term, idf
 from foliant.functions.snippet import snippet
 from foliant.functions.text import fold, is_blank
 from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, written
-from foliant.sources.index import PAGE, Index
+from foliant.sources.index import PAGE, Index, block_of
 
 QUERY_SCHEMA = (
     "query_id bigint, must array<string>, should array<string>, "
-    "must_not array<string>, phrase array<string>, prefix string, phrases array<array<string>>, prefixes array<string>"
+    "must_not array<string>, phrase array<string>, prefix string, phrases array<array<string>>, prefixes array<string>, "
+    "columns array<string>"
 )
 FIELDS = {
     "must": "array<string>",
@@ -37,6 +43,7 @@ FIELDS = {
     "prefix": "string",
     "phrases": "array<array<string>>",
     "prefixes": "array<string>",
+    "columns": "array<string>",
 }
 
 
@@ -52,9 +59,9 @@ def skip_empty(queries: DataFrame, text: str) -> DataFrame:
 
 
 def query_units(queries: DataFrame) -> DataFrame:
-    """(query_id, unit, role, kind, words, need_all, need_any): roles are all, any and none.
+    """(query_id, unit, role, kind, words, need_all, need_any, columns): roles are all, any and none.
 
-    The last two say how many units of role all, and whether one of role any, the query asks for.
+    need_all and need_any say how many units of role all, and whether one of role any, the query asks for.
     """
 
     def word_units(field: str, role: str) -> Column:
@@ -90,18 +97,20 @@ def query_units(queries: DataFrame) -> DataFrame:
         all_units("phrase", phrases),
         all_units("prefix", F.transform(prefixes, lambda p: F.array(p))),
     )
-    listed = queries.select("query_id", units.alias("_units"))
+    listed = queries.select("query_id", "columns", units.alias("_units"))
     required = F.size(F.filter("_units", lambda u: u["role"] == "all"))
     any_of = F.exists("_units", lambda u: u["role"] == "any")
     return listed.select(
-        "query_id", F.explode("_units").alias("u"), required.alias("need_all"), any_of.alias("need_any")
-    ).select("query_id", "u.*", "need_all", "need_any")
+        "query_id", F.explode("_units").alias("u"), required.alias("need_all"), any_of.alias("need_any"), "columns"
+    ).select("query_id", "u.*", "need_all", "need_any", "columns")
 
 
 OF_UNIT = ["query_id", "unit", "role", "need_all", "need_any"]
 UNITS_INLINE = 10_000
 TERMS_PUSHED = 1_000
 PREFIXES_PUSHED = 16
+PRUNE_HITS = 5_000_000  # postings of a batch from which a ranked search looks at bounds first
+FIRST_PAGES = 20  # pages per wanted one in the blocks that are looked at first
 
 
 @dataclass(frozen=True)
@@ -126,6 +135,21 @@ class Units:
     def of_kind(self, kind: str) -> DataFrame:
         return self.df.where(F.col("kind") == kind)
 
+    def whole_and_chosen(self) -> tuple["Units | None", "Units | None"]:
+        """Units that search all columns, and those that search chosen ones; None where there are none."""
+        parts = []
+        for condition, chosen in (("columns IS NULL", False), ("columns IS NOT NULL", True)):
+            rows = None if self.rows is None else [r for r in self.rows if (r["columns"] is not None) == chosen]
+            df = self.df.where(condition)
+            parts.append(None if rows == [] else Units(df, rows))
+        return parts[0], parts[1]
+
+    def within(self, blocks: DataFrame | None) -> "Units":
+        """The units with the blocks of pages to which each query is limited; ``blocks``: (query_id, blocks)."""
+        if blocks is None:
+            return Units(self.df.withColumn("blocks", F.lit(None).cast("array<int>")), self.rows)
+        return Units(lookup_join(self.df, blocks, ["query_id"], bounded_by=self.bound), self.rows)
+
     def words(self, kind: str) -> list[str] | None:
         """Different words of one kind of unit, if few enough to be pushed into scans."""
         if self.rows is None:
@@ -150,7 +174,7 @@ def _under_prefixes(table: DataFrame, units: Units) -> DataFrame:
     if known and len(known) <= PREFIXES_PUSHED:
         starts = [F.startswith("term", F.lit(p)) for p in known]
         table = table.where(reduce(lambda a, b: a | b, starts))
-    wanted = units.of_kind("prefix").select(*OF_UNIT, F.col("words")[0].alias("_prefix"))
+    wanted = units.of_kind("prefix").select(*OF_UNIT, *LIMITS, F.col("words")[0].alias("_prefix"))
     beginnings = [
         F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in units.prefix_lengths()
     ]
@@ -160,22 +184,47 @@ def _under_prefixes(table: DataFrame, units: Units) -> DataFrame:
     ).drop("_prefix")
 
 
-HIT = [*OF_UNIT, *PAGE, "tf", "dl"]
+HIT = [*OF_UNIT, *PAGE, "tf", "dl", "n_columns"]
 AT_PAGE = [*OF_UNIT, *PAGE]
+LIMITS = ["columns", "blocks"]
 
 
-def _word_hits(index: Index, units: Units) -> DataFrame:
-    words = units.of_kind("word").select(
-        *OF_UNIT, F.col("words")[0].alias("term")
+def _allowed(index: Index, found: DataFrame) -> DataFrame:
+    """Postings in the columns and blocks that their unit asks for."""
+    names = F.array(*[F.lit(c) for c in index.columns])
+    chosen = F.col("columns").isNull() | F.array_contains("columns", F.get(names, F.col("column_id")))
+    near = F.col("blocks").isNull() | F.array_contains("blocks", block_of(F.col("dl")))
+    return found.where(chosen & near).drop(*LIMITS)
+
+
+def _by_page(index: Index, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits of a unit in all columns of a page as one."""
+    if len(index.columns) == 1:
+        return found.select(*keys, "tf", "dl", F.lit(1).alias("n_columns"))
+    return found.groupBy(*keys).agg(
+        F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("n_columns")
     )
-    known = units.words("word")
-    hits = index.lookup(index.postings.drop("positions"), words, known)
-    if known is None:
-        dfs = index.lookup(index.vocab, words.select("term").distinct(), None).select("term", "df")
-    else:
-        dfs = index.vocab.where(F.col("term").isin(known)).select("term", "df")
-    joined = lookup_join(hits.select(*HIT, "term"), dfs, ["term"], spread_by=PAGE, bounded_by=units.bound)
-    return joined.drop("term")
+
+
+def _word_hits(index: Index, units: Units) -> DataFrame:
+    whole, chosen = units.whole_and_chosen()
+    parts = []
+    for some in (whole, chosen):
+        if some is None:
+            continue
+        words = some.of_kind("word").select(*OF_UNIT, *LIMITS, F.col("words")[0].alias("term"))
+        known = some.words("word")
+        found = _allowed(index, index.lookup(index.postings.drop("positions", "leads"), words, known))
+        hits = _by_page(index, found, [*AT_PAGE, "term"])
+        if some is chosen:
+            parts.append(_with_df(hits.drop("term"), some))
+            continue
+        if known is None:
+            dfs = index.lookup(index.vocab, words.select("term").distinct(), None).select("term", "df")
+        else:
+            dfs = index.vocab.where(F.col("term").isin(known)).select("term", "df")
+        parts.append(lookup_join(hits.select(*HIT, "term"), dfs, ["term"], spread_by=PAGE, bounded_by=units.bound).drop("term"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _with_df(hits: DataFrame, units: Units) -> DataFrame:
@@ -193,44 +242,118 @@ def _prefix_hits(index: Index, units: Units) -> DataFrame:
     """
     vocab = index.vocab.select("term")
     words, expanded = inlined(_under_prefixes(vocab, units), TERMS_PUSHED)
-    postings = index.postings.drop("positions")
+    postings = index.postings.drop("positions", "leads")
     if expanded is None:
         found = _under_prefixes(postings, units)
     else:
         found = index.lookup(postings, words, sorted({r["term"] for r in expanded}))
-    hits = found.groupBy(*AT_PAGE).agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    hits = _allowed(index, found).groupBy(*AT_PAGE).agg(
+        F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"), F.size(F.collect_set("column_id")).alias("n_columns")
+    )
     return _with_df(hits.select(*HIT), units)
 
 
-def _phrase_hits(index: Index, units: Units) -> DataFrame:
-    """Pages where the words follow each other; tf is the number of places."""
-    words = units.of_kind("phrase").select(
-        *OF_UNIT,
-        F.size("words").alias("_n"), F.posexplode("words").alias("_i", "term"),
-    )
-    found = index.lookup(index.postings, words, units.words("phrase")).select(
-        *AT_PAGE, "dl", "_n",
-        F.transform("positions", lambda p: p - F.col("_i")).alias("_starts"),
-    )
-    by_page = found.groupBy(*AT_PAGE).agg(
+IN_COLUMN = [*AT_PAGE, "column_id"]
+
+
+def _together(pieces: DataFrame) -> DataFrame:
+    """Where all pieces of a phrase begin at one place; ``_starts`` are the places of the phrase that a piece allows."""
+    by_page = pieces.groupBy(*IN_COLUMN).agg(
         F.first("dl").alias("dl"), F.first("_n").alias("_n"), F.collect_list("_starts").alias("_s")
     )
-    # one list for each word of the phrase, so the collected lists are bounded by the query
+    # one list for each piece of the phrase, so the collected lists are bounded by the query
     both = F.aggregate(F.slice("_s", F.lit(2), F.size("_s")), F.col("_s")[0], F.array_intersect)
-    hits = by_page.where(F.size("_s") == F.col("_n")).withColumn("tf", F.size(both))
-    return _with_df(hits.where(F.col("tf") > 0).select(*HIT), units)
+    return by_page.where(F.size("_s") == F.col("_n")).withColumn("tf", F.size(both)).where(F.col("tf") > 0)
+
+
+def _starts(index: Index, found: DataFrame) -> DataFrame:
+    starts = F.transform("positions", lambda p: p - F.col("_i")).alias("_starts")
+    return _allowed(index, found).select(*IN_COLUMN, "dl", "_n", starts)
+
+
+def phrase_pieces(words: list[str], frequent: frozenset[str]) -> list[tuple[int, str, bool]]:
+    """(place, term, is a pair): pairs of neighbours that are both frequent, and the words that are in no such pair."""
+    pairs = [i for i in range(len(words) - 1) if words[i] in frequent and words[i + 1] in frequent]
+    covered = {i for i in pairs} | {i + 1 for i in pairs}
+    pieces = [(i, f"{words[i]} {words[i + 1]}", True) for i in pairs]
+    return sorted(pieces + [(i, w, False) for i, w in enumerate(words) if i not in covered])
+
+
+def _planned_phrases(index: Index, units: Units) -> DataFrame:
+    """Phrases of a batch whose words are known, piece by piece: the rarest piece first, the others only on its pages."""
+    rows = {(r["query_id"], r["unit"]): phrase_pieces(list(r["words"]), index.frequent) for r in units.rows if r["kind"] == "phrase"}
+    terms = {pair: sorted({t for pieces in rows.values() for _, t, p in pieces if p == pair}) for pair in (False, True)}
+    df: dict[tuple[str, bool], int] = {}
+    for pair, vocab in ((False, index.vocab), (True, index.pair_vocab)):
+        if terms[pair]:  # at most as many rows as the batch has different words
+            df |= {(r["term"], pair): r["df"] for r in vocab.where(F.col("term").isin(terms[pair])).select("term", "df").collect()}
+    planned = []
+    for (query_id, unit), pieces in rows.items():
+        if all((t, p) in df for _, t, p in pieces):  # else a piece stands nowhere
+            rarest = min(pieces, key=lambda x: (df[x[1], x[2]], x[0]))
+            planned += [(query_id, unit, i, t, p, (i, t, p) == rarest, len(pieces)) for i, t, p in pieces]
+    spark = index.spark
+    schema = f"query_id {units.df.schema['query_id'].dataType.simpleString()}, unit string, _i int, term string, is_pair boolean, is_rarest boolean, _n int"
+    plan = spark.createDataFrame(planned, schema)
+    wanted = units.of_kind("phrase").select(*OF_UNIT, *LIMITS).join(F.broadcast(plan), ["query_id", "unit"])
+
+    def read(rarest: bool, single: bool) -> DataFrame | None:
+        parts = []
+        for pair, table in ((False, index.postings), (True, index.pairs)):
+            some = sorted({x[3] for x in planned if x[4] == pair and x[5] == rarest and (x[6] == 1) == single})
+            if some:
+                asked = wanted.where((F.col("is_pair") == pair) & (F.col("is_rarest") == rarest) & ((F.col("_n") == 1) == single))
+                found = index.lookup(table.drop("leads"), asked.drop("is_pair", "is_rarest"), some)
+                parts.append(_starts(index, found))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    hits = []
+    alone = read(rarest=True, single=True)
+    if alone is not None:
+        hits.append(alone.select(*IN_COLUMN, "dl", F.size("_starts").alias("tf")))
+    first = read(rarest=True, single=False)
+    if first is not None:
+        first = written(first, "rarest")
+        others = read(rarest=False, single=False)
+        others = lookup_join(others, first.select(*IN_COLUMN), IN_COLUMN, "left_semi", spread_by=["_n"])
+        hits.append(_together(first.unionByName(others)).select(*IN_COLUMN, "dl", "tf"))
+    if not hits:
+        return units.df.limit(0).select(*OF_UNIT, *[F.lit(0).cast(t).alias(n) for n, t in (("doc_id", "bigint"), ("page_num", "int"), ("column_id", "int"), ("dl", "int"), ("tf", "int"))])
+    return reduce(DataFrame.unionByName, hits)
+
+
+def _phrase_hits(index: Index, units: Units) -> DataFrame:
+    """Pages where the words follow each other inside a column; tf is the number of places."""
+    known = units.words("phrase")
+    if known is not None and index.pairs is not None:
+        found = _planned_phrases(index, units)
+    else:
+        words = units.of_kind("phrase").select(
+            *OF_UNIT, *LIMITS,
+            F.size("words").alias("_n"), F.posexplode("words").alias("_i", "term"),
+        )
+        found = _together(_starts(index, index.lookup(index.postings.drop("leads"), words, known)))
+    return _with_df(_by_page(index, found, AT_PAGE).select(*HIT), units)
 
 
 FINDERS = {"word": _word_hits, "phrase": _phrase_hits, "prefix": _prefix_hits}
 
 
-def match(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, page_num, score) of all matching pages."""
-    units = Units.of(queries)
+def match(index: Index, queries: DataFrame, count_columns: bool = False) -> DataFrame:
+    """(query_id, doc_id, page_num, score) of all matching pages.
+
+    ``count_columns`` adds n_column_hits: in how many columns each unit stands, added up over the units.
+    """
+    found = _match(index, Units.of(queries), None)
+    return found if count_columns else found.drop("n_column_hits")
+
+
+def _match(index: Index, units: Units, blocks: DataFrame | None) -> DataFrame:
     kinds = units.kinds()
+    units = units.within(blocks)
     parts = [find(index, units) for kind, find in FINDERS.items() if kind in kinds]
     if not parts:
-        empty = "query_id bigint, doc_id bigint, page_num int, score double"
+        empty = "query_id bigint, doc_id bigint, page_num int, score double, n_column_hits bigint"
         return index.spark.createDataFrame([], empty)
     hits = reduce(DataFrame.unionByName, [p.select(*HIT, "df") for p in parts])
     share = bm25_term(index.n_docs, index.avgdl, F.col("df"), F.col("tf"), F.col("dl"))
@@ -244,6 +367,7 @@ def match(index: Index, queries: DataFrame) -> DataFrame:
             F.count_if(F.col("role") == "all").alias("_all"),
             F.count_if(F.col("role") == "any").alias("_any"),
             F.count_if(F.col("role") == "none").alias("_none"),
+            F.sum("n_columns").alias("n_column_hits"),
         )
     )
     passed = found.where(
@@ -252,7 +376,7 @@ def match(index: Index, queries: DataFrame) -> DataFrame:
         & (F.col("_none") == 0)
         & (F.col("_all") + F.col("_any") > 0)
     )
-    return passed.select("query_id", *PAGE, "score")
+    return passed.select("query_id", *PAGE, "score", "n_column_hits")
 
 
 def _first_k(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
@@ -260,9 +384,61 @@ def _first_k(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
     return hits.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
 
 
-def search_ranked(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Best ``k`` pages by query. Each task keeps its own best ``k`` before the shuffle by query."""
-    scored = match(index, queries).withColumn("_order", F.round("score", 9))
+def _bounded(index: Index, units: Units) -> DataFrame:
+    """(query_id, block, reach, n): the best score that a page of the block may have, and how many pages may match.
+
+    Blocks where a required word does not occur are left out.
+    """
+    known = units.words("word")
+    words = units.df.select(*OF_UNIT, F.col("words")[0].alias("term"))
+    dfs = index.vocab.where(F.col("term").isin(known)).select("term", "df")
+    bounds = index.bounds.where(F.col("term").isin(known))
+    joined = lookup_join(lookup_join(bounds, words, ["term"], bounded_by=units.bound), dfs, ["term"], bounded_by=units.bound)
+    role = F.col("role")
+    blocks = joined.groupBy("query_id", "block").agg(
+        F.sum(F.when(role != "none", idf(index.n_docs, F.col("df")) * F.col("most"))).alias("reach"),
+        F.first("need_all").alias("need_all"),
+        F.first("need_any").alias("need_any"),
+        F.count_if(role == "all").alias("_all"),
+        F.count_if(role == "any").alias("_any"),
+        F.min(F.when(role == "all", F.col("n"))).alias("_least"),
+        F.max(F.when(role == "any", F.col("n"))).alias("_most"),
+        F.sum("n").alias("postings"),
+    )
+    possible = (F.col("_all") == F.col("need_all")) & ((F.col("_any") > 0) | ~F.col("need_any")) & (F.col("_all") + F.col("_any") > 0)
+    return blocks.where(possible).select("query_id", "block", "reach", F.coalesce("_least", "_most").alias("n"), "postings")
+
+
+def _pruned(index: Index, units: Units, k: int, prune_hits: int) -> DataFrame | None:
+    """All hits that may be among the best ``k`` of a query, or None where pruning does not pay."""
+    if index.bounds is None or units.rows is None or units.kinds() != {"word"} or units.words("word") is None:
+        return None
+    if any(r["columns"] is not None for r in units.rows):  # the bounds are those of all columns
+        return None
+    blocks = written(_bounded(index, units), "reach")
+    if (blocks.agg(F.sum("postings")).first()[0] or 0) < prune_hits:
+        return None
+    order = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tried = blocks.withColumn("_first", before < FIRST_PAGES * k)
+    listed = lambda df: df.groupBy("query_id").agg(F.collect_list("block").alias("blocks"))  # noqa: E731  a few dozen a query
+    first = written(_match(index, units, listed(tried.where("_first"))), "first-hits")
+    kth = _first_k(first.withColumn("_order", F.round("score", 9)), k, ["_order", *PAGE])
+    kth = kth.where(F.col("rank_no") == k).select("query_id", (-F.col("_order")).alias("kth"))
+    left = tried.where("NOT _first").join(kth, "query_id", "left").where("kth IS NULL OR reach >= kth - 1e-6")
+    return first.unionByName(_match(index, units, listed(left)))
+
+
+def search_ranked(index: Index, queries: DataFrame, k: int = 5, prune_hits: int = PRUNE_HITS) -> DataFrame:
+    """Best ``k`` pages by query. Each task keeps its own best ``k`` before the shuffle by query.
+
+    A batch of words with ``prune_hits`` postings or more is searched block by block.
+    """
+    units = Units.of(queries)
+    hits = _pruned(index, units, k, prune_hits)
+    if hits is None:
+        hits = _match(index, units, None)
+    scored = hits.drop("n_column_hits").withColumn("_order", F.round("score", 9))
     return _first_k(scored, k, ["_order", *PAGE]).drop("_order")
 
 
@@ -287,31 +463,6 @@ def hit_counts(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
 
 
-def match_any_column(columns: dict[str, DataFrame], words: DataFrame) -> DataFrame:
-    """(query_id, doc_id) where every word stands in some column of the row.
-
-    ``columns`` maps a column id to its token table (doc_id, page_num, toks, dl); ``words`` holds (query_id, term).
-    """
-    streams = [
-        t.select(F.lit(name).alias("column_id"), *PAGE, F.explode(F.array_distinct("toks")).alias("term"))
-        for name, t in columns.items()
-    ]
-    wanted = words.distinct()
-    need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
-    hits = lookup_join(
-        reduce(DataFrame.unionByName, streams), wanted, ["term"], spread_by=PAGE, bounded_by=words
-    )
-    # the collected words are bounded by the query
-    by_row = hits.groupBy("query_id", *PAGE).agg(
-        F.size(F.collect_set("term")).alias("_have"), F.count(F.lit(1)).alias("n_column_hits")
-    )
-    return (
-        lookup_join(by_row, need, ["query_id"], spread_by=PAGE, bounded_by=words)
-        .where(F.col("_have") == F.col("_need"))
-        .select("query_id", *PAGE, "n_column_hits")
-    )
-
-
 def with_snippets(
     hits: DataFrame,
     index: Index,
@@ -319,6 +470,7 @@ def with_snippets(
     n: int = 20,
     marks: tuple[str, str] = ("<b>", "</b>"),
     cut: str = "...",
+    column: str | None = None,
 ) -> DataFrame:
     """Add the best fragment to returned hits. Texts are read only for pages that were returned."""
     units = query_units(queries).where(F.col("role") != "none")
@@ -331,7 +483,7 @@ def with_snippets(
         ).alias("_units")
     )
     shown, rows = inlined(hits, BROADCAST_ROWS)
-    texts = index.pages.select(*PAGE, "content")
+    texts = index.pages.select(*PAGE, F.col(f"`{column or index.columns[0]}`").alias("content"))
     if rows is not None and len(rows) <= TERMS_PUSHED:
         texts = texts.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
     bound = None if rows is None else len(rows)

@@ -1,9 +1,12 @@
 """Inverted index over pages of text, kept as Parquet tables.
 
-tokens    doc_id, page_num, toks, dl           one row per page; also serves the page lengths
-postings  bucket, term, doc_id, page_num, tf, dl, positions
+tokens    doc_id, page_num, cols, dl           one row per page: the words of each column, and how many in all
+postings  bucket, term, column_id, doc_id, page_num, tf, dl, leads, positions
+pairs     the same, for neighbouring frequent words; the term is both words with a blank between
 vocab     term, df, cf
-stats     n_docs, total_tokens, avgdl, buckets one row
+pair_vocab  term, df, cf
+bounds    term, block, n, cf, most             of the postings by page length, see below
+stats     n_docs, total_tokens, avgdl, buckets, columns, frequent   one row
 
 Postings are found inside each page (sort the words of the page, cut at the changes), so no
 shuffle is needed to build them. One shuffle lays them out: by hash bucket of the term, each
@@ -11,10 +14,21 @@ bucket spread over several files by page, sorted by term. A word that stands on
 pages is thereby written by many tasks, while a lookup reads one bucket folder and
 skips row groups by the term's min/max. The page length is repeated in the postings, so scoring
 joins no length table.
+
+A page may have several columns; positions count inside a column, ``dl`` counts the whole page, and ``leads``
+marks one posting of each word and page, so that pages with a word can be counted without a shuffle by page.
+
+Pages of similar length form a block (``block_of``). For each word and block the index knows the number of postings and
+the largest share that one of them can bring to a score; a ranked search leaves out blocks that cannot reach its best.
+
+An index lives in generations: each build writes a folder of its own, and a pointer file names the current one. A reader
+keeps the generation it opened.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 from math import ceil, sqrt
 from zlib import crc32
@@ -22,12 +36,16 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.scoring import length_share
 from foliant.functions.text import tokens
 from foliant.plans.sizing import lookup_join, spread
 
 MIN_PER_FILE, MAX_PER_FILE = 500_000, 16_000_000
 UNSPLIT_FILES = 16  # a smaller index is little work, however frequent a word
+FREQUENT_WORDS = 2_048  # words that pair postings are kept for, at most
+FREQUENT_PART = 20  # a word is frequent if one in so many pages has it
 PAGE = ["doc_id", "page_num"]
+KEPT_SECONDS = 24 * 3600.0  # how long a replaced generation stays for those who read it
 
 
 def tokenize_pages(pages: DataFrame, content: str = "content") -> DataFrame:
@@ -35,18 +53,28 @@ def tokenize_pages(pages: DataFrame, content: str = "content") -> DataFrame:
     return toks.withColumn("dl", F.size("toks"))
 
 
-def page_postings(toks: Column) -> Column:
-    """array<struct<term, positions>> of one page: sort (word, position), cut where the word changes."""
-    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    box = F.array(F.struct(pairs.alias("p")))  # names the sorted pairs once
+def tokenize_columns(pages: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc_id, page_num, cols, dl): the words of each column, and their number in all columns."""
+    cols = pages.select(*PAGE, F.array(*[tokens(F.col(f"`{c}`")) for c in columns]).alias("cols"))
+    return cols.withColumn("dl", F.aggregate("cols", F.lit(0), lambda n, c: n + F.size(c)))
+
+
+def _cut(places: Column) -> Column:
+    """array<struct<term, column_id, leads, positions>> of (term, column, position): sorted, cut where term or column changes."""
+    box = F.array(F.struct(F.sort_array(places).alias("p")))  # names the sorted places once
 
     def cut(b: Column) -> Column:
         p = b["p"]
         n = F.size(p)
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: (i == 0) | (F.get(p, i)["t"] != F.get(p, F.greatest(i - 1, F.lit(0)))["t"]),
-        )
+
+        def differs(i: Column, *fields: str) -> Column:
+            here, before = F.get(p, i), F.get(p, F.greatest(i - 1, F.lit(0)))
+            found = i == 0
+            for f in fields:
+                found = found | (here[f] != before[f])
+            return found
+
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: differs(i, "t", "c"))
         edges = F.array(F.struct(starts.alias("s")))
         return F.transform(
             edges,
@@ -54,31 +82,55 @@ def page_postings(toks: Column) -> Column:
                 e["s"],
                 lambda at, j: F.struct(
                     F.get(p, at)["t"].alias("term"),
+                    F.get(p, at)["c"].alias("column_id"),
+                    differs(at, "t").alias("leads"),
                     F.slice(p, at + 1, F.coalesce(F.get(e["s"], j + 1), n) - at)["i"].alias("positions"),
                 ),
             ),
         )[0]
 
-    return F.transform(box, cut)[0]
+    return F.get(F.transform(F.filter(box, lambda b: F.size(b["p"]) > 0), cut), F.lit(0))
 
 
-def build_postings(toks: DataFrame) -> DataFrame:
-    """(term, doc_id, page_num, tf, dl, positions); nothing is shuffled."""
-    rows = toks.where(F.col("dl") > 0).select(
-        *PAGE, "dl", F.explode(page_postings(F.col("toks"))).alias("p")
-    )
+def _place(term: Column, column: Column, at: Column) -> Column:
+    return F.struct(term.alias("t"), column.alias("c"), at.alias("i"))
+
+
+def _postings(toks: DataFrame, places: Column) -> DataFrame:
+    rows = toks.where(F.col("dl") > 0).select(*PAGE, "dl", F.explode(_cut(places)).alias("p"))
     return rows.select(
         F.col("p.term").alias("term"),
+        F.col("p.column_id").alias("column_id"),
         *PAGE,
         F.size("p.positions").alias("tf"),
         "dl",
+        F.col("p.leads").alias("leads"),
         F.col("p.positions").alias("positions"),
     )
 
 
+def build_postings(toks: DataFrame) -> DataFrame:
+    """(term, column_id, doc_id, page_num, tf, dl, leads, positions); nothing is shuffled."""
+    cols = F.array("toks") if "toks" in toks.columns else F.col("cols")
+    words = F.transform(cols, lambda ws, c: F.transform(ws, lambda w, i: _place(w, c, i)))
+    return _postings(toks, F.flatten(words))
+
+
+def build_pairs(toks: DataFrame, frequent: list[str]) -> DataFrame:
+    """Postings of neighbours that are both among the frequent words; the position is that of the first."""
+
+    def of_column(ws: Column, c: Column) -> Column:
+        last = F.greatest(F.size(ws) - 2, F.lit(0))
+        both = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(ws, i).isin(frequent) & F.get(ws, i + 1).isin(frequent))
+        return F.transform(both, lambda i: _place(F.concat(F.get(ws, i), F.lit(" "), F.get(ws, i + 1)), c, i))
+
+    return _postings(toks, F.flatten(F.transform("cols", of_column)))
+
+
 def vocabulary(postings: DataFrame) -> DataFrame:
+    """Pages with the word in any column, and occurrences in all."""
     return postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf")
+        F.count_if("leads").alias("df"), F.sum("tf").cast("bigint").alias("cf")
     )
 
 
@@ -90,6 +142,26 @@ def corpus_stats(toks: DataFrame) -> DataFrame:
     ).withColumn("avgdl", F.col("total_tokens") / F.greatest("n_docs", F.lit(1)))
 
 
+def block_of(dl: Column) -> Column:
+    """Pages whose lengths differ by less than a half or so share a block."""
+    return F.floor(F.log2(F.greatest(dl, F.lit(1))) * 2).cast("int")
+
+
+def block_bounds(postings: DataFrame, avgdl: Column, n_columns: int = 1) -> DataFrame:
+    """(term, block, n, cf, most): pages, occurrences, and the largest share that those of one page have, idf left aside.
+
+    A page's occurrences in all columns count together, so ``most`` takes the sum over columns from above.
+    """
+    share = length_share(F.col("tf"), F.col("dl"), avgdl)
+    keys = ["term", "block", "column_id"] if n_columns > 1 else ["term", "block"]
+    by_column = postings.withColumn("block", block_of(F.col("dl"))).groupBy(*keys).agg(
+        F.count_if("leads").alias("n"), F.sum("tf").cast("bigint").alias("cf"), F.max(share).alias("most")
+    )
+    if n_columns == 1:
+        return by_column
+    return by_column.groupBy("term", "block").agg(*[F.sum(c).alias(c) for c in ("n", "cf", "most")])
+
+
 # crc32 is the same in Spark and in Python, so the folders of known words need no job.
 def _bucket(term: Column, n: int) -> Column:
     return F.pmod(F.crc32(term), F.lit(n)).cast("int")
@@ -99,7 +171,8 @@ def _bucket(term: Column, n: int) -> Column:
 class Index:
     """Tables of an index, stored or computed from pages as needed.
 
-    ``n_docs`` and ``avgdl`` are constants of a stored index and scalar subqueries otherwise.
+    ``n_docs`` and ``avgdl`` are constants of a stored index and scalar subqueries otherwise. Only a stored index has pairs
+    of its ``frequent`` words and bounds.
     """
 
     spark: SparkSession
@@ -110,15 +183,21 @@ class Index:
     pages: DataFrame
     n_docs: Column
     avgdl: Column
+    columns: tuple[str, ...] = ("content",)
     buckets: int | None = None
+    pairs: DataFrame | None = None
+    pair_vocab: DataFrame | None = None
+    bounds: DataFrame | None = None
+    frequent: frozenset[str] = frozenset()
+    path: str | None = None
 
     @classmethod
-    def of(cls, pages: DataFrame) -> "Index":
-        toks = tokenize_pages(spread(pages))
+    def of(cls, pages: DataFrame, columns: tuple[str, ...] = ("content",)) -> "Index":
+        toks = tokenize_columns(spread(pages), list(columns))
         postings, stats = build_postings(toks), corpus_stats(toks)
         n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
         return cls(
-            pages.sparkSession, toks, postings, vocabulary(postings), stats, pages, n_docs, avgdl
+            pages.sparkSession, toks, postings, vocabulary(postings), stats, pages, n_docs, avgdl, tuple(columns)
         )
 
     def doc_stats(self) -> DataFrame:
@@ -147,13 +226,17 @@ class Index:
         )
 
 
+_POSTINGS = (
+    "term string, column_id int, doc_id bigint, page_num int, tf int, dl int, leads boolean, positions array<int>, bucket int"
+)
 SCHEMAS = {
-    "tokens": "doc_id bigint, page_num int, toks array<string>, dl int",
-    "postings": (
-        "term string, doc_id bigint, page_num int, tf int, dl int, positions array<int>, bucket int"
-    ),
+    "tokens": "doc_id bigint, page_num int, cols array<array<string>>, dl int",
+    "postings": _POSTINGS,
+    "pairs": _POSTINGS,
     "vocab": "term string, df bigint, cf bigint",
-    "stats": "n_docs bigint, total_tokens bigint, avgdl double, buckets int",
+    "pair_vocab": "term string, df bigint, cf bigint",
+    "bounds": "term string, block int, n bigint, cf bigint, most double",
+    "stats": "n_docs bigint, total_tokens bigint, avgdl double, buckets int, columns array<string>, frequent array<string>",
 }
 
 
@@ -173,68 +256,143 @@ def _layout(total_tokens: int, tokens_per_file: int | None, cores: int) -> tuple
 
 
 def write_index(
-    pages: DataFrame, path: str, mode: str = "overwrite", tokens_per_file: int | None = None
+    pages: DataFrame,
+    path: str,
+    tokens_per_file: int | None = None,
+    columns: tuple[str, ...] = ("content",),
+    frequent_df: int | None = None,
 ) -> Index:
-    """Rebuild the four tables under ``path``."""
+    """Write the tables under ``path``, which must be new.
+
+    Words on ``frequent_df`` pages or more (by default on a twentieth of all), the most frequent ``FREQUENT_WORDS`` of them at
+    most, get pair postings.
+    """
     spark = pages.sparkSession
-    if mode == "overwrite":  # while the tables are replaced, the path holds no whole index
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
-        marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, True)
-    tokenize_pages(spread(pages)).write.mode(mode).parquet(f"{path}/tokens")
+    tokenize_columns(spread(pages), list(columns)).write.mode("errorifexists").parquet(f"{path}/tokens")
     toks = _read(spark, path, "tokens")
     totals = corpus_stats(toks).first()
     buckets, splits = _layout(
         totals["total_tokens"], tokens_per_file, spark.sparkContext.defaultParallelism
     )
-    split = F.pmod(F.xxhash64(*PAGE), F.lit(splits)).cast("int")
-    laid_out = (
-        build_postings(toks)
-        .withColumn("bucket", _bucket(F.col("term"), buckets))
-        .repartitionById(buckets * splits, F.col("bucket") * splits + split)
-        .sortWithinPartitions("bucket", "term", *PAGE)
-    )
-    laid_out.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    (
-        vocabulary(_read(spark, path, "postings"))
-        .repartitionByRange(max(1, buckets * splits // 8), "term")
-        .sortWithinPartitions("term")
-        .write.mode(mode)
-        .parquet(f"{path}/vocab")
-    )
+
+    def lay_out(postings: DataFrame, name: str) -> DataFrame:
+        split = F.pmod(F.xxhash64(*PAGE), F.lit(splits)).cast("int")
+        (
+            postings.withColumn("bucket", _bucket(F.col("term"), buckets))
+            .repartitionById(buckets * splits, F.col("bucket") * splits + split)
+            .sortWithinPartitions("bucket", "term", *PAGE)
+            .write.mode("errorifexists")
+            .partitionBy("bucket")
+            .parquet(f"{path}/{name}")
+        )
+        return _read(spark, path, name)
+
+    def by_term(df: DataFrame, name: str) -> DataFrame:
+        few = max(1, buckets * splits // 8)
+        df.repartitionByRange(few, "term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/{name}")
+        return _read(spark, path, name)
+
+    postings = lay_out(build_postings(toks), "postings")
+    bounds = by_term(block_bounds(postings, F.lit(totals["avgdl"]), len(columns)), "bounds")
+    vocab = by_term(bounds.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "vocab")
+    least = frequent_df if frequent_df is not None else max(2, totals["n_docs"] // FREQUENT_PART)
+    often = vocab.where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(FREQUENT_WORDS)
+    frequent = sorted(r["term"] for r in often.select("term").collect())
+    pairs = lay_out(build_pairs(toks, frequent), "pairs")
+    by_term(vocabulary(pairs), "pair_vocab")
     # Written last: a path with this table holds a whole index.
-    summary = spark.createDataFrame([(*totals, buckets)], SCHEMAS["stats"])
-    summary.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    summary = spark.createDataFrame([(*totals, buckets, list(columns), frequent)], SCHEMAS["stats"])
+    summary.coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats")
     return open_index(spark, path, pages)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def open_index(spark: SparkSession, path: str, pages: DataFrame) -> Index:
-    toks, postings, vocab, stats = (_read(spark, path, n) for n in SCHEMAS)
-    known = stats.first()
-    return Index(
-        spark, toks, postings, vocab, stats, pages,
-        F.lit(known["n_docs"]), F.lit(known["avgdl"]), known["buckets"],
-    )
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _hadoop(spark, path)
+    return files.exists(target)
 
 
-def open_or_build_index(spark: SparkSession, path: str, pages: DataFrame | None) -> Index:
-    """Use the index at ``path``; build it if missing; fail if there is no source either."""
-    if path_exists(spark, f"{path}/stats/_SUCCESS"):
-        if pages is None:
-            pages = spark.createDataFrame([], "doc_id bigint, page_num int, content string")
-        return open_index(spark, path, pages)
+def open_index(spark: SparkSession, path: str, pages: DataFrame | None = None) -> Index:
+    """The whole index at ``path``. Without pages no snippets can be cut."""
+    tables = {n: _read(spark, path, n) for n in SCHEMAS}
+    known = tables["stats"].first()
     if pages is None:
-        raise FileNotFoundError(f"no index at {path} and no pages to build it from")
-    return write_index(pages, path)
+        fields = ", ".join(f"`{c}` string" for c in known["columns"])
+        pages = spark.createDataFrame([], f"doc_id bigint, page_num int, {fields}")
+    return Index(
+        spark, tables["tokens"], tables["postings"], tables["vocab"], tables["stats"], pages,
+        F.lit(known["n_docs"]), F.lit(known["avgdl"]), tuple(known["columns"]), known["buckets"],
+        tables["pairs"], tables["pair_vocab"], tables["bounds"], frozenset(known["frequent"]), path,
+    )
+
+
+# ---- generations ---------------------------------------------------------------------------------
+
+POINTER = "CURRENT"
+
+
+def current_generation(spark: SparkSession, base: str) -> str | None:
+    """Folder of the generation that the pointer names, if there is one."""
+    target, files = _hadoop(spark, f"{base}/{POINTER}")
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{base}/{name.strip()}"
+
+
+def _point_to(spark: SparkSession, base: str, name: str) -> None:
+    """Replace the pointer in one step: readers see the old name or the new one."""
+    draft, files = _hadoop(spark, f"{base}/.{POINTER}-{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}"), option)
+
+
+def drop_generations(spark: SparkSession, base: str, older_than: float = KEPT_SECONDS) -> list[str]:
+    """Delete generations that are not current and were last written more than ``older_than`` seconds ago."""
+    target, files = _hadoop(spark, base)
+    now, dropped = time.time(), []
+    current = current_generation(spark, base)
+    for status in files.listStatus(target) if files.exists(target) else []:
+        name = status.getPath().getName()
+        if name.startswith("gen-") and f"{base}/{name}" != current and now - status.getModificationTime() / 1000 > older_than:
+            files.delete(status.getPath(), True)
+            dropped.append(name)
+    return dropped
+
+
+def reload_index(pages: DataFrame, base: str, kept_seconds: float = KEPT_SECONDS, **options) -> Index:
+    """Build a new generation, make it the current one, and drop those replaced more than ``kept_seconds`` ago.
+
+    Whoever has opened an earlier generation goes on reading it. If two reloads run at once, each builds a
+    generation of its own, and the one that ends last is current.
+    """
+    spark = pages.sparkSession
+    name = f"gen-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    index = write_index(pages, f"{base}/{name}", **options)
+    _point_to(spark, base, name)
+    drop_generations(spark, base, kept_seconds)
+    return index
 
 
-def reload_index(pages: DataFrame, base: str, generation: int) -> Index:
-    """Rebuild under a new folder; readers of the previous one are not disturbed."""
-    path = f"{base}/gen={generation}"
-    index = write_index(pages, path, mode="errorifexists")
-    pages.sparkSession.catalog.refreshByPath(base)
-    return index
+def open_or_build_index(spark: SparkSession, base: str, pages: DataFrame | None, **options) -> Index:
+    """Use the current index under ``base``; build it if missing; fail if there is no source either."""
+    current = current_generation(spark, base)
+    if current is not None:
+        return open_index(spark, current, pages)
+    if pages is None:
+        raise FileNotFoundError(f"no index at {base} and no pages to build it from")
+    return reload_index(pages, base, **options)

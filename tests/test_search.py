@@ -48,7 +48,7 @@ def fts(corpus):
 def index(request, spark, corpus, tmp_path_factory):
     if request.param == "computed":
         return Index.of(corpus)
-    return write_index(corpus, str(tmp_path_factory.mktemp("index")), tokens_per_file=5_000)
+    return write_index(corpus, str(tmp_path_factory.mktemp("index") / "i"), tokens_per_file=5_000, frequent_df=12)
 
 
 def vocabulary(fts):
@@ -87,7 +87,7 @@ def batch(fts):
 
 
 def query_table(spark, rows):
-    names = ["must", "should", "must_not", "phrase", "prefix", "phrases", "prefixes"]
+    names = ["must", "should", "must_not", "phrase", "prefix", "phrases", "prefixes", "columns"]
     return spark.createDataFrame([(i, *[f.get(n) for n in names]) for i, f, _ in rows], QUERY_SCHEMA)
 
 
@@ -174,8 +174,9 @@ def test_reference_cases(spark, tmp_path):
     hits = match(index, asked)
     assert sorted((r["query_id"], r["page_num"]) for r in hits.collect()) == [(0, 1), (2, 2)]
     assert hit_counts(hits, asked, 5).where("query_id = 1").first()["message"] == "No matches found"
-    again = reload_index(pages.limit(1), str(tmp_path / "gens"), 2)
+    again = reload_index(pages.limit(1), path)
     assert again.doc_stats().count() == 1 and index.doc_stats().count() == 2
+    assert open_or_build_index(spark, path, None).doc_stats().count() == 1
 
 
 def test_stored_lookup_reads_only_wanted_words(spark, corpus, tmp_path):
