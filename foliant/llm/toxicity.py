@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.catalog.base import table
-from foliant.llm.base import picked, query, texts_of
+from foliant.llm.base import in_batches, picked, query, texts_of
 from foliant.plans.sizing import written
 
 if TYPE_CHECKING:
@@ -119,24 +119,23 @@ def fit_thresholds_and_weights(
     return params[:n_columns], thresholds(params[n_columns:])
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and one for each of its words and beginnings; equal texts have one key."""
     import hashlib
 
     import pyarrow as pa
 
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
-            counts, keys = [], []
-            for text in texts_of(part.column("text")):
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch.column("text")), strict=True):
                 words = words_of(text)
-                held = dict.fromkeys(beginnings(words), 0) | Counter(words)
-                counts.append([(w, held[w]) for w in sorted(held)])
-                keys.append(hashlib.sha256(b" ".join(words)).digest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("toxic"), pa.array(keys, pa.binary()), pa.array(counts, pa.map_(pa.binary(), pa.int32()))],
-                ["doc_id", "toxic", "text_key", "words"],
-            )
+                key = hashlib.sha256(b" ".join(words)).digest()[:16]
+                yield key, toxic, None, 0
+                held = Counter(words)
+                yield from ((key, toxic, w, n) for w, n in sorted(held.items()))
+                yield from ((key, toxic, b, 0) for b in sorted(beginnings(words)) if b not in held)
+
+    yield from in_batches(rows(), pa.schema([("text_key", pa.binary()), ("toxic", pa.int32()), ("word", pa.binary()), ("times", pa.int32())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Severity:
@@ -157,14 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(sample)
     )
     slim = picked(docs, doc_id=id_col, text=text_col)
-    kind = slim.schema["doc_id"].dataType.simpleString()
     # At most ``sample`` pairs of numbers are broadcast.
-    seen = slim.join(F.broadcast(marked), "doc_id").mapInArrow(
-        _word_sets, f"doc_id {kind}, toxic int, text_key binary, words map<binary,int>"
-    )
-    seen = written(seen, "toxicity-sample")
-    once = seen.groupBy("text_key").agg(F.max("toxic").alias("toxic"), F.min_by("words", "doc_id").alias("words"))
-    cells = once.select("text_key", "toxic", F.explode("words").alias("word", "times"))
+    sampled = slim.join(F.broadcast(marked), "doc_id").select("toxic", "text")
+    seen = written(sampled.mapInArrow(_word_rows, "text_key binary, toxic int, word binary, times int"), "toxicity-sample")
+    # Equal texts have the same words as often, so one row for each text and word is left of any number of copies.
+    once = seen.where("word IS NULL").groupBy("text_key").agg(F.max("toxic").alias("toxic"))
+    cells = seen.where("word IS NOT NULL").groupBy("text_key", "word").agg(F.max("toxic").alias("toxic"), F.max("times").alias("times"))
+    cells = written(cells, "toxicity-cells")
     total = once.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     if not total["n"]:
         return Severity({}, (35.0, 36.0))
