@@ -18,7 +18,7 @@ from foliant.catalog.base import (
     words_sql,
 )
 from foliant.functions.querytext import query_fields
-from foliant.functions.text import clean_query, tokens
+from foliant.functions.text import build_prompt, clean_query, tokens
 from foliant.operators.display import join_snippets, rank_display, remap_marks
 from foliant.operators.search import (
     hit_counts,
@@ -29,6 +29,7 @@ from foliant.operators.search import (
     skip_empty,
     with_snippets,
 )
+from foliant.operators.snippets import word_pattern
 from foliant.plans.sizing import spread
 from foliant.sources.index import (
     PAGE,
@@ -271,7 +272,50 @@ def f12_search_first_n(spark, sf_dir):
     return search_first_n(search_index(spark, sf_dir), asked).select("query_id", "doc_id", "rank_no")
 
 
-@query("f13_snippet")
+# Words with their places, windows and fragments of ``shown`` (query_id, doc_id, rank_no) for the words of ``asked``
+# (query_id, u, term), u from 0. Single words never overlap, so each hit is a run of its own.
+def snippet_sql(n: int) -> str:
+    pattern = word_pattern()
+    return f"""txt AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS raw, regexp_split_to_array(text, '{pattern}') AS gap
+            FROM documents WHERE doc_id IN (SELECT doc_id FROM shown)),
+    ends AS (SELECT doc_id, i, raw[i] AS word, gap[i] AS gap, sum(length(gap[i]) + length(raw[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e
+             FROM (SELECT doc_id, raw, gap, unnest(range(1, len(raw) + 1)) AS i FROM txt)),
+    folded AS (SELECT *, strip_accents(lower(word)) AS term FROM ends),
+    placed AS (SELECT doc_id, term, gap, e, e - length(word) AS b, row_number() OVER d - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS dl,
+               coalesce(lag(e) OVER d, 0) AS before FROM folded WHERE term <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    marks AS (SELECT query_id, doc_id, n AS k, u, dl FROM shown JOIN asked USING (query_id) JOIN placed USING (doc_id, term)
+              UNION ALL SELECT query_id, doc_id, n, NULL, dl FROM shown JOIN placed USING (doc_id)
+              WHERE n = 0 OR regexp_matches(gap, '[.:][ \t\r\n]+$')),
+    wins AS (SELECT *, count(u) OVER a + 999 * count(DISTINCT u) OVER a AS score,
+             max(CASE WHEN u IS NOT NULL THEN k + 1 END) OVER a AS last,
+             max(CASE WHEN u IS NULL THEN k END) OVER (PARTITION BY query_id, doc_id ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st
+             FROM marks WINDOW a AS (PARTITION BY query_id, doc_id ORDER BY k RANGE BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)),
+    tries AS (SELECT query_id, doc_id, k, u, 0 AS b, score, dl, greatest(0, least(k - CAST(trunc(({n} - (last - k)) / 2.0) AS BIGINT), dl - {n})) AS start
+              FROM wins WHERE u IS NOT NULL
+              UNION ALL SELECT h.query_id, h.doc_id, h.k, h.u, 1, s.score + CASE WHEN s.k = 0 THEN 120 ELSE 100 END, h.dl, s.k
+              FROM wins h JOIN wins s ON s.query_id = h.query_id AND s.doc_id = h.doc_id AND s.u IS NULL AND s.k = h.st
+              WHERE h.u IS NOT NULL AND h.dl > {n} AND h.st < h.k),
+    best AS (SELECT query_id, doc_id, start, least(start + {n}, dl) - 1 AS stop, dl FROM tries
+             QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, k, u, b) = 1),
+    pieces AS (SELECT query_id, doc_id, start, stop, best.dl, n, e, text,
+               CASE WHEN n = start AND start > 0 THEN '' ELSE substr(text, CAST(before + 1 AS BIGINT), CAST(b - before AS BIGINT)) END
+               || CASE WHEN EXISTS (SELECT 1 FROM asked x WHERE x.query_id = best.query_id AND x.term = placed.term)
+                  THEN '<b>' || substr(text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT)) || '</b>'
+                  ELSE substr(text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT)) END AS piece
+               FROM best JOIN placed USING (doc_id) JOIN txt USING (doc_id) WHERE n BETWEEN start AND stop),
+    snip AS (SELECT query_id, doc_id, CASE WHEN any_value(start) > 0 THEN '...' ELSE '' END || string_agg(piece, '' ORDER BY n)
+             || CASE WHEN any_value(stop) < any_value(dl) - 1 THEN '...' ELSE substr(any_value(text), CAST(max(e) + 1 AS BIGINT)) END AS snippet
+             FROM pieces GROUP BY query_id, doc_id)"""
+
+
+TWO_ASKED_SQL = "asked AS (SELECT query_id, unnest(w[1:2]) AS term, generate_subscripts(w[1:2], 1) - 1 AS u FROM q)"
+
+
+@query(
+    "f13_snippet",
+    f"""WITH {RANKED_SQL}, shown AS (SELECT query_id, doc_id, rank_no FROM ranked), {TWO_ASKED_SQL}, {snippet_sql(20)}
+    SELECT query_id, doc_id, rank_no, snippet FROM shown JOIN snip USING (query_id, doc_id)""",
+)
 def f13_snippet(spark, sf_dir):
     index, asked = search_index(spark, sf_dir), two_words(spark, sf_dir)
     shown = with_snippets(search_ranked(index, asked), index, asked, 20)
@@ -439,44 +483,65 @@ def p9_skip_empty_query(spark, sf_dir):
     "f19_query_text",
     f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
     words AS (
-        SELECT query_id, unnest(list_distinct(w)) AS term, len(list_distinct(w)) AS n FROM q WHERE query_id % 4 = 0
-        UNION ALL SELECT query_id, unnest(w[1:2]), 1 FROM q WHERE query_id % 4 = 1),
-    ph AS (SELECT query_id, doc_id FROM q JOIN tok ON contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[1] || ' ' || w[2] || ' ')
-           AND contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[3] || ' ' || w[4] || ' ') WHERE query_id % 4 = 3)
+        SELECT query_id * 4 AS query_id, unnest(list_distinct(w)) AS term, len(list_distinct(w)) AS n FROM q
+        UNION ALL SELECT query_id * 4 + 1, unnest(w[1:2]), 1 FROM q),
+    ph AS (SELECT query_id * 4 + 3, doc_id FROM q JOIN tok ON contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[1] || ' ' || w[2] || ' ')
+           AND contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[3] || ' ' || w[4] || ' '))
     SELECT query_id, doc_id FROM words JOIN t USING (term) GROUP BY query_id, doc_id HAVING count(DISTINCT term) >= any_value(n)
-    UNION ALL SELECT query_id, a.doc_id FROM q JOIN t a ON a.term = q.w[1] WHERE query_id % 4 = 2
-        AND NOT EXISTS (SELECT 1 FROM t b WHERE b.term = q.w[2] AND b.doc_id = a.doc_id)
+    UNION ALL SELECT query_id * 4 + 2, a.doc_id FROM q JOIN t a ON a.term = q.w[1] WHERE
+        NOT EXISTS (SELECT 1 FROM t b WHERE b.term = q.w[2] AND b.doc_id = a.doc_id)
         AND EXISTS (SELECT 1 FROM t c WHERE starts_with(c.term, q.w[3][1:2]) AND c.doc_id = a.doc_id)
         AND EXISTS (SELECT 1 FROM t c WHERE starts_with(c.term, q.w[4][1:2]) AND c.doc_id = a.doc_id)
-    UNION ALL SELECT query_id, doc_id FROM ph""",
+    UNION ALL SELECT * FROM ph""",
 )
 def f19_query_text(spark, sf_dir):
-    """Whole passages as typed, and typed forms with OR, with NOT and two prefixes, and with two phrases."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", tokens(F.col("text")).alias("w"))
+    """Each passage as typed, and typed forms of its words with OR, with NOT and two prefixes, and with two phrases."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", tokens(F.col("text")).alias("w"))
     w = lambda i: F.get("w", F.lit(i))
-    kind = F.col("query_id") % 4
-    typed = (
-        F.when(kind == 0, F.col("text"))
-        .when(kind == 1, F.concat(w(0), F.lit(" OR "), w(1)))
-        .when(kind == 2, F.concat(w(0), F.lit(" NOT "), w(1), F.lit(" "), w(2).substr(1, 2), F.lit("* "), w(3).substr(1, 2), F.lit("*")))
-        .otherwise(F.concat(F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" "'), w(2), F.lit(" "), w(3), F.lit('"')))
-    )
-    return matches(match(search_index(spark, sf_dir), queries_of(items, **query_fields(typed))))
+    forms = [
+        F.col("text"),
+        F.concat(w(0), F.lit(" OR "), w(1)),
+        F.concat(w(0), F.lit(" NOT "), w(1), F.lit(" "), w(2).substr(1, 2), F.lit("* "), w(3).substr(1, 2), F.lit("*")),
+        F.concat(F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" "'), w(2), F.lit(" "), w(3), F.lit('"')),
+    ]
+    typed = items.select("item_id", F.posexplode(F.array(*forms)).alias("form", "typed"))
+    asked = typed.select((F.col("item_id") * 4 + F.col("form")).alias("query_id"), "typed")
+    return matches(match(search_index(spark, sf_dir), queries_of(asked, **query_fields(F.col("typed")))))
+
+
+FIRST_SQL = f"""{TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
+    shown AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank_no
+              FROM q JOIN t ON t.term = q.w[1] QUALIFY rank_no <= 3),
+    asked AS (SELECT query_id, w[1] AS term, 0 AS u FROM q)"""
 
 
 @query(
     "g3_join_snippets",
-    f"""WITH {TOKENS_SQL}, {QUERIES_SQL}, t AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok),
-    f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank_no
-          FROM q JOIN t ON t.term = q.w[1] QUALIFY rank_no <= 3)
-    SELECT query_id, string_agg('Snippet: ' || text, chr(10) ORDER BY rank_no) AS context
-    FROM f JOIN documents USING (doc_id) GROUP BY query_id""",
+    f"""WITH {FIRST_SQL}, {snippet_sql(10)}
+    SELECT query_id, string_agg('Snippet: ' || snippet, chr(10) ORDER BY rank_no) AS context
+    FROM shown JOIN snip USING (query_id, doc_id) GROUP BY query_id""",
 )
 def g3_join_snippets(spark, sf_dir):
-    asked = queries_of(benchmark_words(spark, sf_dir), must=F.slice("w", 1, 1))
-    first = search_first_n(search_index(spark, sf_dir), asked)
-    heads = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("snippet"))
-    return join_snippets(first.join(heads, "doc_id"), ["query_id"], "rank_no", "snippet")
+    """The fragments of the first three documents of each search, joined as context."""
+    index, asked = search_index(spark, sf_dir), queries_of(benchmark_words(spark, sf_dir), must=F.slice("w", 1, 1))
+    found = with_snippets(search_first_n(index, asked), index, asked, 10)
+    return join_snippets(found, ["query_id"], "rank_no", "snippet")
+
+
+@query(
+    "f20_grounded_prompt",
+    f"""WITH {FIRST_SQL}, {snippet_sql(10)},
+    context AS (SELECT query_id, string_agg('Snippet: ' || snippet, chr(10) ORDER BY rank_no) AS context
+                FROM shown JOIN snip USING (query_id, doc_id) GROUP BY query_id)
+    SELECT item_id AS query_id, CASE WHEN coalesce(context, '') <> '' THEN 'CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || text
+           ELSE text END AS prompt FROM benchmark LEFT JOIN context ON query_id = item_id""",
+)
+def f20_grounded_prompt(spark, sf_dir):
+    """The whole way from a search over its snippets and their context to the prompt that asks about them."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return asked.join(g3_join_snippets(spark, sf_dir), "query_id", "left").select(
+        "query_id", build_prompt(F.col("context"), F.col("text")).alias("prompt")
+    )
 
 
 @query(

@@ -33,7 +33,7 @@ SLIDE_SQL = "CASE WHEN minute(ts) < 40 THEN CAST(minute(ts) // 10 AS INTEGER) EN
 @query("j1_interval_lookup", f"SELECT event_id, user_id, {SLIDE_SQL} AS idx FROM events")
 def j1_interval_lookup(spark, sf_dir):
     points = minute_events(spark, sf_dir)
-    return timeline.interval_lookup(points, ["event_id"], "t", slides(spark)).select(
+    return timeline.interval_lookup(points, "t", slides(spark)).select(
         "event_id", "user_id", "idx"
     )
 
@@ -50,7 +50,7 @@ def j1_interval_lookup_many(spark, sf_dir):
         F.col("p_partkey").alias("idx"), start.alias("start"), (start + F.col("p_size") / 100.0).alias("end")
     )
     points = table(spark, sf_dir, "events").select("event_id", "value")
-    return timeline.interval_lookup(points, ["event_id"], "value", spans)
+    return timeline.interval_lookup(points, "value", spans)
 
 
 @query(
@@ -60,7 +60,7 @@ def j1_interval_lookup_many(spark, sf_dir):
         (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS shown FROM p""",
 )
 def j2_carry_forward(spark, sf_dir):
-    found = timeline.interval_lookup(minute_events(spark, sf_dir), ["event_id"], "t", slides(spark))
+    found = timeline.interval_lookup(minute_events(spark, sf_dir), "t", slides(spark))
     shown = timeline.carry_forward(found, ["user_id"], ["ts", "event_id"], "idx", "shown", F.lit(0))
     return shown.select("event_id", "user_id", "shown")
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.scoring import bm25_term, idf
-from foliant.functions.snippet import snippet
 from foliant.functions.text import fold, is_blank
+from foliant.operators.snippets import fragments, placed_words
 from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, written
 from foliant.sources.index import PAGE, Index, block_of
 
@@ -472,7 +472,10 @@ def with_snippets(
     cut: str = "...",
     column: str | None = None,
 ) -> DataFrame:
-    """Add the best fragment to returned hits. Texts are read only for pages that were returned."""
+    """Add the best fragment of a column, by default the first, to returned hits.
+
+    Texts are read only for the pages that were returned, from the parts of the index where these lie.
+    """
     units = query_units(queries).where(F.col("role") != "none")
     asked = units.groupBy("query_id").agg(
         F.transform(
@@ -480,17 +483,12 @@ def with_snippets(
             lambda u: F.struct(
                 u["words"].alias("words"), (u["kind"] == F.lit("prefix")).alias("is_prefix")
             ),
-        ).alias("_units")
+        ).alias("units")
     )
     shown, rows = inlined(hits, BROADCAST_ROWS)
-    texts = index.pages.select(*PAGE, F.col(f"`{column or index.columns[0]}`").alias("content"))
-    if rows is not None and len(rows) <= TERMS_PUSHED:
-        texts = texts.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
-    bound = None if rows is None else len(rows)
-    texts = lookup_join(texts, shown, PAGE, spread_by=["content"], bounded_by=bound)
-    if rows is not None:
-        texts = texts.repartition(index.spark.sparkContext.defaultParallelism)
-    joined = lookup_join(texts, asked, ["query_id"], spread_by=PAGE, bounded_by=queries)
-    return joined.withColumn("snippet", snippet(F.col("content"), F.col("_units"), n, marks, cut)).drop(
-        "content", "_units"
-    )
+    documents = None if rows is None else sorted({r["doc_id"] for r in rows})
+    known = documents if documents is not None and len(documents) <= TERMS_PUSHED else None
+    pages = placed_words(index.texts_of(shown, column or index.columns[0], known))
+    by_query = lookup_join(shown.select("query_id", *PAGE), asked, ["query_id"], spread_by=PAGE, bounded_by=queries)
+    cut_out = fragments(by_query.join(written(pages, "placed"), PAGE), n, marks, cut)
+    return shown.join(cut_out, ["query_id", *PAGE], "left")  # one row for one row

@@ -10,22 +10,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.plans.ordered import Ordered, ordered
-from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join
+from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, written
 
-LEVEL_BASE = 2.0
 
+def flat_segments(intervals: DataFrame) -> DataFrame:
+    """(begin, idx): where the first interval changes, over intervals (idx, start, end) that may nest and overlap.
 
-def interval_lookup(
-    points: DataFrame, key: list[str], t: str, intervals: DataFrame, max_inline: int = 64
-) -> DataFrame:
+    From each ``begin`` to the next one holds the least idx of the intervals that cover the stretch, or NULL. The ends
+    are numbered; an interval covers a range of these numbers, which is the union of a few dyadic ranges (two of each
+    size at most). Each dyadic range keeps its least idx, and a stretch looks at the ranges of all sizes around it.
+    """
+    spans = intervals.select("idx", "start", "end").where(F.col("end") > F.col("start"))
+    ends = spans.select(F.col("start").alias("begin")).unionByName(spans.select(F.col("end").alias("begin"))).distinct()
+    numbered = written(ordered(ends, [], ["begin"]).number("_no").rows(), "interval-ends")
+    levels = max(1, numbered.count()).bit_length()
+    covered = (
+        spans.join(numbered.select(F.col("begin").alias("start"), (F.col("_no") - 1).alias("_from")), "start")
+        .join(numbered.select(F.col("begin").alias("end"), (F.col("_no") - 1).alias("_to")), "end")
+        .select("idx", "_from", "_to")
+    )
+
+    def ranges(level: Column) -> Column:
+        size = F.pow(F.lit(2), level).cast("bigint")
+        low, high = F.floor((F.col("_from") + size - 1) / size), F.floor(F.col("_to") / size)
+        both = F.array(F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
+        return F.transform(F.array_compact(both), lambda n: F.struct(level.alias("level"), n.alias("n")))
+
+    dyadic = covered.select("idx", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), ranges))).alias("r"))
+    least = dyadic.groupBy("r.level", "r.n").agg(F.min("idx").alias("idx"))
+    around = numbered.select("begin", (F.col("_no") - 1).alias("_no"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    around = around.select("begin", "level", F.expr("shiftright(_no, level)").alias("n"))
+    found = lookup_join(around, least, ["level", "n"], "left", spread_by=["begin"])
+    return found.groupBy("begin").agg(F.min("idx").alias("idx"))
+
+
+def interval_lookup(points: DataFrame, t: str, intervals: DataFrame, max_inline: int = 64) -> DataFrame:
     """Add ``idx`` of the first interval (idx, start, end) with start <= t < end, or NULL.
 
-    A few intervals become an array literal, so the lookup is a projection. Otherwise each interval is put
-    into grid cells of about its own length (two at most), each point into one cell of every
-    length in use, and the two meet in an equi-join. ``idx`` depends on t alone, so null and repeated keys do no harm;
-    ``key`` only spreads the points over tasks.
+    Intervals may nest, overlap, repeat and be open (an infinite end); those whose end is null or not after their start hold
+    nothing. A null t lies in none. A few intervals become an array literal, so the lookup is a projection. More are
+    flattened into disjoint segments, and points and segments are sorted together once, so that each point takes the segment
+    before it; the points may be any number, and so may be those between two segments.
     """
-    at = F.col(t)
+    at = F.col(f"`{t}`")
     spans = intervals.select("idx", "start", "end").where(F.col("end") > F.col("start"))
     few = spans.limit(max_inline + 1).collect()
     if not few:
@@ -39,22 +66,13 @@ def interval_lookup(
         )
         hit = F.filter(listed, lambda s: (at >= s["start"]) & (at < s["end"]))
         return points.withColumn("idx", F.get(hit, F.lit(0))["idx"])
-    level = F.ceil(F.log(LEVEL_BASE, F.col("end") - F.col("start"))).cast("int")
-    spans = spans.withColumn("_level", level)
-    levels = [r["_level"] for r in spans.select("_level").distinct().collect()]
-    size = F.pow(F.lit(LEVEL_BASE), F.col("_level"))
-    spans = spans.withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size)))
-    )
-    point = list(dict.fromkeys([*key, t]))
-    placed = points.select(*point, F.explode(F.array(*map(F.lit, levels))).alias("_level"))
-    placed = placed.withColumn("_cell", F.floor(at / size))
-    found = lookup_join(placed, spans, ["_level", "_cell"], spread_by=key).where(
-        (at >= F.col("start")) & (at < F.col("end"))
+    segments = written(flat_segments(intervals), "segments")
+    carrier = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    both = points.select(at.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(f"struct<idx:{segments.schema['idx'].dataType.simpleString()}>").alias("_seg"), carrier.alias("_row")).unionByName(
+        segments.select(F.col("begin").alias("_at"), F.lit(0).alias("_kind"), F.struct("idx").alias("_seg")), allowMissingColumns=True
     )
-    first = found.groupBy(*[F.col(k).alias(f"_{k}") for k in point]).agg(F.min("idx").alias("idx"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in point]  # a point without key is looked up as well
-    return points.join(first, same, "left").select(*points.columns, "idx")
+    carried = ordered(both, [], ["_at", "_kind"]).carry("_seg", "_held").rows().where("_kind = 1")
+    return carried.select(*[F.col(f"_row.`{c}`") for c in points.columns], F.col("_held.idx").alias("idx"))
 
 
 def carry_forward(

@@ -6,6 +6,7 @@ pairs     the same, for neighbouring frequent words; the term is both words with
 vocab     term, df, cf
 pair_vocab  term, df, cf
 bounds    term, block, n, cf, most             of the postings by page length, see below
+texts     part, doc_id, page_num, c0, c1 ..    the columns of the pages
 stats     n_docs, total_tokens, avgdl, buckets, columns, frequent   one row
 
 Postings are found inside each page (sort the words of the page, cut at the changes), so no
@@ -21,6 +22,9 @@ marks one posting of each word and page, so that pages with a word can be counte
 Pages of similar length form a block (``block_of``). For each word and block the index knows the number of postings and
 the largest share that one of them can bring to a score; a ranked search leaves out blocks that cannot reach its best.
 
+Texts are laid out like postings, by hash part of the document and sorted by page, so the pages of a result are read from
+their parts only.
+
 An index lives in generations: each build writes a folder of its own, and a pointer file names the current one. A reader
 keeps the generation it opened.
 """
@@ -189,6 +193,7 @@ class Index:
     pair_vocab: DataFrame | None = None
     bounds: DataFrame | None = None
     frequent: frozenset[str] = frozenset()
+    texts: DataFrame | None = None
     path: str | None = None
 
     @classmethod
@@ -203,6 +208,23 @@ class Index:
     def doc_stats(self) -> DataFrame:
         return self.tokens.select(*PAGE, "dl")
 
+    def texts_of(self, hits: DataFrame, column: str, known: list[int] | None) -> DataFrame:
+        """(doc_id, page_num, content): a column of the pages that ``hits`` names, each page once.
+
+        ``known`` are the documents, if few enough to be pushed into the scan as literals.
+        """
+        wanted = hits.select(*PAGE).distinct()
+        table, name, keys = self.pages, f"`{column}`", PAGE
+        if self.texts is not None:
+            table, name, keys = self.texts, f"c{self.columns.index(column)}", ["part", *PAGE]
+            wanted = wanted.withColumn("part", _bucket(F.col("doc_id").cast("string"), self.buckets))
+            if known is not None:
+                table = table.where(F.col("part").isin(sorted({crc32(str(d).encode()) % self.buckets for d in known})))
+        if known is not None:
+            table = table.where(F.col("doc_id").isin(known))
+        found = lookup_join(table, wanted, keys, "left_semi", spread_by=PAGE, bounded_by=None if known is None else 0)
+        return found.select(*PAGE, F.coalesce(name, F.lit("")).alias("content"))
+
     def lookup(self, table: DataFrame, terms: DataFrame, known: list[str] | None) -> DataFrame:
         """Rows of a term-keyed table joined to wanted terms; frequent words are split over tasks.
 
@@ -235,6 +257,7 @@ SCHEMAS = {
     "pairs": _POSTINGS,
     "vocab": "term string, df bigint, cf bigint",
     "pair_vocab": "term string, df bigint, cf bigint",
+    "texts": "doc_id bigint, page_num int, part int",  # and the columns
     "bounds": "term string, block int, n bigint, cf bigint, most double",
     "stats": "n_docs bigint, total_tokens bigint, avgdl double, buckets int, columns array<string>, frequent array<string>",
 }
@@ -275,35 +298,40 @@ def write_index(
         totals["total_tokens"], tokens_per_file, spark.sparkContext.defaultParallelism
     )
 
-    def lay_out(postings: DataFrame, name: str) -> DataFrame:
+    def lay_out(rows: DataFrame, name: str, folder: str, of: Column, order: list[str]) -> DataFrame:
         split = F.pmod(F.xxhash64(*PAGE), F.lit(splits)).cast("int")
         (
-            postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-            .repartitionById(buckets * splits, F.col("bucket") * splits + split)
-            .sortWithinPartitions("bucket", "term", *PAGE)
+            rows.withColumn(folder, _bucket(of, buckets))
+            .repartitionById(buckets * splits, F.col(folder) * splits + split)
+            .sortWithinPartitions(folder, *order)
             .write.mode("errorifexists")
-            .partitionBy("bucket")
+            .partitionBy(folder)
             .parquet(f"{path}/{name}")
         )
         return _read(spark, path, name)
 
+    def by_word(postings: DataFrame, name: str) -> DataFrame:
+        return lay_out(postings, name, "bucket", F.col("term"), ["term", *PAGE])
+
     def by_term(df: DataFrame, name: str) -> DataFrame:
         few = max(1, buckets * splits // 8)
         df.repartitionByRange(few, "term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/{name}")
         return _read(spark, path, name)
 
-    postings = lay_out(build_postings(toks), "postings")
+    texts = pages.select(*PAGE, *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    lay_out(texts, "texts", "part", F.col("doc_id").cast("string"), PAGE)
+    postings = by_word(build_postings(toks), "postings")
     bounds = by_term(block_bounds(postings, F.lit(totals["avgdl"]), len(columns)), "bounds")
     vocab = by_term(bounds.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "vocab")
     least = frequent_df if frequent_df is not None else max(2, totals["n_docs"] // FREQUENT_PART)
     often = vocab.where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(FREQUENT_WORDS)
     frequent = sorted(r["term"] for r in often.select("term").collect())
-    pairs = lay_out(build_pairs(toks, frequent), "pairs")
+    pairs = by_word(build_pairs(toks, frequent), "pairs")
     by_term(vocabulary(pairs), "pair_vocab")
     # Written last: a path with this table holds a whole index.
     summary = spark.createDataFrame([(*totals, buckets, list(columns), frequent)], SCHEMAS["stats"])
     summary.coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats")
-    return open_index(spark, path, pages)
+    return open_index(spark, path)
 
 
 def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
@@ -316,17 +344,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def open_index(spark: SparkSession, path: str, pages: DataFrame | None = None) -> Index:
-    """The whole index at ``path``. Without pages no snippets can be cut."""
-    tables = {n: _read(spark, path, n) for n in SCHEMAS}
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The whole index at ``path``."""
+    tables = {n: _read(spark, path, n) for n in SCHEMAS if n != "texts"}
     known = tables["stats"].first()
-    if pages is None:
-        fields = ", ".join(f"`{c}` string" for c in known["columns"])
-        pages = spark.createDataFrame([], f"doc_id bigint, page_num int, {fields}")
+    columns = tuple(known["columns"])
+    fields = "".join(f", c{i} string" for i in range(len(columns)))
+    texts = spark.read.schema(SCHEMAS["texts"] + fields).parquet(f"{path}/texts")
+    pages = texts.select(*PAGE, *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
     return Index(
         spark, tables["tokens"], tables["postings"], tables["vocab"], tables["stats"], pages,
-        F.lit(known["n_docs"]), F.lit(known["avgdl"]), tuple(known["columns"]), known["buckets"],
-        tables["pairs"], tables["pair_vocab"], tables["bounds"], frozenset(known["frequent"]), path,
+        F.lit(known["n_docs"]), F.lit(known["avgdl"]), columns, known["buckets"], tables["pairs"],
+        tables["pair_vocab"], tables["bounds"], frozenset(known["frequent"]), texts, path,
     )
 
 
@@ -392,7 +421,7 @@ def open_or_build_index(spark: SparkSession, base: str, pages: DataFrame | None,
     """Use the current index under ``base``; build it if missing; fail if there is no source either."""
     current = current_generation(spark, base)
     if current is not None:
-        return open_index(spark, current, pages)
+        return open_index(spark, current)
     if pages is None:
         raise FileNotFoundError(f"no index at {base} and no pages to build it from")
     return reload_index(pages, base, **options)

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from foliant.catalog import ORACLES, QUERIES
 
-ROWS_ONLY = {"f13_snippet"}  # compared with FTS5 in test_search
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")

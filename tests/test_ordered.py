@@ -135,7 +135,7 @@ def test_interval_lookup(spark, inline):
     spans += [(5 + i, a, a + rnd.choice([0.01, 0.5, 3, 30])) for i, a in enumerate(rnd.uniform(-30, 110) for _ in range(60))]
     p = spark.createDataFrame(points, "id int, t double")
     s = spark.createDataFrame(spans, "idx int, start double, end double")
-    got = {r["id"]: r["idx"] for r in timeline.interval_lookup(p, ["id"], "t", s, max_inline=inline).collect()}
+    got = {r["id"]: r["idx"] for r in timeline.interval_lookup(p, "t", s, max_inline=inline).collect()}
     assert got == {i: min((x for x, a, b in spans if a <= t < b), default=None) for i, t in points}
 
 
@@ -160,3 +160,19 @@ def test_link_media(spark):
         (11, "static/a/frame_2.jpg", 10.0),
         (22, "static/b/x.png", 0.0),
     ]
+
+
+@pytest.mark.parametrize(("n", "block"), [(10, 2_000_000), (70, 2_000_000), (3000, 2_000_000), (3000, 500)])
+def test_open_nested_and_equal_intervals(spark, monkeypatch, n, block):
+    monkeypatch.setattr(timeline, "ordered", lambda *a, **k: ordered(*a, rows_per_block=block, **k))
+    rnd, inf = random.Random(n), float("inf")
+    spans = [(n, -inf, 50.0), (n + 1, 60.0, inf), (n + 2, 0.0, None), (n + 3, None, 9.0), (n + 4, 5.0, 5.0), (n + 5, 9.0, 3.0)]
+    for i in range(n):
+        a = round(rnd.uniform(0, 100), 1)
+        spans.append((i if i % 3 else n + 10 + i, a, rnd.choice([a + 0.1, a + 5, 80.0, a + 30])))
+    spans += spans[6:9]  # equal ones
+    points = [(i, rnd.choice([round(rnd.uniform(-5, 120), 1), inf, -inf, float("nan"), None])) for i in range(1500)]
+    got = timeline.interval_lookup(spark.createDataFrame(points, "id int, t double"), "t", spark.createDataFrame(spans, "idx int, start double, end double"))
+    real = [(x, a, b) for x, a, b in spans if a is not None and b is not None and a < b]
+    wanted = {i: min((x for x, a, b in real if a <= t < b), default=None) if t is not None and t == t else None for i, t in points}
+    assert {r["id"]: r["idx"] for r in got.collect()} == wanted

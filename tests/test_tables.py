@@ -147,5 +147,5 @@ def test_intervals_of_points_with_null_and_repeated_keys(spark, max_inline):
     points = spark.createDataFrame(keyed, "k bigint, t double")
     spans = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 3.0), (3, 2.0, 3.0), (4, 5.0, 5.0)], "idx int, start double, end double")
     wanted = {0.5: 1, 1.5: 2, 2.5: 2, 9.0: None, None: None}
-    found = timeline.interval_lookup(points, ["k"], "t", spans, max_inline)
+    found = timeline.interval_lookup(points, "t", spans, max_inline)
     assert rows(found) == sorted(((k, t, wanted[t]) for k, t in keyed), key=str)
