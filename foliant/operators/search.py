@@ -17,6 +17,7 @@ pages that may score best first, and then only at blocks that can still beat wha
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -403,10 +404,9 @@ def _bounded(index: Index, units: Units) -> DataFrame:
         F.count_if(role == "any").alias("_any"),
         F.min(F.when(role == "all", F.col("n"))).alias("_least"),
         F.max(F.when(role == "any", F.col("n"))).alias("_most"),
-        F.sum("n").alias("postings"),
     )
     possible = (F.col("_all") == F.col("need_all")) & ((F.col("_any") > 0) | ~F.col("need_any")) & (F.col("_all") + F.col("_any") > 0)
-    return blocks.where(possible).select("query_id", "block", "reach", F.coalesce("_least", "_most").alias("n"), "postings")
+    return blocks.where(possible).select("query_id", "block", "reach", F.coalesce("_least", "_most").alias("n"))
 
 
 def _pruned(index: Index, units: Units, k: int, prune_hits: int) -> DataFrame | None:
@@ -415,9 +415,11 @@ def _pruned(index: Index, units: Units, k: int, prune_hits: int) -> DataFrame |
         return None
     if any(r["columns"] is not None for r in units.rows):  # the bounds are those of all columns
         return None
-    blocks = written(_bounded(index, units), "reach")
-    if (blocks.agg(F.sum("postings")).first()[0] or 0) < prune_hits:
+    words = Counter(w for r in units.rows for w in r["words"])
+    pages = index.vocab.where(F.col("term").isin(list(words))).select("term", "df").collect()  # a batch's words at most
+    if sum(words[r["term"]] * r["df"] for r in pages) < prune_hits:
         return None
+    blocks = written(_bounded(index, units), "reach")
     order = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tried = blocks.withColumn("_first", before < FIRST_PAGES * k)
@@ -490,5 +492,7 @@ def with_snippets(
     known = documents if documents is not None and len(documents) <= TERMS_PUSHED else None
     pages = placed_words(index.texts_of(shown, column or index.columns[0], known))
     by_query = lookup_join(shown.select("query_id", *PAGE), asked, ["query_id"], spread_by=PAGE, bounded_by=queries)
-    cut_out = fragments(by_query.join(written(pages, "placed"), PAGE), n, marks, cut)
+    ready = written(by_query.join(pages, PAGE), "placed")
+    most_units = ready.agg(F.max(F.size("units"))).first()[0] or 1
+    cut_out = fragments(ready, n, marks, cut, most_units)
     return shown.join(cut_out, ["query_id", *PAGE], "left")  # one row for one row

@@ -8,6 +8,8 @@ its hits marked. The rows of one page and query stay together through all steps,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +24,12 @@ PAGE = ["doc_id", "page_num"]
 AT = ["query_id", *PAGE]
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Few rows with much work each still use all cores."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def word_pattern() -> str:
     """Runs of letters, numbers and private use, with the accents that folding deletes."""
     return r"[\p{L}\p{N}\p{Co}" + fold_map()[2] + "]+"
@@ -33,6 +41,7 @@ def placed_words(pages: DataFrame) -> DataFrame:
     ``word`` is folded, ``begin`` and ``end`` are places in the text from 0, ``opens`` says that a sentence begins. Pages must
     be different; a page without words has an empty array.
     """
+    pages = pages.repartition(tasks_for(pages), *PAGE)
     pattern = word_pattern()
     raw = F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(0))
     parts = pages.select(
@@ -72,24 +81,33 @@ def unit_hits(words: Column, units: Column) -> Column:
     return F.get(F.transform(box, at), F.lit(0))
 
 
-def _best_starts(hits: DataFrame, n: int) -> DataFrame:
-    """(query, page, start): where the best window of ``n`` words begins.
+def _places(hits: DataFrame, n: int, most_units: int) -> DataFrame:
+    """(query, page, start, runs): where the best window of ``n`` words begins, and overlapping hits as one run each.
 
-    ``hits``: (query, page, dl, k, u, len), and rows with u null for the sentence starts. Windows begin at a hit, placed so that
+    ``hits``: (query, page, dl, k, u, len), with u null for the sentence starts. Windows begin at a hit, placed so that
     the hits lie in the middle, or at the sentence of a hit; of equal scores the first in the order of hits wins.
     """
     ordered = Window.partitionBy(*AT).orderBy("k")
     ahead = ordered.rangeBetween(Window.currentRow, n - 1)
     hit = F.col("u").isNotNull()
-    different = F.size(F.collect_set("u").over(ahead))
+    # Different units of a window: one bit for each.
+    bits = [
+        F.bit_count(F.coalesce(F.bit_or(F.when(F.col("u").between(i, i + 59), F.expr(f"shiftleft(1L, u - {i})"))).over(ahead), F.lit(0).cast("bigint")))
+        for i in range(0, most_units, 60)
+    ]
+    different = reduce(lambda a, b: a + b, bits)
     scored = hits.select(
         "*",
         (FIRST_HIT * different + REPEAT_HIT * (F.count("u").over(ahead) - different)).alias("score"),
-        F.max_by(F.col("k") + F.col("len"), F.when(hit, F.struct("k", "u"))).over(ahead).alias("last"),
+        F.max(F.when(hit, F.struct("k", "u", (F.col("k") + F.col("len")).alias("end")))).over(ahead)["end"].alias("last"),
     )
     back = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     sentence = F.when(~hit, F.struct(F.col("k").alias("at"), F.col("score").alias("score")))
-    told = scored.withColumn("sentence", F.max(sentence).over(back)).where(hit)
+    by_hit = Window.partitionBy(*AT).orderBy("k", "u")
+    before = F.max(F.col("k") + F.col("len") - 1).over(by_hit.rowsBetween(Window.unboundedPreceding, -1))
+    told = scored.withColumn("sentence", F.max(sentence).over(back)).withColumn("fresh", hit & (before.isNull() | (F.col("k") > before)))
+    told = told.withColumn("run", F.count_if("fresh").over(by_hit.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    told = told.withColumn("run_last", F.max(F.col("k") + F.col("len") - 1).over(Window.partitionBy(*AT, "run"))).where(hit)
     spare = F.lit(n) - (F.col("last") - F.col("k"))
     middle = F.col("k") - F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
     place = F.greatest(F.lit(0), F.least(middle, F.col("dl") - n))
@@ -99,16 +117,8 @@ def _best_starts(hits: DataFrame, n: int) -> DataFrame:
         (F.col("sentence.score") + bonus).cast("bigint").alias("score"), (-F.col("k")).alias("k"), (-F.col("u")).alias("u"), F.lit(-1).alias("b"), F.col("sentence.at").alias("start")
     )
     tried = F.when((F.col("dl") > n) & (F.col("sentence.at") < F.col("k")), F.greatest(here, there)).otherwise(here)
-    return told.groupBy(*AT).agg(F.max(tried).alias("best")).select(*AT, F.col("best.start").alias("start"))
-
-
-def _runs(hits: DataFrame) -> DataFrame:
-    """(query, page, first, last): overlapping hits as one run."""
-    ordered = Window.partitionBy(*AT).orderBy("k", "u")
-    before = F.max(F.col("k") + F.col("len") - 1).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = hits.withColumn("fresh", (before.isNull() | (F.col("k") > before)).cast("int"))
-    numbered = fresh.withColumn("run", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(*AT, "run").agg(F.min("k").alias("first"), F.max(F.col("k") + F.col("len") - 1).alias("last"))
+    run = F.when(F.col("fresh"), F.struct(F.col("k").alias("first"), F.col("run_last").alias("last")))
+    return told.groupBy(*AT).agg(F.max(tried)["start"].alias("start"), F.sort_array(F.collect_list(run)).alias("runs"))
 
 
 def _cut_out(n: int, marks: tuple[str, str], cut: str) -> Column:
@@ -138,18 +148,16 @@ def _cut_out(n: int, marks: tuple[str, str], cut: str) -> Column:
     return F.get(F.transform(box, pieces), F.lit(0))
 
 
-def fragments(rows: DataFrame, n: int, marks: tuple[str, str], cut: str) -> DataFrame:
+def fragments(rows: DataFrame, n: int, marks: tuple[str, str], cut: str, most_units: int) -> DataFrame:
     """(query_id, doc_id, page_num, snippet) of rows (query_id, doc_id, page_num, content, words, units), one for each query and page.
 
-    ``units`` is array<struct<words array<string>, is_prefix boolean>>, the words already folded.
+    ``units`` is array<struct<words array<string>, is_prefix boolean>>, the words already folded; no row has more than
+    ``most_units``.
     """
-    found = rows.select(*AT, F.size("words").alias("dl"), unit_hits(F.col("words"), F.col("units")).alias("hits"), F.filter("words", lambda w: w["opens"]).alias("sentences"))
-    hits = found.select(*AT, "dl", F.explode("hits").alias("h")).select(*AT, "dl", "h.k", "h.u", "h.len")
-    no_unit = [F.lit(None).cast("int").alias(c) for c in ("u", "len")]
-    starts = found.where("size(hits) > 0").select(*AT, "dl", F.explode("sentences").alias("s")).select(*AT, "dl", F.col("s.i").alias("k"), *no_unit)
-    best = _best_starts(hits.unionByName(starts), n)
-    runs = _runs(hits).groupBy(*AT).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    ready = rows.join(best, AT, "left").join(runs, AT, "left")
+    sentences = F.transform(F.filter("words", lambda w: w["opens"]), lambda w: F.struct(w["i"].alias("k"), F.lit(None).cast("int").alias("u"), F.lit(None).cast("int").alias("len")))
+    found = rows.select(*AT, F.size("words").alias("dl"), unit_hits(F.col("words"), F.col("units")).alias("hits"), sentences.alias("sentences"))
+    narrow = found.where(F.size("hits") > 0).select(*AT, "dl", F.explode(F.concat("hits", "sentences")).alias("h")).select(*AT, "dl", "h.*")
+    places = _places(narrow.repartition(tasks_for(rows), *AT), n, max(1, most_units))
     none = F.array().cast("array<struct<first:int,last:int>>")
-    ready = ready.withColumn("start", F.coalesce("start", F.lit(0))).withColumn("runs", F.coalesce("runs", none))
+    ready = rows.join(places, AT, "left").withColumn("start", F.coalesce("start", F.lit(0))).withColumn("runs", F.coalesce("runs", none))
     return ready.select(*AT, _cut_out(n, marks, cut).alias("snippet"))
