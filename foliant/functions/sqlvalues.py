@@ -5,17 +5,30 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+# Comments: a line that begins with --, a -- with blanks around, #, and /* */.
+COMMENT = r"^--[^\n]*|(?<![^\s;])--(?=\s)[^\n]*|\#[^\n]*"
 # Quoted strings, comments and escapes, in which no other mark counts.
-_CLOSED = r"""'[^'\\]*(?:\\.[^'\\]*)*(?:'|\\?\Z)|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|^--[^\n]*|/\*.*?(?:\*/|\Z)|\\."""
+_CLOSED = (
+    r"""'[^'\\]*(?:\\.[^'\\]*)*(?:'|\\?\Z)|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|`[^`]*(?:`|\Z)|"""
+    + COMMENT
+    + r"|/\*.*?(?:\*/|\Z)|\\."
+)
 _END = re.compile(_CLOSED + "|;", re.DOTALL | re.MULTILINE)
 _PIECE = re.compile(_CLOSED + "|[(),;]", re.DOTALL | re.MULTILINE)
-_LEAD = r"(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/;?)*"
+_GAP = r"(?:\s|--[^\n]*(?:\n|\Z)|\#[^\n]*(?:\n|\Z)|/\*.*?\*/)"
+_LEAD = r"(?:\s+|--[^\n]*(?:\n|\Z)|\#[^\n]*(?:\n|\Z)|/\*.*?\*/;?)*"
 
 
 def insert_header(table: str) -> re.Pattern[str]:
-    return re.compile(
-        _LEAD + r"INSERT\s+INTO\s+`" + re.escape(table) + r"`\s+VALUES\s*", re.DOTALL | re.IGNORECASE
-    )
+    """``INSERT [IGNORE ..] [INTO] `table` [(columns)] VALUES`` or ``REPLACE ..``, up to the first tuple.
+
+    The name may stand without backticks and after a schema's.
+    """
+    name = re.escape(table)
+    named = rf"(?:(?:`[^`]*`|\w+)\s*\.\s*)?(?:`{name}`|{name}(?![\w`]))"
+    verb = rf"(?:INSERT|REPLACE)(?:{_GAP}+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE))*(?:{_GAP}+INTO)?"
+    columns = rf"(?:\((?:`[^`]*`|[^()`])*\){_GAP}*)?"
+    return re.compile(rf"{_LEAD}{verb}{_GAP}+{named}{_GAP}*{columns}VALUES?{_GAP}*", re.DOTALL | re.IGNORECASE)
 
 
 def insert_bodies(text: str, header: re.Pattern[str]) -> Iterator[str]:

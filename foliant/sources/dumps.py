@@ -1,7 +1,7 @@
 """Reading SQL dumps as tables, and the import of posts.
 
-The text source cuts a dump at ``;`` and a line break (of the file's own kind), in parallel over splits of a
-file. A record between two cuts may hold any number of statements. Whether such a break stands inside a quoted value is checked for every record: each record maps the
+The text source cuts a dump at ``;`` and a line break (of the kind that its statements end with), in parallel over splits
+of a file. A record between two cuts may hold any number of statements. Whether such a break stands inside a quoted value is checked for every record: each record maps the
 quote state before it to the state after it. Dumps as their tools write them never have one, and then records
 are whole. If some do, the maps are composed: inside a file split, then over the splits of a
 file (one tiny row each), and the records of one value are put together again.
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.sqlvalues import insert_bodies, insert_header, tuples_of
+from foliant.functions.sqlvalues import COMMENT, insert_bodies, insert_header, tuples_of
 from foliant.functions.text import is_blank, unquote_value
 from foliant.operators.filters import default_created, min_arity
 from foliant.plans.ordered import ordered
@@ -23,7 +23,6 @@ from foliant.plans.sizing import spread, written
 from foliant.sources.index import path_exists
 
 BREAK = ";\n"
-HEAD_LINES = 1_000  # lines that show which line breaks a dump has
 MIN_VALUES = 21
 
 # Positions in a posts tuple.
@@ -38,16 +37,21 @@ def _state_after(record: Column, before: int) -> Column:
     opening = {PLAIN: "", SINGLE: "'", DOUBLE: '"'}[before]
     bare = F.regexp_replace(record, r"(?s)\\.", "")
     rest = F.regexp_replace(
-        F.concat(F.lit(opening), bare), r"""(?m)'[^']*'|"[^"]*"|/\*(?s:.*?)\*/|^--[^\n]*""", ""
+        F.concat(F.lit(opening), bare), r"""(?m)'[^']*'|"[^"]*"|`[^`]*`|/\*(?s:.*?)\*/|""" + COMMENT, ""
     )
     first = F.regexp_extract(rest, "['\"]", 0)
     return F.when(first == "'", SINGLE).when(first == '"', DOUBLE).otherwise(PLAIN)
 
 
 def _break_of(spark: SparkSession, path: str) -> str:
-    """Where records end. If files mix line breaks, records only come out longer than need be."""
-    head = spark.read.option("lineSep", "\n").text(path).limit(HEAD_LINES)
-    return ";\r\n" if head.where(F.col("value").endswith("\r")).take(1) else BREAK
+    """Where records end: at CR LF if more lines end with ``;`` and that than with a bare ``;``.
+
+    All lines are looked at, so what stands at the head or inside a text does not decide. The statements are the same with
+    either; where both kinds occur, some records come out longer.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    ends = lines.agg(F.count_if(F.col("value").endswith(";")).alias("lf"), F.count_if(F.col("value").endswith(";\r")).alias("cr")).first()
+    return ";\r\n" if ends["cr"] > ends["lf"] else BREAK
 
 
 def _records(spark: SparkSession, path: str, line_sep: str) -> DataFrame:
@@ -121,7 +125,8 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     """(values array<string>), one row for each tuple of ``INSERT INTO `table` VALUES``, wherever it stands.
 
-    Bytes that are not UTF-8 are ignored. The statements stay where the scan put them.
+    ``REPLACE``, ``IGNORE`` and a list of columns are known too; values come in the order of the statement. Bytes that are not
+    UTF-8 are ignored. The statements stay where the scan put them.
     """
     header = insert_header(table)
 
@@ -133,7 +138,7 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame({"values": rows})
 
-    found = read_statements(spark, path).where(F.contains(F.lower("statement"), F.lit(f"`{table.lower()}`")))
+    found = read_statements(spark, path).where(F.contains(F.lower("statement"), F.lit(table.lower())))
     return spread(found.select(F.col("statement").cast("binary").alias("raw"))).mapInPandas(
         parse, "values array<string>"
     )
@@ -175,11 +180,15 @@ def post_rows(
 def imported_posts(rows: DataFrame, last_id: int = 0) -> DataFrame:
     """The accepted posts under new ids after ``last_id``, in the order of their ids in the dump.
 
-    ``created_text`` is the date as it was given; ``created_at`` is null where it cannot be read.
+    ``created_text`` is the date as it was given; ``created_at`` is null where it cannot be read. Only the dump's ids, dates and a
+    digest of the texts are put in order; of posts that are alike in all of these, each gets an id of its own.
     """
-    accepted = written(rows.where(F.col("status").isin("imported", "undated")), "posts")
-    numbered = ordered(accepted, [], ["dump_id", "created_text", "title", "content"]).number("_no").rows()
-    return numbered.select(
+    digest = F.md5(F.to_json(F.struct("title", "content", "post_type")))
+    accepted = rows.where(F.col("status").isin("imported", "undated")).withColumn("_digest", digest)
+    accepted = written(accepted.withColumn("_row", F.monotonically_increasing_id()), "posts")
+    narrow = accepted.select("dump_id", "created_text", "_digest", "_row")
+    numbered = ordered(narrow, [], ["dump_id", "created_text", "_digest", "_row"]).number("_no").rows()
+    return accepted.join(numbered.select("_row", "_no"), "_row").select(
         (F.col("_no") + last_id).cast("bigint").alias("id"),
         "title",
         "content",

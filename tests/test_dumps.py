@@ -128,3 +128,33 @@ def test_import_rules(spark, tmp_path):
     assert spark.read.parquet(out).where("title = 'y'").first()["created_text"] == "0000-00-00 00:00:00"
     by_author = dumps.post_rows(tuples, F.lit(NOW), title_col=1).where("content = 'body' and post_type = 'post'").first()
     assert by_author["title"] == "7"
+
+
+def test_comments_and_headers_of_all_kinds(spark, tmp_path):
+    body = (
+        "# it's a note\nINSERT INTO `t` VALUES (1,'a');\n# it's another \"one\nINSERT INTO `t` VALUES (2,'# no comment');\n"
+        "SET x = 1; -- it's trailing\nINSERT INTO `t` (`id`, `it's`) VALUES (3,'c'),(4,'d -- e');\n"
+        "INSERT IGNORE INTO t VALUES (5,'x'); REPLACE INTO `db`.`t` (id,\n name) VALUES (6,'y');\n"
+        "INSERT LOW_PRIORITY t VALUE (7,'z');\nINSERT INTO `tt` VALUES (8,'no');\nINSERT INTO `t2` VALUES (9,'t');\n"
+        "INSERT /* it's */ INTO # and '\n `t` VALUES\n (10,'--');\n"
+    )
+    for i, text in enumerate((body, body.replace("\n", "\r\n"))):
+        path = dump_file(tmp_path, text, f"kinds{i}.sql")
+        got = {int(r["values"][0]): r["values"][1] for r in dumps.read_sql_dump(spark, path, "t").collect()}
+        assert got == {1: "'a'", 2: "'# no comment'", 3: "'c'", 4: "'d -- e'", 5: "'x'", 6: "'y'", 7: "'z'", 10: "'--'"}
+
+
+def test_one_break_of_the_other_kind_does_not_decide(spark, tmp_path):
+    lines = "".join(f"INSERT INTO `t` VALUES ({i},'a;\r\nb');\n" for i in range(50))
+    path = dump_file(tmp_path, lines)
+    assert dumps._break_of(spark, path) == ";\n"
+    assert dumps.read_sql_dump(spark, path, "t").count() == 50
+    assert dumps._break_of(spark, dump_file(tmp_path, lines.replace(";\r\nb", "").replace("\n", "\r\n"), "crlf.sql")) == ";\r\n"
+
+
+def test_equal_posts_get_ids_of_their_own(spark):
+    rows = [(i % 3, "t" * 50, "c", "2024-01-05 10:00:00", "post", "imported") for i in range(9)] + [(None, "n", None, "", "page", "undated")]
+    df = spark.createDataFrame(rows, "dump_id bigint, title string, content string, created_text string, post_type string, status string")
+    got = sorted((r["id"], r["title"]) for r in dumps.imported_posts(df.repartition(4), 10).collect())
+    assert [i for i, _ in got] == list(range(11, 21)) and got[0][1] == "n"
+    assert dumps.imported_posts(df.limit(0)).collect() == []
