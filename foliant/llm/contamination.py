@@ -2,7 +2,7 @@
 
 A test item with an error budget of e edits is cut into e + 1 pieces: a passage within the budget leaves one piece
 untouched. One automaton finds all pieces of a block of items in a text; each hit is verified with Myers' bit-parallel
-edit distance. Documents are only scanned, never shuffled; hits are aggregated per document and item.
+edit distance. Items too short for edits are looked for as they are, at word boundaries. Documents are only scanned, never shuffled; hits are aggregated per document and item.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 ERROR_RATE = 0.05  # edits allowed per character of an item
-LEAST_CHARS = 24
+LEAST_CHARS = 24  # items below this match without edits, and only as whole words
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
 
@@ -69,11 +69,12 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """The items of one block and the automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, least_chars: int = LEAST_CHARS):
         import ahocorasick
 
         self.items = items
-        self.budgets = [int(rate * len(text)) for _, text in items]
+        self.budgets = [int(rate * len(text)) if len(text) >= least_chars else 0 for _, text in items]
+        self.short = [len(text) < least_chars for _, text in items]
         owners: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text) in enumerate(items):
             for at, piece in pieces_of(text, self.budgets[i]):
@@ -94,6 +95,11 @@ class Matcher:
             for i, at in owned:
                 item, budget = self.items[i][1], self.budgets[i]
                 start = last + 1 - size - at
+                if self.short[i]:
+                    if text[max(start - 1, 0) : start].strip() or text[last + 1 : last + 2].strip():
+                        continue  # inside a longer word
+                    best.setdefault(i, (0, start, last + 1))
+                    continue
                 if start >= 0 and text.startswith(item, start):
                     if i not in best or best[i][0] > 0:
                         best[i] = (0, start, start + len(item))
@@ -110,12 +116,11 @@ class Matcher:
         return best
 
 
-def _matching(items: list[tuple[int, str]], rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _matching(items: list[tuple[object, str]], item_kind: pa.DataType, rate: float, least_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        matcher = Matcher(items, rate)
-        schema = None
+        matcher = Matcher(items, rate, least_chars)
 
         def rows() -> Iterator[tuple]:
             for b in [first] if first else []:
@@ -133,20 +138,20 @@ def _matching(items: list[tuple[int, str]], rate: float) -> Callable[[Iterator[p
             return
         number = pa.int64()
         schema = pa.schema(
-            [("doc_id", first.column("doc_id").type), ("item_id", number), ("distance", number), ("start", number), ("end", number), ("budget", number)]
+            [("doc_id", first.column("doc_id").type), ("item_id", item_kind), ("distance", number), ("start", number), ("end", number), ("budget", number)]
         )
         yield from in_batches(rows(), schema)
 
     return match
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, least_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The normalised items in blocks of bounded rows and bytes; one block is held at a time."""
-    block: list[tuple[int, str]] = []
+    block: list[tuple[object, str]] = []
     size = 0
     for row in picked(items, item_id=id_col, text=text_col).orderBy("item_id", "text").toLocalIterator():
         text = normalised((row["text"] or "").encode())
-        if len(text) < least_chars or row["item_id"] is None:
+        if not text or row["item_id"] is None:
             continue
         if block and (len(block) >= BLOCK_ITEMS or size + len(text) > BLOCK_BYTES):
             yield block
@@ -171,27 +176,30 @@ def contaminated(
 
     Both texts are normalised first (A-Z lower-cased, ASCII punctuation and white space one blank); distance, budget,
     start and end count bytes of the normalised texts. An item matches if some part of the document is within ``rate`` edits per
-    character of it. Items shorter than ``least_chars`` are chance matches and are left out, as are null items; null and empty
-    documents match nothing. Repeated items under other ids match each by themselves, repeated documents too. The items
+    character of it. An item shorter than ``least_chars`` matches without edits and at word boundaries. Items without id, and
+    null items or those without words, match nothing, nor do null and empty documents. Whole texts are searched, however long. Repeated items under other ids match each by themselves, repeated documents too. The items
     are the query set: they go to the tasks in blocks of bounded size, with one scan of the documents for each block.
     """
     slim = picked(docs, doc_id=id_col, text=text_col)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = f"doc_id {kind}, item_id bigint, distance bigint, start bigint, end bigint, budget bigint"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_kind = picked(items, item_id=item_col).schema["item_id"].dataType
+    rows = f"doc_id {kind}, item_id {item_kind.simpleString()}, distance bigint, start bigint, end bigint, budget bigint"
     found: DataFrame | None = None
-    for block in item_blocks(items, item_col, item_text_col, least_chars):
-        part = slim.mapInArrow(_matching(block, rate), rows)
+    for block in item_blocks(items, item_col, item_text_col):
+        part = slim.mapInArrow(_matching(block, to_arrow_type(item_kind), rate, least_chars), rows)
         if len(block) >= BLOCK_ITEMS // 2:
             part = written(part, "contaminated")  # the driver then holds one block at a time
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], rows) if found is None else found
 
 
-def _keeping(items: list[tuple[int, str]], rate: float, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _keeping(items: list[tuple[object, str]], rate: float, least_chars: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        matcher = Matcher(items, rate)
+        matcher = Matcher(items, rate, least_chars)
         for batch in batches:
             clean = [not matcher.found(normalised(t)) for t in texts_of(batch.column(text_col))]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -208,9 +216,15 @@ def without_contaminated(
     rate: float = ERROR_RATE,
     least_chars: int = LEAST_CHARS,
 ) -> DataFrame:
-    """The whole rows of the documents in which ``contaminated`` finds no item, in one pass for each block of items."""
-    for block in item_blocks(items, item_col, item_text_col, least_chars):
-        docs = docs.mapInArrow(_keeping(block, rate, text_col), docs.schema)
+    """The whole rows of the documents in which ``contaminated`` finds no item, in one pass for each block of items.
+
+    Null and empty texts stay, repeated rows stay or go together, and no column is added, so any other columns may be there. With no items or no
+    documents the rows are those that came.
+    """
+    for block in item_blocks(items, item_col, item_text_col):
+        docs = docs.mapInArrow(_keeping(block, rate, least_chars, text_col), docs.schema)
+        if len(block) >= BLOCK_ITEMS // 2:
+            docs = written(docs, "clean")  # the driver then holds one block at a time
     return docs
 
 

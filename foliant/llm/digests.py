@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.catalog.base import table
@@ -121,14 +121,21 @@ def exact_duplicates(
     )
 
 
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """One value for an id, which may be null, and a digest."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).cast("binary"))
+
+
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The whole rows that ``exact_duplicates`` keeps, one for each text."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_kept"))
-    marked = docs.withColumns(
-        {"_row_id": F.col(f"`{id_col}`"), "_row_digest": F.unhex(F.sha2(fold_ascii(F.col(f"`{text_col}`")).cast("binary"), 256))}
-    )
-    rows = marked.join(kept, F.expr("_row_id <=> _id AND _row_digest = _kept"), "left_semi")
-    return rows.dropDuplicates(["_row_id", "_row_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The whole rows that ``exact_duplicates`` keeps, one for each text.
+
+    Null texts count as empty, rows without id stay only where no equal text has one, and a row that is repeated whole, or with
+    other values in other columns, stays once. Columns of any name may be there. Whole rows are shuffled once, by their key.
+    """
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(_row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("key")).distinct()
+    digest = F.unhex(F.sha2(fold_ascii(F.col(f"`{text_col}`")).cast("binary"), 256))
+    rows = docs.select(_row_key(F.col(f"`{id_col}`"), digest).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 OP4_SQL = f"""

@@ -246,7 +246,14 @@ def near_duplicates(
     nothing else is there. Candidates come from bands: a link at 85 percent is missed with a probability below 1e-8, one
     at just 80 percent below 1e-5. There is no bound on a group or on links.
     """
-    texts = tagged(docs, id_col, text_col)
+    return _decided(tagged(docs, id_col, text_col), percent, words).select(
+        "doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept")
+    )
+
+
+def _decided(texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """(doc_id, tag, n_shingles, component, component_id) of rows of ``tagged``; component is null for empty sets."""
+    spark = texts.sparkSession
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, tag bigint, n_shingles bigint, node binary, registers binary"
     sketches = settle(texts.mapInArrow(sketching(words), rows), "near-sketches")
@@ -275,7 +282,7 @@ def near_duplicates(
     members = settle(
         met.join(hubs.withColumnRenamed("node", "hub"), "bucket").where("node <> hub").select("hub", "node").distinct(), "near-members"
     )
-    forget(docs.sparkSession, crowds, met, hubs)
+    forget(spark, crowds, met, hubs)
 
     facts = classes.select("node", "n_shingles", "registers")
     side = lambda name, as_: facts.select(F.col("node").alias(name), F.col("n_shingles").alias(f"size_{as_}"), F.col("registers").alias(f"registers_{as_}"))
@@ -315,20 +322,32 @@ def near_duplicates(
     )
     named_classes = settle(named_classes, "near-named")
     lowest = named_classes.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    by_node = named_classes.join(lowest, "component").select("node", "component_id")
+    by_node = named_classes.join(lowest, "component").select("node", "component", "component_id")
     return (
         sketches.join(by_node, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+        .select("doc_id", "tag", "n_shingles", "component", "component_id")
     )
 
 
 def without_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS
 ) -> DataFrame:
-    """The whole rows of the documents that ``near_duplicates`` keeps."""
-    found = near_duplicates(docs, id_col, text_col, percent, words).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.alias("d").join(found.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k._kept_id")), "left_semi")
+    """The whole rows of one document of each component that ``near_duplicates`` finds.
+
+    It is the one with the smallest id, a row without id only where none has one; of rows that share this id, the one with the
+    smallest digest of its text. Texts without words are alike to none and stay. A row that is repeated whole, or with other values in
+    other columns, stays once. Columns of any name may be there; an empty table stays empty.
+    """
+    key = lambda doc_id, tag: F.concat_ws("=", F.hex(tag), doc_id.cast("string"))  # noqa: E731  concat_ws leaves a null id out
+    decided = _decided(tagged(docs, id_col, text_col), percent, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")).alias("first")
+    chosen = decided.where("component IS NOT NULL").groupBy("component").agg(first).select("first.doc_id", "first.tag")
+    kept = chosen.unionByName(decided.where("component IS NULL").select("doc_id", "tag"))
+    kept = kept.select(key(F.col("doc_id"), F.col("tag")).alias("key")).distinct()
+    tag = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))  # as in ``tagged``
+    rows = docs.select(key(F.col(f"`{id_col}`"), tag).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 @query("op6_near_dedup")

@@ -51,24 +51,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit digest of each word, made once."""
+    """64-bit digest of each word under a seed, made once."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
+        made = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return made
 
 
-_words = WordHashes()
+_names, _checks = WordHashes(0), WordHashes(20_015)
 
 
-def hashed_words(text: bytes) -> np.ndarray:
+def hashed_words(text: bytes, known: WordHashes = _names) -> np.ndarray:
     """Digests of the words of a text; words are parted by ASCII white space."""
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
+    if len(known) > WORDS_KEPT:
+        known.clear()
     words = text.split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def named_and_checked(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each word that have nothing to do with each other."""
+    return hashed_words(text), hashed_words(text, _checks)
 
 
 class Symbols:
@@ -173,8 +181,11 @@ def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> n
     return np.minimum(levels[k, first], levels[k, last - (1 << k) + 1])
 
 
-def runs_of(words: np.ndarray, sizes: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with one pivot: text number, start in the text, windows, pivot name, digest of the run."""
+def runs_of(words: np.ndarray, checks: np.ndarray, sizes: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows with one pivot: text number, start in the text, windows, pivot name, digest of the run.
+
+    The pivot is named after ``words``, the run digested from ``checks``.
+    """
     n = len(words)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     begins = np.cumsum(sizes) - sizes
@@ -213,27 +224,28 @@ def runs_of(words: np.ndarray, sizes: np.ndarray, width: int = WIDTH, rounds: in
     k = of_symbol[shown]
     # The pivot is named by its symbol and all the words the symbol depends on, which every window of the run holds.
     name[shown] = mixed(symbols.name[k] ^ lane.digest(symbols.low[k], symbols.high[k]))
-    whole = Stretches(words, 1).digest(start, start + count + width - 1)
+    whole = Stretches(checks, 1).digest(start, start + count + width - 1)
     return owner[start], start - begins[owner[start]], count, name, whole
 
 
-def _parts(texts: list[bytes], width: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+def _parts(texts: list[bytes], width: int) -> Iterator[tuple[list[int], list[int], list[tuple[np.ndarray, np.ndarray]]]]:
     """Word digests of texts, the long ones cut into overlapping segments, in groups of bounded size."""
     numbers: list[int] = []
     offsets: list[int] = []
-    parts: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for i, text in enumerate(texts):
-        words = hashed_words(text)
+        words, checks = named_and_checked(text)
         for begin in range(0, max(len(words) - width + 1, 1), SEGMENT):
-            part = words[begin : begin + SEGMENT + width - 1]
-            if size + len(part) >= 1 << POSITION - 1:
+            here = slice(begin, begin + SEGMENT + width - 1)
+            part = words[here], checks[here]
+            if size + len(part[0]) >= 1 << POSITION - 1:
                 yield numbers, offsets, parts
                 numbers, offsets, parts, size = [], [], [], 0
             numbers.append(i)
             offsets.append(begin)
             parts.append(part)
-            size += len(part)
+            size += len(part[0])
     if parts:
         yield numbers, offsets, parts
 
@@ -244,8 +256,9 @@ def _naming(width: int, rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
         for rows, texts, batch in chunks(batches):
             for numbers, offsets, parts in _parts(texts, width):
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                number, start, count, pivot, whole = runs_of(np.concatenate(parts), sizes, width, rounds)
+                words, checks = (np.concatenate(x) for x in zip(*parts, strict=True))
+                sizes = np.fromiter((len(x) for x, _ in parts), np.int64, len(parts))
+                number, start, count, pivot, whole = runs_of(words, checks, sizes, width, rounds)
                 if not len(number):
                     continue
                 take = pa.array(np.asarray(rows)[np.asarray(numbers)[number]])
@@ -264,12 +277,12 @@ def _opening(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         for batch in batches:
             for i in range(batch.num_rows):
-                words = hashed_words(batch.column("text")[i].as_buffer().to_pybytes())
+                both = named_and_checked(batch.column("text")[i].as_buffer().to_pybytes())
                 packed = batch.column("found")[i].values.to_numpy(zero_copy_only=False)
                 place, undecided = packed >> 1, packed & 1
                 count = place & 0xFFFFFF
                 at = np.repeat((place >> 24) - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                one, two = (Stretches(words, lane).digest(at, at + width) for lane in (2, 3))
+                one, two = (Stretches(x, lane).digest(at, at + width) for x, lane in zip(both, (2, 3), strict=True))
                 take = pa.array(np.full(len(at), i))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -30,6 +30,7 @@ if TYPE_CHECKING:
 
 WIDTH = 200
 CELL = 16
+WIDEST = (1 << 12) - 1  # a place packs windows and pivot into 12 bits each
 POSITION = 22  # bits of a place inside a segment
 SEGMENT = 1 << 21  # a longer text is cut into segments that overlap by a window
 
@@ -295,11 +296,11 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A byte is removed if it lies in a string of ``width`` bytes that also starts anywhere else, in the same document or
     another; all occurrences go, and strings are judged on the texts as they came. Null counts as empty; texts shorter
-    than ``width`` (32 at least) are kept whole. A null doc_id is kept as it is. Rows with equal texts lose all that is as long as the
+    than ``width`` (32 to 4,095) are kept whole. A null doc_id is kept as it is. Rows with equal texts lose all that is as long as the
     window, whether or not they share an id. Texts of 4 GiB and more are not supported (Spark's strings end at 2 GiB).
     """
-    if width < 2 * CELL:
-        raise ValueError(f"width must be at least {2 * CELL}")
+    if not 2 * CELL <= width <= WIDEST:
+        raise ValueError(f"width must be {2 * CELL} to {WIDEST}")
     texts = tagged(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
