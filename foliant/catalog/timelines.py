@@ -343,3 +343,22 @@ def r4_assemble_stream(spark, sf_dir):
     rows = rows.withColumn("error", F.when(F.col("lang") == "es", "model gone"))
     frames = tokens.frame_token_stream(rows, "chunk", "error")
     return run_once(spark, tokens.assemble_stream(frames, "doc_id", "seq", "frame", "sent"), "r4")
+
+
+@query(
+    "r4_assemble_stream_parts",
+    rf"""WITH {FRAMES_SQL}
+    SELECT doc_id, seq // 5 AS part, string_agg(CASE WHEN chunk IS NOT NULL THEN replace(chunk, '\n', chr(10))
+           WHEN lang = 'es' THEN chr(10) || '[ERROR] model gone' ELSE '' END, '' ORDER BY seq) AS text,
+    CASE WHEN count(*) = count(chunk) THEN 'open' WHEN any_value(lang) = 'es' THEN 'error' ELSE 'done' END AS status
+    FROM l GROUP BY doc_id, part""",
+)
+def r4_assemble_stream_parts(spark, sf_dir):
+    """Every document's lines as a stream that is given out in parts of five frames."""
+    docs = stream_of(spark, sf_dir, "documents")
+    lines = F.concat(F.split("text", "\n"), F.array(F.lit(None).cast("string")))
+    sent = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("sent")
+    rows = docs.select("doc_id", "lang", sent, F.posexplode(lines).alias("seq", "chunk"))
+    rows = rows.withColumn("error", F.when(F.col("lang") == "es", "model gone"))
+    frames = tokens.frame_token_stream(rows, "chunk", "error")
+    return run_once(spark, tokens.assemble_stream_parts(frames, "doc_id", "seq", "frame", "sent", 5), "r4-parts")

@@ -199,20 +199,34 @@ def rate_limit_anchored(
 
 
 def cooldown_stream(
-    requests: DataFrame, keys: list[str], ts: str, tie: str, seconds: float
+    requests: DataFrame, keys: list[str], ts: str, tie: str, seconds: float, delay: str = "1 day"
 ) -> DataFrame:
-    """Keyed state: the last accepted time. A row older than the state counts as inside the cooldown."""
+    """Keyed state: the last accepted time, until the watermark is past its cooldown.
+
+    A row older than the state counts as inside the cooldown; one that is later than ``delay`` is dropped. A key whose
+    state is gone starts anew, as it would with it, since no row that still comes lies inside that cooldown.
+    """
     gap = int(seconds * MICROS)
-    rows = requests.select(*keys, tie, micros(requests, ts).alias("_us"))
+    seen = F.col(ts).cast("timestamp").alias("_seen")
+    rows = requests.select(*keys, tie, seen, micros(requests, ts).alias("_us")).withWatermark("_seen", delay)
+    schema = _result_schema(rows.drop("_seen"), keys, tie)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).drop(columns="_seen")
         out, last = _outcome(pdf, keys, tie, gap, state.get[0] if state.exists else None)
-        state.update((last,))
+        until = (last + gap) // 1000 + 1
+        if until > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
         yield out
 
     out = rows.groupBy(*keys).applyInPandasWithState(
-        step, _result_schema(rows, keys, tie), "last bigint", "append", GroupStateTimeout.NoTimeout
+        step, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
     return _with_time(out, requests, ts)
 

@@ -155,3 +155,68 @@ def assemble_stream(
     )
 
 
+def assemble_stream_parts(
+    frames: DataFrame, stream: str, seq: str, frame: str, ts: str, segment: int = SEGMENT, timeout: str = "10 minutes"
+) -> DataFrame:
+    """Long streams part by part: (stream, part, text, status), the parts of ``segment`` frames like those of the batch form.
+
+    A part is given out as soon as all its frames and those before it are there, with status open, or done or error if the
+    stream ends in it. State keeps only what was not given out yet: at most one part, and frames that came before
+    their turn. A stream without news until the watermark passes its timeout gives out the rest as lost; what it gave out before
+    stays open. Frames that come again, or after the end, are dropped.
+    """
+    delay_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    rows = frames.select(
+        stream, F.col(seq).cast("bigint").alias("_seq"), frame_payload(F.col(frame)).alias("_p"), ts
+    ).withWatermark(ts, timeout)
+    ended = -1  # next part of a stream that is closed
+
+    def text(payloads: list[str]) -> str:
+        return "".join("" if p == DONE else "\n" + p if p.startswith(ERROR) else p.replace("\\n", "\n") for p in payloads)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        part, seqs, payloads = state.get if state.exists else (0, [], [])
+        held = dict(zip(seqs, payloads))
+        out: list[tuple[int, str, str]] = []
+        if state.hasTimedOut:
+            state.remove()
+            for p in sorted({s // segment for s in held}):
+                out.append((p, text([held[s] for s in sorted(held) if s // segment == p]), "lost"))
+        else:
+            latest = 0
+            for pdf in batches:
+                latest = max(latest, int(pdf[ts].max().timestamp() * 1000))
+                if part != ended:
+                    held.update((int(s), p) for s, p in zip(pdf["_seq"], pdf["_p"]) if s >= part * segment)
+            while part != ended:
+                here: list[str] = []
+                for s in range(part * segment, (part + 1) * segment):
+                    if s not in held:
+                        break
+                    here.append(held[s])
+                    if here[-1] == DONE or here[-1].startswith(ERROR):
+                        break
+                last = here[-1] if here else ""
+                if last == DONE or last.startswith(ERROR):
+                    out.append((part, text(here), "done" if last == DONE else "error"))
+                    part, held = ended, {}
+                elif len(here) == segment:
+                    out.append((part, text(here), "open"))
+                    held = {s: p for s, p in held.items() if s >= (part + 1) * segment}
+                    part += 1
+                else:
+                    break
+            state.update((part, list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + delay_ms)
+        if out:
+            parts, texts, statuses = zip(*out)
+            yield pd.DataFrame({stream: [key[0]] * len(out), "part": parts, "text": texts, "status": statuses})
+
+    kind = frames.schema[stream].dataType.simpleString()
+    return rows.groupBy(stream).applyInPandasWithState(
+        step,
+        f"{stream} {kind}, part bigint, text string, status string",
+        "part bigint, seqs array<bigint>, payloads array<string>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )

@@ -86,9 +86,23 @@ def streamed(spark, tmp_path, df, build, parts=4, order="s"):
         .start()
     )
     query.awaitTermination()
+    streamed.last = query.lastProgress
     return spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()
 
 
+def state_left():
+    """Keys and bytes of state at the end of the latest stream."""
+    (operator,) = streamed.last.stateOperators
+    return operator.numRowsTotal, operator.memoryUsedBytes
+
+
+def with_later_rows(spark, df):
+    """Two rows of another key, each days later, so that the watermark passes everything before."""
+    late = [(9001 + i, "late", 1_800_000_000_000_000 + i * 10**13) for i in range(2)]
+    rows = spark.createDataFrame(late, "id int, k string, s bigint")
+    return df.unionByName(rows.select("id", "k", F.timestamp_micros("s").alias("ts"), "s"))
+
+
 def test_cooldown_stream(spark, requests, tmp_path):
     got = streamed(spark, tmp_path, requests, lambda s: throttle.cooldown_stream(s, ["k"], "ts", "id", 5))
     assert {r["id"]: (r["accepted"], r["retry_after"]) for r in got} == brute_cooldown(requests.collect(), 5)
@@ -198,3 +212,58 @@ def test_streams_of_files_and_folders(spark, tmp_path):
         assert run_once(spark, stream_of(spark, str(tmp_path), name), "test-stream").count() == n
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         stream_of(spark, str(tmp_path), "none")
+
+
+def test_cooldown_state_ends(spark, requests, tmp_path):
+    df = with_later_rows(spark, requests)
+    got = streamed(spark, tmp_path, df, lambda s: throttle.cooldown_stream(s, ["k"], "ts", "id", 5, "1 hour"), parts=6)
+    assert {r["id"]: (r["accepted"], r["retry_after"]) for r in got} == brute_cooldown(df.collect(), 5)
+    assert state_left()[0] <= 1  # the last row's own
+
+
+def test_session_state_ends(spark, requests, tmp_path):
+    log = with_later_rows(spark, requests).select("id", "k", "ts", "s", (F.col("id") % 3 == 0).alias("ask"))
+    found = F.when(F.col("id") % 3 != 0, F.concat(F.lit("f"), F.col("id")))
+    got = streamed(
+        spark, tmp_path, log,
+        lambda s: session_last_search(s, "k", "ts", "id", F.col("ask"), found, F.lit("based on"), idle="1 day", delay="1 hour"), parts=6,
+    )
+    last, expected = {}, {}
+    for r in sorted(log.collect(), key=lambda r: (r["s"], r["id"])):
+        if r["ask"]:
+            expected[r["id"]] = last.get(r["k"])
+        else:
+            last[r["k"]] = f"f{r['id']}"
+    assert {r["id"]: r["last_search"] for r in got} == expected and state_left()[0] <= 1
+
+
+@pytest.mark.parametrize("segment", [2, 1, 10_000])
+def test_parts_of_streams_equal_batch(spark, tmp_path, segment):
+    rows = frames_of(spark).where("stream <> 'd'").withColumn("id", F.col("seq"))
+    rows = rows.select("stream", "seq", "frame", "id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")).alias("ts"), F.rand(3).alias("s"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # frames come out of order
+    batch = tokens.assemble_token_stream(rows, "stream", "seq", "frame", segment).collect()
+    got = streamed(spark, tmp_path, rows, lambda s: tokens.assemble_stream_parts(s, "stream", "seq", "frame", "ts", segment), parts=4)
+    assert sorted(map(tuple, got)) == sorted((r["stream"], r["part"], r["text"], r["status"]) for r in batch)
+
+
+def test_lost_parts(spark, tmp_path):
+    rows = [("g", 0, "a"), ("g", 1, "b"), ("g", 2, "c"), ("g", 4, "e"), ("g", 1, "b")] + [(f"z{i}", 0, "[DONE]") for i in (1, 2)]
+    df = spark.createDataFrame([(s, n, f"data: {p}\n\n", i, float(i)) for i, (s, n, p) in enumerate(rows)], "stream string, seq int, frame string, id int, s double")
+    at = F.when(F.col("stream") == "g", 1_700_000_000 + F.col("id")).otherwise(1_700_000_000 + F.col("id") * 100_000)
+    got = streamed(spark, tmp_path, df.withColumn("ts", F.timestamp_seconds(at)), lambda s: tokens.assemble_stream_parts(s, "stream", "seq", "frame", "ts", 2), parts=7)
+    assert sorted(map(tuple, got)) == [("g", 0, "ab", "open"), ("g", 1, "c", "lost"), ("g", 2, "e", "lost"), ("z1", 0, "", "done"), ("z2", 0, "", "done")]
+
+
+def test_a_long_stream_keeps_little_state(spark, tmp_path):
+    n = 20_000
+    payload = F.when(F.col("id") == n - 1, "[DONE]").otherwise(F.concat(F.lit("word "), F.col("id"), F.lit(" " * 40)))
+    df = spark.range(n).select(
+        F.lit("one").alias("stream"), "id", F.col("id").alias("seq"), F.concat(F.lit("data: "), payload, F.lit("\n\n")).alias("frame"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") / 1000).alias("ts"), F.col("id").cast("double").alias("s"),
+    )
+    got = streamed(spark, tmp_path, df, lambda s: tokens.assemble_stream_parts(s, "stream", "seq", "frame", "ts", 500), parts=8)
+    assert [r["part"] for r in sorted(got, key=lambda r: r["part"])] == list(range(40))
+    assert "".join(r["text"] for r in sorted(got, key=lambda r: r["part"])).split() == [x for i in range(n - 1) for x in ("word", str(i))]
+    keys, size = state_left()
+    assert keys == 1 and size < 400_000  # the frames are 1.1 MB
