@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foliant.catalog.base import query, table
 from foliant.functions.text import command_args, command_name
-from foliant.operators import filters, listings, tables
+from foliant.operators import filters, keyed, listings, tables
+from foliant.plans.sizing import scratch_path
 
 NOW = "2024-02-01 00:00:00"
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -227,6 +228,71 @@ def t7_replace_group(spark, sf_dir):
     return tables.replace_group(lines, "l_orderkey", fresh)
 
 
+# ---- the same on tables kept in buckets ----------------------------------------------------------
+
+
+def in_buckets(spark, sf_dir, rows, key):
+    """``rows`` as a table of 64 buckets, opened again after it was made."""
+    base = scratch_path(spark, "keyed")
+    keyed.create_keyed(rows, base, key, 64)
+    return keyed.open_keyed(spark, base)
+
+
+@query(
+    "t3_insert_buckets",
+    """SELECT c_custkey, c_name FROM customer
+    UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""",
+)
+def t3_insert_buckets(spark, sf_dir):
+    """Parts under keys that no customer has are appended; no file of the customers is written again."""
+    customers = in_buckets(spark, sf_dir, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("c_name"))
+    return customers.add_absent(parts).rows()
+
+
+@query(
+    "t5_update_buckets",
+    """SELECT d.doc_id, CASE WHEN b.item_id IS NULL THEN d.source ELSE 'edited' END AS title,
+    CASE WHEN b.item_id IS NULL THEN d.text ELSE b.text END AS content
+    FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id""",
+)
+def t5_update_buckets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    changes = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("doc_id"), F.lit("edited").alias("title"), F.col("text").alias("content")
+    )
+    kept = in_buckets(spark, sf_dir, docs, "doc_id")
+    return kept.change(changes, lambda part: tables.update_by_id(part, "doc_id", changes)).rows()
+
+
+@query(
+    "t6_delete_buckets",
+    """SELECT c_custkey, c_name FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+)
+def t6_delete_buckets(spark, sf_dir):
+    customers = in_buckets(spark, sf_dir, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return customers.change(urgent, lambda part: tables.delete_by_key(part, "c_custkey", urgent)).rows()
+
+
+@query(
+    "t7_replace_buckets",
+    """WITH fresh AS (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, o_totalprice AS l_quantity
+                  FROM orders WHERE o_orderstatus = 'P')
+    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+    WHERE l_orderkey NOT IN (SELECT l_orderkey FROM fresh) UNION ALL SELECT * FROM fresh""",
+)
+def t7_replace_buckets(spark, sf_dir):
+    """A group is a key: its bucket is rewritten, not a folder for each group."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    fresh = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("o_totalprice").alias("l_quantity")
+    )
+    kept = in_buckets(spark, sf_dir, lines, "l_orderkey")
+    return kept.change(fresh, lambda part: tables.replace_group(part, "l_orderkey", fresh)).rows()
+
+
 # ---- reports -----------------------------------------------------------------------------------
 
 
