@@ -6,12 +6,18 @@ a group is reduced to a few samples the reduction is a plain aggregate, combined
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.window import Window
 
-from foliant.plans.ordered import Ordered, ordered
+from foliant.plans.ordered import ROWS_PER_BLOCK, Ordered, group_sizes, ordered
 from foliant.plans.sizing import BROADCAST_ROWS, inlined, lookup_join, written
 
+STRETCHES = 4_096  # of the time axis, whose rows are counted to find a numbered row of a large key
+
 
 def flat_segments(intervals: DataFrame) -> DataFrame:
     """(begin, idx): where the first interval changes, over intervals (idx, start, end) that may nest and overlap.
@@ -112,18 +118,53 @@ def sample_even_rows(
 ) -> DataFrame:
     """``n`` evenly spaced rows of each key between two times, both ends included.
 
-    Rows count as frames from 0. An index at the end of the key has no row; a short range repeats rows.
+    Rows count as frames from 0. An index at the end of the key has no row; a short range repeats rows. While keys are small
+    all rows are numbered; otherwise rows are counted by stretches of the first order column, which say in which stretch a
+    wanted frame lies, and only rows of these stretches are put in order.
     """
-    numbered = ordered(rows, keys, order, **kw).number("_no").rows()
-    frames = numbered.withColumn("frame_number", F.col("_no") - 1).drop("_no")
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    _, largest = group_sizes(rows, keys)
     first = int(start * fps)
-    last = F.least(F.lit(int((start + duration) * fps)).cast("bigint"), F.col("_total"))
-    picks = totals.select(*keys, last.alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
-    at = F.lit(float(first)) + F.col("_i") * (F.col("_last") - first) / max(n - 1, 1)
-    picks = picks.select(*keys, (F.col("_i") + 1).alias("sample_no"), at.cast("bigint").alias("frame_number"))
-    seconds = index_to_time(F.col("frame_number"), F.lit(fps))
-    return frames.join(picks, [*keys, "frame_number"]).withColumn("timestamp", seconds)
+
+    def picked(totals: DataFrame) -> DataFrame:
+        last = F.least(F.lit(int((start + duration) * fps)).cast("bigint"), F.col("_total"))
+        picks = totals.select(*keys, last.alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+        at = F.lit(float(first)) + F.col("_i") * (F.col("_last") - first) / max(n - 1, 1)
+        return picks.select(*keys, (F.col("_i") + 1).alias("sample_no"), at.cast("bigint").alias("frame_number"))
+
+    kind = rows.schema[order[0]].dataType
+    if largest <= kw.get("rows_per_block", ROWS_PER_BLOCK) or not isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        frames = ordered(rows, keys, order, **kw).number("_no").rows()
+        frames = frames.withColumn("frame_number", F.col("_no") - 1).drop("_no")
+        found = frames.join(picked(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))), [*keys, "frame_number"])
+    else:
+        found = _rows_of_frames(rows, keys, order, picked, **kw)
+    return found.withColumn("timestamp", index_to_time(F.col("frame_number"), F.lit(fps)))
+
+
+def _rows_of_frames(rows: DataFrame, keys: list[str], order: list[str], picked: Callable[[DataFrame], DataFrame], **kw) -> DataFrame:
+    """The rows at the frames that ``picked`` makes of (keys, _total), numbering only the stretches where one lies."""
+    kind = rows.schema[order[0]].dataType
+    at = F.col(order[0]) if isinstance(kind, NumericType) else F.unix_micros(F.col(order[0]).cast("timestamp"))
+    ends = rows.agg(F.min(at).cast("double").alias("low"), F.max(at).cast("double").alias("high")).first()
+    low, width = ends["low"] or 0.0, max((ends["high"] or 0.0) - (ends["low"] or 0.0), 1e-9)
+    # Rises with the order column; null comes first, as it does in the order.
+    stretch = F.coalesce(F.floor((at.cast("double") - low) / width * STRETCHES).cast("int"), F.lit(-1))
+    placed = rows.withColumn("_stretch", stretch)
+    counts = written(placed.groupBy(*keys, "_stretch").agg(F.count(F.lit(1)).alias("_n")), "stretches")
+    of_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(of_key.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picks = picked(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")))
+    # A wanted frame takes the last stretch that begins at or before it.
+    begins = counts.select(*keys, before.alias("frame_number"), F.struct(F.col("_stretch").alias("s"), before.alias("b")).alias("_in"))
+    both = begins.unionByName(picks, allowMissingColumns=True)
+    held = F.last("_in", ignorenulls=True).over(of_key.orderBy("frame_number", F.col("sample_no").asc_nulls_first()))
+    wanted = both.withColumn("_held", held).where("sample_no IS NOT NULL").select(
+        *keys, "sample_no", "frame_number", F.col("_held.s").alias("_stretch"), (F.col("frame_number") - F.col("_held.b")).alias("_at")
+    )
+    wanted = written(wanted, "wanted-frames")
+    chosen = lookup_join(placed, wanted.select(*keys, "_stretch").distinct(), [*keys, "_stretch"], "left_semi", spread_by=order)
+    numbered = ordered(chosen, [*keys, "_stretch"], order, **kw).number("_no").rows().withColumn("_at", F.col("_no") - 1)
+    return numbered.join(wanted, [*keys, "_stretch", "_at"]).drop("_stretch", "_at", "_no")
 
 
 def sample_midpoints(

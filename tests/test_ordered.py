@@ -176,3 +176,23 @@ def test_open_nested_and_equal_intervals(spark, monkeypatch, n, block):
     real = [(x, a, b) for x, a, b in spans if a is not None and b is not None and a < b]
     wanted = {i: min((x for x, a, b in real if a <= t < b), default=None) if t is not None and t == t else None for i, t in points}
     assert {r["id"]: r["idx"] for r in got.collect()} == wanted
+
+
+def test_sampling_numbers_few_rows_of_a_large_key(spark, monkeypatch):
+    n = 20_000
+    rows = spark.range(n).select(F.lit("hot").alias("k"), "id", F.timestamp_seconds(F.col("id") * 60 % (n * 60)).alias("t"), F.when(F.col("id") > 5, F.col("id")).alias("maybe"))
+    numbered = []
+    plain = ordered
+
+    def counted(df, *a, **k):
+        numbered.append(df.count())
+        return plain(df, *a, **k)
+
+    monkeypatch.setattr(timeline, "ordered", counted)
+    for first, kind in (("t", "timestamp"), ("maybe", "bigint")):
+        numbered.clear()
+        got = timeline.sample_even_rows(rows, ["k"], [first, "id"], 100.0, 9_000.0, 9, 1.0, rows_per_block=1000)
+        assert sorted((r["sample_no"], r["id"]) for r in got.collect()) == [(i + 1, 100 + i * 1125) for i in range(9)]
+        assert numbered[0] < n / 100
+    few = timeline.sample_even_rows(rows, ["k"], ["t", "id"], 0.0, 1e9, 3, 1.0, rows_per_block=1000)
+    assert sorted((r["sample_no"], r["id"]) for r in few.collect()) == [(1, 0), (2, n // 2)]  # the last is past the end
