@@ -13,7 +13,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.catalog.base import table
-from foliant.llm.base import in_batches, picked, query, texts_of
+from foliant.llm.base import in_batches, lean, picked, query, texts_of
 from foliant.llm.toxicity import words_of
 from foliant.plans.sizing import written
 
@@ -222,7 +222,7 @@ def without_contaminated(
     documents the rows are those that came.
     """
     for block in item_blocks(items, item_col, item_text_col):
-        docs = docs.mapInArrow(_keeping(block, rate, least_chars, text_col), docs.schema)
+        docs = docs.mapInArrow(lean(_keeping(block, rate, least_chars, text_col)), docs.schema)
         if len(block) >= BLOCK_ITEMS // 2:
             docs = written(docs, "clean")  # the driver then holds one block at a time
     return docs

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.catalog.base import table
 from foliant.llm.base import LOWER, UPPER, fold_ascii, picked, query
-from foliant.plans.sizing import scratch_path, written
+from foliant.plans.sizing import lookup_join, scratch_path, written
 
 COLUMNS = "digest BINARY, keep_id BIGINT, n BIGINT, batch STRING"
 
@@ -130,12 +130,17 @@ def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col:
     """The whole rows that ``exact_duplicates`` keeps, one for each text.
 
     Null texts count as empty, rows without id stay only where no equal text has one, and a row that is repeated whole, or with
-    other values in other columns, stays once. Columns of any name may be there. Whole rows are shuffled once, by their key.
+    other values in other columns, stays once. Columns of any name may be there. Whole rows are filtered by the keys that go,
+    which are broadcast if they are checked to be few and joined otherwise; only rows whose own key is repeated are grouped.
     """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(_row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("key")).distinct()
+    found = exact_duplicates(docs, id_col, text_col).select(_row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("key"), "kept")
+    keys = written(found.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "row-keys")
     digest = F.unhex(F.sha2(fold_ascii(F.col(f"`{text_col}`")).cast("binary"), 256))
     rows = docs.select(_row_key(F.col(f"`{id_col}`"), digest).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    kept = lookup_join(rows, keys.where("NOT kept OR n > 1").select("key"), ["key"], "left_anti", spread_by=["key"])
+    repeated = keys.where("kept AND n > 1").select("key")
+    once = lookup_join(rows, repeated, ["key"], "left_semi", spread_by=["key"]).groupBy("key").agg(F.first("row").alias("row"))
+    return kept.unionByName(once).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 OP4_SQL = f"""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.catalog.base import table
-from foliant.llm.base import in_batches, picked, query, texts_of
+from foliant.llm.base import in_batches, lean, picked, query, texts_of
 from foliant.plans.sizing import written
 
 if TYPE_CHECKING:
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     slim = picked(docs, doc_id=id_col, text=text_col)
     # At most ``sample`` pairs of numbers are broadcast.
     sampled = slim.join(F.broadcast(marked), "doc_id").select("toxic", "text")
-    seen = written(sampled.mapInArrow(_word_rows, "text_key binary, toxic int, word binary, times int"), "toxicity-sample")
+    seen = written(sampled.mapInArrow(lean(_word_rows), "text_key binary, toxic int, word binary, times int"), "toxicity-sample")
     # Equal texts have the same words as often, so one row for each text and word is left of any number of copies.
     once = seen.where("word IS NULL").groupBy("text_key").agg(F.max("toxic").alias("toxic"))
     cells = seen.where("word IS NOT NULL").groupBy("text_key", "word").agg(F.max("toxic").alias("toxic"), F.max("times").alias("times"))
@@ -256,7 +256,7 @@ def _keeping(model: Severity, text_col: str) -> Callable[[Iterator[pa.RecordBatc
 
 def without_toxic(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
     """The whole rows of the documents that ``scored`` does not call toxic, in one pass."""
-    return docs.mapInArrow(_keeping(model, text_col), docs.schema)
+    return docs.mapInArrow(lean(_keeping(model, text_col)), docs.schema)
 
 
 @query("op3_toxicity")
