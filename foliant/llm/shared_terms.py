@@ -273,7 +273,9 @@ def search_shared(
     cannot be named, so it has no rank; items without id keep their null. With no documents or no items there are no rows.
     Other columns of either table are not looked at.
     """
-    slim = spread(picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    slim = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if slim._jdf.rdd().getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism:
+        slim = spread(slim)  # else the scan's own splits keep all cores busy
     kind = picked(items, item_id=item_col).schema["item_id"].dataType.simpleString()
     found: DataFrame | None = None
     for block in item_blocks(items, item_col, item_text_col):
