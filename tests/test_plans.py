@@ -67,3 +67,9 @@ def test_small_inputs_are_spread_and_large_ones_left(spark, data, monkeypatch):
     assert sizing.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(sizing, "SPLIT_BYTES", 1)
     assert sizing.spread(docs) is docs
+
+
+@pytest.mark.parametrize("name", ["g2_affected_rows"])
+def test_salted_sides_are_not_broadcast(spark, data, name, monkeypatch):
+    monkeypatch.setattr(sizing, "is_small", lambda *a, **k: False)
+    assert "Broadcast" not in plan(QUERIES[name](spark, data))
