@@ -69,7 +69,7 @@ def test_small_inputs_are_spread_and_large_ones_left(spark, data, monkeypatch):
     assert sizing.spread(docs) is docs
 
 
-@pytest.mark.parametrize("name", ["g2_affected_rows", "p3_exists_key", "p2_get_by_id"])
+@pytest.mark.parametrize("name", ["g2_affected_rows", "p3_exists_key", "p2_get_by_id", "t3_insert_if_absent"])
 def test_salted_sides_are_not_broadcast(spark, data, name, monkeypatch):
     monkeypatch.setattr(sizing, "is_small", lambda *a, **k: False)
     assert "Broadcast" not in plan(QUERIES[name](spark, data))
