@@ -174,3 +174,17 @@ def test_generations(spark, rows, tmp_path):
     assert open_index(spark, current_generation(spark, base)).doc_stats().count() == 7
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         write_index(pages(spark, rows), second.path, columns=COLUMNS)
+
+
+def test_large_batches_search_equal_queries_once(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, 1, "red fox"), (2, 1, "red hen"), (3, 1, "blue fox")], "doc_id long, page_num int, content string")
+    index = Index.of(pages)
+    asked = [(i, ["red"] if i % 2 else ["fox"]) for i in range(8)] + [(8, ["red"]), (8, ["hen"]), (None, ["red"]), (9, None)]
+    queries = search.queries_of(spark.createDataFrame(asked, "query_id long, w array<string>"), must=F.col("w"))
+    found = lambda: sorted((str(r["query_id"]), r["doc_id"], round(r["score"], 9)) for r in search.match(index, queries).collect())
+    plain, sizes = found(), []
+    monkeypatch.setattr(search, "UNITS_INLINE", 3)
+    once = search._match
+    monkeypatch.setattr(search, "_match", lambda i, units, b: sizes.append(units.df.select("query_id").distinct().count()) or once(i, units, b))
+    assert found() == plain and len(plain) == 19
+    assert sizes == [4]
