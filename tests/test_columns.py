@@ -188,3 +188,26 @@ def test_large_batches_search_equal_queries_once(spark, monkeypatch):
     monkeypatch.setattr(search, "_match", lambda i, units, b: sizes.append(units.df.select("query_id").distinct().count()) or once(i, units, b))
     assert found() == plain and len(plain) == 19
     assert sizes == [4]
+
+
+def test_required_words_are_looked_for_on_the_rarest_ones_pages(spark, index, monkeypatch):
+    words = [["w0", "w1", "w30"], ["w0", "w0", "w39", "w2"], ["w0", "nowhere", "w1"], ["w0", "w1"]]
+    batch = [{"must": w, "should": ["w3", "w4"], "must_not": ["w5"]} for w in words] + [{"must": w} for w in words] + [{"should": ["w0", "w1"]}]
+    ids = [*range(len(batch)), 1, None]
+    queries = spark.createDataFrame([(i, *[q.get(n) for n in FIELDS]) for i, q in zip(ids, [*batch, batch[1], batch[4]])], QUERY_SCHEMA)
+    found = lambda: sorted((str(r["query_id"]), r["doc_id"], round(r["score"], 9), r["n_column_hits"]) for r in match(index, queries, True).collect())
+    plain, led, leading = found(), [], search._leading
+    monkeypatch.setattr(search, "LEAD_HITS", 1)
+    monkeypatch.setattr(search, "_leading", lambda *a: led.append(leading(*a)) or led[-1])
+    assert found() == plain and len(plain) > 100
+    assert index.buckets is None or {q for q, _, _ in led[0]} >= {4, 5, 6} and not {q for q, _, _ in led[0]} & {1, None, 8}
+
+
+def test_other_pieces_of_phrases_are_read_once_by_place(spark, rows, tmp_path, monkeypatch):
+    index = write_index(pages(spark, rows), str(tmp_path / "i"), tokens_per_file=2_000, columns=COLUMNS, frequent_df=10_000)
+    keys, join = [], search.lookup_join
+    monkeypatch.setattr(search, "lookup_join", lambda f, d, k, *a, **o: keys.append(k) or join(f, d, k, *a, **o))
+    queries = [(i, *[["w0", "w1", f"w{2 + i % 2}"] if n == "phrase" else None for n in FIELDS]) for i in range(6)]
+    found = match(index, spark.createDataFrame(queries, QUERY_SCHEMA)).groupBy("query_id").count().collect()
+    assert len({r["count"] for r in found if r["query_id"] % 2 == 0}) == 1 and len(found) in (3, 6)
+    assert ["term", "doc_id", "page_num", "column_id"] in keys
