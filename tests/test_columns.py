@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import search
 from foliant.operators.search import QUERY_SCHEMA, match, phrase_pieces, search_ranked, with_snippets
+from foliant.sources import index as index_tables
 from foliant.sources.index import (
     Index,
     current_generation,
@@ -211,3 +212,9 @@ def test_other_pieces_of_phrases_are_read_once_by_place(spark, rows, tmp_path, m
     found = match(index, spark.createDataFrame(queries, QUERY_SCHEMA)).groupBy("query_id").count().collect()
     assert len({r["count"] for r in found if r["query_id"] % 2 == 0}) == 1 and len(found) in (3, 6)
     assert ["term", "doc_id", "page_num", "column_id"] in keys
+
+
+def test_files_of_large_indexes_do_not_grow():
+    for tokens in (200_000_000, 1_000_000_000, 30_000_000_000):
+        buckets, splits = index_tables._layout(tokens, None, 12)
+        assert tokens / (buckets * splits) <= 2_000_000
