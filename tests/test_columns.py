@@ -218,3 +218,37 @@ def test_files_of_large_indexes_do_not_grow():
     for tokens in (200_000_000, 1_000_000_000, 30_000_000_000):
         buckets, splits = index_tables._layout(tokens, None, 12)
         assert tokens / (buckets * splits) <= 2_000_000
+
+
+def test_postings_come_in_the_order_of_their_files(spark, monkeypatch):
+    """Rows of many pages at once, whole however they are cut, so that the sort before writing only merges."""
+    pages = [(7, 1, "b a b", "a c"), (3, 2, "b", ""), (None, 1, "c a b", "b a"), (3, 1, "", ""), (7, 1, "b a b", "a c")]
+    df = spark.createDataFrame(pages, "doc_id bigint, page_num int, x string, y string").coalesce(1)
+    toks = index_tables.tokenize_columns(df, ["x", "y"])
+    key = lambda r: (r[0], r[2] is not None, r[2], r[3], r[1])
+
+    def expected(words):
+        out = []
+        for doc, page, *texts in pages:
+            seen, dl = set(), sum(len(t.split()) for t in texts)
+            for c, text in enumerate(texts):
+                found = words(text.split())
+                for term in sorted(set(found)):
+                    at = [i for i, w in enumerate(found) if w == term]
+                    out.append((term, c, doc, page, len(at), dl, term not in seen, at))
+                seen |= set(found)
+        return sorted(out, key=key)
+
+    def rows(found):
+        return [(r.term, r.column_id, r.doc_id, r.page_num, r.tf, r.dl, r.leads, r.positions) for r in found.collect()]
+
+    for at_once in (1 << 20, 1):
+        monkeypatch.setattr(index_tables, "WORDS_AT_ONCE", at_once)
+        singles, pairs = rows(index_tables.build_postings(toks)), rows(index_tables.build_pairs(toks, ["a", "b"]))
+        assert sorted(singles, key=key) == expected(lambda ws: ws)
+        # a pair's place is that of its first word; other neighbours leave a gap
+        assert sorted(pairs, key=key) == [r for r in expected(lambda ws: [f"{v} {w}" for v, w in zip(ws, ws[1:])]) if "c" not in r[0]]
+    monkeypatch.setattr(index_tables, "WORDS_AT_ONCE", 1 << 20)
+    order = [(r[0], r[2] if r[2] is not None else -1) for r in rows(index_tables.build_postings(toks))]
+    assert order == sorted(order)
+    assert rows(index_tables.build_pairs(toks, [])) == []
