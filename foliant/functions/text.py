@@ -56,13 +56,17 @@ def tokens(c: Column) -> Column:
     return F.filter(words, lambda w: w != F.lit(""))
 
 
+# All characters of Unicode that are white space, and the four separators that Python counts as such.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space on both ends, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
+    return F.trim(c, F.lit(WHITE))  # looks at the ends only, where a pattern would try every gap of a long text
 
 
 def is_blank(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit(""))) == F.lit("")
+    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)[^\s\x{1c}-\x{1f}]")  # looks no further than the first other character
 
 
 def clean_query(c: Column) -> Column:
@@ -103,7 +107,7 @@ def unquote_value(c: Column) -> Column:
     inner = F.when(quoted, F.substring(v, F.lit(2), F.greatest(n - 2, F.lit(0)))).otherwise(v)
     for escaped, plain in [("\\'", "'"), ('\\"', '"'), ("\\\\", "\\")]:
         inner = F.replace(inner, F.lit(escaped), F.lit(plain))
-    return F.when(F.upper(v) == "NULL", F.lit("")).otherwise(inner)
+    return F.when((n <= 4) & (F.upper(v) == "NULL"), F.lit("")).otherwise(inner)
 
 
 def quote_value(c: Column) -> Column:

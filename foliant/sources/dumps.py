@@ -10,6 +10,7 @@ file (one tiny row each), and the records of one value are put together again.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,12 @@ from foliant.plans.ordered import ordered
 from foliant.plans.sizing import spread, written
 from foliant.sources.index import path_exists
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 BREAK = ";\n"
 MIN_VALUES = 21
+BATCH_CHARS, ROW_CHARS = 4 << 20, 400  # of the tuples that a task gives out at a time, and what one counts for besides its text
 
 # Positions in a posts tuple.
 AUTHOR_COL, DATE_COL, CONTENT_COL, TITLE_COL, TYPE_COL = 1, 2, 4, 5, 20
@@ -130,16 +135,28 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     """
     header = insert_header(table)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        def given(rows: list[list[str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["values"])
+
+        rows, size = [], 0
         for batch in batches:
-            for raw in batch["raw"]:
-                text = bytes(raw).decode("utf-8", "ignore")
-                rows = [row for body in insert_bodies(text, header) for row in tuples_of(body)]
-                if rows:
-                    yield pd.DataFrame({"values": rows})
+            for raw in batch.column("raw"):
+                text = raw.as_py().decode("utf-8", "ignore")
+                for body in insert_bodies(text, header):
+                    for row in tuples_of(body):
+                        rows.append(row)
+                        size += ROW_CHARS + sum(map(len, row))
+                        if size >= BATCH_CHARS:
+                            yield given(rows)
+                            rows, size = [], 0
+        if rows:
+            yield given(rows)
 
     found = read_statements(spark, path).where(F.contains(F.lower("statement"), F.lit(table.lower())))
-    return spread(found.select(F.col("statement").cast("binary").alias("raw"))).mapInPandas(
+    return spread(found.select(F.col("statement").cast("binary").alias("raw"))).mapInArrow(
         parse, "values array<string>"
     )
 

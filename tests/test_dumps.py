@@ -158,3 +158,13 @@ def test_equal_posts_get_ids_of_their_own(spark):
     got = sorted((r["id"], r["title"]) for r in dumps.imported_posts(df.repartition(4), 10).collect())
     assert [i for i, _ in got] == list(range(11, 21)) and got[0][1] == "n"
     assert dumps.imported_posts(df.limit(0)).collect() == []
+
+
+def test_tuples_of_many_statements_come_together(spark, tmp_path, monkeypatch):
+    path = dump_file(tmp_path, "".join(f"INSERT INTO `t` VALUES ({i},'x{i}'),({i},'');\n" for i in range(200)), "many.sql")
+    wanted = sorted((str(i), v) for i in range(200) for v in (f"'x{i}'", "''"))
+    for chars in (4 << 20, 1):
+        monkeypatch.setattr(dumps, "BATCH_CHARS", chars)
+        found = dumps.read_sql_dump(spark, path, "t")
+        assert sorted(tuple(r["values"]) for r in found.collect()) == wanted
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()

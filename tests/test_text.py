@@ -98,3 +98,14 @@ def test_quote_round_trip(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     back = [r[0] for r in df.select(text.unquote_value(text.quote_value(F.col("v")))).collect()]
     assert back == [v or "" for v in values]
+
+
+def test_all_white_space_goes_at_both_ends(spark):
+    from foliant.functions.text import WHITE, is_blank, strip
+
+    texts = [f"{w}a {w} b{w}\n" for w in WHITE] + [w * 2 for w in WHITE] + ["", "​a​", "NULL"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    stripped = df.select("t", strip(F.col("t")).alias("s"), is_blank(F.col("t")).alias("b"))
+    assert [(r.s, r.b) for r in stripped.collect()] == [(t.strip(), not t.strip()) for t in texts]
+    # the ends alone are looked at: a pattern would try every gap of a long text
+    assert "regexp" not in stripped.select("s")._jdf.queryExecution().executedPlan().toString()
