@@ -8,6 +8,7 @@ from foliant.catalog.base import corpus, derived_path, query, table
 from foliant.functions import text
 from foliant.operators import tables
 from foliant.operators.filters import default_created, min_arity
+from foliant.operators.snippets import tasks_for
 from foliant.plans.sizing import scratch_path, spread
 from foliant.sources import dumps, pages
 from foliant.sources.index import open_or_build_index, path_exists, reload_index
@@ -167,6 +168,7 @@ def a7_list_media(spark, sf_dir):
     if not path_exists(spark, f"{path}/_SUCCESS"):
         key = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
         files = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("of"), key).alias("k"), "s_name")
+        files = files.repartition(tasks_for(files), "k")  # a small table's scan is one task, which would write all files
         files.where("s_suppkey % 3 = 0").select("k", "s_name").write.partitionBy("k").mode("append").csv(path)
         files.where("s_suppkey % 3 <> 0").select("k", "s_name").write.partitionBy("k").mode("append").text(path)
     listed = list_media(spark, path, "txt")

@@ -141,6 +141,20 @@ def test_list_media(spark, tmp_path):
     assert [(r["path"].rsplit("/", 1)[1], r["ordinal"]) for r in got] == [("b.png", 1), ("f_10.jpg", 2), ("f_2.jpg", 3)]
 
 
+def test_many_media_files_go_to_all_tasks(spark, data, tmp_path):
+    import re
+    from pathlib import Path
+
+    import __spark_entry__ as contract
+    from foliant.catalog.base import derived_path
+
+    assert contract.queries()["a7_list_media"](spark, data).count() > 3
+    written = [p.name for p in Path(derived_path(spark, data, "media")).rglob("part-*.txt")]
+    assert len({re.match(r"part-(\d+)", n)[1] for n in written}) > 1  # a small table's scan would write all of them in one task
+    (tmp_path / "a.jpg").write_bytes(b"x")
+    assert "Coalesce" in media.list_media(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("max_inline", [64, 1])
 def test_intervals_of_points_with_null_and_repeated_keys(spark, max_inline):
     keyed = [(None, 0.5), (None, 2.5), (None, 2.5), (None, 9.0), (1, 2.5), (1, 0.5), (1, None), (2, 1.5), (None, None)]
