@@ -1,24 +1,31 @@
 """Scores of texts by logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of words and an end. A word that the training texts hold is predicted from its exact counts, any
-other from its spelling, bit by bit: for each order of context (the last 1 to 4 bytes of the word, with the bits of the
-byte so far, and the class) zeros and ones are counted over all training words. Their predictions are
-mixed in the logistic domain by weights that a gate chooses (bit place, longest context seen before), trained online; a
-table of observed rates refines the mixed prediction (by gate and prediction).
-
-Both kinds of prediction exist for each class of training documents (their language, say). Classes of the scored texts
-are not looked at: their predictions are mixed by weights that adapt along the text to how well each class did so far, and a
-second gate, between counts and spelling, follows the share of unknown words so far.
-
-All counts cover the whole corpus. Words are counted per chunk of documents, so that only distinct words of a chunk are
-shuffled, and the counts come back to the chunk the same way; texts and word tables never pass the driver. Contexts are
-named by 64-bit hashes; which bytes followed each is a table of its own, joined to the contexts of the words to be
-spelled, block by block of words. Weights and rates are tables of fixed size.
+A text is a sequence of words and an end; each is spelled with a blank after it, and every bit of it is predicted, whether the
+training texts hold the word or not. Contexts are the last 1 to 4 bytes, which reach into the word before, and the word so
+far, each with the bits of the byte so far; zeros and ones are counted over all tokens of the training texts. The word so far
+gives a known word its exact share. The predictions are mixed in the logistic domain by weights that a gate chooses (bit
+place, longest context seen before, how often the word so far was), trained online; a table of observed rates refines the mixed
+prediction (by gate and prediction).
+
+No context of a bit beyond the first HEAD bytes of a word reaches the word before, so a token falls into pieces: a link for
+each of its first bytes, told by the ORDERS bytes up to it (the blank left out), and its tail, told by the word. Bits are
+counted and predicted once for each piece, with the number of its tokens as weight, which gives the sums over all tokens.
+
+Along a text the predictions are refined: the words of the text so far, and the shares of the word in each class of training
+documents (their language, say), are mixed in by experts, whose weights adapt to how well each did so far. Classes of
+the scored texts are not looked at.
+
+All counts cover the whole corpus. Pieces are counted per chunk of documents, so that only distinct ones of a chunk are
+shuffled, and the predictions come back to the chunk the same way; texts and word tables never pass the driver. Contexts are
+named by 64-bit hashes; which bytes followed each is a table of its own, joined to the contexts of the pieces to be
+predicted, block by block. The words so far need no join: words are sorted, so a block holds all words that begin like one of
+its own, but for the beginnings of its first and last. Weights and rates are tables of fixed size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
@@ -34,18 +41,23 @@ if TYPE_CHECKING:
 
 CHUNK_TOKENS = 1 << 22  # tokens after which a chunk of documents ends
 ORDERS = 4
+HEAD = ORDERS - 1  # bytes of a word whose contexts reach the word before
+INPUTS = ORDERS + 1  # the word so far, and the orders
 SLOT_BITS = 20  # words are spelled in batches of at most so many bits (as a power of two), or one word
 BLOCK = 16  # batches that share their contexts
+BLOCK_BYTES = 1 << 21
 CLASSES = 5  # the most frequent classes of training documents, all others together being the last
-POOLED = 0.05  # share of the counts of all classes in those of each
-GATES = 8 * (ORDERS + 1)
+SEEN = (0.5, 3.5, 31.5)  # bounds of how often the gate takes the word so far to have been seen
+GATES = 8 * (ORDERS + 1) * (len(SEEN) + 1)
 STEPS = 33  # steps of the prediction in the table of rates
-BATCH = 1024  # words whose errors make one online update
-RATE = 0.2
+BATCH = 8192  # pieces whose bits are looked up at once
+UPDATE = 1024  # pieces whose errors make one online update
+RATE = 0.6
 PRIOR = 0.05  # zeros and ones that each slot is taken to have seen before
-HELD = 50.0  # tokens that the share of unknown words in the corpus counts for in a text
+EXPERTS = [(0.0, 0.0), (0.1, 0.05), (0.4, 0.1)]  # what the shares of a class and the text's own words count for
 MODULUS, HELD_OUT = 7, 2
 END = b""  # stands for the end of a text; no word is empty
+BLANK = b" "  # no word holds one; the names of links begin with it
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -56,7 +68,7 @@ _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 class Bits(NamedTuple):
     """The coded bits of some words: slots by order, the bits, the gate's bit place, and the word of each."""
 
-    slots: np.ndarray  # ORDERS x bits; numbers of the codes
+    slots: np.ndarray  # INPUTS x bits; numbers of the codes
     bit: np.ndarray
     place: np.ndarray
     word: np.ndarray
@@ -64,36 +76,72 @@ class Bits(NamedTuple):
     codes: np.ndarray  # distinct contexts of bits: 256 times the number of the key, and the bits of the byte so far after a 1
 
 
-def _contexts(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the words with a blank after each, sizes of the words, and a 64-bit hash of each byte's contexts by order."""
+_BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _contexts(words: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the words with a blank after each, sizes of the words, and a 64-bit hash of each byte's contexts.
+
+    The first is the word so far, the others are the last bytes by order. ``before`` holds the bytes that end the word before,
+    the last one lowest.
+    """
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     spelled = np.frombuffer(b" ".join([*words, b""]), np.uint8)
     n = len(spelled)
-    at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys = np.empty((ORDERS, n), np.uint64)
-    context = np.repeat(classes.astype(np.uint64) + np.uint64(1), sizes) * np.uint64(0x9E3779B97F4A7C15)
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(n) - starts
+    ends = np.repeat(np.asarray(before, np.int64), sizes)
+    keys = np.empty((INPUTS, n), np.uint64)
+    powers = np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    so_far = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[spelled] * np.multiply.accumulate(powers)[at], dtype=np.uint64)])
+    context = so_far[:n] - so_far[starts] + np.uint64(0xD6E8FEB86659FD93)
+    context = (context ^ (context >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys[0] = (context ^ (context >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    context = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     for k in range(ORDERS):
-        back = np.zeros(n, np.uint64)
-        back[k + 1 :] = spelled[: max(n - k - 1, 0)].astype(np.uint64) + np.uint64(1)
-        back[at <= k] = 0  # before the word
+        back = np.empty(n, np.uint64)
+        back[k + 1 :] = spelled[: max(n - k - 1, 0)]
+        back[: k + 1] = 0
+        outside = np.flatnonzero(at <= k)
+        beyond = k - at[outside]  # 0 is the blank
+        back[outside] = np.where(beyond == 0, BLANK[0], (ends[outside] >> (8 * np.maximum(beyond - 1, 0))) & 255)
         context = (context ^ (back + np.uint64(512 * (k + 1)))) * np.uint64(0xBF58476D1CE4E5B9)
         context ^= context >> np.uint64(29)
-        keys[k] = context * np.uint64(0x94D049BB133111EB)
+        keys[k + 1] = context * np.uint64(0x94D049BB133111EB)
     return spelled, sizes, keys.view(np.int64)
 
 
-def bits_of(words: list[bytes], classes: np.ndarray) -> Bits:
-    """Each word is spelled with a blank after it, 8 bits a byte, high bits first, in the contexts of its class."""
-    spelled, sizes, contexts = _contexts(words, classes)
-    n = len(spelled)
-    keys, number = np.unique(contexts, return_inverse=True)
+def _kept(sizes: np.ndarray, places: np.ndarray | None) -> np.ndarray:
+    """Numbers of the bytes that belong to the pieces: those at their places, of tails (at HEAD) all beyond too."""
+    if places is None:
+        return np.arange(sizes.sum())
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.flatnonzero(np.minimum(at, HEAD) == np.repeat(places, sizes))
+
+
+def bits_of(words: list[bytes], before: np.ndarray, places: np.ndarray | None = None) -> Bits:
+    """Each word is spelled with a blank after it, 8 bits a byte, high bits first, after the bytes ``before``.
+
+    With ``places`` only the bits of the pieces are told: see ``_kept``.
+    """
+    spelled, sizes, contexts = _contexts(words, before)
+    kept = _kept(sizes, places)
+    spelled, n = spelled[kept], len(kept)
     depth = np.arange(8)
-    node = (1 << depth) | (spelled[:, None].astype(np.int64) >> (8 - depth))
-    codes, slots = np.unique(number.reshape(ORDERS, n, 1) * 256 + node, return_inverse=True)
+    keys, number = np.unique(contexts[:, kept], return_inverse=True)
+    pairs, followed = np.unique(number.reshape(INPUTS, n) * 256 + spelled, return_inverse=True)
+    # Pairs are in order, and so are their beginnings at each depth.
+    slot, codes = np.empty((len(pairs), 8), np.int32), []
+    for d in range(8):
+        node = (pairs & ~255) | (1 << d) | ((pairs & 255) >> (8 - d))
+        first = np.concatenate([[True], node[1:] != node[:-1]])[: len(pairs)]
+        slot[:, d] = np.cumsum(first) - 1 + sum(map(len, codes))
+        codes.append(node[first])
     bit = (spelled[:, None] >> (7 - depth)) & 1
     place = np.broadcast_to(depth, (n, 8))
-    word = np.repeat(np.arange(len(words)), sizes * 8)
-    return Bits(slots.reshape(ORDERS, -1), bit.reshape(-1).astype(np.float32), place.reshape(-1), word, keys, codes)
+    word = np.repeat(np.repeat(np.arange(len(words)), sizes)[kept], 8)
+    return Bits(slot[followed.reshape(INPUTS, n)].reshape(INPUTS, -1), bit.reshape(-1).astype(np.float32), place.reshape(-1), word, keys, np.concatenate(codes))
 
 
 class Slots(NamedTuple):
@@ -118,16 +166,21 @@ class Slots(NamedTuple):
         return Slots((middle - before).astype(np.float64), (after - middle).astype(np.float64))
 
     def inputs(self, bits: Bits, without_own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions of the orders in the logistic domain, and the gate.
+        """Predictions of the contexts in the logistic domain, and the gate.
 
         A word of the training texts is predicted as if it had not been counted (``without_own``).
         """
-        zeros, ones = self.zeros[bits.slots], self.ones[bits.slots]
+        told, seen, at = [], [], bits.slots
+        for own in (0, 1) if without_own else (None,):
+            zeros = np.maximum(self.zeros - (own == 0), 0)
+            ones = np.maximum(self.ones - (own == 1), 0)
+            told.append(np.log((ones + PRIOR) / (zeros + PRIOR)).astype(np.float32))
+            seen.append(np.digitize(zeros + ones, SEEN).astype(np.int8))
         if without_own:
-            zeros, ones = np.maximum(zeros - (1 - bits.bit), 0), np.maximum(ones - bits.bit, 0)
-        seen = zeros + ones > 0
-        longest = (seen * np.arange(1, ORDERS + 1)[:, None]).max(axis=0)
-        return np.log((ones + PRIOR) / (zeros + PRIOR)), bits.place * (ORDERS + 1) + longest
+            at = at + bits.bit.astype(np.int32) * np.int32(len(self.zeros))
+        met = np.concatenate(seen)[at]
+        longest = (met[1:] > 0).sum(axis=0)  # a longer context was seen only if the shorter ones were
+        return np.concatenate(told)[at], (bits.place * (ORDERS + 1) + longest) * (len(SEEN) + 1) + met[0]
 
 
 class Mixer(NamedTuple):
@@ -139,27 +192,31 @@ class Mixer(NamedTuple):
 
     @staticmethod
     def fresh() -> Mixer:
-        start = np.full((GATES, ORDERS), 0.35, np.float32)
+        start = np.full((GATES, INPUTS), 0.3, np.float32)
         return Mixer(start, np.zeros(GATES * STEPS), np.zeros(GATES * STEPS))
 
     def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return (self.weights[gate].T * inputs).sum(axis=0).clip(-8, 8)
+        mixed = np.zeros(len(gate), np.float32)
+        for k, x in enumerate(inputs):
+            mixed += self.weights[:, k][gate] * x
+        return mixed.clip(-10, 10)
 
     @staticmethod
     def step_of(mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return gate * STEPS + np.rint((mixed + 8) * ((STEPS - 1) / 16)).astype(np.int64)
+        return gate * STEPS + np.rint((mixed + 10) * ((STEPS - 1) / 20)).astype(np.int64)
 
-    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> Mixer:
-        """One online step on a batch of bits."""
+    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> Mixer:
+        """One online step on a batch of bits, each told ``weight`` times."""
+        weight = np.ones(len(bit), np.float32) if weight is None else weight
         mixed = self.mixed(inputs, gate)
-        error = bit - 1 / (1 + np.exp(-mixed))
-        count = np.bincount(gate, minlength=GATES) + 1.0
+        error = weight * (bit - 1 / (1 + np.exp(-mixed)))
+        count = np.bincount(gate, weights=weight, minlength=GATES) + 1.0
         slope = np.stack([np.bincount(gate, weights=error * x, minlength=GATES) / count for x in inputs], axis=1)
         at = self.step_of(mixed, gate)
-        ones = np.bincount(at, weights=bit, minlength=GATES * STEPS)
+        ones = np.bincount(at, weights=bit * weight, minlength=GATES * STEPS)
         return Mixer(
             (self.weights + RATE * slope).astype(np.float32),
-            self.zeros + np.bincount(at, minlength=GATES * STEPS) - ones,
+            self.zeros + np.bincount(at, weights=weight, minlength=GATES * STEPS) - ones,
             self.ones + ones,
         )
 
@@ -167,7 +224,7 @@ class Mixer(NamedTuple):
         """log2 of the probability of each bit: the mixed prediction and its observed rate, averaged in the logistic domain."""
         mixed = self.mixed(inputs, gate)
         step = self.step_of(mixed, gate)
-        centre = (np.arange(STEPS) * (16 / (STEPS - 1)) - 8)[step % STEPS]
+        centre = (np.arange(STEPS) * (20 / (STEPS - 1)) - 10)[step % STEPS]
         # A rate that was hardly observed stays near the prediction it belongs to.
         prior = 4 / (1 + np.exp(-centre))
         rate = np.log((self.ones[step] + prior) / (self.zeros[step] + 4 - prior))
@@ -175,136 +232,197 @@ class Mixer(NamedTuple):
         return -np.logaddexp(0, np.where(bit > 0, -final, final)) / np.log(2)
 
 
-def _batches(words: list[bytes], classes: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words in batches of bounded numbers of words and bits."""
+class _Pieces(NamedTuple):
+    """Links and tails of words: the bytes, those before, the place, the number of tokens in training texts, and the facts."""
+
+    names: list[bytes]
+    words: list[bytes]
+    before: np.ndarray
+    places: np.ndarray
+    n: np.ndarray
+    facts: list[bytes]
+
+    @staticmethod
+    def of(names: list[bytes], facts: list[bytes]) -> _Pieces:
+        words, before, places = names.copy(), np.zeros(len(names), np.int64), np.full(len(names), HEAD)
+        for i, w in enumerate(names):
+            if w.startswith(BLANK):
+                place = w[1]
+                places[i], before[i], words[i] = place, int.from_bytes(w[2 : 2 + HEAD - place], "big"), w[2 + HEAD - place :].rstrip(BLANK)
+        n = np.frombuffer(b"".join(facts), "<f8").reshape(-1, CLASSES).sum(axis=1)
+        return _Pieces(names, words, before, places, n, facts)
+
+    def bits(self) -> Bits:
+        return bits_of(self.words, self.before, self.places)
+
+    def asked(self) -> np.ndarray:
+        """Contexts of the pieces, but for the words so far of tails."""
+        _, sizes, contexts = _contexts(self.words, self.before)
+        kept = _kept(sizes, self.places)
+        link = np.repeat(self.places < HEAD, sizes)[kept]
+        return np.unique(np.concatenate([contexts[1:, kept].reshape(-1), contexts[0, kept[link]]]))
+
+    def followed(self, so_far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, bytes that followed them and how often: those of ``asked``, or (``so_far``) the others."""
+        spelled, sizes, contexts = _contexts(self.words, self.before)
+        kept = _kept(sizes, self.places)
+        spelled, contexts, n = spelled[kept], contexts[:, kept], np.repeat(self.n, sizes)[kept]
+        link = np.repeat(self.places < HEAD, sizes)[kept]
+        if so_far:
+            key, byte, n = contexts[0, ~link], spelled[~link], n[~link]
+        else:
+            key = np.concatenate([contexts[1:].reshape(-1), contexts[0, link]])
+            byte, n = (np.concatenate([np.tile(x, ORDERS), x[link]]) for x in (spelled, n))
+        keys, number = np.unique(key, return_inverse=True)
+        pairs, at = np.unique(number * 256 + byte, return_inverse=True)
+        return keys[pairs >> 8], pairs & 255, np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
+
+    def shared(self) -> np.ndarray:
+        """The words so far of the first and the last tail, which other blocks may hold too."""
+        tails = [w for w, p in zip(self.words, self.places, strict=True) if p == HEAD]
+        edges = [min(tails), max(tails)] if tails else []
+        return _contexts(edges, np.zeros(len(edges), np.int64))[2][0]
+
+
+def _batches(names: list[bytes], facts: list[bytes]) -> Iterator[_Pieces]:
+    """Batches of bounded numbers of pieces and bits."""
     begin, size = 0, 0
-    for i, w in enumerate(words):
+    for i, w in enumerate(names):
         size += len(w) + 1
         if i > begin and (i - begin == BATCH or size * 8 > 1 << SLOT_BITS):
-            yield words[begin:i], classes[begin:i]
+            yield _Pieces.of(names[begin:i], facts[begin:i])
             begin, size = i, len(w) + 1
-    if begin < len(words):
-        yield words[begin:], classes[begin:]
+    if begin < len(names):
+        yield _Pieces.of(names[begin:], facts[begin:])
+
+
+def _named(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+    """(word, counts by class) as names and facts."""
+    counts = np.stack([batch.column(f"c{k}").to_numpy() for k in range(CLASSES)], axis=1).astype("<f8").tobytes()
+    return batch.column("word").to_pylist(), [counts[i : i + 8 * CLASSES] for i in range(0, len(counts), 8 * CLASSES)]
 
 
 def _following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, class) to how often each byte followed each context."""
+    """(word, counts by class) to how often each byte followed each context, but for the words so far of tails."""
     import pyarrow as pa
 
     for batch in batches:
-        for words, classes in _batches(batch.column("word").to_pylist(), batch.column("class").to_numpy()):
-            spelled, _, contexts = _contexts(words, classes)
-            keys, number = np.unique(contexts, return_inverse=True)
-            pairs, n = np.unique(number.reshape(ORDERS, -1) * 256 + spelled, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[pairs >> 8]), pa.array((pairs & 255).astype(np.int16)), pa.array(n.astype(np.int64))], ["key", "byte", "n"])
+        if batch.num_rows:
+            key, byte, n = _Pieces.of(*_named(batch)).followed(so_far=False)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(byte.astype(np.int16)), pa.array(n)], ["key", "byte", "n"])
 
 
-def _blocking(all_classes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(word, class) to blocks of words, a row for each batch, and the distinct contexts of each block."""
+def _blocking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (word, counts by class) to blocks of pieces, a row for each batch, and the contexts each asks for.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        block, held, contexts = TaskContext.get().partitionId() << 32, [], []
-        schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.binary())), ("classes", pa.list_(pa.int32())), ("key", pa.int64())])
-
-        def done() -> Iterator[pa.RecordBatch]:
-            n = len(held)
-            words, classes = [w for w, _ in held], [c.tolist() for _, c in held]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(words, schema.field(1).type), pa.array(classes, schema.field(2).type), pa.nulls(n, pa.int64())], schema=schema)
-            keys = np.unique(np.concatenate(contexts))
-            for i in range(0, len(keys), 100_000):
-                part = keys[i : i + 100_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, schema.field(1).type), pa.nulls(n, schema.field(2).type), pa.array(part)], schema=schema)
-
-        for batch in batches:
-            for words, classes in _batches(batch.column("word").to_pylist(), batch.column("class").to_numpy()):
-                held.append((words, classes))
-                for c in [np.full(len(words), k) for k in range(CLASSES)] if all_classes else [classes]:
-                    contexts.append(np.unique(_contexts(words, c)[2]))
-                if len(held) == BLOCK or sum(map(len, contexts)) > 1 << SLOT_BITS:
-                    yield from done()
-                    block, held, contexts = block + 1, [], []
-        if held:
-            yield from done()
-
-    return cut
+    A context that other blocks may share has rows that say which bytes followed it in this one (``byte``, ``n``).
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    block, names, facts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    many = pa.list_(pa.binary())
+    schema = pa.schema([("block", pa.int64()), ("words", many), ("facts", many), ("key", pa.int64()), ("byte", pa.int16()), ("n", pa.int64())])
+
+    def batch_of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), *(columns.get(f.name, pa.nulls(rows, f.type)) for f in list(schema)[1:])], schema=schema)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces.of(names, facts)
+        steps = -(-len(names) // UPDATE)  # so that each update sees words of the whole block
+        mixed = [[x for i in range(steps) for x in column[i::steps]] for column in (names, facts)]
+        for p in _batches(*mixed):
+            yield batch_of(1, words=pa.array([p.names], many), facts=pa.array([p.facts], many))
+        shared = pieces.shared()
+        keys = np.union1d(pieces.asked(), shared)
+        for i in range(0, len(keys), 100_000):
+            part = keys[i : i + 100_000]
+            yield batch_of(len(part), key=pa.array(part))
+        own = pieces.followed(so_far=True)
+        key, byte, n = (x[np.isin(own[0], shared)] for x in own)
+        yield batch_of(len(key), key=pa.array(key), byte=pa.array(byte.astype(np.int16)), n=pa.array(n))
+
+    for batch in batches:
+        for name, fact in zip(*_named(batch), strict=True):
+            names.append(name)
+            facts.append(fact)
+            size += len(name) + 1
+            if len(names) == BLOCK * BATCH or size > BLOCK_BYTES:
+                yield from done()
+                block, names, facts, size = block + 1, [], [], 0
+    if names:
+        yield from done()
 
 
 class _Block(NamedTuple):
-    """Batches of words, and which bytes followed their contexts in the training words."""
+    """Batches of pieces, and which bytes followed their contexts in the training words."""
 
-    batches: list[tuple[list[bytes], np.ndarray]]
+    batches: list[_Pieces]
     key: np.ndarray
     byte: np.ndarray
     n: np.ndarray
 
     @staticmethod
     def of(words: pa.Table, followed: pa.Table) -> _Block:
-        batches = [(w, np.array(c)) for w, c in zip(words.column("words").to_pylist(), words.column("classes").to_pylist(), strict=True)]
-        key, byte, n = (followed.column(c).to_numpy() for c in ("key", "byte", "n"))
+        told = sorted(zip(words.column("words").to_pylist(), words.column("facts").to_pylist(), strict=True))
+        whole = _Pieces.of(*([x for part in column for x in part] for column in zip(*told, strict=True)))
+        own = whole.followed(so_far=True)
+        unshared = ~np.isin(own[0], whole.shared())
+        key, byte, n = (np.concatenate([followed.column(c).to_numpy(), x[unshared]]) for c, x in zip(("key", "byte", "n"), own, strict=True))
         order = np.lexsort((byte, key))
-        return _Block(batches, key[order], byte[order], n[order])
+        return _Block([_Pieces.of(w, f) for w, f in told], key[order], byte[order], n[order])
 
     def slots(self, bits: Bits) -> Slots:
-        return Slots.of(bits, self.key, self.byte, self.n)
+        begin, end = np.searchsorted(self.key, bits.keys), np.searchsorted(self.key, bits.keys, "right")
+        sizes = end - begin
+        rows = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+        return Slots.of(bits, self.key[rows], self.byte[rows], self.n[rows])
 
 
 def _training(words: pa.Table, followed: pa.Table) -> pa.Table:
-    """One online pass over a block's words; results are sums, to be averaged over blocks by their words."""
+    """One online pass over a block's pieces; results are sums, to be averaged over blocks by their tokens."""
     import pyarrow as pa
 
-    mixer, n, block = Mixer.fresh(), 0, _Block.of(words, followed)
-    for batch in block.batches:
-        bits = bits_of(*batch)
+    mixer, n, block = Mixer.fresh(), 0.0, _Block.of(words, followed)
+    for pieces in block.batches:
+        bits = pieces.bits()
         inputs, gate = block.slots(bits).inputs(bits, without_own=True)
-        mixer = mixer.learn(inputs, gate, bits.bit)
-        n += len(batch[0])
+        weight = pieces.n[bits.word].astype(np.float32)
+        cuts = [*np.searchsorted(bits.word, np.arange(0, len(pieces.n), UPDATE)), len(bits.word)]
+        for i, j in itertools.pairwise(cuts):
+            mixer = mixer.learn(inputs[:, i:j], gate[i:j], bits.bit[i:j], weight[i:j])
+        n += pieces.n.sum()
     values = np.concatenate([[n], n * mixer.weights.reshape(-1).astype(np.float64), mixer.zeros, mixer.ones])
     return pa.table({"i": pa.array(np.arange(len(values), dtype=np.int32)), "v": pa.array(values)})
 
 
 def _spelling(mixer) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Unknown words of a block to (word, facts): log10 of the spelling by class.
+    """Pieces of a block to (word, facts): the counts by class, and the natural logarithm of the piece's probability.
 
-    Counts are not negative and logarithms are, so they need no mark to tell them apart.
+    They travel in single precision: counts above 2 ** 24 are rounded to 24 bits.
     """
 
     def spell(words: pa.Table, followed: pa.Table) -> pa.Table:
         import pyarrow as pa
 
         block, told, packed = _Block.of(words, followed), [], []
-        for part, _ in block.batches:
-            values = np.empty((len(part), CLASSES))
-            for k in range(CLASSES):
-                bits = bits_of(part, np.full(len(part), k))
-                inputs, gate = block.slots(bits).inputs(bits, without_own=False)
-                log2 = mixer.value.log2_of(inputs, gate, bits.bit)
-                spelled = np.bincount(bits.word, weights=log2, minlength=len(part)) * np.log10(2)
-                values[:, k] = np.minimum(spelled, -1e-9)
-            told += part
-            packed += [row.tobytes() for row in values.astype("<f8")]
+        for pieces in block.batches:
+            bits = pieces.bits()
+            inputs, gate = block.slots(bits).inputs(bits, without_own=False)
+            log2 = mixer.value.log2_of(inputs, gate, bits.bit)
+            spelled = np.bincount(bits.word, weights=log2, minlength=len(pieces.names)) * np.log(2)
+            counts = np.frombuffer(b"".join(pieces.facts), "<f8").reshape(-1, CLASSES)
+            told += pieces.names
+            packed += [row.tobytes() for row in np.column_stack([counts, spelled]).astype("<f4")]
         return pa.table({"word": pa.array(told, pa.binary()), "facts": pa.array(packed, pa.binary())})
 
     return spell
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, counts by class) to (word, facts): the counts."""
-    import pyarrow as pa
-
-    for batch in batches:
-        values = np.stack([batch.column(f"c{k}").to_numpy() for k in range(CLASSES)], axis=1).astype("<f8")
-        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([row.tobytes() for row in values], pa.binary())], ["word", "facts"])
-
-
-def _in_blocks(words: DataFrame, followed: DataFrame, all_classes: bool):
-    """(word, class) in blocks, together with the bytes that followed their contexts, and what was written for it."""
-    blocks = settle(words.mapInArrow(_blocking(all_classes), "block bigint, words array<binary>, classes array<int>, key bigint"), "mixing-blocks")
-    met = blocks.where("key IS NOT NULL").select("block", "key").join(followed, "key").select(F.col("block").alias("of"), "key", "byte", "n")
-    return blocks.where("key IS NULL").select("block", "words", "classes").groupBy("block").cogroup(met.groupBy("of")), blocks
+def _in_blocks(blocks: DataFrame, followed: DataFrame):
+    """Blocks of pieces, together with the bytes that followed their contexts."""
+    met = blocks.where("key IS NOT NULL AND byte IS NULL").select("block", "key").join(followed, "key").select(F.col("block").alias("of"), "key", "byte", "n")
+    return blocks.where("key IS NULL").select("block", "words", "facts").groupBy("block").cogroup(met.groupBy("of"))
 
 
 # -- documents as numbers of their chunk's words -----------------------------------------------------------------------
@@ -316,31 +434,76 @@ class _Numbers(dict):
         return number
 
 
+def _ends(words: Iterable[bytes]) -> np.ndarray:
+    """The last HEAD bytes of each word, then its first ones, as one number."""
+    empty = BLANK * HEAD
+    ends = np.frombuffer(b"".join([(empty + w)[-HEAD:] + (w + empty)[:HEAD] for w in words]), np.uint8).reshape(-1, 2 * HEAD)
+    return ends.astype(np.int64) @ (1 << 8 * np.arange(2 * HEAD)[::-1])
+
+
+def _links(ids: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct links of texts as numbers in order (place, then ORDERS bytes), and which one each token has at each place."""
+    cat = np.concatenate(ids)
+    before = np.empty(len(cat), np.int64)
+    before[1:] = ends[cat[:-1]]
+    before[np.cumsum([0, *map(len, ids[:-1])])] = _ends([END])[0]
+    around = (before & ~((1 << 8 * HEAD) - 1)) | (ends[cat] & ((1 << 8 * HEAD) - 1))
+    keys, which = [], np.empty((HEAD, len(cat)), np.int32)
+    for place in range(HEAD):
+        link = (around >> 8 * (HEAD - 1 - place)).astype(np.uint32)  # the lowest ORDERS bytes
+        found = np.unique(link)
+        which[place] = np.searchsorted(found, link) + sum(map(len, keys))
+        keys.append(found.astype(np.int64) | (place << 8 * ORDERS))
+    return np.concatenate(keys), which
+
+
 def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, class, text) to rows of documents (ids) and of distinct words (number, counts) of each chunk."""
+    """(doc_id, held_out, class, text) to rows of documents (ids) and of distinct words and links (number, counts) of each chunk.
+
+    Words are numbered as they come, links after them in order. Counts of links are not by class: all are the first's.
+    """
     import pyarrow as pa
     import zstandard
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
     numbers = _Numbers()
-    learnt: list[list[np.ndarray]] = [[] for _ in range(CLASSES)]
+    coded: list[np.ndarray] = []
+    learnt: list[int] = []  # the class of each text, CLASSES if it is held out
     pack = zstandard.ZstdCompressor(level=1).compress
     tokens = 0
     kind = None
+    counted = [(f"c{k}", pa.int64()) for k in range(CLASSES)]
 
     def schema() -> pa.Schema:
         return pa.schema(
             [("chunk", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("ids", pa.binary()),
-             ("word", pa.binary()), ("number", pa.int32()), *((f"c{k}", pa.int64()) for k in range(CLASSES))]
+             ("word", pa.binary()), ("number", pa.int32()), *counted]
         )
 
     none = (None,) * CLASSES
 
-    def words() -> Iterator[pa.RecordBatch]:
-        counts = np.stack([np.bincount(np.concatenate([np.empty(0, np.int32), *ids]), minlength=len(numbers)) for ids in learnt], axis=1)
-        rows = ((chunk, None, None, None, None, w, i, *c) for (w, i), c in zip(numbers.items(), counts.tolist(), strict=True))
-        yield from in_batches(rows, schema())
+    def pieces() -> Iterator[pa.RecordBatch]:
+        words = list(numbers)
+        ends = _ends(words)
+        links, which = _links(coded, ends)
+        cls = np.repeat(learnt, [len(ids) for ids in coded])
+        cat = np.concatenate(coded)
+        counts = np.zeros((len(words) + len(links), CLASSES), np.int64)
+        for k in range(CLASSES):
+            counts[: len(words), k] = np.bincount(cat[cls == k], minlength=len(words))
+        counts[len(words) :, 0] = np.bincount(which[:, cls < CLASSES].reshape(-1), minlength=len(links))
+        named = links.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 7 - ORDERS :]
+        words += [BLANK + row.tobytes() for row in named]
+        size = 100_000
+        for i in range(0, len(words), size):
+            part = words[i : i + size]
+            n = len(part)
+            empty = [pa.nulls(n, f.type) for f in list(schema())[1:5]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, chunk)), *empty, pa.array(part, pa.binary()), pa.array(np.arange(i, i + n, dtype=np.int32)),
+                 *(pa.array(counts[i : i + n, k]) for k in range(CLASSES))], schema=schema()
+            )
 
     for batch in batches:
         kind = batch.column("doc_id").type
@@ -350,76 +513,91 @@ def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = text.translate(_FOLD).split()
             found.append(END)
             ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-            if not held:
-                learnt[cls].append(ids)
+            coded.append(ids)
+            learnt.append(CLASSES if held else cls)
             planes = ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()  # high bytes together, which are mostly 0
             rows.append((chunk, doc, held, len(text), pack(planes), None, None, *none))
             tokens += len(found)
             if tokens >= CHUNK_TOKENS:
                 yield from in_batches(rows, schema())
-                yield from words()
+                yield from pieces()
                 rows, tokens, chunk = [], 0, chunk + 1
-                numbers = _Numbers()
-                learnt = [[] for _ in range(CLASSES)]
+                numbers, coded, learnt = _Numbers(), [], []
         yield from in_batches(rows, schema())
     if kind is not None and numbers:
-        yield from words()
+        yield from pieces()
 
 
 class _Model(NamedTuple):
-    """What the counts say as a whole: tokens and documents by class, all tokens, distinct words, share of unknown words."""
+    """What the counts say as a whole: tokens and documents by class, all tokens, distinct words."""
 
     by_class: np.ndarray
     total: int
     distinct: int
-    escape: float
 
-    def score(self, ids: np.ndarray, known: np.ndarray, told: np.ndarray) -> float:
-        """log10 of the probability of a text; told are natural logarithms by word and class.
+    def scores(self, ids: list[np.ndarray], spelled: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of texts, out of the natural logarithms of their tokens and the words' counts by class.
 
-        The weight of a class is its prior share times the probability it gave to the words so far. Mixed by such
-        weights, the probabilities of the words multiply to the prior-weighted mean of the classes' products, which is
-        what is computed.
+        An expert (a class, and a row of EXPERTS) takes the share of the word in its class and among the text's words so
+        far into the token's probability. The weight of an expert is its prior share times the probability it gave to the
+        text so far. Mixed by such weights, the probabilities of the words multiply to the prior-weighted mean of the
+        experts' products, which is what is computed.
         """
-        k = known[ids]
-        by_class = told[ids].sum(axis=0) + np.log((self.by_class + 1) / (self.by_class + 1).sum())
-        top = by_class.max()
-        words = top + np.log(np.exp(by_class - top).sum())
-        unknown_before = np.cumsum(~k) - ~k
-        gate = (HELD * self.escape + unknown_before) / (HELD + np.arange(len(ids)))
-        return float((words + np.log(np.where(k, 1 - gate, gate)).sum()) / np.log(10))
+        sizes = np.array([len(x) for x in ids])
+        begin, cat = np.cumsum(sizes) - sizes, np.concatenate(ids)
+        text = np.repeat(np.arange(len(ids)), sizes)
+        order = np.lexsort((cat, text))
+        first = np.concatenate([[True], (np.diff(cat[order]) != 0) | (np.diff(text[order]) != 0)])
+        run = np.arange(len(cat)) - np.maximum.accumulate(np.where(first, np.arange(len(cat)), 0))
+        again = np.empty(len(cat))
+        again[order] = run
+        at = np.arange(len(cat)) - np.repeat(begin, sizes)
+        again /= np.maximum(at, 1)
+        prior = (self.by_class + 1) / (self.by_class + 1).sum() / len(EXPERTS)
+        said = []
+        for of_class, of_text in EXPERTS:
+            part = np.where(at > 0, of_text, 0)
+            for k in range(CLASSES) if of_class else [None]:
+                if k is not None and not self.by_class[k]:
+                    continue
+                share = of_class * (counts[:, k] / self.by_class[k])[cat] if k is not None else 0
+                mixed = np.log(np.maximum(1 - of_class - part, 1e-300)) + spelled if of_class or of_text else spelled
+                with np.errstate(divide="ignore"):
+                    mixed = np.logaddexp(mixed, np.log(share + part * again)) if of_class or of_text else mixed
+                said.append(np.add.reduceat(mixed, begin) + np.log(prior[k] if k is not None else 1 / len(EXPERTS)))
+        told = np.stack(said)
+        top = told.max(axis=0)
+        return (top + np.log(np.exp(told - top).sum(axis=0))) / np.log(10)
 
 
 def _scoring(model: _Model) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def score(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def score(docs: pa.Table, pieces: pa.Table) -> pa.Table:
         import pyarrow as pa
         import zstandard
 
-        facts = np.zeros((words.num_rows, CLASSES))
-        facts[words.column("number").to_numpy()] = np.frombuffer(b"".join(words.column("facts").to_pylist()), "<f8").reshape(-1, CLASSES)
-        known = (facts >= 0).all(axis=1)
-        counts = np.where(known[:, None], facts, 0)
-        c = counts.sum(axis=1)
+        order = np.argsort(pieces.column("number").to_numpy())
+        facts = np.frombuffer(b"".join(pieces.column("facts").to_pylist()), "<f4").reshape(-1, CLASSES + 1)[order].astype(np.float64)
+        counts, c = facts[:, :CLASSES], facts[:, :CLASSES].sum(axis=1)
         base = np.log10((c + 1) / (model.total + (model.distinct + 1)))
-        pooled = c / max(model.total, 1)
-        share = np.log(np.maximum((1 - POOLED) * counts / np.maximum(model.by_class, 1) + POOLED * pooled[:, None], 1e-300))
-        told = np.where(known[:, None], share, facts * np.log(10))
         unpack = zstandard.ZstdDecompressor().decompress
-        out = []
-        for packed in docs.column("ids"):
-            ids = np.frombuffer(unpack(packed.as_py()), np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1)
-            out.append((len(ids), int(known[ids].sum()), float(base[ids].sum()), model.score(ids, known, told)))
-        n, known_n, base_sum, log_sum = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        score_ = np.asarray(log_sum, np.float64)
+        ids = [np.frombuffer(unpack(x.as_py()), np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1) for x in docs.column("ids")]
+        score_, sums = np.empty(0), np.empty((2, 0))
+        if ids:
+            cat = np.concatenate(ids)
+            begin = np.cumsum([0, *(len(x) for x in ids[:-1])])
+            ends = _ends(pieces.column("word").take(order[: cat.max() + 1]).to_pylist())
+            links = _links(ids, ends)[1] + (cat.max() + 1)  # as they were numbered
+            score_ = model.scores(ids, facts[cat, CLASSES] + facts[links, CLASSES].sum(axis=0), counts)
+            sums = np.stack([np.add.reduceat(x, begin) for x in ((c > 0)[cat].astype(np.float64), base[cat])])
         size = docs.column("n_bytes").to_numpy()
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
                 "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(known_n, pa.int64()),
-                "train_tokens": pa.array([model.total] * len(out), pa.int64()),
-                "base_score": pa.array(base_sum, pa.float64()),
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "n_known": pa.array(sums[0].astype(np.int64)),
+                "train_tokens": pa.array([model.total] * len(ids), pa.int64()),
+                "base_score": pa.array(sums[1]),
                 "score": pa.array(score_, pa.float64()),
                 "bits_per_byte": pa.array(np.where(size > 0, -score_ * np.log2(10) / np.maximum(size, 1), np.nan), pa.float64(), from_pandas=True),
             }
@@ -453,41 +631,37 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = f"chunk bigint, doc_id {kind}, held_out boolean, n_bytes bigint, ids binary, word binary, number int, {', '.join(f'{c} bigint' for c in by_class)}"
     coded = settle(slim.select("doc_id", held.alias("held_out"), number.alias("class"), "text").mapInArrow(_coding, rows), "mixing-coded")
     local = coded.where("word IS NOT NULL")
-    words = settle(local.groupBy("word").agg(*[F.sum(c).alias(c) for c in by_class]), "mixing-words")
+    pieces = settle(local.groupBy("word").agg(*[F.sum(c).alias(c) for c in by_class]), "mixing-pieces")
     c = sum((F.col(x) for x in by_class[1:]), F.col(by_class[0]))
-    stats = words.agg(
+    is_link = F.coalesce(F.substring("word", 1, 1) == F.lit(BLANK), F.lit(False))
+    stats = pieces.where(~is_link).agg(
         *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in by_class],
         F.count(F.when(c > 0, 1)).alias("distinct"),
-        F.count(F.when(c == 1, 1)).alias("once"),
     ).first()
     total = sum(stats[x] for x in by_class)
-    most = F.array_position(F.array(*by_class), F.greatest(*by_class)).cast("int") - 1
-    learnt = words.where((c > 0) & (F.octet_length("word") > 0)).select("word", most.alias("class"))
 
-    followed = settle(learnt.mapInArrow(_following, "key bigint, byte smallint, n bigint").groupBy("key", "byte").agg(F.sum("n").alias("n")), "mixing-contexts")
-    groups, blocks = _in_blocks(learnt, followed, all_classes=False)
+    learnt = pieces.where(c > 0).mapInArrow(_following, "key bigint, byte smallint, n bigint")
+    in_order = pieces.repartitionByRange("word").sortWithinPartitions("word")
+    blocks = settle(in_order.mapInArrow(_blocking, "block bigint, words array<binary>, facts array<binary>, key bigint, byte smallint, n bigint"), "mixing-blocks")
+    learnt = learnt.unionByName(blocks.where("byte IS NOT NULL AND n > 0").select("key", "byte", "n"))
+    followed = settle(learnt.groupBy("key", "byte").agg(F.sum("n").alias("n")), "mixing-contexts")
     # Weights and rates are tables of fixed size: GATES weight sets and rate rows.
-    sums = groups.applyInArrow(_training, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    forget(spark, blocks)
+    sums = _in_blocks(blocks, followed).applyInArrow(_training, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     mixer = Mixer.fresh()
     if sums.num_rows:
-        values = np.zeros(1 + GATES * (ORDERS + 2 * STEPS))
+        values = np.zeros(1 + GATES * (INPUTS + 2 * STEPS))
         values[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
         if values[0]:
-            n_weights = GATES * ORDERS
-            weights = (values[1 : 1 + n_weights] / values[0]).reshape(GATES, ORDERS).astype(np.float32)
+            n_weights = GATES * INPUTS
+            weights = (values[1 : 1 + n_weights] / values[0]).reshape(GATES, INPUTS).astype(np.float32)
             mixer = Mixer(weights, *np.split(values[1 + n_weights :], 2))
     mixers = spark.sparkContext.broadcast(mixer)
 
-    unknown = words.where(c == 0).select("word", F.lit(0).alias("class"))
-    groups, blocks = _in_blocks(unknown, followed, all_classes=True)
-    spelled = groups.applyInArrow(_spelling(mixers), "word binary, facts binary")
-    facts = settle(words.where(c > 0).mapInArrow(_counted, "word binary, facts binary").unionByName(spelled), "mixing-facts")
-    forget(spark, blocks, followed)
-    back = local.select("chunk", "word", "number").join(facts, "word").select(F.col("chunk").alias("of"), "number", "facts")
+    facts = settle(_in_blocks(blocks, followed).applyInArrow(_spelling(mixers), "word binary, facts binary"), "mixing-facts")
+    forget(spark, blocks, followed, pieces)
+    back = local.select("chunk", "word", "number").join(facts, "word").select(F.col("chunk").alias("of"), "number", "word", "facts")
     texts = coded.where("word IS NULL").select("chunk", "doc_id", "held_out", "n_bytes", "ids")
-    escape = min(max(stats["once"] / total, 1e-6), 1 - 1e-6) if total else 1 - 1e-6
-    model = _Model(np.array([stats[x] for x in by_class], np.float64), int(total), int(stats["distinct"]), escape)
+    model = _Model(np.array([stats[x] for x in by_class], np.float64), int(total), int(stats["distinct"]))
     out = (
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
@@ -497,7 +671,7 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .applyInArrow(_scoring(model), out)
     )
     done = settle(scored, "mixing-scores")
-    forget(spark, coded, words, facts)
+    forget(spark, coded, facts)
     return done
 
 

@@ -94,3 +94,114 @@ def test_counts_of_bits_come_from_the_bytes_that_followed():
     key, byte, n = (np.array(x) for x in zip(*((k, b, n) for (k, b), n in sorted(pairs.items())), strict=True))
     slots = mixing.Slots.of(bits, key, byte, n)
     assert slots.zeros.tolist() == zeros.tolist() and slots.ones.tolist() == ones.tolist()
+
+
+def plain_scores(texts, held):
+    """The bits of every token, one after the other, with counts in dictionaries; weights and rates are given."""
+    zeros, ones = Counter(), Counter()
+
+    def told(words):
+        before = b"   "
+        for w in words:
+            spelled = b"   "[len(before) :] + before[-3:] + b" " + w + b" "
+            for i in range(4, len(spelled)):
+                byte, far = spelled[i], spelled[4:i]
+                contexts = [("word", far), *((k, spelled[i - k : i]) for k in range(1, mixing.ORDERS + 1))]
+                for d in range(8):
+                    yield [(c, (1 << d) | (byte >> (8 - d))) for c in contexts], (byte >> (7 - d)) & 1, d
+            before = b"   " + w
+
+    for i, words in texts.items():
+        if not held[i]:
+            for codes, bit, _ in told(words):
+                for c in codes:
+                    (ones if bit else zeros)[c] += 1
+
+    def score(words, mixer):
+        inputs, gates, bits = [], [], []
+        for codes, bit, d in told(words):
+            n = [(zeros[c], ones[c]) for c in codes]
+            longest = sum(a + b > 0 for a, b in n[1:])
+            level = sum(sum(n[0]) > x for x in mixing.SEEN)
+            inputs.append([np.log((b + mixing.PRIOR) / (a + mixing.PRIOR)) for a, b in n])
+            gates.append((d * (mixing.ORDERS + 1) + longest) * (len(mixing.SEEN) + 1) + level)
+            bits.append(bit)
+        token = np.repeat(np.arange(len(words)), [8 * (len(w) + 1) for w in words])
+        log2 = mixer.log2_of(np.array(inputs, np.float32).T, np.array(gates), np.array(bits, np.float32))
+        return np.bincount(token, weights=log2) * np.log(2)
+
+    return score
+
+
+def test_every_bit_of_every_token_is_predicted(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = ["the", "then", "thing", "a", "an", "été", "x\x00y", "abcdefgh", "abcdefgi", "of", "\x01\x02"]
+    texts = {i: " ".join(rng.choice(some, 30)) + f" new{i}" for i in range(40)} | {40: "", 41: None, 42: "The THE"}
+    words = {i: brute.folded(t).encode().split() + [b""] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    mixers, fit = [], mixing._spelling
+    monkeypatch.setattr(mixing, "_spelling", lambda mixer: mixers.append(mixer.value) or fit(mixer))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    found = mixing.mixing_scores(docs).collect()
+    score = plain_scores(words, held)
+    assert len(found) == len(texts) and any(held.values())
+    number = {w: i for i, w in enumerate(sorted({w for t in words.values() for w in t}))}
+    counts = np.zeros((len(number), mixing.CLASSES))
+    for i, t in words.items():
+        np.add.at(counts[:, -1], [number[w] for w in t if not held[i]], 1)
+    model = mixing._Model(counts.sum(axis=0), int(counts.sum()), len(number))
+    for r in found:
+        text = words[r.doc_id]
+        (wanted,) = model.scores([np.array([number[w] for w in text])], score(text, mixers[0]), counts)
+        assert r.score == pytest.approx(wanted, rel=1e-4)
+
+
+def test_experts_are_mixed_by_what_they_told():
+    counts = np.zeros((3, mixing.CLASSES))
+    counts[:, 0], counts[:, 4] = [6, 2, 0], [1, 0, 9]
+    by_class = counts.sum(axis=0)
+    ids, chances = [np.array([0, 1, 0, 2]), np.array([2])], np.array([0.5, 0.2, 0.1, 0.3, 0.25])
+    found = mixing._Model(by_class, 18, 3).scores(ids, np.log(chances), counts)
+    prior = (by_class + 1) / (by_class + 1).sum()
+    for text, p, score in zip(ids, (chances[:4], chances[4:]), found, strict=True):
+        wanted = 0.0
+        for of_class, of_text in mixing.EXPERTS:
+            for k in range(mixing.CLASSES):
+                told = prior[k] / len(mixing.EXPERTS)
+                if not by_class[k]:
+                    told *= of_class == 0
+                for t, w in enumerate(text):
+                    again = (text[:t] == w).sum() / max(t, 1)
+                    b = of_text if t else 0
+                    told *= (1 - of_class - b) * p[t] + of_class * counts[w, k] / max(by_class[k], 1) + b * again
+                wanted += told
+        assert score == pytest.approx(np.log10(wanted))
+
+
+def test_words_so_far_are_counted_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 40)
+    words = [f"prefix{i % 7}{'ab' * (i % 5)}{i}" for i in range(200)]
+    rows = spark.createDataFrame([(bytearray(w.encode()), 1 + i % 3, 0, 0, 0, 0) for i, w in enumerate(sorted(words))], "word binary, c0 bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint")
+    from foliant.catalog.base import ship
+
+    ship(spark)
+    blocks = list(in_partition(rows.coalesce(1).toArrow().to_batches(), monkeypatch))
+    told = Counter()
+    for b in blocks:
+        for r in b.to_pylist():
+            if r["byte"] is not None:
+                told[r["key"], r["byte"]] += r["n"]
+    facts = [np.array([1 + i % 3, 0, 0, 0, 0], "<f8").tobytes() for i in range(200)]
+    whole = mixing._Pieces.of([w.encode() for w in sorted(words)], facts)
+    wanted = {(int(k), int(b)): int(n) for k, b, n in zip(*whole.followed(so_far=True), strict=True)}
+    assert told and all(wanted[x] == n for x, n in told.items())
+    assert len({r["block"] for b in blocks for r in b.to_pylist()}) > 20
+
+
+def in_partition(batches, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    return mixing._blocking(iter(batches))
