@@ -17,7 +17,8 @@ DATA, END = "data: ", "\n\n"
 DONE, ERROR = "[DONE]", "[ERROR]"
 
 SEGMENT = 10_000
-CLOSED = [-1]  # numbers kept of a stream that has been given out
+CLOSED = -1  # part of a stream that has been given out
+BUCKETS = 4096  # keys that the streams share
 
 
 def frame_token_stream(tokens: DataFrame, chunk: str, error: str | None = None) -> DataFrame:
@@ -100,6 +101,71 @@ def assemble_token_stream(
     )
 
 
+def _frames_by_bucket(
+    frames: DataFrame, stream: str, seq: str, frame: str, ts: str, timeout: str, advance, lost, fields: str, again: bool
+) -> DataFrame:
+    """Frames to what ``advance`` and ``lost`` give out, with the state of many streams kept together.
+
+    Handing rows and state to Python costs some milliseconds for each key, so streams share BUCKETS keys; each has its own part
+    (CLOSED when it is closed), frames and deadline there. ``again``: frames that come after the end put off its deadline.
+    """
+    delay_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    kind = frames.schema[stream].dataType.simpleString()
+    rows = frames.select(
+        F.pmod(F.xxhash64(stream), F.lit(BUCKETS)).alias("_bucket"), F.col(stream).cast("string").alias("_stream"),
+        F.col(seq).cast("bigint").alias("_seq"), frame_payload(F.col(frame)).alias("_p"), F.col(ts).alias("_ts"),
+    ).withWatermark("_ts", timeout)
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept: dict[str | None, list] = {}
+        if state.exists:
+            streams, parts, deadlines, sizes, seqs, payloads = state.get
+            pairs = iter(zip(seqs, payloads))
+            for s, part, deadline, n in zip(streams, parts, deadlines, sizes):
+                kept[s] = [part, deadline, dict(next(pairs) for _ in range(n))]
+        latest: dict[str | None, int] = {}
+        if not state.hasTimedOut:
+            for pdf in batches:
+                sent = pdf["_ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+                for s, q, p, ms in zip(pdf["_stream"].tolist(), pdf["_seq"].tolist(), pdf["_p"].tolist(), sent):
+                    latest[s] = max(latest.get(s, 0), ms)
+                    part, _, held = kept.setdefault(s, [0, 0, {}])
+                    if part != CLOSED:
+                        held[int(q)] = p
+        now, out = state.getCurrentWatermarkMs(), []
+        for s, ms in latest.items():
+            part, deadline, held = kept[s]
+            if part == CLOSED and not again:
+                continue
+            if part != CLOSED:
+                part, held, found = advance(part, held)
+                out += [(s, *row) for row in found]
+            kept[s] = [part, max(ms, now) + delay_ms, held]
+        for s in [s for s, (_, deadline, _) in kept.items() if s not in latest and deadline < now]:
+            part, _, held = kept.pop(s)
+            if part != CLOSED:
+                out += [(s, *row) for row in lost(part, held)]
+        if kept:
+            told = list(zip(*kept.values()))
+            pairs = [pair for held in told[2] for pair in held.items()]
+            state.update((list(kept), list(told[0]), list(told[1]), [len(h) for h in told[2]], [q for q, _ in pairs], [p for _, p in pairs]))
+            state.setTimeoutTimestamp(max(min(told[1]), now))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["_stream", *names])
+
+    told = rows.groupBy("_bucket").applyInPandasWithState(
+        step,
+        f"_stream string, {fields}",
+        "streams array<string>, parts array<bigint>, deadlines array<bigint>, sizes array<bigint>, seqs array<bigint>, payloads array<string>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return told.select(F.col("_stream").cast(kind).alias(stream), *names)
+
+
 def assemble_stream(
     frames: DataFrame, stream: str, seq: str, frame: str, ts: str, timeout: str = "10 minutes"
 ) -> DataFrame:
@@ -108,10 +174,6 @@ def assemble_stream(
     A stream without news until the watermark passes its timeout is given out as lost. Frames after the terminal one
     are dropped; that a stream is closed is remembered until the timeout.
     """
-    delay_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    rows = frames.select(
-        stream, F.col(seq).cast("bigint").alias("_seq"), frame_payload(F.col(frame)).alias("_p"), ts
-    ).withWatermark(ts, timeout)
 
     def joined(chunks: dict[int, str]) -> str:
         """Text up to the first terminal frame, of which only an error's text is shown."""
@@ -119,39 +181,14 @@ def assemble_stream(
         text = "".join(p for s, p in sorted(chunks.items()) if end is None or s < end).replace("\\n", "\n")
         return text if end is None or chunks[end] == DONE else text + "\n" + chunks[end]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, payloads = (list(x) for x in state.get) if state.exists else ([], [])
-        closed = seqs == CLOSED
-        if state.hasTimedOut:
-            state.remove()
-            if not closed:
-                text = joined(dict(zip(seqs, payloads)))
-                yield pd.DataFrame({stream: [key[0]], "text": [text], "status": ["lost"]})
-            return
-        latest = 0
-        if closed:
-            return
-        for pdf in batches:
-            seqs += [int(s) for s in pdf["_seq"]]
-            payloads += list(pdf["_p"])
-            latest = max(latest, int(pdf[ts].max().timestamp() * 1000))
-        chunks = dict(zip(seqs, payloads))
+    def advance(part: int, chunks: dict[int, str]) -> tuple[int, dict[int, str], list[tuple]]:
         ends = [s for s, p in chunks.items() if p == DONE or p.startswith(ERROR)]
-        if ends and all(s in chunks for s in range(min(ends))):
-            end = min(ends)
-            status = "done" if chunks[end] == DONE else "error"
-            yield pd.DataFrame({stream: [key[0]], "text": [joined(chunks)], "status": [status]})
-            seqs, payloads = CLOSED, [""]
-        state.update((seqs, payloads))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + delay_ms)
+        if not ends or not all(s in chunks for s in range(min(ends))):
+            return part, chunks, []
+        return CLOSED, {}, [(joined(chunks), "done" if chunks[min(ends)] == DONE else "error")]
 
-    kind = frames.schema[stream].dataType.simpleString()
-    return rows.groupBy(stream).applyInPandasWithState(
-        step,
-        f"{stream} {kind}, text string, status string",
-        "seqs array<bigint>, payloads array<string>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    return _frames_by_bucket(
+        frames, stream, seq, frame, ts, timeout, advance, lambda part, chunks: [(joined(chunks), "lost")], "text string, status string", False
     )
 
 
@@ -165,58 +202,32 @@ def assemble_stream_parts(
     their turn. A stream without news until the watermark passes its timeout gives out the rest as lost; what it gave out before
     stays open. Frames that come again, or after the end, are dropped.
     """
-    delay_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    rows = frames.select(
-        stream, F.col(seq).cast("bigint").alias("_seq"), frame_payload(F.col(frame)).alias("_p"), ts
-    ).withWatermark(ts, timeout)
-    ended = -1  # next part of a stream that is closed
 
     def text(payloads: list[str]) -> str:
         return "".join("" if p == DONE else "\n" + p if p.startswith(ERROR) else p.replace("\\n", "\n") for p in payloads)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part, seqs, payloads = state.get if state.exists else (0, [], [])
-        held = dict(zip(seqs, payloads))
+    def advance(part: int, held: dict[int, str]) -> tuple[int, dict[int, str], list[tuple]]:
         out: list[tuple[int, str, str]] = []
-        if state.hasTimedOut:
-            state.remove()
-            for p in sorted({s // segment for s in held}):
-                out.append((p, text([held[s] for s in sorted(held) if s // segment == p]), "lost"))
-        else:
-            latest = 0
-            for pdf in batches:
-                latest = max(latest, int(pdf[ts].max().timestamp() * 1000))
-                if part != ended:
-                    held.update((int(s), p) for s, p in zip(pdf["_seq"], pdf["_p"]) if s >= part * segment)
-            while part != ended:
-                here: list[str] = []
-                for s in range(part * segment, (part + 1) * segment):
-                    if s not in held:
-                        break
-                    here.append(held[s])
-                    if here[-1] == DONE or here[-1].startswith(ERROR):
-                        break
-                last = here[-1] if here else ""
-                if last == DONE or last.startswith(ERROR):
-                    out.append((part, text(here), "done" if last == DONE else "error"))
-                    part, held = ended, {}
-                elif len(here) == segment:
-                    out.append((part, text(here), "open"))
-                    held = {s: p for s, p in held.items() if s >= (part + 1) * segment}
-                    part += 1
-                else:
+        while True:
+            here: list[str] = []
+            for s in range(part * segment, (part + 1) * segment):
+                if s not in held:
                     break
-            state.update((part, list(held), list(held.values())))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + delay_ms)
-        if out:
-            parts, texts, statuses = zip(*out)
-            yield pd.DataFrame({stream: [key[0]] * len(out), "part": parts, "text": texts, "status": statuses})
-
-    kind = frames.schema[stream].dataType.simpleString()
-    return rows.groupBy(stream).applyInPandasWithState(
-        step,
-        f"{stream} {kind}, part bigint, text string, status string",
-        "part bigint, seqs array<bigint>, payloads array<string>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+                here.append(held[s])
+                if here[-1] == DONE or here[-1].startswith(ERROR):
+                    break
+            last = here[-1] if here else ""
+            if last == DONE or last.startswith(ERROR):
+                out.append((part, text(here), "done" if last == DONE else "error"))
+                return CLOSED, {}, out
+            if len(here) < segment:
+                return part, {s: p for s, p in held.items() if s >= part * segment}, out
+            out.append((part, text(here), "open"))
+            part += 1
+
+    def lost(part: int, held: dict[int, str]) -> list[tuple]:
+        return [(p, text([held[s] for s in sorted(held) if s // segment == p]), "lost") for p in sorted({s // segment for s in held})]
+
+    return _frames_by_bucket(
+        frames, stream, seq, frame, ts, timeout, advance, lost, "part bigint, text string, status string", True
     )

@@ -267,3 +267,17 @@ def test_a_long_stream_keeps_little_state(spark, tmp_path):
     assert "".join(r["text"] for r in sorted(got, key=lambda r: r["part"])).split() == [x for i in range(n - 1) for x in ("word", str(i))]
     keys, size = state_left()
     assert keys == 1 and size < 400_000  # the frames are 1.1 MB
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_many_streams_share_few_keys(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(tokens, "BUCKETS", 3)
+    big = 2**53 + 1
+    rows = [(None if n == 5 else big + n, i, "[DONE]" if i == 2 else f"{n}-{i} ", n % 4 * 10 + i) for n in range(40) for i in range(3) if n % 7 or i < 2]
+    rows += [(-1, i, "[DONE]", 10_000 * (i + 1)) for i in range(2)]  # of other buckets or not, they move the watermark on
+    df = spark.createDataFrame([(s, i, f"data: {p}\n\n", at, float(at)) for s, i, p, at in rows], "stream bigint, seq int, frame string, id int, s double")
+    df = df.withColumn("stream", F.col("stream").cast(kind)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")))
+    wanted = [(None if n == 5 else big + n, f"{n}-0 {n}-1 ", "done" if n % 7 else "lost") for n in range(40)] + [(-1, "", "done")]
+    got = streamed(spark, tmp_path, df, lambda s: tokens.assemble_stream(s, "stream", "seq", "frame", "ts"), parts=6)
+    assert sorted((str(r["stream"]), r["text"], r["status"]) for r in got) == sorted((str(s), t, e) for s, t, e in wanted)
+    assert state_left()[0] <= 3
