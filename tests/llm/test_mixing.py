@@ -205,3 +205,128 @@ def in_partition(batches, monkeypatch):
 
     monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
     return mixing._blocking(iter(batches))
+
+
+def block_of(names, facts):
+    """A block's rows as they are given to training, with the bytes that followed its contexts in these very pieces."""
+    import pyarrow as pa
+
+    whole = mixing._Pieces.of(names, facts)
+    key, byte, n = (np.concatenate(x) for x in zip(whole.followed(so_far=False), whole.followed(so_far=True, among=whole.shared()), strict=True))
+    words = pa.table({"words": [names[::2], names[1::2]], "facts": [facts[::2], facts[1::2]]})
+    return words, pa.table({"key": key, "byte": byte.astype(np.int16), "n": n})
+
+
+def test_a_block_learns_one_row_of_sums():
+    names = sorted({f"some{i % 9}{'xy' * (i % 4)}{i % 5}".encode() for i in range(200)})
+    facts = [np.array([i % 3, 1, 0, 0, 0], "<f8").tobytes() for i in range(len(names))]
+    told = mixing._training(*block_of(names, facts))
+    assert told.num_rows == 1
+    (total,) = mixing._summed(iter(told.to_batches() * 3))
+    assert total.num_rows == 1 and list(mixing._summed(iter([]))) == []
+    one, three = (np.frombuffer(x.column("sums")[0].as_py(), "<f8") for x in (told, total))
+    assert one[0] == sum(np.frombuffer(x, "<f8").sum() for x in facts)
+    assert three == pytest.approx(3 * one)
+
+
+def test_bytes_in_equal_contexts_are_predicted_once():
+    names = [f"beginning{'ab' * (i % 3)}{i}".encode() for i in range(50)] + [b" \x01xya  ", b" \x01zya  "]
+    facts = [np.array([1, 0, 0, 0, 0], "<f8").tobytes()] * len(names)
+    pieces = mixing._Pieces.of(names, facts)
+    bits, which, word = pieces.bits()
+    plain = mixing.bits_of(pieces.words, pieces.before, pieces.places)
+    assert len(bits.bit) < len(plain.bit) / 2
+    assert np.repeat(word, 8).tolist() == plain.word.tolist()
+    assert bits.keys.tolist() == plain.keys.tolist() and bits.codes.tolist() == plain.codes.tolist()
+    for one, all_ in ((bits.bit, plain.bit), (bits.place, plain.place), *zip(bits.slots, plain.slots, strict=True)):
+        assert one.reshape(-1, 8)[which].reshape(-1).tolist() == all_.tolist()
+
+
+def test_texts_become_numbers_of_their_chunks_words(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import zstandard
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(mixing, "SLICE_BYTES", 100)
+    monkeypatch.setattr(mixing, "CHUNK_TOKENS", 60)
+    rng = np.random.default_rng(9)
+    some = ["a", "B", "é", "of", "\t", "\x0b\x0c", "\x1c", "\x85", "　", "\r\n", " ", "long" * 40, "x\x00y"]
+    texts = [None, "", " ", *(" ".join(rng.choice(some, rng.integers(0, 30))) + str(rng.choice(some)) for _ in range(60)), "a b " * 100]
+    table = pa.table({"doc_id": range(len(texts)), "held_out": [i % 4 == 0 for i in range(len(texts))], "class": [i % 5 for i in range(len(texts))], "text": texts})
+    rows = [r for b in mixing._coding(iter(table.slice(1).to_batches(max_chunksize=17) + table.slice(0, 1).to_batches())) for r in b.to_pylist()]
+    chunks = {}
+    for r in rows:
+        if r["word"] is not None:
+            chunks.setdefault(r["chunk"], {})[r["number"]] = r
+    assert len(chunks) > 5 and min(chunks) == 3 << 32
+    told, seen = {}, Counter()
+    for r in rows:
+        if r["word"] is None:
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["ids"]), np.uint8)
+            told[r["doc_id"]] = [chunks[r["chunk"]][i]["word"] for i in planes.reshape(4, -1).T.copy().view("<i4").reshape(-1)]
+            assert r["n_bytes"] == len((texts[r["doc_id"]] or "").encode())
+            if not r["held_out"]:
+                seen.update((r["chunk"], w, r["doc_id"] % 5) for w in told[r["doc_id"]])
+    assert told == {i: brute.folded(t).encode().split() + [b""] for i, t in enumerate(texts)}
+    for chunk, pieces in chunks.items():
+        for r in pieces.values():
+            if not r["word"].startswith(b" "):
+                assert [r[f"c{k}"] for k in range(5)] == [seen[chunk, r["word"], k] for k in range(5)]
+
+
+def test_facts_come_back_packed_by_chunk(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mixing, "PACKED_ROWS", 7)
+    rng = np.random.default_rng(4)
+    words = [b"", b"a", b"ab", b"abc", b"\xc3\xa9t\xc3\xa9", b" \x00   a", b"abcdefgh"]
+    rows = [(c, i, w, rng.random(6).astype("<f4")) for c in range(3) for i, w in enumerate(words)]
+    rng.shuffle(rows)
+    table = pa.table([pa.array(x, t) for x, t in zip(zip(*((c, i, w, f.tobytes()) for c, i, w, f in rows), strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["of", "number", "word", "facts"])
+    packed = pa.Table.from_batches(mixing._packing(iter(table.to_batches(max_chunksize=4)))).to_pylist()
+    assert 3 < len(packed) < len(rows)
+    for c in range(3):
+        ends, facts = mixing._unpacked([r["pieces"] for r in packed if r["of"] == c])
+        assert facts.T.tolist() == [f.tolist() for _, _, _, f in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        assert ends.tolist() == [int.from_bytes((b"   " + w)[-3:] + (w + b"   ")[:3], "big") for w in words]
+
+
+def test_links_are_numbered_alike_with_and_without_a_table(monkeypatch):
+    import pyarrow as pa
+
+    words = [b"", b"a", b"the", b"\xff\xfe\xfd\xfc", b"thing", b"x\x00"]
+    texts = [[1, 2, 4, 2, 0], [0], [3, 5, 3, 0], [4, 4, 0]]
+    cat = np.concatenate(texts).astype(np.int32)
+    ends = mixing._ends(pa.array(words, pa.large_binary()))
+    wanted = []
+    for text in texts:
+        before = b"   "
+        for w in (words[i] for i in text):
+            wanted.append([bytes([p]) + before[p:] + (w + b"   ")[: p + 1] for p in range(3)])
+            before = (b"   " + w)[-3:]
+    keys, which = mixing._links(cat, ends)
+    assert [[int(k).to_bytes(5, "big") for k in keys[of]] for of in which.T] == wanted
+    assert keys.tolist() == sorted({int.from_bytes(x, "big") for row in wanted for x in row})
+    monkeypatch.setattr(mixing, "DENSE", 1)
+    other = mixing._links(cat, ends)
+    assert (other[0] == keys).all() and (other[1] == which).all()
+
+
+def test_earlier_tokens_and_tiny_chances():
+    rng = np.random.default_rng(7)
+    cat, text = rng.integers(0, 9, 400).astype(np.int32), np.sort(rng.integers(0, 5, 400))
+    begin = np.searchsorted(text, np.arange(5))
+    at = np.arange(400) - begin[text]
+    wanted = [sum(cat[begin[t] : i] == cat[i]) for i, t in enumerate(text)]
+    assert mixing._before(cat, text, at, begin).tolist() == wanted
+    assert mixing._before(cat, text << 60, at, begin).tolist() == wanted  # numbers too large to be put into one
+    counts = np.zeros((2, mixing.CLASSES))
+    counts[0, 0] = 5
+    (score,) = mixing._Model(counts.sum(axis=0), 5, 1).scores([np.array([1])], np.array([-3000.0]), counts)
+    # The word is new: each expert takes the rest of what it counts its class for.
+    shares = (counts.sum(axis=0) + 1) / (counts.sum(axis=0) + 1).sum()
+    mean = np.mean([1.0 if not a else shares[0] * (1 - a) for a, _ in mixing.EXPERTS])
+    assert score == pytest.approx((-3000 + np.log(mean)) / np.log(10))
