@@ -412,7 +412,10 @@ class _Block(NamedTuple):
         whole = _Pieces.of(*([x for part in column for x in part] for column in zip(*told, strict=True)))
         own = whole.followed(so_far=True)
         unshared = ~np.isin(own[0], whole.shared())
-        key, byte, n = (np.concatenate([followed.column(c).to_numpy(), x[unshared]]) for c, x in zip(("key", "byte", "n"), own, strict=True))
+        lists = followed.column("told").combine_chunks()
+        values = lists.flatten().to_numpy()
+        met = np.repeat(followed.column("key").to_numpy(), lists.value_lengths().to_numpy()), values & 255, values >> 8
+        key, byte, n = (np.concatenate([x, y[unshared]]) for x, y in zip(met, own, strict=True))
         keys, number = _distinct(key)
         order = np.argsort(number * 256 + byte)
         begin = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(keys)))])
@@ -486,7 +489,7 @@ def _spelling(mixer) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _in_blocks(blocks: DataFrame, followed: DataFrame):
     """Blocks of pieces, together with the bytes that followed their contexts."""
-    met = blocks.where("key IS NOT NULL AND byte IS NULL").select("block", "key").join(followed, "key").select(F.col("block").alias("of"), "key", "byte", "n")
+    met = blocks.where("key IS NOT NULL AND byte IS NULL").select("block", "key").join(followed, "key").select(F.col("block").alias("of"), "key", "told")
     return blocks.where("key IS NULL").select("block", "words", "facts").groupBy("block").cogroup(met.groupBy("of"))
 
 
@@ -846,7 +849,9 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     in_order = pieces.repartitionByRange("word").sortWithinPartitions("word")
     blocks = settle(in_order.mapInArrow(lean(partial(_blocking, asked=True)), "block bigint, words array<binary>, facts array<binary>, key bigint, byte smallint, n bigint"), "mixing-blocks")
-    followed = settle(blocks.where("byte IS NOT NULL AND n > 0").groupBy("key", "byte").agg(F.sum("n").alias("n")), "mixing-contexts")
+    followed = blocks.where("byte IS NOT NULL AND n > 0").groupBy("key", "byte").agg(F.sum("n").alias("n"))
+    # A row for each context, of at most 256 bytes: a block that asks for a context gets one row.
+    followed = settle(followed.groupBy("key").agg(F.collect_list(F.col("n") * 256 + F.col("byte")).alias("told")), "mixing-contexts")
     # Weights and rates are tables of fixed size: GATES weight sets and rate rows.
     sums = _in_blocks(blocks, followed).applyInArrow(_training, "sums binary").repartition(SUM_TASKS).mapInArrow(_summed, "sums binary").toArrow()
     mixer = Mixer.fresh()

@@ -214,7 +214,10 @@ def block_of(names, facts):
     whole = mixing._Pieces.of(names, facts)
     key, byte, n = (np.concatenate(x) for x in zip(whole.followed(so_far=False), whole.followed(so_far=True, among=whole.shared()), strict=True))
     words = pa.table({"words": [names[::2], names[1::2]], "facts": [facts[::2], facts[1::2]]})
-    return words, pa.table({"key": key, "byte": byte.astype(np.int16), "n": n})
+    told = {}
+    for k, value in zip(key.tolist(), (n * 256 + byte).tolist(), strict=True):
+        told.setdefault(k, []).append(value)
+    return words, pa.table({"key": pa.array(told, pa.int64()), "told": pa.array(told.values(), pa.list_(pa.int64()))})
 
 
 def test_a_block_learns_one_row_of_sums():
