@@ -191,6 +191,25 @@ def test_large_batches_search_equal_queries_once(spark, monkeypatch):
     assert sizes == [4]
 
 
+def test_hits_of_alike_queries_are_dealt_by_their_copies(spark, monkeypatch):
+    few = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_num"), F.lit("a b").alias("title"))
+    monkeypatch.setattr(search, "UNITS_INLINE", 3)
+    monkeypatch.setattr(search, "ROWS_FOR_ALIKE", 100)
+    found = match(Index.of(few, ("title",)), asked(spark, [({"phrase": ["a", "b"]}, None)] * 200), digits=2)
+    assert found.rdd.getNumPartitions() == 40 * 200 / 100
+    assert found.distinct().count() == found.count() == 40 * 200
+
+
+def test_a_prefix_is_looked_for_once_and_its_copies_are_not_shuffled(spark, index):
+    batch = [({"prefix": "w1"}, None)] * 5 + [({"prefix": "w2", "must": ["w0"]}, None), ({"prefixes": ["w1", "w2"], "columns": ["title"]}, None)]
+    hits, members, n = search._prefix_hits(index, search.Units.of(asked(spark, batch)).within(None))
+    assert hits.select("_code").distinct().count() == members.select("_code").distinct().count() == 4
+    assert hits.groupBy("_code", *index_tables.PAGE).count().where("count > 1").isEmpty()
+    assert members.count() == 8 and members.join(hits, "_code").count() == n > hits.count()
+    plan = match(index, asked(spark, batch))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan.split("hashpartitioning(doc_id")[0]
+
+
 def test_required_words_are_looked_for_on_the_rarest_ones_pages(spark, index, monkeypatch):
     words = [["w0", "w1", "w30"], ["w0", "w0", "w39", "w2"], ["w0", "nowhere", "w1"], ["w0", "w1"]]
     batch = [{"must": w, "should": ["w3", "w4"], "must_not": ["w5"]} for w in words] + [{"must": w} for w in words] + [{"should": ["w0", "w1"]}]
