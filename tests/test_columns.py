@@ -271,3 +271,31 @@ def test_postings_come_in_the_order_of_their_files(spark, monkeypatch):
     order = [(r[0], r[2] if r[2] is not None else -1) for r in rows(index_tables.build_postings(toks))]
     assert order == sorted(order)
     assert rows(index_tables.build_pairs(toks, [])) == []
+
+
+def test_postings_travel_packed_by_file(spark, rows):
+    toks = index_tables.tokenize_columns(pages(spark, [*rows, (None, "w0 w1", None)]), list(COLUMNS))
+    layout = index_tables.Layout(3, 4)
+    packs = index_tables._postings(toks, F.col("cols"), None, layout)
+    assert [f.dataType.simpleString() for f in packs.schema] == ["int", "binary"]
+    assert packs.count() <= 12 * toks.rdd.getNumPartitions() and packs.select("file").distinct().count() == 12
+    found = layout.unpacked(packs)
+    plain = index_tables.build_postings(toks)
+    listed = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+    assert listed(found) == listed(plain)
+    assert found.where(F.col("bucket") != index_tables._bucket(F.col("term"), 3)).isEmpty()
+    # a page's words of one bucket lie in one file
+    files = found.withColumn("_file", F.spark_partition_id()).groupBy("bucket", *index_tables.PAGE).agg(F.count_distinct("_file").alias("n"))
+    assert files.where("n > 1").isEmpty()
+
+
+def test_texts_of_an_index_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from foliant.plans import sizing
+
+    spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_num"), F.lit(0).alias("part"), F.lit("a b").alias("c0")).write.parquet(f"{tmp_path}/t")
+    texts = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(sizing, "SPLIT_BYTES", 1)
+    monkeypatch.setattr(index_tables, "FILES_OF_PART", 1 << 30)
+    assert index_tables._dealt_texts(texts, index_tables.Layout(2, 2)) is texts
+    monkeypatch.setattr(index_tables, "FILES_OF_PART", 0)  # so large that each task's files would be small
+    assert index_tables._dealt_texts(texts, index_tables.Layout(2, 2)).rdd.getNumPartitions() == 4
