@@ -145,13 +145,16 @@ def _matching(items: list[tuple[object, str]], item_kind: pa.DataType, rate: flo
     return match
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The normalised items in blocks of bounded rows and bytes; one block is held at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, least_chars: int = 0) -> Iterator[list[tuple[object, str]]]:
+    """The normalised items in blocks of bounded rows and bytes; one block is held at a time.
+
+    ``least_chars`` leaves out shorter items; by default none are.
+    """
     block: list[tuple[object, str]] = []
     size = 0
     for row in picked(items, item_id=id_col, text=text_col).orderBy("item_id", "text").toLocalIterator():
         text = normalised((row["text"] or "").encode())
-        if not text or row["item_id"] is None:
+        if not text or len(text) < least_chars or row["item_id"] is None:
             continue
         if block and (len(block) >= BLOCK_ITEMS or size + len(text) > BLOCK_BYTES):
             yield block
